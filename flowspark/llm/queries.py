@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowspark.llm.bpe import bpe_decode, bpe_encode
 from flowspark.llm.common import lower_ascii, table
 from flowspark.llm.exact_dedup import exact_dedup
 
@@ -25,5 +27,15 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup}
+
+def op4_bpe(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    """Round trip of whole texts; the digests are those of the real ids and of the text decoded from them."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = table(spark, sf_dir, "documents") if docs is None else docs
+    coded = bpe_encode(docs.select("doc_id", "text"), path)
+    coded = coded.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"))
+    return bpe_decode(coded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op4_bpe": op4_bpe}
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL}
