@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from flowspark.llm.bpe import bpe_decode, bpe_encode
 from flowspark.llm.common import lower_ascii, table
 from flowspark.llm.exact_dedup import exact_dedup
+from flowspark.llm.simhash import simhash_components
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +29,10 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     """Round trip of whole texts; the digests are those of the real ids and of the text decoded from them."""
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -37,5 +42,5 @@ def op4_bpe(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) ->
     return bpe_decode(coded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op4_bpe": op4_bpe}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_simhash": op2_simhash, "op4_bpe": op4_bpe}
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL}
