@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from flowspark.llm.bpe import bpe_decode, bpe_encode
 from flowspark.llm.common import lower_ascii, table
+from flowspark.llm.decontaminate import contaminated
 from flowspark.llm.exact_dedup import exact_dedup
+from flowspark.llm.language_id import declared_language, domain_of, fit, host_of, identify, page_text, sample_of, suffix_of
+from flowspark.llm.line_dedup import drop_common_lines
 from flowspark.llm.simhash import simhash_components
 
 
@@ -42,5 +45,54 @@ def op4_bpe(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) ->
     return bpe_decode(coded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_simhash": op2_simhash, "op4_bpe": op4_bpe}
-ORACLE_SQL = {"op1_exact_dedup": OP1_SQL}
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", F.col("item").alias("item_id"), "overlap", "matched")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_common_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP8_SQL = """
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS k FROM split),
+keyed AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines
+),
+common AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+marked AS (SELECT keyed.*, common.key IS NOT NULL AS gone FROM keyed LEFT JOIN common USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (text and source as host) and pages (text, lang attribute, suffix and host of the address) in one
+    run of all rows; doc_id or page_id is null in rows of the other table. The classifier is fitted on documents."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    labels, weights = fit(sample_of(docs, "lang", 400), "text", "lang")
+    none = F.lit(None).cast("string")
+    host = host_of(F.col("url"))
+    rows = docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", F.concat(F.lit("source:"), "source").alias("host"), none.alias("domain"), none.alias("suffix"), none.alias("declared"))
+    rows = rows.unionByName(
+        pages.select(
+            F.lit(None).cast("long").alias("doc_id"), "page_id", page_text(F.col("html")).alias("text"), host.alias("host"),
+            domain_of(host).alias("domain"), suffix_of(host).alias("suffix"), declared_language(F.col("html")).alias("declared"),
+        )
+    )
+    return identify(rows, labels, weights, declared=F.col("declared"), suffix=F.col("suffix"), host=F.col("host"), domain=F.col("domain"), carry=("doc_id", "page_id"))
+
+
+QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op2_simhash": op2_simhash,
+    "op4_bpe": op4_bpe,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_language_id": op9_language_id,
+}
+ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op8_line_dedup": OP8_SQL}
