@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,9 @@ from flowspark.llm.exact_dedup import exact_dedup
 from flowspark.llm.language_id import declared_language, domain_of, fit, host_of, identify, page_text, sample_of, suffix_of
 from flowspark.llm.line_dedup import drop_common_lines
 from flowspark.llm.simhash import simhash_components
+from flowspark.llm.url_filter import judge_urls
+from flowspark.llm.warc import chunk_payloads, mark_revisits, read_warc, write_warc
+from flowspark.session import shared_dir
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,12 +92,59 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(rows, labels, weights, declared=F.col("declared"), suffix=F.col("suffix"), host=F.col("host"), domain=F.col("domain"), carry=("doc_id", "page_id"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the pages as archives in the shared folder and reads them back; all columns come from the archives."""
+    path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    pages = mark_revisits(table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("target_uri"), "html"), "page_id", "html")
+    urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("none")))
+    records = pages.select(urn("page_id").alias("record_id"), "record_type", "target_uri", urn("refers_to").alias("refers_to"), "payload_bytes", "payload_digest", "html")
+    write_warc(chunk_payloads(records, "html"), path)
+    page = lambda c: F.expr(f"try_cast(substring({c}, 10) as bigint)")
+    ends = read_warc(spark, path, with_data=False).where("is_last")
+    return ends.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "action string, host string, path string")
+    return judge_urls(table(spark, sf_dir, "pages"), rules, carry=("page_id",))
+
+
+OP10_SQL = """
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM u
+),
+rules(action, rhost, rpath) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+fits AS (
+  SELECT h.*, action, rhost || rpath AS rule,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(rhost || rpath) DESC NULLS LAST) AS k
+  FROM h LEFT JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+)
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM fits WHERE k = 1
+"""
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash": op2_simhash,
     "op4_bpe": op4_bpe,
+    "op6_warc": op6_warc,
     "op7_decontaminate": op7_decontaminate,
     "op8_line_dedup": op8_line_dedup,
     "op9_language_id": op9_language_id,
+    "op10_url_filter": op10_url_filter,
 }
-ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op8_line_dedup": OP8_SQL}
+ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op6_warc": OP6_SQL, "op8_line_dedup": OP8_SQL, "op10_url_filter": OP10_SQL}
