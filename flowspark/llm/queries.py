@@ -15,6 +15,7 @@ from flowspark.llm.exact_dedup import exact_dedup
 from flowspark.llm.language_id import declared_language, domain_of, fit, host_of, identify, page_text, sample_of, suffix_of
 from flowspark.llm.line_dedup import drop_common_lines
 from flowspark.llm.simhash import simhash_components
+from flowspark.llm.suffix_tree import score_texts
 from flowspark.llm.url_filter import judge_urls
 from flowspark.llm.warc import chunk_payloads, mark_revisits, read_warc, write_warc
 from flowspark.session import shared_dir
@@ -92,6 +93,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(rows, labels, weights, declared=F.col("declared"), suffix=F.col("suffix"), host=F.col("host"), domain=F.col("domain"), carry=("doc_id", "page_id"))
 
 
+def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the pages as archives in the shared folder and reads them back; all columns come from the archives."""
     path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
@@ -141,6 +146,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash": op2_simhash,
     "op4_bpe": op4_bpe,
+    "op5_suffix_tree": op5_suffix_tree,
     "op6_warc": op6_warc,
     "op7_decontaminate": op7_decontaminate,
     "op8_line_dedup": op8_line_dedup,
