@@ -14,6 +14,7 @@ from flowspark.llm.decontaminate import contaminated
 from flowspark.llm.exact_dedup import exact_dedup
 from flowspark.llm.language_id import declared_language, domain_of, fit, host_of, identify, page_text, sample_of, suffix_of
 from flowspark.llm.line_dedup import drop_common_lines
+from flowspark.llm.pii import replace_pii
 from flowspark.llm.simhash import simhash_components
 from flowspark.llm.suffix_tree import score_texts
 from flowspark.llm.url_filter import judge_urls
@@ -42,6 +43,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is fixed here so that runs can be compared; in production it is a secret."""
+    return replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), key=b"surrogates of the registered query")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     """Round trip of whole texts; the digests are those of the real ids and of the text decoded from them."""
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -145,6 +151,7 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM fits
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash": op2_simhash,
+    "op3_pii": op3_pii,
     "op4_bpe": op4_bpe,
     "op5_suffix_tree": op5_suffix_tree,
     "op6_warc": op6_warc,
