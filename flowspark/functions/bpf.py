@@ -204,7 +204,7 @@ class _Parser:
         link = F.coalesce((F.substring("pkt", 1, 6) == F.lit(b"\xff" * 6)) if what == "broadcast" else first.bitwiseAND(F.lit(1)) == 1, F.lit(False))
         if proto in (None, "ether"):
             return link
-        top = F.split("dst_ip", r"\.").getItem(0).cast("int")
+        top = F.split("dst_ip", r"\.").getItem(0).try_cast("int")
         ip = F.col("dst_ip") == "255.255.255.255" if what == "broadcast" else top.between(224, 239) if proto == "ip" else F.col("dst_ip").startswith("ff")
         return _protocol(proto) & F.coalesce(ip, F.lit(False))
 
@@ -294,7 +294,7 @@ def _ports(kind: str, value: str):
 
 def _as_number(c: Column) -> Column:
     parts = F.split(c, r"\.")
-    return reduce(lambda a, b: a + b, [F.try_element_at(parts, F.lit(k + 1)).cast("long") * 256 ** (3 - k) for k in range(4)])
+    return reduce(lambda a, b: a + b, [F.try_element_at(parts, F.lit(k + 1)).try_cast("long") * 256 ** (3 - k) for k in range(4)])
 
 
 def _network(value: str, mask: str | None, kind: str):

@@ -78,9 +78,9 @@ STATELESS = {
 
 def with_session_key(df: DataFrame) -> DataFrame:
     """Decoded packets with the ends of their session in order."""
-    a, b = F.struct("src_ip", "sport"), F.struct("dst_ip", "dport")
+    a, b = (F.struct(F.col(ip).alias("ip"), F.col(port).alias("port")) for ip, port in (("src_ip", "sport"), ("dst_ip", "dport")))
     rows = df.withColumn("low_", F.least(a, b)).withColumn("high_", F.greatest(a, b))
-    return rows.select(*df.columns, F.col("low_.src_ip").alias("low_ip"), F.col("high_.src_ip").alias("high_ip"), F.col("low_.sport").alias("low_port"), F.col("high_.sport").alias("high_port"))
+    return rows.select(*df.columns, F.col("low_.ip").alias("low_ip"), F.col("high_.ip").alias("high_ip"), F.col("low_.port").alias("low_port"), F.col("high_.port").alias("high_port"))
 
 
 def claimed(df: DataFrame, key: list[str], signature: Column, idle: str = IDLE, closes: Column | None = None) -> DataFrame:

@@ -59,7 +59,7 @@ def erf_records(stream) -> Iterator[tuple]:
             continue
         data = data[2:] if kind & 0x7F == 2 else data
         data = data[:wlen]
-        us = (ts >> 32) * 10**6 + ((ts & 0xFFFFFFFF) * 10**6 >> 32)
+        us = (ts >> 32) * 10**6 + ((ts & 0xFFFFFFFF) * 10**6 + 2**31 >> 32)
         yield us, ts, flags & 3, len(data), wlen, ETHERNET if kind & 0x7F == 2 else CISCO_HDLC, data
 
 
