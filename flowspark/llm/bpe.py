@@ -38,7 +38,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SPACE = regex.compile(r"\s+")
 RUNS = [regex.compile(r"\p{L}+"), regex.compile(r"\p{N}+"), SPACE, regex.compile(r"[^\s\p{L}\p{N}]+")]
 WINDOW = 1 << 16
-CACHE = 1 << 19
+CACHE = 1 << 16
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -48,6 +48,13 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def token_bytes(data: dict) -> dict[int, bytes]:
+    """The bytes of each id, special tokens included."""
+    alphabet = byte_alphabet()
+    plain = {i: bytes(alphabet[c] for c in token) for token, i in data["model"]["vocab"].items() if all(c in alphabet for c in token)}
+    return plain | {x["id"]: x["content"].encode() for x in data.get("added_tokens", [])}
+
+
 class Merges:
     """Merge list, vocabulary and added tokens of a tokenizer file in the tokenizers library's JSON format."""
 
@@ -55,9 +62,8 @@ class Merges:
         data = json.loads(content)
         model, alphabet = data["model"], byte_alphabet()
         vocab = model["vocab"]
-        self.bytes_of = {i: bytes(alphabet[c] for c in token) for token, i in vocab.items() if all(c in alphabet for c in token)}
+        self.bytes_of = token_bytes(data)
         self.special = {x["content"]: x["id"] for x in data.get("added_tokens", [])}
-        self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         self.byte_ids = [vocab[c] for c, _ in sorted(alphabet.items(), key=lambda x: x[1])]
         self.rules: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, merge in enumerate(model["merges"]):
@@ -121,19 +127,22 @@ class Merges:
 
 
 class _Words(dict):
-    """Packed ids of short pre-tokens, at most CACHE of them."""
+    """Packed ids of short pre-tokens, the last CACHE to twice as many that were used."""
 
     def __init__(self, merges: Merges) -> None:
         super().__init__()
-        self.merges = merges
+        self.merges, self.older = merges, {}
 
     def __missing__(self, word: str) -> bytes:
         if len(word) > 64:
             stream = Transducer(self.merges)
             return stream.feed(word.encode()) + stream.finish()
-        ids = self.merges.merge(word.encode())
-        packed = struct.pack(f"<{len(ids)}I", *ids)
+        packed = self.older.get(word)
+        if packed is None:
+            ids = self.merges.merge(word.encode())
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(self) >= CACHE:
+            self.older = dict(self)
             self.clear()
         self[word] = packed
         return packed
@@ -248,8 +257,8 @@ class Encoder:
 class Decoder:
     """Packed ids in, text out as soon as its bytes are complete; bytes that are no UTF-8 give U+FFFD."""
 
-    def __init__(self, merges: Merges) -> None:
-        self.bytes_of = merges.bytes_of
+    def __init__(self, bytes_of: dict[int, bytes]) -> None:
+        self.bytes_of = bytes_of
         self.machine = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, packed: bytes, final: bool = False) -> str:
@@ -262,6 +271,11 @@ class Decoder:
         return "".join([*parts, self.feed(b"", final=True)])
 
 
+@functools.lru_cache(maxsize=2)
+def _bytes_of(content: bytes) -> dict[int, bytes]:
+    return token_bytes(json.loads(content))
+
+
 @functools.lru_cache(maxsize=2)
 def _loaded(content: bytes) -> tuple[Merges, _Words]:
     merges = Merges(content)
@@ -319,7 +333,7 @@ def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "
     content = _tokenizer(df, path)
 
     def make():
-        merges, _ = _loaded(content.value)
-        return lambda packed: Decoder(merges).decode(packed or b"")
+        bytes_of = _bytes_of(content.value)
+        return lambda packed: Decoder(bytes_of).decode(packed or b"")
 
     return _mapped(df.drop(text_col), ids_col, text_col, pa.string(), "string", make)
