@@ -353,7 +353,7 @@ def _report(df: DataFrame, kind: str, transport: str, keys: str, record: str) ->
 
 
 def _install() -> None:
-    std, extra, track = "stdflib", "extraflib", "trackflib"
+    std, extra, track = "std", "extra", "track"
     count = lambda df, *a: df.withColumn("value", F.lit(1).cast("long"))
     wlen = lambda df, *a: df.withColumn("value", F.col("wlen").cast("long"))
     info = lambda df, what: values.pktinfo(df, what)
@@ -388,11 +388,11 @@ def _install() -> None:
         FunctionDef("EXPIRED_FLOWS", extra, "iii", result=lambda df, a, b, least: flows.expired_flows(df.where("sport is not null"), FIVE, "30s", least)),
         FunctionDef("COOKING", extra, "iiii", filters=lambda df, n, t, once, c: reassembly.cook(df, n or 32000, f"{t or 60}s", bool(once), c or reassembly.BOTH), modifies=True),
         FunctionDef("ANONYMIZEIP", extra, "s", check=lambda k: _bad(len(k.encode()) != 32, Err.INVALID_ARGUMENT_1), filters=lambda df, k: anon.anonymize_ip(df, k.encode()), modifies=True),
-        FunctionDef("ANONYMIZE", "anonflib", "s", check=_check_anonymize, filters=_anonymize, modifies=True),
-        FunctionDef("PRINT_PACKET", "anonflib", result=lambda df: df.drop("pkt", "l4_payload")),
-        FunctionDef("UNCOOK", "anonflib", "iii"),
-        FunctionDef("INTERFACE", "dagflib", "i", check=lambda n: _bad(n < 0, Err.INVALID_ARGUMENT), filters=filters.interface),
-        FunctionDef("FLOW_REPORT", "ipfixflib", "ssss", result=_report),
+        FunctionDef("ANONYMIZE", "anon", "s", check=_check_anonymize, filters=_anonymize, modifies=True),
+        FunctionDef("PRINT_PACKET", "anon", result=lambda df: df.drop("pkt", "l4_payload")),
+        FunctionDef("UNCOOK", "anon", "iii"),
+        FunctionDef("INTERFACE", "capture", "i", check=lambda n: _bad(n < 0, Err.INVALID_ARGUMENT), filters=filters.interface),
+        FunctionDef("FLOW_REPORT", "report", "ssss", result=_report),
         *(FunctionDef(n, track, filters=lambda df, n=n: trackers.track(df, n)) for n in [*trackers.SIGNATURES, *trackers.STATELESS, "TRACK_FTP", "TRACK_GRID_FTP"]),
         FunctionDef("TRACK_SKYPE", track, "s", filters=lambda df, hosts: trackers.skype(df, hosts.split(","))),
     ):
