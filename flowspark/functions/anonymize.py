@@ -135,3 +135,43 @@ def anonymize_ip(df: DataFrame, key: bytes, columns: tuple[str, ...] = ("src_ip"
     for c in columns:
         df = df.join(made, F.col(c) == F.col("a_"), "left").withColumn(c, F.col("made_")).drop("a_", "made_")
     return df
+
+
+# Fields of application protocols (fixed names): requests' and responses' first lines, header lines, commands.
+HTTP_HEADERS = """USER_AGENT ACCEPT ACCEPT_CHARSET ACCEPT_ENCODING ACCEPT_LANGUAGE ACCEPT_RANGES AGE ALLOW AUTHORIZATION CACHE_CONTROL CONTENT_TYPE CONTENT_LENGTH CONTENT_LOCATION CONTENT_MD5
+CONTENT_RANGE COOKIE ETAG EXPECT EXPIRES FROM HOST IF_MATCH IF_MODIFIED_SINCE IF_NONE_MATCH IF_RANGE IF_UNMODIFIED_SINCE LAST_MODIFIED PRAGMA PROXY_AUTHENTICATE PROXY_AUTHORIZATION RANGE RETRY_AFTER
+SET_COOKIE SERVER TE TRAILER TRANSFER_ENCODING UPGRADE VIA WARNING WWW_AUTHENTICATE X_POWERED_BY VARY DATE CONTENT_ENCODING KEEP_ALIVE LOCATION CONTENT_LANGUAGE DERIVED_FROM ALLOWED MIME_VERSION TITLE REFRESH""".split()
+HTTP_NAMES = {n: n.replace("_", "-") for n in HTTP_HEADERS} | {"CONNECTION_TYPE": "CONNECTION", "MAX_FORWRDS": "MAX-FORWARDS", "REFERRER": "REFERER"}
+FTP_COMMANDS = {n: n for n in "USER PASS ACCT STRU MODE CWD PWD CDUP PASV RETR REST PORT LIST NLST QUIT SYST STAT HELP NOOP STOR APPE STOU ALLO MKD RMD DELE RNFR RNTO SITE".split()} | {"FTP_TYPE": "TYPE"}
+
+
+def text_field(proto: str, name: str) -> str | None:
+    """A pattern with three groups: what stands before the field's value, the value, what stands after it."""
+    if proto == "HTTP":
+        if name in HTTP_NAMES:
+            return rf"(?is)^(.*?\r\n{HTTP_NAMES[name]}:[ \t]*)([^\r\n]*)(.*)$"
+        request, response = r"[A-Z]+", r"HTTP/[0-9.]+"
+        lines = {
+            "METHOD": rf"(?s)^()({request})( [^ \r\n]+ HTTP/.*)$",
+            "URI": rf"(?s)^({request} )([^ \r\n]+)( HTTP/.*)$",
+            "HTTP_VERSION": rf"(?s)^({request} [^ \r\n]+ |)({response})(.*)$",
+            "RESPONSE_CODE": rf"(?s)^({response} )([0-9]{{3}})(.*)$",
+            "RESP_CODE_DESCR": rf"(?s)^({response} [0-9]{{3}} )([^\r\n]*)(.*)$",
+            "HTTP_PAYLOAD": r"(?s)^(.*?\r\n\r\n)(.*)()$",
+        }
+        return lines.get(name)
+    if proto == "FTP":
+        if name in FTP_COMMANDS:
+            return rf"(?is)^({FTP_COMMANDS[name]}[ \t]*)([^\r\n]*)(.*)$"
+        return {"FTP_RESPONSE_CODE": r"(?s)^()([0-9]{3})(.*)$", "FTP_RESPONSE_ARG": r"(?s)^([0-9]{3}[ -])([^\r\n]*)(.*)$"}.get(name)
+    return None
+
+
+def in_text_field(payload: Column, proto: str, name: str, change) -> Column:
+    """The payload (bytes) with ``change`` applied to one field's value, as it is where the field is not there."""
+    pattern = text_field(proto, name)
+    if pattern is None:
+        raise FlowError(Err.INVALID_ARGUMENT, f"{proto} has no {name}")
+    text = F.decode(payload, "ISO-8859-1")
+    new = F.concat(F.regexp_extract(text, pattern, 1), change(F.regexp_extract(text, pattern, 2)), F.regexp_extract(text, pattern, 3))
+    return F.when(F.coalesce(text.rlike(pattern), F.lit(False)), F.encode(new, "ISO-8859-1")).otherwise(payload)

@@ -33,6 +33,8 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
+from flowspark.llm.common import map_texts
+
 # The pre-token pattern of byte-level BPE (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE = regex.compile(r"\s+")
@@ -308,7 +310,7 @@ def _mapped(df: DataFrame, column: str, name: str, kind: pa.DataType, sql_kind:
 
     kept = [f for f in df.schema.fields if f.name != column]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{name}` {sql_kind}"])
-    return df.mapInArrow(run, schema)
+    return map_texts(df, run, schema)
 
 
 def bpe_encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import string
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,3 +19,15 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
         F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
     )
+
+
+ROWS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def map_texts(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow``, with batches of 2,000 rows where the session has Spark's default of 10,000: rows that hold whole
+    texts are large, and a worker holds a batch at a time."""
+    conf = df.sparkSession.conf
+    if conf.get(ROWS_A_BATCH) == "10000":
+        conf.set(ROWS_A_BATCH, "2000")
+    return df.mapInArrow(run, schema)

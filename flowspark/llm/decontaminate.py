@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from flowspark.llm.common import map_texts
+
 WORD = re.compile(rb"[a-z0-9_\x80-\xff]+")
 #: 1: the position counts, 0: it is ignored. Five positions count in each.
 MASKS = ("11111", "111011", "1101011", "11011001", "1010111")
@@ -147,7 +149,7 @@ def mark_overlaps(
                 columns = [*batch.columns[:made_at], pa.array(made, arrow_kind), *batch.columns[made_at + 1 :]]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-        out = out.mapInArrow(run, out.schema)
+        out = map_texts(out, run, out.schema)
     return out
 
 
@@ -183,4 +185,3 @@ def _verified(bench: Benchmark, docs: list[tuple[int, np.ndarray]], least_tokens
                 key = (docs[k][0], item)
                 best[key] = max(best.get(key, (0, 0)), (length, equal))
     return [(row, bench.items[item][0], *sizes) for (row, item), sizes in sorted(best.items())]
-

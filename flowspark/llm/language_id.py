@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowspark.llm.common import map_texts
 from flowspark.session import durable
 
 GRAMS = 1 << 16
@@ -94,7 +95,7 @@ def text_evidence(df: DataFrame, text_col: str, table: np.ndarray, cap: float) -
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in rest), *(pa.array(out[:, k]) for k in range(many)), pa.array(best, pa.float64())], [*(batch.schema.names[k] for k in rest), *made, "best"])
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != text_col]
-    return df.mapInArrow(run, ", ".join([*kept, *(f"{m} double" for m in made), "best double"]))
+    return map_texts(df, run, ", ".join([*kept, *(f"{m} double" for m in made), "best double"]))
 
 
 def _softmax(scores: list[Column]) -> list[Column]:

@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowspark.llm.common import map_texts
 from flowspark.session import durable
 
 KEYS_A_SHARD = 100_000
@@ -123,7 +124,7 @@ def line_counts(df: DataFrame, text_col: str, least_chars: int) -> DataFrame:
             pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["h", "print"])
 
-    return df.select(text_col).mapInArrow(run, "h bigint, print bigint").groupBy("h", "print").agg(F.count(F.lit(1)).alias("n"))
+    return map_texts(df.select(text_col), run, "h bigint, print bigint").groupBy("h", "print").agg(F.count(F.lit(1)).alias("n"))
 
 
 def build_shards(counts: DataFrame, shards: int) -> DataFrame:
@@ -206,5 +207,5 @@ def _probe(df: DataFrame, text_col: str, rows: list, shards: int, least_docs: in
         columns["n_dropped"] = pa.array([e + n for e, n in zip(columns["n_dropped"].to_pylist(), dropped, strict=True)], pa.int64())
         return pa.RecordBatch.from_arrays([columns[n] for n in names], names)
 
-    return df.mapInArrow(run, df.schema)
+    return map_texts(df, run, df.schema)
 

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowspark.llm.common import map_texts
 from flowspark.session import durable
 
 TITLES = "Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Señor|Señora|Sra|Monsieur|Madame|Mme"
@@ -171,7 +172,7 @@ def entities(df: DataFrame, text_col: str) -> DataFrame:
             found = {(kind, normal(kind, value)) for t in batch.column(0) for _, _, kind, value in mentions(t.as_py() or "")}
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([n for _, n in found], pa.string())], ["kind", "norm"])
 
-    return df.select(text_col).mapInArrow(run, "kind string, norm string").distinct()
+    return map_texts(df.select(text_col), run, "kind string, norm string").distinct()
 
 
 def clashing(found: DataFrame, key: bytes, most_draws: int = 50) -> DataFrame:
@@ -240,7 +241,7 @@ def replace_pii(df: DataFrame, key: bytes, text_col: str = "text", most_broadcas
             yield pa.RecordBatch.from_arrays([*columns, pa.array(totals, pa.int32()), pa.array(kinds, pa.map_(pa.string(), pa.int32()))], made_names)
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema.fields), "n_found int, found map<string,int>"])
-    return rows.mapInArrow(run, schema)
+    return map_texts(rows, run, schema)
 
 
 def _with_draws(rows: DataFrame, later: DataFrame, text_col: str) -> DataFrame:

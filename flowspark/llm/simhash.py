@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowspark.llm.common import map_texts
 from flowspark.session import durable
 
 WORDS_AT_ONCE = 1 << 16
@@ -79,7 +80,7 @@ def fingerprints(df: DataFrame, text_col: str, width: int, seeds: tuple[int, ...
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in rest), *(pa.array(made[:, k]) for k in range(len(names)))], [*(batch.schema.names[k] for k in rest), *names])
 
     kept = [f for f in df.schema.fields if f.name != text_col]
-    return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{n} bigint" for n in names)]))
+    return map_texts(df, run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{n} bigint" for n in names)]))
 
 
 def _neighbours(blocks: int, radius: int) -> list[list[tuple[int, int]]]:
@@ -112,27 +113,27 @@ def _by_counts(fps: np.ndarray, blocks: int, radius: int) -> tuple[np.ndarray, n
     return np.concatenate(keys), np.concatenate(rows)
 
 
-def _by_length(band: np.ndarray, fps: np.ndarray, cuts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The same for bands of length, cut into ``cuts[band]`` blocks each: a block meets the blocks from itself
-    on in its band and all blocks of the next band."""
-    part = (fps.view(np.uint64) >> np.uint64(11)).astype(np.int64) % np.array([cuts[b] for b in band.tolist()], np.int64)
+def _by_length(band: np.ndarray, fps: np.ndarray, bands: set[int], cuts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for bands of length, cut into ``cuts`` blocks each: a block meets the blocks from itself on in its
+    band and all blocks of the next band, if that is one of ``bands``."""
+    part = ((fps.view(np.uint64) >> np.uint64(11)) % np.uint64(cuts)).astype(np.int64)
     keys, rows = [], []
     for b in np.unique(band).tolist():
         mine = np.flatnonzero(band == b)
         at = part[mine]
-        pairs = [(0, np.minimum(at, k), np.maximum(at, k), at > k) for k in range(cuts[b])]
-        pairs += [(1, at, k, 0) for k in range(cuts.get(b + 1, 0))]
-        pairs += [(-1, k, at, 1) for k in range(cuts.get(b - 1, 0))]
+        pairs = [(0, np.minimum(at, k), np.maximum(at, k), at > k) for k in range(cuts)]
+        pairs += [(1, at, k, 0) for k in range(cuts if b + 1 in bands else 0)]
+        pairs += [(-1, k, at, 1) for k in range(cuts if b - 1 in bands else 0)]
         for step, low, high, probe in pairs:
-            tile = ((b * 2 + step) * MOST_CUTS + low) * MOST_CUTS + high
+            tile = ((b * 2 + step) * cuts + low) * cuts + high
             keys.append(tile * 2 + probe)
             rows.append(mine)
     return np.concatenate(keys), np.concatenate(rows)
 
 
-def _meets_itself(tile: int) -> bool:
+def _meets_itself(tile: int, cuts: int) -> bool:
     """Whether a tile of ``_by_length`` is a block with itself."""
-    return tile // MOST_CUTS**2 % 2 == 0 and tile // MOST_CUTS % MOST_CUTS == tile % MOST_CUTS
+    return tile // cuts**2 % 2 == 0 and tile // cuts % cuts == tile % cuts
 
 
 class _Forest:
@@ -175,15 +176,14 @@ def _meet(own: np.ndarray, others: np.ndarray, radius: int, forest: _Forest, ste
             forest.link(a, b)
 
 
-MOST_CUTS, ROWS_A_CUT = 16, 2048
-
-
-def links(nodes: DataFrame, radius: int, lanes: int, blocks: int = 8, ratio: float | None = None) -> DataFrame:
+def links(nodes: DataFrame, radius: int, lanes: int, blocks: int = 8, ratio: float | None = None, cuts: int = 8) -> DataFrame:
     """Edges (a, b) between node ids that connect exactly the nodes within ``radius`` bits, by way of others.
 
     ``nodes`` has columns node, words, f0, f1, ... (words: of the text). Without ``ratio`` tiles are by
     population counts (one lane), with it by length: then texts whose numbers of words
-    differ by more than that ratio need not be linked. A tile's own rows are held in
+    differ by more than that ratio need not be linked, and each band is cut into
+    ``cuts`` blocks: a row goes to some 3 * cuts of them at any size of the corpus, and
+    more of them spread the comparisons over more tasks. A tile's own rows are held in
     memory; copies are one node, and near copies of one text can fill a tile with no
     more than the patterns that exist around it.
     """
@@ -191,16 +191,15 @@ def links(nodes: DataFrame, radius: int, lanes: int, blocks: int = 8, ratio: flo
     # Bands of lengths within the ratio; texts within it are in one band or in two that follow each other.
     band = F.lit(0) if ratio is None else F.floor(F.log(F.greatest("words", F.lit(1))) / F.lit(-float(np.log(ratio))))
     nodes = nodes.select(band.cast("long").alias("band"), *names)
-    cuts: dict[int, int] = {}
-    if ratio is not None:  # some 100 bands at most
-        cuts = {r.band: min(MOST_CUTS, 1 + r["count"] // ROWS_A_CUT) for r in nodes.groupBy("band").count().collect()}
+    # Some 100 bands at most.
+    bands = {r.band for r in nodes.select("band").distinct().collect()} if ratio is not None else set()
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                bands, *values = (part.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(1 + len(names)))
-                key, row = _by_counts(values[1], blocks, radius) if ratio is None else _by_length(bands, values[1], cuts)
+                at_band, *values = (part.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(1 + len(names)))
+                key, row = _by_counts(values[1], blocks, radius) if ratio is None else _by_length(at_band, values[1], bands, cuts)
                 yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(v[row]) for v in values)], ["key", *names])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, np.ndarray]]:
@@ -225,10 +224,10 @@ def links(nodes: DataFrame, radius: int, lanes: int, blocks: int = 8, ratio: flo
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
                     found = []
                 tile, own, forest = at, nothing, _Forest()
-            if len(own) and (is_probe or ratio is None or _meets_itself(tile)):
+            if len(own) and (is_probe or ratio is None or _meets_itself(tile, cuts)):
                 _meet(own, rows, radius, forest)
             if not is_probe and len(rows):
-                if ratio is None or _meets_itself(tile):
+                if ratio is None or _meets_itself(tile, cuts):
                     _meet(rows, rows, radius, forest)
                 own = np.concatenate([own, rows])
 
@@ -244,7 +243,7 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     before = None
     for _ in range(most_rounds):
         # Both sides of each join are plain tables, so that adaptive execution can split a hub's rows.
-        both = durable(stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+        both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = durable(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = durable(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         least = durable(large.groupBy("a").agg(F.min("b").alias("m")))

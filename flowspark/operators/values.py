@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowspark.operators.order import lagged
 from flowspark.plans.errors import Err, FlowError
@@ -32,12 +35,13 @@ def gap(df: DataFrame) -> DataFrame:
 
 
 def byte_hash(data: Column) -> Column:
-    """(length + sum of the bytes) mod 500009; 0 for null."""
-    data = data.cast("binary")
-    length = F.octet_length(data)
-    # Each byte is two hex digits; a code point of the Latin-1 text is the byte.
-    codes = F.transform(F.split(F.decode(data, "ISO-8859-1"), ""), lambda c: F.when(c == "", 0).otherwise(F.ascii(c)))
-    return F.coalesce((length + F.aggregate(codes, F.lit(0).cast("long"), lambda s, x: s + x)) % 500009, F.lit(0)).cast("long")
+    """(length + sum of the bytes) mod 500009; 0 for null. Bytes of an Arrow batch are summed with numpy."""
+    return _byte_hash(data.cast("binary"))
+
+
+@F.pandas_udf(T.LongType())
+def _byte_hash(data: pd.Series) -> pd.Series:
+    return pd.Series([0 if d is None else (len(d) + int(np.frombuffer(d, np.uint8).sum(dtype=np.int64))) % 500009 for d in data])
 
 
 def binop(left: DataFrame, right: DataFrame, op: int) -> DataFrame:

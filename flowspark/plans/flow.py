@@ -24,7 +24,7 @@ from flowspark.functions import anonymize as anon
 from flowspark.functions.bpf import compile_filter
 from flowspark.operators import aggregates, filters, flows, reassembly, trackers, values, windows
 from flowspark.plans.errors import Err, FlowError
-from flowspark.sources.pcap import decode, read_packets, write_packets
+from flowspark.sources.pcap import decode, encode, read_packets, write_packets
 
 PAYLOAD = "pkt"
 
@@ -290,8 +290,32 @@ def _check_top(many, proto, name, sort_by, reset):
 FIVE = ["src_ip", "dst_ip", "ip_proto", "sport", "dport"]
 
 
+#: Functions on texts, for fields of application protocols.
+TEXT_FUNCTIONS = {
+    "ZERO": lambda c, a: F.repeat(F.lit("\0"), F.char_length(c)),
+    "STRIP": lambda c, a: anon.strip(c, int(a[0]) if a else 0),
+    "PATTERN_FILL": lambda c, a: anon.pattern_fill(c, a[1]),
+    "REPLACE": lambda c, a: anon.replace(c, a[0]),
+    "HASHED": lambda c, a: anon.hashed(c, a[0], a[1] if len(a) > 1 else None),
+    "REGEXP": lambda c, a: anon.regexp(c, a[0], [None if x == "NULL" else x for x in a[2:]]),
+    "FILENAME_RANDOM": lambda c, a: anon.filename_random(c),
+    "RANDOM": lambda c, a: F.substring(F.repeat(F.sha2(F.rand().cast("string"), 256), F.ceil(F.char_length(c) / 64).cast("int")), F.lit(1), F.char_length(c)),
+    "UNCHANGED": lambda c, a: c,
+}
+
+
 def _anonymize(df: DataFrame, text: str) -> DataFrame:
+    """Change the columns of a field, then the packets' bytes."""
+    changed = _anonymized(df, text)
+    return changed if changed is df or "pkt" not in df.columns else encode(changed, adjust=text.split(",")[2] == "CHECKSUM_ADJUST")
+
+
+def _anonymized(df: DataFrame, text: str) -> DataFrame:
     proto, name, how, *args = text.split(",")
+    if proto in ("HTTP", "FTP") and anon.text_field(proto, name):
+        if how not in TEXT_FUNCTIONS:
+            raise FlowError(Err.INVALID_ARGUMENT, how)
+        return df.withColumn("l4_payload", anon.in_text_field(F.col("l4_payload"), proto, name, lambda c: TEXT_FUNCTIONS[how](c, args)))
     columns = {"SRC_IP": "src_ip", "DST_IP": "dst_ip", "SRC_PORT": "sport", "DST_PORT": "dport", "TTL": "ip_ttl", "TOS": "ip_tos", "ID": "ip_id", "PACKET_LENGTH": "ip_len", "PAYLOAD": "l4_payload", "SEQUENCE_NUMBER": "tcp_seq", "ACK_NUMBER": "tcp_ack", "WINDOW": "tcp_win", "FLAGS": "tcp_flags", "CHECKSUM": "ip_csum", "URGENT_POINTER": "tcp_urg", "UDP_DATAGRAM_LENGTH": "udp_len", "TYPE": "icmp_type", "CODE": "icmp_code"}
     if proto not in ("IP", "TCP", "UDP", "ICMP", "HTTP", "FTP"):
         raise FlowError(Err.INVALID_ARGUMENT, proto)
@@ -387,7 +411,7 @@ def _install() -> None:
         FunctionDef("TOP", extra, "issii", check=_check_top, result=lambda df, n, p, name, by, reset: aggregates.top(df.withColumn("wlen", F.col("wlen") - F.coalesce("l3_off", F.lit(0))), _top_field(p, name), n, by, f"{reset}s" if reset else None)),
         FunctionDef("EXPIRED_FLOWS", extra, "iii", result=lambda df, a, b, least: flows.expired_flows(df.where("sport is not null"), FIVE, "30s", least)),
         FunctionDef("COOKING", extra, "iiii", filters=lambda df, n, t, once, c: reassembly.cook(df, n or 32000, f"{t or 60}s", bool(once), c or reassembly.BOTH), modifies=True),
-        FunctionDef("ANONYMIZEIP", extra, "s", check=lambda k: _bad(len(k.encode()) != 32, Err.INVALID_ARGUMENT_1), filters=lambda df, k: anon.anonymize_ip(df, k.encode()), modifies=True),
+        FunctionDef("ANONYMIZEIP", extra, "s", check=lambda k: _bad(len(k.encode()) != 32, Err.INVALID_ARGUMENT_1), filters=lambda df, k: encode(anon.anonymize_ip(df, k.encode())), modifies=True),
         FunctionDef("ANONYMIZE", "anon", "s", check=_check_anonymize, filters=_anonymize, modifies=True),
         FunctionDef("PRINT_PACKET", "anon", result=lambda df: df.drop("pkt", "l4_payload")),
         FunctionDef("UNCOOK", "anon", "iii"),

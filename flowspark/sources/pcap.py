@@ -302,3 +302,82 @@ def decode_batch(packets: list[bytes], link: np.ndarray) -> dict:
         "tcp_csum": (u(l4 + 16, 2), tcp), "tcp_urg": (u(l4 + 18, 2), tcp), "udp_len": (u(l4 + 4, 2), udp), "udp_csum": (u(l4 + 6, 2), udp), "icmp_type": (u(l4), icmp), "icmp_code": (u(l4 + 1), icmp),
         "l4_payload": [packets[k][int(start[k]) : max(int(start[k]), int(end[k]))] if ip[k] else None for k in range(n)],
     }
+
+
+# -- writing fields back ----------------------------------------------------
+
+
+def checksum(data: bytes) -> int:
+    """The Internet checksum (RFC 1071)."""
+    if len(data) % 2:
+        data += b"\0"
+    total = int(np.frombuffer(data, ">u2").sum(dtype=np.int64))
+    while total >> 16:
+        total = (total & 0xFFFF) + (total >> 16)
+    return ~total & 0xFFFF
+
+
+def _address(text: str) -> bytes:
+    return bytes(map(int, text.split("."))) if "." in text else bytes.fromhex(text.replace(":", ""))
+
+
+#: Columns by header: offset in it and width.
+_V4 = {"ip_tos": (1, 1), "ip_len": (2, 2), "ip_id": (4, 2), "ip_ttl": (8, 1), "ip_csum": (10, 2)}
+_L4 = {
+    6: {"sport": (0, 2), "dport": (2, 2), "tcp_seq": (4, 4), "tcp_ack": (8, 4), "tcp_flags": (13, 1), "tcp_win": (14, 2), "tcp_csum": (16, 2), "tcp_urg": (18, 2)},
+    17: {"sport": (0, 2), "dport": (2, 2), "udp_len": (4, 2), "udp_csum": (6, 2)},
+    1: {"icmp_type": (0, 1), "icmp_code": (1, 1)},
+}
+
+
+def rebuild(r: dict, adjust: bool = False) -> bytes:
+    """The bytes of a decoded packet with its columns written back. A payload of another length moves the end of the
+    packet; lengths in headers stay as their columns say. ``adjust`` computes the checksums anew."""
+    data, l3, l4 = bytearray(r["pkt"] or b""), r["l3_off"], r["l4_off"]
+    if r["ip_version"] is None:
+        return bytes(data)
+
+    def put(at: int, width: int, value: int | None) -> None:
+        if value is not None:
+            data[at : at + width] = (value & (1 << 8 * width) - 1).to_bytes(width, "big")
+
+    v4 = r["ip_version"] == 4
+    if v4:
+        for name, (at, width) in _V4.items():
+            put(l3 + at, width, r[name])
+    for name, at in (("src_ip", 12 if v4 else 8), ("dst_ip", 16 if v4 else 24)):
+        value = _address(r[name])
+        if len(value) == (4 if v4 else 16):
+            data[l3 + at : l3 + at + len(value)] = value
+    fields = _L4.get(r["ip_proto"], {}) if r["sport"] is not None or r["icmp_type"] is not None else {}
+    for name, (at, width) in fields.items():
+        put(l4 + at, width, r[name])
+    if r["l4_payload"] is not None:
+        start = l4 + (4 * (data[l4 + 12] >> 4) if r["ip_proto"] == 6 and fields else 8 if fields else 0)
+        data[start:] = r["l4_payload"]
+    if adjust and v4:
+        ihl = 4 * (data[l3] & 15)
+        put(l3 + 10, 2, 0)
+        put(l3 + 10, 2, checksum(bytes(data[l3 : l3 + ihl])))
+        at = {6: 16, 17: 6, 1: 2}.get(r["ip_proto"]) if fields else None
+        if at is not None:
+            put(l4 + at, 2, 0)
+            body = bytes(data[l4:])
+            pseudo = b"" if r["ip_proto"] == 1 else bytes(data[l3 + 12 : l3 + 20]) + struct.pack(">BBH", 0, r["ip_proto"], len(body))
+            put(l4 + at, 2, checksum(pseudo + body))
+    return bytes(data)
+
+
+def encode(df: DataFrame, adjust: bool = False) -> DataFrame:
+    """Decoded packets with the bytes (and captured length) that their columns give."""
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [rebuild(r, adjust) for r in batch.to_pylist()]
+            columns = dict(zip(names, batch.columns, strict=True))
+            columns["pkt"] = pa.array(made, pa.binary())
+            columns["caplen"] = pa.array(map(len, made), pa.int32())
+            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
+
+    return df.mapInArrow(run, df.schema)

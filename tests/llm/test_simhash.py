@@ -66,10 +66,7 @@ def test_links_match_brute_force(spark):
         assert {n: got.get(n, n) for n in want} == want
 
 
-def test_bands_match_brute_force(spark, monkeypatch):
-    from flowspark.llm import simhash
-
-    monkeypatch.setattr(simhash, "ROWS_A_CUT", 20)
+def test_bands_match_brute_force(spark):
     rng = random.Random(4)
     fps = [(*f, rng.choice([5, 6, 7, 40, 41, 55])) for f in nearby(rng, 60, 2)]
     nodes = spark.createDataFrame([(k, f[2], f[0], f[1]) for k, f in enumerate(fps)], "node long, words long, f0 long, f1 long")

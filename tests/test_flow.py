@@ -1,10 +1,12 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from flowspark.operators import reassembly
 from flowspark.plans import flow as api
 from flowspark.plans.errors import FlowError
-from flowspark.sources.pcap import decode, write_packets
+from flowspark.sources.pcap import checksum, decode, write_packets
 from tests.packets import ethernet, ipv4, stream, tcp, udp
 
 
@@ -175,3 +177,26 @@ def test_cooking(spark, tmp_path):
     fid = flow.apply("PKT_COUNTER")
     flow.connect()
     assert flow.read(fid).first()["value"] == 4
+
+
+def test_anonymised_packets_are_written(spark, tmp_path):
+    request = b"GET /secret?q=1 HTTP/1.1\r\nHost: a.example\r\nCookie: id=42\r\n\r\nbody"
+    frames = [(0, ethernet(ipv4("10.0.0.1", "10.0.0.2", 6, tcp(1000, 80, request)))), (1, ethernet(ipv4("10.0.0.1", "10.0.0.2", 17, udp(53, 53, b"q")))), (2, ethernet(ipv4("10.0.0.1", "10.0.0.2", 6, tcp(1000, 21, b"USER anna\r\n"))))]
+    flow = api.create_flow(decode(stream(spark, frames)))
+    for step in ("HTTP,COOKIE,REPLACE,none", "HTTP,URI,PATTERN_FILL,STR,x", "HTTP,METHOD,HASHED,MD5", "FTP,USER,REPLACE,bob", "IP,SRC_IP,MAP", "TCP,DST_PORT,ZERO", "IP,CHECKSUM,CHECKSUM_ADJUST"):
+        flow.apply("ANONYMIZE", step)
+    assert code(flow.apply, "ANONYMIZE", "IP,SRC_IP") == 7000
+    file = flow.apply("TO_FILE", 0, str(tmp_path / "out"), 0)
+    flow.connect()
+    flow.read(file).collect()
+    again = api.create_offline_flow(spark, str(tmp_path / "out"))
+    again.connect()
+    rows = {r.us: r for r in again.packets_left().collect()}
+    text = bytes(rows[0].pkt)[54:]  # lengths in headers stay as they were
+    assert text.startswith(hashlib.md5(b"GET").hexdigest().encode() + b" xxxxxxxxxxx HTTP/1.1\r\nHost: a.example\r\nCookie: none\r\n\r\n")
+    assert (rows[0].src_ip, rows[0].dst_ip, rows[0].dport, rows[2].dport) == ("0.0.0.1", "10.0.0.2", 0, 0)
+    assert bytes(rows[2].pkt)[54:] == b"USER bob\r\n" and bytes(rows[1].l4_payload) == b"q" and rows[1].dport == 53
+    for r in rows.values():
+        head = bytes(r.pkt)[14:34]
+        assert checksum(head) == 0
+    assert code(lambda: api._anonymize(flow.packets, "HTTP,NOTHING,ZERO")) == 7000
