@@ -62,11 +62,6 @@ def regexp(c: Column, pattern: str, replacements: list[str | None]) -> Column:
     return F.when(found, F.concat(*parts, F.regexp_extract(c, whole, len(replacements) + 2))).otherwise(c)
 
 
-def random_bytes(c: Column, seed: int = 42) -> Column:
-    """A random number in the range of a byte for each byte, as hex; not the same for equal values."""
-    return F.when(c.isNotNull(), F.substring(F.repeat(F.sha2(F.rand(seed).cast("string"), 256), F.ceil(F.octet_length(c) / 32).cast("int")), F.lit(1), 2 * F.octet_length(c.cast("binary"))))
-
-
 def filename_random(c: Column, seed: int = 42) -> Column:
     """Everything before the last dot replaced by as many random hex digits."""
     stem, end = F.regexp_extract(c, r"(?s)^(.*)(\.[^.]*)$", 1), F.regexp_extract(c, r"(?s)^(.*)(\.[^.]*)$", 2)
@@ -108,6 +103,21 @@ def ipv4_text(n: Column) -> Column:
     return F.concat_ws(".", *(F.shiftright(n, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)))
 
 
+def on_bytes(c: Column, width: int | None, change) -> Column:
+    """A header field of fixed width with ``change`` applied to its bytes in network order: what is longer is cut off, what
+    is shorter gets zero bytes. ``width`` is that of a number; without it the field is an address of IPv4 or IPv6."""
+    six = c.contains(":")
+    size = F.lit(width) if width else F.when(six, 16).otherwise(4)
+    if width:
+        data = F.unhex(F.lpad(F.hex(c.cast("long")), 2 * width, "0"))
+    else:
+        data = F.when(six, F.unhex(F.replace(c, F.lit(":"), F.lit("")))).otherwise(F.unhex(F.lpad(F.hex(ipv4_number(F.when(~six, c))), 8, "0")))
+    digits = F.rpad(F.substring(F.lower(F.hex(change(data))), F.lit(1), 2 * size), 2 * size, "0")
+    number = F.conv(digits, 16, 10).cast("long")
+    new = number if width else F.when(six, F.regexp_replace(digits, "(.{4})(?=.)", "$1:")).otherwise(ipv4_text(number))
+    return F.when(c.isNotNull(), new)
+
+
 def prefix_preserving(c: Column, key: bytes) -> Column:
     """Crypto-PAn (Xu et al., 2002): two IPv4 addresses that share k bits share k bits afterwards. The first half of the
     32-byte key is the cipher's, the second gives the padding. Apply it to distinct addresses and join where they repeat."""

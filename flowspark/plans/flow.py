@@ -24,7 +24,7 @@ from flowspark.functions import anonymize as anon
 from flowspark.functions.bpf import compile_filter
 from flowspark.operators import aggregates, filters, flows, reassembly, trackers, values, windows
 from flowspark.plans.errors import Err, FlowError
-from flowspark.sources.pcap import decode, encode, read_packets, write_packets
+from flowspark.sources.pcap import FIELD_BYTES, decode, encode, read_packets, write_packets
 
 PAYLOAD = "pkt"
 
@@ -294,7 +294,7 @@ FIVE = ["src_ip", "dst_ip", "ip_proto", "sport", "dport"]
 TEXT_FUNCTIONS = {
     "ZERO": lambda c, a: F.repeat(F.lit("\0"), F.char_length(c)),
     "STRIP": lambda c, a: anon.strip(c, int(a[0]) if a else 0),
-    "PATTERN_FILL": lambda c, a: anon.pattern_fill(c, a[1]),
+    "PATTERN_FILL": lambda c, a: anon.pattern_fill(c, chr(int(a[1]) & 255) if a[0] == "INTEGER" else a[1]),
     "REPLACE": lambda c, a: anon.replace(c, a[0]),
     "HASHED": lambda c, a: anon.hashed(c, a[0], a[1] if len(a) > 1 else None),
     "REGEXP": lambda c, a: anon.regexp(c, a[0], [None if x == "NULL" else x for x in a[2:]]),
@@ -336,28 +336,36 @@ def _anonymized(df: DataFrame, text: str) -> DataFrame:
         if c not in ("src_ip", "dst_ip"):
             raise FlowError(Err.INVALID_ARGUMENT, name)
         return anon.anonymize_ip(df, (args[0] if args else "0123456789abcdefFEDCBA9876543210").encode(), (c,))
-    text_of = F.col(c).cast("string") if c != "l4_payload" else F.decode(c, "ISO-8859-1")
-    made = {
-        "ZERO": lambda: F.lit("0.0.0.0") if c in ("src_ip", "dst_ip") else F.when(F.col(c).isNotNull(), F.lit(0)) if c != "l4_payload" else anon.zero(F.col(c)),
-        "STRIP": lambda: anon.strip(F.col(c), int(args[0]) if args else 0),
-        "PATTERN_FILL": lambda: F.lit(int(args[1])) if args[0] == "INTEGER" else anon.pattern_fill(text_of, args[1]),
-        "REPLACE": lambda: anon.replace(text_of, args[0]),
-        "HASHED": lambda: anon.hashed(text_of, args[0], args[1] if len(args) > 1 else None),
-        "REGEXP": lambda: anon.regexp(text_of, args[0], [None if a == "NULL" else a for a in args[2:]]),
-        "MAP_DISTRIBUTION": lambda: anon.map_distribution(F.col(c), args[0], float(args[1]), float(args[2])),
-        "RANDOM": lambda: F.floor(F.rand() * 256) if c != "l4_payload" else anon.random_bytes(F.col(c)),
-        "FILENAME_RANDOM": lambda: anon.filename_random(text_of),
-        "CHECKSUM_ADJUST": lambda: F.col(c),
-    }.get(how)
-    if made is None:
-        raise FlowError(Err.INVALID_ARGUMENT, how)
-    new = made()
-    if c == "l4_payload":
-        new = new.cast("binary")
-    elif kind.typeName() != "string":
-        # Digests and texts of a number are cut to what the field holds.
-        new = new.cast(kind) if how in ("ZERO", "RANDOM", "MAP_DISTRIBUTION", "CHECKSUM_ADJUST") or (how == "PATTERN_FILL" and args[0] == "INTEGER") else F.conv(F.substring(F.hex(new.cast("string")), 1, 4), 16, 10).cast(kind)
-    return df.withColumn(c, F.when(of_protocol, new).otherwise(F.col(c)))
+    if how == "CHECKSUM_ADJUST":
+        return df.withColumn(c, F.col(c))
+    if how == "MAP_DISTRIBUTION":
+        new = anon.map_distribution(F.col(c), args[0], float(args[1]), float(args[2]))
+        if c in ("src_ip", "dst_ip"):
+            new = anon.ipv4_text(F.pmod(new.cast("long"), F.lit(1 << 32)))
+    elif c == "l4_payload":
+        if how not in TEXT_FUNCTIONS:
+            raise FlowError(Err.INVALID_ARGUMENT, how)
+        new = F.encode(TEXT_FUNCTIONS[how](F.decode(c, "ISO-8859-1"), args), "ISO-8859-1")
+    else:
+        new = anon.on_bytes(F.col(c), FIELD_BYTES.get(c), lambda data: _byte_function(how, args, data))
+    return df.withColumn(c, F.when(of_protocol, new.cast(kind)).otherwise(F.col(c)))
+
+
+def _byte_function(how: str, args: list[str], data: Column) -> Column:
+    """A function on the bytes of a field of fixed width, which the caller fits to that width."""
+    if how == "ZERO":
+        return F.lit(b"")
+    if how == "STRIP":
+        return F.substring(data, 1, int(args[0]) if args else 0)
+    if how == "PATTERN_FILL":
+        return F.lit((bytes([int(args[1]) & 255]) if args[0] == "INTEGER" else args[1].encode()) * 16)
+    if how == "REPLACE":
+        return F.lit(args[0].encode())
+    if how == "HASHED":
+        return F.unhex(anon.hashed(data, args[0]))
+    if how == "RANDOM":
+        return F.unhex(F.sha2(F.rand().cast("string"), 256))
+    raise FlowError(Err.INVALID_ARGUMENT, how)
 
 
 def _check_anonymize(text: str) -> None:

@@ -328,6 +328,8 @@ _L4 = {
     17: {"sport": (0, 2), "dport": (2, 2), "udp_len": (4, 2), "udp_csum": (6, 2)},
     1: {"icmp_type": (0, 1), "icmp_code": (1, 1)},
 }
+#: Width of each column that is a number in a header.
+FIELD_BYTES = {name: width for header in (_V4, *_L4.values()) for name, (_, width) in header.items()}
 
 
 def rebuild(r: dict, adjust: bool = False) -> bytes:
