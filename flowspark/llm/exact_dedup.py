@@ -8,27 +8,13 @@ whole, never a wrong group, since groups are formed by SHA-256 in the end.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import lower_ascii
+from flowspark.llm.common import bit_filter, lower_ascii, passing
 from flowspark.session import durable
 
 
-def _bit_filter(keys: DataFrame, words: int) -> DataFrame:
-    """At most ``words`` rows of 64 bits; ``keys`` has the hashes in column h."""
-    return keys.groupBy(F.expr(f"pmod(shiftrightunsigned(h, 6), {words}L)").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")
-    )
-
-
-def _passing(df: DataFrame, hashed: Column, bits: DataFrame, words: int) -> DataFrame:
-    """``df`` with a boolean ``passed``: whether its hash may be among those of the filter."""
-    df = df.withColumn("h", hashed).withColumn("word", F.expr(f"pmod(shiftrightunsigned(h, 6), {words}L)"))
-    df = df.join(F.broadcast(bits), "word", "left")
-    return df.withColumn("passed", F.expr("coalesce(shiftrightunsigned(bits, cast(h & 63 as int)) & 1L, 0L) = 1L")).drop("word", "bits", "h")
-
-
 def exact_dedup(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -59,13 +45,13 @@ def exact_dedup(
     carried = [f"c{k}" for k in range(len(carry))]
 
     by_length = source.groupBy(size.alias("n")).count().where("count > 1")
-    lengths = _bit_filter(by_length.select(F.xxhash64("n").alias("h")), filter_words)
-    by_prefix = _passing(source.select("text"), length_hash, lengths, filter_words).where("passed")
+    lengths = bit_filter(by_length.select(F.xxhash64("n").alias("h")), filter_words)
+    by_prefix = passing(source.select("text"), length_hash, lengths, filter_words).where("passed")
     by_prefix = by_prefix.groupBy(prefix_hash.alias("h")).count().where("count > 1")
-    prefixes = _bit_filter(by_prefix, filter_words)
+    prefixes = bit_filter(by_prefix, filter_words)
 
     # Whole texts are hashed for surviving groups alone; others get a key of their own, which spreads them.
-    hashed = _passing(source, prefix_hash, prefixes, filter_words).select(
+    hashed = passing(source, prefix_hash, prefixes, filter_words).select(
         "id", *carried, F.when(F.col("passed"), F.unhex(F.sha2(lower_ascii(F.col("text")), 256))).otherwise(F.encode(F.concat(F.lit("-"), F.monotonically_increasing_id()), "UTF-8")).alias("key")
     )
     hashed = durable(hashed)

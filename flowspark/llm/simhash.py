@@ -15,7 +15,9 @@ pairs, so the result is exact. Two layouts:
   into blocks of fingerprints that meet block by block (no task gets a whole band).
 
 A task emits a spanning forest of the links it finds, at most one edge for each row it
-read rather than all pairs. Components come from the edges by large-star and small-star
+read rather than all pairs. Where fingerprints only estimate a similarity, pairs at distances
+that leave it open are compared by their sets of shingles, but for those in one tree of
+close links already: a group of copies soon is one tree, so its pairs stay few. Components come from the edges by large-star and small-star
 rounds of joins and minima (Kiveris et al., 2014).
 """
 
@@ -27,35 +29,44 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import map_texts
+from flowspark.llm.common import bit_filter, map_texts, passing
 from flowspark.session import durable
 
 WORDS_AT_ONCE = 1 << 16
+DOUBTS_AT_ONCE = 1 << 18
 
 
-def fingerprint(text: str | None, width: int, seeds: tuple[int, ...] = (42,)) -> tuple[int, ...]:
-    """The number of words, then a signed 64-bit SimHash of the word shingles for each seed; no words: zeros."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return (0,) * (1 + len(seeds))
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingle_hashes(words: list[bytes], width: int, seed: int) -> Iterator[np.ndarray]:
+    """XXH64 of the word shingles, in parts; of all words together where they are fewer than ``width``."""
     size = min(width, len(words))
-    ones = np.zeros((len(seeds), 64), np.int64)
     digest = xxhash.xxh64_intdigest
-    for at in range(0, len(words) - size + 1, WORDS_AT_ONCE):
+    for at in range(0, len(words) - size + 1 if words else 0, WORDS_AT_ONCE):
         part = words[at : at + WORDS_AT_ONCE + size - 1]
         joined = b" ".join(part)
         ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))[: len(part) - size + 1].tolist()
-        shingles = [joined[a:b] for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)]
-        hashes = np.fromiter((digest(x, seeds[0]) for x in shingles), np.uint64, len(shingles))
+        yield np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+
+
+def fingerprint(text: str | None, width: int, seeds: tuple[int, ...] = (42,)) -> tuple[int, ...]:
+    """The number of words, then a signed 64-bit SimHash of the word shingles for each seed; no words: zeros."""
+    words = _words(text)
+    if not words:
+        return (0,) * (1 + len(seeds))
+    ones = np.zeros((len(seeds), 64), np.int64)
+    for hashes in shingle_hashes(words, width, seeds[0]):
         for lane, seed in enumerate(seeds):
             # Further lanes mix the first hash with their seed; they need no other pass over the text.
             mixed = hashes if lane == 0 else _mixed(hashes, seed)
             ones[lane] += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * ones > len(words) - size + 1, axis=1, bitorder="little")
+    bits = np.packbits(2 * ones > len(words) - min(width, len(words)) + 1, axis=1, bitorder="little")
     return (len(words), *bits.view(np.int64)[:, 0].tolist())
 
 
@@ -83,6 +94,11 @@ def fingerprints(df: DataFrame, text_col: str, width: int, seeds: tuple[int, ...
     return map_texts(df, run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{n} bigint" for n in names)]))
 
 
+def node_of(lanes: list[str]) -> Column:
+    """The node of a fingerprint: itself, or a hash of its lanes."""
+    return F.col(lanes[0]) if len(lanes) == 1 else F.xxhash64(*lanes)
+
+
 def _neighbours(blocks: int, radius: int) -> list[list[tuple[int, int]]]:
     """Changes of up to ``radius`` counts in sum, as lists of (part, change), each with its first change positive."""
     out = []
@@ -137,11 +153,12 @@ def _meets_itself(tile: int, cuts: int) -> bool:
 
 
 class _Forest:
-    """Union-find over fingerprints; keeps the edges that joined two trees."""
+    """Union-find over fingerprints; keeps the edges that joined two trees, and doubtful pairs of different trees."""
 
     def __init__(self) -> None:
         self.up: dict[int, int] = {}
         self.edges: list[tuple[int, int]] = []
+        self.doubts: list[np.ndarray] = []
 
     def find(self, x: int) -> int:
         up = self.up
@@ -156,28 +173,45 @@ class _Forest:
             self.up[max(ra, rb)] = min(ra, rb)
             self.edges.append((a, b))
 
+    def of_two_trees(self, pairs: np.ndarray) -> np.ndarray:
+        nodes, at = np.unique(pairs, return_inverse=True)
+        roots = np.array([self.find(x) for x in nodes.tolist()], np.int64)[at.reshape(pairs.shape)]
+        return pairs[roots[:, 0] != roots[:, 1]]
+
+    def open_doubts(self) -> np.ndarray:
+        """The doubtful pairs whose ends no close links connect, smaller node first."""
+        return self.of_two_trees(np.unique(np.sort(np.concatenate(self.doubts), axis=1), axis=0)) if self.doubts else np.empty((0, 2), np.int64)
+
 
-def _meet(own: np.ndarray, others: np.ndarray, radius: int, forest: _Forest, step: int = 512) -> None:
-    """Link own and other rows (a node id, then the lanes). Of a block's links, those between each other
-    row and its first match and those between the matches of one row are enough."""
+def _meet(own: np.ndarray, others: np.ndarray, radius: int, close: int, forest: _Forest, step: int = 512) -> None:
+    """Link own and other rows (a node id, then the lanes) at most ``close`` bits apart; up to ``radius`` they are
+    doubtful. Of a block's links, those between each other row and its first match and those between the matches
+    of one row are enough."""
     for first, at in itertools.product(range(0, len(own), step), range(0, len(others), step)):
         block, other = own[first : first + step], others[at : at + step]
         left, right = other.view(np.uint64), block.view(np.uint64)  # bits of signed numbers would be those of their absolute value
         apart = np.bitwise_count(left[:, None, 1] ^ right[None, :, 1])
         for lane in range(2, own.shape[1]):
             apart = apart + np.bitwise_count(left[:, None, lane] ^ right[None, :, lane]).astype(np.uint16)
-        rows, cols = np.nonzero(apart <= radius)
-        if not len(rows):
+        near = apart <= radius
+        if not near.any():
             continue
+        rows, cols = np.nonzero(apart <= close)
         lead = cols[np.searchsorted(rows, rows)]
         star = np.unique(np.stack([lead, cols], axis=1)[lead != cols], axis=0)
-        new = np.concatenate(([True], rows[1:] != rows[:-1]))
+        new = np.diff(rows, prepend=-1) > 0
         for a, b in itertools.chain(block[star, 0].tolist(), zip(other[rows[new], 0].tolist(), block[cols[new], 0].tolist(), strict=True)):
             forest.link(a, b)
+        if close < radius:
+            rows, cols = np.nonzero(near & (apart > close))
+            if len(rows):
+                forest.doubts.append(forest.of_two_trees(np.stack([other[rows, 0], block[cols, 0]], axis=1)))
 
 
-def links(nodes: DataFrame, radius: int, lanes: int, blocks: int = 8, ratio: float | None = None, cuts: int = 8) -> DataFrame:
-    """Edges (a, b) between node ids that connect exactly the nodes within ``radius`` bits, by way of others.
+def links(nodes: DataFrame, radius: int, lanes: int, blocks: int = 8, ratio: float | None = None, cuts: int = 8, close: int | None = None) -> DataFrame:
+    """Edges (a, b) between node ids that connect exactly the nodes within ``radius`` bits, by way of others; all
+    have sure = true. With ``close`` these are edges of the nodes within ``close`` bits, and those with sure = false
+    are pairs further apart, up to ``radius``, but for pairs that a task's sure edges connect.
 
     ``nodes`` has columns node, words, f0, f1, ... (words: of the text). Without ``ratio`` tiles are by
     population counts (one lane), with it by length: then texts whose numbers of words
@@ -215,26 +249,64 @@ def links(nodes: DataFrame, radius: int, lanes: int, blocks: int = 8, ratio: flo
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing = np.empty((0, len(names)), np.int64)
+        limits = radius, radius if close is None else close
         tile, own, forest, found = None, nothing, _Forest(), []
+
+        def batch_of(pairs: np.ndarray, sure: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.full(len(pairs), sure))], ["a", "b", "sure"])
+
         for at, is_probe, rows in itertools.chain(runs(batches), [(None, False, nothing)]):
+            if at != tile or sum(map(len, forest.doubts)) > DOUBTS_AT_ONCE:
+                if forest.doubts:
+                    yield batch_of(forest.open_doubts(), False)
+                    forest.doubts = []
             if at != tile:
                 found += forest.edges
                 if len(found) > 50_000 or (at is None and found):
-                    a, b = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    yield batch_of(np.array(found, np.int64), True)
                     found = []
                 tile, own, forest = at, nothing, _Forest()
             if len(own) and (is_probe or ratio is None or _meets_itself(tile, cuts)):
-                _meet(own, rows, radius, forest)
+                _meet(own, rows, *limits, forest)
             if not is_probe and len(rows):
                 if ratio is None or _meets_itself(tile, cuts):
-                    _meet(rows, rows, radius, forest)
+                    _meet(rows, rows, *limits, forest)
                 own = np.concatenate([own, rows])
 
     schema = ", ".join(f"{n} bigint" for n in ["key", *names])
     spread_out = nodes.mapInArrow(spread, schema)
     spread_out = spread_out.repartition(F.expr("shiftright(key, 1)")).sortWithinPartitions("key", "node")
-    return spread_out.mapInArrow(compare, "a bigint, b bigint").where("a <> b").distinct()
+    return spread_out.mapInArrow(compare, "a bigint, b bigint, sure boolean").where("a <> b").distinct()
+
+
+def alike(pairs: DataFrame, nodes: DataFrame, source: DataFrame, width: int, seeds: tuple[int, ...], similarity: float, filter_words: int = 1 << 18) -> DataFrame:
+    """The pairs (a, b) whose sets of word shingles have a Jaccard similarity of ``similarity`` or more.
+
+    ``nodes`` has node and least (the id of one of its texts), ``source`` has id and text. Sets are made for the texts
+    that a bit filter of bounded size over these ids lets pass; the node of each is computed again, so that a wrong
+    pass or an id that repeats does no harm.
+    """
+    names = [f"f{k}" for k in range(len(seeds))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                texts = batch.column(0).slice(at, 256).to_pylist()
+                made = np.array([fingerprint(t, width, seeds)[1:] for t in texts], np.int64)
+                sets = [np.unique(np.concatenate([*shingle_hashes(_words(t), width, seeds[0]), np.empty(0, np.uint64)])).view(np.int64) for t in texts]
+                yield pa.RecordBatch.from_arrays([*(pa.array(made[:, k]) for k in range(len(names))), pa.array(sets, pa.list_(pa.int64()))], [*names, "shingles"])
+
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    bits = bit_filter(nodes.join(ends, "node", "left_semi").select(F.xxhash64("least").alias("h")), filter_words)
+    texts = passing(source.select("id", "text"), F.xxhash64("id"), bits, filter_words).where("passed").select("text")
+    sets = map_texts(texts, run, ", ".join([*(f"{n} bigint" for n in names), "shingles array<bigint>"]))
+    sets = sets.select(node_of(names).alias("node"), "shingles").join(ends, "node", "left_semi")
+    sets = durable(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
+    both = pairs.select("a", "b")
+    for end in ("a", "b"):
+        both = both.join(sets.select(F.col("node").alias(end), F.col("shingles").alias(f"of_{end}")), end)
+    both = both.withColumn("shared", F.size(F.array_intersect("of_a", "of_b")))
+    return both.where(F.col("shared") >= similarity * (F.size("of_a") + F.size("of_b") - F.col("shared"))).select("a", "b")
 
 
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -266,9 +338,14 @@ def simhash_components(
     blocks: int = 8,
     ratio: float | None = None,
     carry: tuple[str, ...] = (),
+    close: int | None = None,
+    similarity: float | None = None,
 ) -> DataFrame:
     """One row per row of ``df``: id, carried columns, fingerprint (16 hex digits a lane), component_id.
 
+    Fingerprints at most ``radius`` bits apart are linked. With ``similarity`` that holds up to ``close`` bits; further
+    apart they are linked if their sets of shingles have that Jaccard similarity.
+
     Null or empty texts have fingerprint zero and are linked like any other. Rows with
     equal fingerprints are one node, however many they are, so a group of copies costs
     one. component_id is the smallest id in the component; null ids are ignored in it
@@ -277,10 +354,13 @@ def simhash_components(
     """
     lanes = [f"f{k}" for k in range(len(seeds))]
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)])
-    node = F.col("f0") if len(seeds) == 1 else F.xxhash64(*lanes)
-    marked = durable(fingerprints(source, "text", width, seeds).withColumn("node", node))
+    marked = durable(fingerprints(source, "text", width, seeds).withColumn("node", node_of(lanes)))
     nodes = durable(marked.groupBy("node").agg(F.min("id").alias("least"), F.min("words").alias("words"), *(F.first(f).alias(f) for f in lanes)))
-    found = components(links(nodes, radius, len(seeds), blocks, ratio))
+    edges = links(nodes, radius, len(seeds), blocks, ratio, close=close)
+    if similarity is not None:
+        edges = durable(edges)
+        edges = edges.where("sure").select("a", "b").union(alike(edges.where("not sure"), nodes, source, width, seeds, similarity))
+    found = components(edges)
     rooted = durable(nodes.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
     grouped = durable(rooted.groupBy("root").agg(F.min("least").alias("component")))
     labelled = durable(rooted.join(grouped, "root").select("node", "component"))
@@ -293,19 +373,19 @@ def simhash_components(
     )
 
 
-def keep_one_of_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, slack: float = 1.0) -> DataFrame:
+def keep_one_of_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, slack: float = 2.5, sure: float = 2.0) -> DataFrame:
     """``df`` without all but one row of each group of near copies, columns unchanged.
 
-    Near copies: the similarity of the 5-word shingles, read off the angle between
-    fingerprints of 256 bits, is ``similarity`` or more. ``slack`` widens the radius by
-    that many standard deviations of the estimate, so that pairs at the threshold are
-    found more often than missed. The row with the smallest id stays; of rows that
-    repeat that id too, one. Null ids come last. Empty texts are copies of each other.
+    Near copies: sets of 5-word shingles with a Jaccard similarity of ``similarity`` or more. It is estimated by the
+    angle between fingerprints of 256 bits: pairs more than ``slack`` standard deviations of the estimate beyond the
+    angle at ``similarity`` are none, pairs ``sure`` deviations or more within it are taken as copies, and the sets
+    themselves decide on those between. The row with the smallest id stays; of rows that repeat that id too, one.
+    Null ids come last. Empty texts are copies of each other.
     """
     lanes = (42, 43, 44, 45)
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    radius = int(64 * len(lanes) * share + slack * np.sqrt(64 * len(lanes) * share * (1 - share)))
-    found = simhash_components(df, id_col, text_col, width, radius, lanes, ratio=similarity * 0.9)
+    mean, deviation = 64 * len(lanes) * share, float(np.sqrt(64 * len(lanes) * share * (1 - share)))
+    found = simhash_components(df, id_col, text_col, width, int(mean + slack * deviation), lanes, ratio=similarity * 0.9, close=int(mean - sure * deviation), similarity=similarity)
     kept = durable(found.select(F.col("component_id").alias("kept_id")).distinct())
     staying = df.join(kept, F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
     row = F.row_number().over(Window.partitionBy(id_col).orderBy(id_col))

@@ -11,6 +11,11 @@ from tests.llm.test_simhash import roots
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def shingles(text):
+    w = text.encode().lower().split()
+    return {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
 def brute(docs, items):
     """The stages over plain rows (doc_id, text)."""
     docs = [(d, t or "") for d, t in docs if any(c.isalpha() for c in t or "")]
@@ -21,10 +26,12 @@ def brute(docs, items):
             found[k] = found.get(k, 0) + 1
     docs = [(d, "\n".join(x for x, k in zip(t.split("\n"), keys[d], strict=True) if not k or found[k] < 10)) for d, t in docs]
     prints = {d: fingerprint(t, 5, (42, 43, 44, 45)) for d, t in docs}
+    sets = {d: shingles(t) for d, t in docs}
 
     def near(a, b):
         x, y = prints[a], prints[b]
-        return sum(((p ^ q) % 2**64).bit_count() for p, q in zip(x[1:], y[1:], strict=True)) <= 44
+        apart = sum(((p ^ q) % 2**64).bit_count() for p, q in zip(x[1:], y[1:], strict=True))
+        return apart <= 27 or apart <= 53 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
 
     up = roots(sorted(prints), near)
     docs = [(d, t) for d, t in docs if up[d] == d]
