@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,20 +21,6 @@ def lower_ascii(text: Column) -> Column:
     )
 
 
-def bit_filter(keys: DataFrame, words: int) -> DataFrame:
-    """At most ``words`` rows of 64 bits; ``keys`` has the hashes in column h."""
-    return keys.groupBy(F.expr(f"pmod(shiftrightunsigned(h, 6), {words}L)").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")
-    )
-
-
-def passing(df: DataFrame, hashed: Column, bits: DataFrame, words: int) -> DataFrame:
-    """``df`` with a boolean ``passed``: whether its hash may be among those of the filter."""
-    df = df.withColumn("h", hashed).withColumn("word", F.expr(f"pmod(shiftrightunsigned(h, 6), {words}L)"))
-    df = df.join(F.broadcast(bits), "word", "left")
-    return df.withColumn("passed", F.expr("coalesce(shiftrightunsigned(bits, cast(h & 63 as int)) & 1L, 0L) = 1L")).drop("word", "bits", "h")
-
-
 ROWS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

@@ -110,27 +110,6 @@ def test_near_copies_go_and_others_stay(spark):
     assert got == want
 
 
-def test_stage_matches_jaccard(spark):
-    """Copies with more and more words changed, so that similarities lie on both sides of 0.8, and a large group."""
-    rng = random.Random(8)
-    vocabulary = [f"w{k}" for k in range(4000)]
-    texts = []
-    for group in range(41):
-        text = rng.choices(vocabulary, k=rng.randint(150, 300))
-        for copy in range(6 if group else 150):
-            changed = list(text)
-            for _ in range(copy if group else 2):
-                changed[rng.randrange(len(text))] = f"new{rng.randrange(10**6)}"
-            texts.append(" ".join(changed))
-    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
-    want = roots(list(range(len(texts))), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
-    rows = [(None if k == 3 else k, t) for k, t in enumerate(texts)] + [(0, texts[7]), (500, None)]
-    got = {r.doc_id for r in keep_one_of_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    kept = {r for k, r in want.items() if r == k}
-    assert len(got ^ (kept | {500})) <= 2  # what is closer than the sure distance isn't compared
-    assert 60 < len(kept) < 200
-
-
 def test_query_matches_brute_force(spark, sf_dir):
     docs = {r.doc_id: slow_fingerprint(r.text or "", 3) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     want = roots(sorted(docs), lambda a, b: (docs[a] ^ docs[b]).bit_count() <= 2)
