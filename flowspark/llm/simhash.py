@@ -266,6 +266,7 @@ def simhash_components(
     blocks: int = 8,
     ratio: float | None = None,
     carry: tuple[str, ...] = (),
+    cuts: int = 8,
 ) -> DataFrame:
     """One row per row of ``df``: id, carried columns, fingerprint (16 hex digits a lane), component_id.
 
@@ -280,7 +281,7 @@ def simhash_components(
     node = F.col("f0") if len(seeds) == 1 else F.xxhash64(*lanes)
     marked = durable(fingerprints(source, "text", width, seeds).withColumn("node", node))
     nodes = durable(marked.groupBy("node").agg(F.min("id").alias("least"), F.min("words").alias("words"), *(F.first(f).alias(f) for f in lanes)))
-    found = components(links(nodes, radius, len(seeds), blocks, ratio))
+    found = components(links(nodes, radius, len(seeds), blocks, ratio, cuts))
     rooted = durable(nodes.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
     grouped = durable(rooted.groupBy("root").agg(F.min("least").alias("component")))
     labelled = durable(rooted.join(grouped, "root").select("node", "component"))
@@ -297,15 +298,15 @@ def keep_one_of_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str
     """``df`` without all but one row of each group of near copies, columns unchanged.
 
     Near copies: the similarity of the 5-word shingles, read off the angle between
-    fingerprints of 256 bits, is ``similarity`` or more. ``slack`` widens the radius by
+    fingerprints of 512 bits, is ``similarity`` or more. ``slack`` widens the radius by
     that many standard deviations of the estimate, so that pairs at the threshold are
     found more often than missed. The row with the smallest id stays; of rows that
     repeat that id too, one. Null ids come last. Empty texts are copies of each other.
     """
-    lanes = (42, 43, 44, 45)
+    lanes = tuple(range(42, 50))
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     radius = int(64 * len(lanes) * share + slack * np.sqrt(64 * len(lanes) * share * (1 - share)))
-    found = simhash_components(df, id_col, text_col, width, radius, lanes, ratio=similarity * 0.9)
+    found = simhash_components(df, id_col, text_col, width, radius, lanes, ratio=similarity * 0.9, cuts=4)
     kept = durable(found.select(F.col("component_id").alias("kept_id")).distinct())
     staying = df.join(kept, F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
     row = F.row_number().over(Window.partitionBy(id_col).orderBy(id_col))

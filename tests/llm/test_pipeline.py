@@ -20,11 +20,11 @@ def brute(docs, items):
         for k in set(ks):
             found[k] = found.get(k, 0) + 1
     docs = [(d, "\n".join(x for x, k in zip(t.split("\n"), keys[d], strict=True) if not k or found[k] < 10)) for d, t in docs]
-    prints = {d: fingerprint(t, 5, (42, 43, 44, 45)) for d, t in docs}
+    prints = {d: fingerprint(t, 5, tuple(range(42, 50))) for d, t in docs}
 
     def near(a, b):
         x, y = prints[a], prints[b]
-        return sum(((p ^ q) % 2**64).bit_count() for p, q in zip(x[1:], y[1:], strict=True)) <= 44
+        return sum(((p ^ q) % 2**64).bit_count() for p, q in zip(x[1:], y[1:], strict=True)) <= 85
 
     up = roots(sorted(prints), near)
     docs = [(d, t) for d, t in docs if up[d] == d]
