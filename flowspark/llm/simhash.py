@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.llm.common import map_texts
@@ -278,11 +278,7 @@ def simhash_components(
     """
     lanes = [f"f{k}" for k in range(len(seeds))]
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)])
-    node = F.col("f0") if len(seeds) == 1 else F.xxhash64(*lanes)
-    marked = durable(fingerprints(source, "text", width, seeds).withColumn("node", node))
-    nodes = durable(marked.groupBy("node").agg(F.min("id").alias("least"), F.min("words").alias("words"), *(F.first(f).alias(f) for f in lanes)))
-    found = components(links(nodes, radius, len(seeds), blocks, ratio, cuts))
-    rooted = durable(nodes.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
+    marked, rooted = _rooted(source, F.col("id"), width, radius, seeds, blocks, ratio, cuts)
     grouped = durable(rooted.groupBy("root").agg(F.min("least").alias("component")))
     labelled = durable(rooted.join(grouped, "root").select("node", "component"))
     out = marked.join(labelled, "node")
@@ -294,20 +290,44 @@ def simhash_components(
     )
 
 
+def _rooted(source: DataFrame, order: Column, width: int, radius: int, seeds: tuple[int, ...], blocks: int, ratio: float | None, cuts: int) -> tuple[DataFrame, DataFrame]:
+    """``source`` with fingerprints and node in place of its text, and (node, least, root) with each node's least ``order``."""
+    lanes = [f"f{k}" for k in range(len(seeds))]
+    node = F.col("f0") if len(seeds) == 1 else F.xxhash64(*lanes)
+    marked = durable(fingerprints(source, "text", width, seeds).withColumn("node", node))
+    nodes = durable(marked.groupBy("node").agg(F.min(order).alias("least"), F.min("words").alias("words"), *(F.first(f).alias(f) for f in lanes)))
+    found = components(links(nodes, radius, len(seeds), blocks, ratio, cuts))
+    return marked, durable(nodes.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
+
+
 def keep_one_of_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, slack: float = 1.0) -> DataFrame:
     """``df`` without all but one row of each group of near copies, columns unchanged.
 
     Near copies: the similarity of the 5-word shingles, read off the angle between
     fingerprints of 512 bits, is ``similarity`` or more. ``slack`` widens the radius by
     that many standard deviations of the estimate, so that pairs at the threshold are
-    found more often than missed. The row with the smallest id stays; of rows that
-    repeat that id too, one. Null ids come last. Empty texts are copies of each other.
+    found more often than missed. The row with the smallest id stays, null ids last; of
+    rows with that id, the one with the smallest hash of its text; of rows that repeat
+    id and text, one. A row stays or goes by its own text: others with its id (or without
+    one, too) don't count. Empty texts are copies of each other.
     """
     lanes = tuple(range(42, 50))
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     radius = int(64 * len(lanes) * share + slack * np.sqrt(64 * len(lanes) * share * (1 - share)))
-    found = simhash_components(df, id_col, text_col, width, radius, lanes, ratio=similarity * 0.9, cuts=4)
-    kept = durable(found.select(F.col("component_id").alias("kept_id")).distinct())
-    staying = df.join(kept, F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
-    row = F.row_number().over(Window.partitionBy(id_col).orderBy(id_col))
-    return staying.withColumn("one_of_id", row).where("one_of_id = 1").select(*df.columns)
+    hashes = lambda: (F.xxhash64(text_col), F.hash(text_col))
+    source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(h.alias(n) for h, n in zip(hashes(), "hg", strict=True)))
+    marked, rooted = _rooted(source, F.struct(F.isnull("id").alias("none"), "id", "h", "g"), width, radius, lanes, 8, similarity * 0.9, 4)
+    kept = durable(rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.id", "least.h", "least.g"))
+    # Rows that repeat id and text can't be told apart; all others are chosen by the join alone.
+    repeated = durable(marked.groupBy("id", "h", "g").count().where("count > 1").drop("count"))
+    same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["h"] == b["h"]) & (a["g"] == b["g"])
+    h, g = hashes()
+
+    def among(rows: DataFrame) -> DataFrame:
+        return df.join(rows, df[id_col].eqNullSafe(rows["id"]) & (h == rows["h"]) & (g == rows["g"]), "left_semi")
+
+    if repeated.isEmpty():
+        return among(kept)
+    several = among(durable(kept.join(repeated, same(kept, repeated), "left_semi")))
+    several = several.withColumn("h of text", h).withColumn("g of text", g).dropDuplicates([id_col, "h of text", "g of text"])
+    return among(durable(kept.join(repeated, same(kept, repeated), "left_anti"))).unionByName(several.select(*df.columns))

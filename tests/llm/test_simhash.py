@@ -110,6 +110,15 @@ def test_near_copies_go_and_others_stay(spark):
     assert got == want
 
 
+def test_rows_with_one_id_or_none_stay_by_their_texts(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices([f"w{k}" for k in range(4000)], k=200)) for _ in range(5)]
+    near = texts[0].replace(texts[0].split()[100], "changed", 1)
+    rows = [(None, texts[1]), (None, texts[2]), (None, texts[2]), (1, texts[0]), (7, texts[3]), (7, near), (7, near), (9, texts[4]), (9, texts[4]), (None, texts[4])]
+    got = [tuple(r) for r in keep_one_of_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(None, texts[1]), (None, texts[2]), (1, texts[0]), (7, texts[3]), (9, texts[4])], key=str)
+
+
 def test_query_matches_brute_force(spark, sf_dir):
     docs = {r.doc_id: slow_fingerprint(r.text or "", 3) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     want = roots(sorted(docs), lambda a, b: (docs[a] ^ docs[b]).bit_count() <= 2)
