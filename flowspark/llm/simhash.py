@@ -10,9 +10,10 @@ pairs, so the result is exact. Two layouts:
   ``radius`` bits apart differ by at most ``radius`` in sum; all other tile pairs are
   skipped. With 8 parts and radius 2 a fingerprint goes to at most 73 tiles, 16 bytes
   each, and meets some 1e-4 of the corpus; more parts make smaller tiles.
-* For a wide radius, population counts exclude little. Tiles are then bands of text
-  length, whose pairs are skipped when the lengths alone rule the similarity out, cut
-  into blocks of fingerprints that meet block by block (no task gets a whole band).
+* For a wide radius, population counts exclude little. Tiles are then bands of the number
+  of distinct shingles, whose pairs are skipped when the numbers alone rule the similarity
+  of the sets out, cut into blocks of fingerprints that meet block by block (no task gets
+  a whole band).
 
 A task emits a spanning forest of the links it finds, at most one edge for each row it
 read rather than all pairs. Components come from the edges by large-star and small-star
@@ -36,14 +37,16 @@ from flowspark.session import durable
 WORDS_AT_ONCE = 1 << 16
 
 
-def fingerprint(text: str | None, width: int, seeds: tuple[int, ...] = (42,)) -> tuple[int, ...]:
-    """The number of words, then a signed 64-bit SimHash of the word shingles for each seed; no words: zeros."""
+def fingerprint(text: str | None, width: int, seeds: tuple[int, ...] = (42,), distinct: bool = False) -> tuple[int, ...]:
+    """The number of words, then a signed 64-bit SimHash of the word shingles for each seed; no words: zeros. With
+    ``distinct`` the number is that of distinct shingles; the SimHash counts every occurrence all the same."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return (0,) * (1 + len(seeds))
     size = min(width, len(words))
     ones = np.zeros((len(seeds), 64), np.int64)
     digest = xxhash.xxh64_intdigest
+    found = []
     for at in range(0, len(words) - size + 1, WORDS_AT_ONCE):
         part = words[at : at + WORDS_AT_ONCE + size - 1]
         joined = b" ".join(part)
@@ -51,12 +54,15 @@ def fingerprint(text: str | None, width: int, seeds: tuple[int, ...] = (42,)) ->
         starts = np.concatenate(([0], ends[:-1] + 1))[: len(part) - size + 1].tolist()
         shingles = [joined[a:b] for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)]
         hashes = np.fromiter((digest(x, seeds[0]) for x in shingles), np.uint64, len(shingles))
+        if distinct:
+            found.append(hashes)
         for lane, seed in enumerate(seeds):
             # Further lanes mix the first hash with their seed; they need no other pass over the text.
             mixed = hashes if lane == 0 else _mixed(hashes, seed)
             ones[lane] += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     bits = np.packbits(2 * ones > len(words) - size + 1, axis=1, bitorder="little")
-    return (len(words), *bits.view(np.int64)[:, 0].tolist())
+    number = len(np.unique(np.concatenate(found))) if distinct else len(words)
+    return (number, *bits.view(np.int64)[:, 0].tolist())
 
 
 def _mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
@@ -67,14 +73,14 @@ def _mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(df: DataFrame, text_col: str, width: int, seeds: tuple[int, ...] = (42,)) -> DataFrame:
-    """``df`` with its text replaced by the columns words and f0, f1, ... (a lane for each seed)."""
+def fingerprints(df: DataFrame, text_col: str, width: int, seeds: tuple[int, ...] = (42,), distinct: bool = False) -> DataFrame:
+    """``df`` with its text replaced by the columns words (with ``distinct``: distinct shingles) and f0, f1, ... (a lane for each seed)."""
     names = ["words", *(f"f{k}" for k in range(len(seeds)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            values = [fingerprint(t.as_py(), width, seeds) for t in batch.column(at)]
+            values = [fingerprint(t.as_py(), width, seeds, distinct) for t in batch.column(at)]
             made = np.array(values, np.int64).reshape(-1, len(names))
             rest = [k for k in range(batch.num_columns) if k != at]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in rest), *(pa.array(made[:, k]) for k in range(len(names)))], [*(batch.schema.names[k] for k in rest), *names])
@@ -177,18 +183,20 @@ def _meet(own: np.ndarray, others: np.ndarray, radius: int, forest: _Forest, ste
 
 
 def links(nodes: DataFrame, radius: int, lanes: int, blocks: int = 8, ratio: float | None = None, cuts: int = 8) -> DataFrame:
-    """Edges (a, b) between node ids that connect exactly the nodes within ``radius`` bits, by way of others.
+    """Edges (a, b) between node ids that connect the nodes within ``radius`` bits, by way of others: exactly those
+    without ``ratio``; with it, all whose numbers are within the ratio, and none beyond the radius.
 
-    ``nodes`` has columns node, words, f0, f1, ... (words: of the text). Without ``ratio`` tiles are by
-    population counts (one lane), with it by length: then texts whose numbers of words
-    differ by more than that ratio need not be linked, and each band is cut into
+    ``nodes`` has columns node, words, f0, f1, ... (words: a number that bounds the similarity, such as
+    that of distinct shingles). Without ``ratio`` tiles are by population counts (one
+    lane), with it by that number: then texts whose numbers differ by more than that
+    ratio need not be linked, and each band is cut into
     ``cuts`` blocks: a row goes to some 3 * cuts of them at any size of the corpus, and
     more of them spread the comparisons over more tasks. A tile's own rows are held in
     memory; copies are one node, and near copies of one text can fill a tile with no
     more than the patterns that exist around it.
     """
     names = ["node", *(f"f{k}" for k in range(lanes))]
-    # Bands of lengths within the ratio; texts within it are in one band or in two that follow each other.
+    # Bands of numbers within the ratio; texts within it are in one band or in two that follow each other.
     band = F.lit(0) if ratio is None else F.floor(F.log(F.greatest("words", F.lit(1))) / F.lit(-float(np.log(ratio))))
     nodes = nodes.select(band.cast("long").alias("band"), *names)
     # Some 100 bands at most.
@@ -271,8 +279,7 @@ def simhash_components(
     """One row per row of ``df``: id, carried columns, fingerprint (16 hex digits a lane), component_id.
 
     Null or empty texts have fingerprint zero and are linked like any other. Rows with
-    equal fingerprints are one node, however many they are, so a group of copies costs
-    one. component_id is the smallest id in the component; null ids are ignored in it
+    equal fingerprints (with ``ratio``: and equal numbers of distinct shingles) are one node, however many they are, so a group of copies costs one. component_id is the smallest id in the component; null ids are ignored in it
     unless there is no other. An empty table gives an empty result; other columns are
     not read.
     """
@@ -293,8 +300,11 @@ def simhash_components(
 def _rooted(source: DataFrame, order: Column, width: int, radius: int, seeds: tuple[int, ...], blocks: int, ratio: float | None, cuts: int) -> tuple[DataFrame, DataFrame]:
     """``source`` with fingerprints and node in place of its text, and (node, least, root) with each node's least ``order``."""
     lanes = [f"f{k}" for k in range(len(seeds))]
-    node = F.col("f0") if len(seeds) == 1 else F.xxhash64(*lanes)
-    marked = durable(fingerprints(source, "text", width, seeds).withColumn("node", node))
+    if ratio is not None:
+        node = F.xxhash64("words", *lanes)  # texts of one fingerprint may lie in several bands
+    else:
+        node = F.col("f0") if len(seeds) == 1 else F.xxhash64(*lanes)
+    marked = durable(fingerprints(source, "text", width, seeds, ratio is not None).withColumn("node", node))
     nodes = durable(marked.groupBy("node").agg(F.min(order).alias("least"), F.min("words").alias("words"), *(F.first(f).alias(f) for f in lanes)))
     found = components(links(nodes, radius, len(seeds), blocks, ratio, cuts))
     return marked, durable(nodes.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))

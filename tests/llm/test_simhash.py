@@ -110,6 +110,18 @@ def test_near_copies_go_and_others_stay(spark):
     assert got == want
 
 
+def test_repeated_passages_are_compared(spark):
+    rng = random.Random(9)
+    for many in (40, 60, 100, 300):  # whatever the edges of bands
+        text = " ".join(rng.choices([f"w{k}" for k in range(4000)], k=many))
+        df = spark.createDataFrame([(1, text), (2, " ".join([text] * 2)), (3, " ".join([text] * 5))], "doc_id long, text string")
+        assert [r.doc_id for r in keep_one_of_near_copies(df).collect()] == [1]
+    words = text.split()
+    shingles = {" ".join(words[k : k + 5]) for k in range(296)} | {" ".join((words + words)[k : k + 5]) for k in range(296, 300)}
+    assert fingerprint(text + " " + text, 5, (42,), distinct=True)[0] == len(shingles) == 300
+    assert fingerprint(" ".join(["a b c d e"] * 30_000), 5, (42,), distinct=True)[0] == 5
+
+
 def test_rows_with_one_id_or_none_stay_by_their_texts(spark):
     rng = random.Random(8)
     texts = [" ".join(rng.choices([f"w{k}" for k in range(4000)], k=200)) for _ in range(5)]
