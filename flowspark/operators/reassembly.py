@@ -1,12 +1,16 @@
 """TCP streams put together from packets, in chunks ("cooked" packets), and taken apart again.
 
 Packets are dealt by connection and read in order of time; a task holds, for the
-connection at hand, one unfinished chunk a side and segments that arrived early, both
-bounded. A chunk's row tells the packets that went into it.
+connection at hand, one unfinished chunk a side and segments that arrived early: the
+first MiB of those in memory, the bytes of the rest in a temporary file of the task. What
+is missing may arrive at any time until the connection ends. A chunk's row tells the
+packets that went into it.
 """
 
 from __future__ import annotations
 
+import heapq
+import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,45 +29,76 @@ NAMES = [part.split()[0] for part in COOKED.split(", ")]
 HEADERS = 14 + 20 + 20
 
 
+class Early:
+    """Segments that arrived early, by position; of the same position the longest comes first, then the oldest."""
+
+    def __init__(self) -> None:
+        self.heap: list[tuple[int, int, int, int, bytes | None, int]] = []  # position, -length, arrival, packet, data or None, place in the file
+        self.arrived, self.held, self.end, self.file = 0, 0, 0, None
+
+    def __len__(self) -> int:
+        return len(self.heap)
+
+    def first(self) -> int:
+        return self.heap[0][0]
+
+    def push(self, at: int, data: bytes, number: int) -> None:
+        self.arrived += 1
+        size, place, kept = len(data), 0, data
+        if self.held + size <= MOST_EARLY_BYTES:
+            self.held += size
+        else:
+            self.file = self.file or tempfile.TemporaryFile()
+            self.file.seek(self.end)
+            self.file.write(data)
+            place, kept = self.end, None
+            self.end += size
+        heapq.heappush(self.heap, (at, -size, self.arrived, number, kept, place))
+
+    def pop(self) -> tuple[int, bytes, int]:
+        at, size, _, number, data, place = heapq.heappop(self.heap)
+        if data is None:
+            self.file.seek(place)
+            data = self.file.read(-size)
+        else:
+            self.held += size
+        if not self.heap and self.file:
+            self.file.close()
+            self.file, self.end = None, 0
+        return at, data, number
+
+
 class Side:
-    """One direction of a connection."""
+    """One direction of a connection. Positions are sequence numbers without their wrap at 2**32."""
 
     def __init__(self, ends: tuple, size: int, once: bool) -> None:
         self.ends, self.size, self.once = ends, size, once
         self.next: int | None = None
-        self.early: dict[int, tuple[bytes, int]] = {}
+        self.top = 0
+        self.early = Early()
         self.data, self.packets, self.chunks = bytearray(), [], 0
         self.last = (0, 0)
 
     def take(self, seq: int, data: bytes, flags: int, number: int, us: int) -> Iterator[tuple]:
         self.last = (number, us)
+        at = self.top + (seq - self.top + 2**31) % 2**32 - 2**31
         if flags & SYN:
-            self.next = (seq + 1) % 2**32
+            self.next = self.top = at + 1
         elif self.next is None:
-            self.next = seq
+            self.next = self.top = at
         if data and not flags & SYN:
-            old = self.early.get(seq)
-            if old is None or len(old[0]) < len(data):
-                self.early[seq] = (data, number)
-            if sum(len(d) for d, _ in self.early.values()) > MOST_EARLY_BYTES:
-                self.next = min(self.early, key=self._ahead)  # what is missing won't come
+            self.top = max(self.top, at)
+            self.early.push(at, data, number)
             yield from self._drain()
         if flags & (FIN | RST):
             yield from self.finish()
 
-    def _ahead(self, seq: int) -> int:
-        return (seq - self.next + 2**31) % 2**32 - 2**31
-
     def _drain(self) -> Iterator[tuple]:
-        while self.early:
-            seq = min(self.early, key=self._ahead)
-            ahead = self._ahead(seq)
-            if ahead > 0:
-                return
-            data, number = self.early.pop(seq)
-            data = data[-ahead:]
+        while self.early and self.early.first() <= self.next:
+            at, data, number = self.early.pop()
+            data = data[self.next - at :]
             if data:
-                self.next = (self.next + len(data)) % 2**32
+                self.next += len(data)
                 self.data += data
                 self.packets.append(number)
             while len(self.data) >= self.size:
@@ -80,7 +115,7 @@ class Side:
     def finish(self) -> Iterator[tuple]:
         """The rest, gaps left out."""
         while self.early:
-            self.next = min(self.early, key=self._ahead)
+            self.next = self.early.first()
             yield from self._drain()
         if self.data:
             yield from self._chunk(len(self.data))

@@ -216,3 +216,16 @@ def test_anonymised_packets_are_written(spark, tmp_path):
         head = bytes(r.pkt)[14:34]
         assert checksum(head) == 0
     assert code(lambda: api._anonymize(flow.packets, "HTTP,NOTHING,ZERO")) == 7000
+
+
+def test_missing_segment_may_come_after_much_data():
+    many, size = 3000, 1460
+    for first in (1000, 2**32 - 5000):
+        sent = [((first + 1 + k * size) % 2**32, bytes([k % 251]) * size, k) for k in range(many)]
+        side = reassembly.Side(("a", "b", 1, 2), 32000, False)
+        rows = list(side.take(first, b"", reassembly.SYN, -1, 0))
+        for seq, data, k in [*sent[1:], sent[5], sent[0]]:  # 4 MB early, one segment twice, then the missing one
+            rows += side.take(seq, data, 0, k, k)
+        rows += side.finish()
+        assert b"".join(r[9] for r in rows) == b"".join(d for _, d, _ in sent)
+        assert {n for r in rows for n in r[10]} == set(range(many))
