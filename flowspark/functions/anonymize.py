@@ -119,10 +119,43 @@ def on_bytes(c: Column, width: int | None, change) -> Column:
 
 
 def prefix_preserving(c: Column, key: bytes) -> Column:
-    """Crypto-PAn (Xu et al., 2002): two IPv4 addresses that share k bits share k bits afterwards. The first half of the
-    32-byte key is the cipher's, the second gives the padding. Apply it to distinct addresses and join where they repeat."""
+    """Crypto-PAn (Xu et al., 2002): two addresses (both IPv4 or both IPv6) that share k bits share k bits afterwards. The
+    first half of the 32-byte key is the cipher's, the second gives the padding. IPv6 comes out as eight groups of four
+    digits. Apply it to distinct addresses and join where they repeat."""
     if len(key) != 32:
         raise FlowError(Err.INVALID_ARGUMENT_1, "the key has 32 bytes")
+    six = c.contains(":")
+    return F.when(six, _prefix_preserving_6(F.when(six, c), key)).otherwise(_prefix_preserving_4(F.when(~six, c), key))
+
+
+def ipv6_digits(c: Column) -> Column:
+    """The 32 hex digits of an IPv6 address, with or without ``::`` or an IPv4 address at its end."""
+    four = F.lpad(F.lower(F.hex(ipv4_number(F.when(c.contains("."), F.substring_index(c, ":", -1))))), 8, "0")
+    plain = F.when(c.contains("."), F.concat(F.regexp_replace(c, "[^:]*$", ""), F.substring(four, 1, 4), F.lit(":"), F.substring(four, 5, 4))).otherwise(F.lower(c))
+    groups = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
+    left, right = groups(F.substring_index(plain, "::", 1)), F.when(plain.contains("::"), groups(F.substring_index(plain, "::", -1))).otherwise(F.array().cast("array<string>"))
+    whole = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(left) - F.size(right))), right)
+    return F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), "")
+
+
+def _prefix_preserving_6(c: Column, key: bytes) -> Column:
+    """The construction over 128 bits, as text of the digits 0 and 1."""
+    half = lambda x, at, a, b: F.lpad(F.conv(F.substring(x, at, 64 if a == 2 else 16), a, b), 64 if b == 2 else 16, "0")
+    to_bits = lambda x: F.concat(half(x, 1, 16, 2), half(x, 17, 16, 2))
+    to_digits = lambda x: F.concat(half(x, 1, 2, 16), half(x, 65, 2, 16))
+    block = lambda x: F.substring(F.aes_encrypt(x, F.lit(key[:16]), F.lit("ECB")), 1, 16)
+    bits, pad = to_bits(ipv6_digits(c)), to_bits(F.hex(block(F.lit(key[16:]))))
+    first = lambda x: F.substring(to_bits(F.hex(block(F.unhex(to_digits(x))))), 1, 1)
+
+    def changed(at: Column) -> Column:
+        flip = first(F.concat(F.substring(bits, F.lit(1), at), F.substring(pad, at + 1, F.lit(128))))
+        return F.when(F.substring(bits, at + 1, F.lit(1)) == flip, "0").otherwise("1")
+
+    new = F.lower(to_digits(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(127)), changed), "")))
+    return F.when(c.isNotNull(), F.regexp_replace(new, "(.{4})(?=.)", "$1:"))
+
+
+def _prefix_preserving_4(c: Column, key: bytes) -> Column:
     cipher, number = F.lit(key[:16]), ipv4_number(c)
     # The first block of ECB with padding is the plain block cipher.
     block = lambda x: F.substring(F.aes_encrypt(x, cipher, F.lit("ECB")), 1, 16)

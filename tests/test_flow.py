@@ -218,6 +218,39 @@ def test_anonymised_packets_are_written(spark, tmp_path):
     assert code(lambda: api._anonymize(flow.packets, "HTTP,NOTHING,ZERO")) == 7000
 
 
+def test_prefix_preserving_takes_ipv6(spark):
+    import ipaddress
+
+    from flowspark.functions.anonymize import anonymize_ip
+
+    texts = ["2001:db8::1", "2001:db8::2", "2001:db8:0:1::", "2001:0db8:0000:0000:0000:0000:8000:0001", "fe80::1", "::", "::ffff:1.2.3.4", "FFFF:FFFF:FFFF:FFFF:FFFF:FFFF:FFFF:FFFF", "2001:db8:1:2:3:4:5:6"]
+    rows = [(t, "128.11.68.132") for t in texts] + [(None, "2001:db8::1"), ("10.0.0.1", None)]
+    key = bytes([21, 34, 23, 141, 51, 164, 207, 128, 19, 10, 91, 22, 73, 144, 125, 16, 216, 152, 143, 131, 121, 121, 101, 39, 98, 87, 76, 45, 42, 132, 34, 2])
+    df = spark.createDataFrame([(*r, *r) for r in rows], "src_ip string, dst_ip string, a string, b string")
+    got = anonymize_ip(df, key).collect()
+    assert len(got) == len(rows) and {r.dst_ip for r in got if r.b == "128.11.68.132"} == {"135.242.180.132"}
+    made = {r.a: r.src_ip for r in got} | {r.b: r.dst_ip for r in got}
+    number = lambda x: int(ipaddress.IPv6Address(x))
+    assert made[None] is None and all(len(made[t]) == 39 and number(made[t]) != number(t) for t in texts)
+    shared = lambda x, y: 128 - (number(x) ^ number(y)).bit_length()
+    assert all(shared(x, y) == shared(made[x], made[y]) for x in texts for y in texts)
+
+
+def test_prefix_preserving_of_ipv6_is_the_plain_construction(spark):
+    import ipaddress
+
+    from flowspark.functions.anonymize import prefix_preserving
+
+    key, address = bytes(range(32)), "2001:db8::ff00:42:8329"
+    number = int(ipaddress.IPv6Address(address))
+    encrypt = lambda blocks: [int.from_bytes(r[0][:16], "big") for r in spark.createDataFrame([(k, bytearray(b)) for k, b in enumerate(blocks)], "k int, b binary").orderBy("k").select(F.aes_encrypt("b", F.lit(key[:16]), F.lit("ECB"))).collect()]
+    (pad,) = encrypt([key[16:]])
+    heads = [((number >> (128 - i) << (128 - i)) | (pad & ((1 << (128 - i)) - 1))).to_bytes(16, "big") for i in range(128)]
+    want = number ^ sum((x >> 127) << (127 - i) for i, x in enumerate(encrypt(heads)))
+    got = spark.range(1).select(prefix_preserving(F.lit(address), key)).first()[0]
+    assert got == ipaddress.IPv6Address(want).exploded
+
+
 def test_missing_segment_may_come_after_much_data():
     many, size = 3000, 1460
     for first in (1000, 2**32 - 5000):
