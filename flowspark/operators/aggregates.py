@@ -33,13 +33,13 @@ def stats(df: DataFrame, value: Column, ticks: str = "0", by: list[str] | None =
         return df.groupBy(*by).agg(*_stats(value))
     if ticks == "1":
         first = df.groupBy(*by).agg(F.min("pkt_no").alias("first_"))
-        joined = df.join(F.broadcast(first), by) if by else df.crossJoin(F.broadcast(first))
+        joined = df.join(first, by) if by else df.crossJoin(F.broadcast(first))  # without keys one row
         return joined.where("pkt_no > first_").groupBy(*by).agg(*_stats(value))
     period = micros(ticks)
     if period <= 0:
         raise FlowError(Err.INVALID_ARGUMENT_3, "no period")
     origin = df.groupBy(*by).agg(F.min("us").alias("origin_"))
-    joined = df.join(F.broadcast(origin), by) if by else df.crossJoin(F.broadcast(origin))
+    joined = df.join(origin, by) if by else df.crossJoin(F.broadcast(origin))  # without keys one row
     sums = joined.groupBy(*by, F.floor((F.col("us") - F.col("origin_")) / period).alias("slot_")).agg(F.sum(value).cast("long").alias("v_"))
     return sums.groupBy(*by).agg(*_stats(F.col("v_")))
 

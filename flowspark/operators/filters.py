@@ -81,21 +81,28 @@ def sample_probabilistic(df: DataFrame, percent: int, seed: int = 42) -> DataFra
     return df.where(F.pmod(F.xxhash64(F.lit(seed), "pkt_no"), F.lit(100)) < percent)
 
 
-def _mix(a: Column, b: Column, c: Column) -> tuple[Column, Column, Column]:
-    """Three 32-bit words mixed reversibly (in the manner of Jenkins' lookup hash), on longs kept to 32 bits."""
+#: Fixed values of the mixing steps: bits shifted to the right, or to the left if below 0.
+SHIFTS = (13, -8, 13, 12, -16, 5, 3, -10, 15)
+#: Fixed start values of the words.
+GOLDEN, START = 0x9E3779B9, 6564987
+
+
+def flow_hash(df: DataFrame, name: str, src: Column, dst: Column, proto: Column, sport: Column, dport: Column) -> DataFrame:
+    """``df`` with a flow's hash below 1024 in column ``name``: all packets of a flow share it.
+
+    Three 32-bit words are mixed reversibly (in the manner of Jenkins' lookup hash), one projection a step: as a
+    single expression each step would hold the one before several times over.
+    """
     word = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))
-    for right, left, last in ((13, 8, 13), (12, 16, 5), (3, 10, 15)):
-        a = word(word(a - b - c).bitwiseXOR(F.shiftright(c, right)))
-        b = word(word(b - c - a).bitwiseXOR(F.shiftleft(a, left)))
-        c = word(word(c - a - b).bitwiseXOR(F.shiftright(b, last)))
-    return a, b, c
-
-
-def flow_hash(src: Column, dst: Column, proto: Column, sport: Column, dport: Column) -> Column:
-    """A flow's hash below 1024: all packets of a flow share it."""
-    golden = F.lit(0x9E3779B9)
-    a, b, c = src.cast("long") + golden, dst.cast("long").bitwiseXOR(proto.cast("long")) + golden, sport.cast("long").bitwiseOR(F.shiftleft(dport.cast("long"), 16)) + F.lit(6564987)
-    return _mix(*(x.bitwiseAND(F.lit(0xFFFFFFFF)) for x in (a, b, c)))[2] % 1024
+    a = src.cast("long") + F.lit(GOLDEN)
+    b = dst.cast("long").bitwiseXOR(proto.cast("long")) + F.lit(GOLDEN)
+    c = sport.cast("long").bitwiseOR(F.shiftleft(dport.cast("long"), 16)) + F.lit(START)
+    rows = df.select("*", word(a).alias("x_"), word(b).alias("y_"), word(c).alias("z_"))
+    for bits in SHIFTS:
+        shifted = F.shiftright("z_", bits) if bits > 0 else F.shiftleft("z_", -bits)
+        mixed = word(word(F.col("x_") - F.col("y_") - F.col("z_")).bitwiseXOR(shifted))
+        rows = rows.select(*df.columns, F.col("y_").alias("x_"), F.col("z_").alias("y_"), mixed.alias("z_"))
+    return rows.select(*(c for c in df.columns if c != name), (F.col("z_") % 1024).alias(name))
 
 
 def hash_sample(df: DataFrame, hashed: Column, keep_below: int) -> DataFrame:

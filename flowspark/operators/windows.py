@@ -6,12 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.functions.intervals import micros
-from flowspark.operators.order import lagged
+from flowspark.operators.order import SPAN, lagged, running_sum
 from flowspark.plans.errors import Err, FlowError
 
 EQ, GT, LT, DIFF_GT, DIFF_LT = range(5)
 
 
+def _numbers(ends: DataFrame, last: Column) -> DataFrame:
+    """(first_, bucket): every number from 0 to ``last`` for the only row of ``ends``, in blocks that tasks expand by
+    themselves, so that no row holds all of them."""
+    blocks = ends.where("first_ is not null").select("first_", last.alias("last_")).where("last_ >= 0")
+    blocks = blocks.select("first_", "last_", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last_") / SPAN))).alias("block_"))
+    begin = F.col("block_") * SPAN
+    return blocks.repartition("block_").select("first_", F.explode(F.sequence(begin, F.least(begin + SPAN - 1, F.col("last_")))).alias("bucket"))
+
+
 def bucket(df: DataFrame, value: Column, interval: str, reset: bool = True, flush: bool = False) -> DataFrame:
     """(bucket, end_us, value): the sum of ``value`` in each interval counted from the first record, half open.
 
@@ -25,10 +34,10 @@ def bucket(df: DataFrame, value: Column, interval: str, reset: bool = True, flus
     slot = F.floor((F.col("us") - F.col("first_")) / width)
     sums = df.crossJoin(F.broadcast(ends)).groupBy(slot.alias("bucket")).agg(F.sum(value).cast("long").alias("v_"))
     last = F.floor((F.col("last_") - F.col("first_")) / width) - (0 if flush else 1)
-    every = ends.where("first_ is not null").where(last >= 0).select("first_", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("bucket"))
+    every = _numbers(ends, last)
     out = every.join(sums, "bucket", "left").select("bucket", (F.col("first_") + (F.col("bucket") + 1) * width).alias("end_us"), F.coalesce("v_", F.lit(0)).alias("value"))
-    if not reset:  # one row an interval
-        out = out.withColumn("value", F.sum("value").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)))
+    if not reset:
+        out = running_sum(out, F.col("value"), "value", "bucket").select("bucket", "end_us", F.col("value").cast("long").alias("value"))
     return out
 
 
@@ -48,9 +57,17 @@ def threshold(df: DataFrame, value: Column, bound: int, limit: int, events: int
 
 
 def moving_window(df: DataFrame, value: Column, window: str, by: str) -> DataFrame:
-    """``df`` with column value: the sum over the last ``window`` (its start excluded) of the row's ``by``, itself included."""
-    span = Window.partitionBy(by).orderBy("us").rangeBetween(-micros(window) + 1, 0)
-    return df.withColumn("value", F.sum(value).over(span).cast("long"))
+    """``df`` with column value: the sum over the last ``window`` (its start excluded) of the row's ``by``, itself included.
+
+    Time is cut into slices as long as the window. A row's window lies in its slice and the one before, so each row
+    also goes to the slice after its own, and a ``by`` that holds a third of all rows is dealt out by slices.
+    """
+    width = micros(window)
+    slot = F.floor(F.col("us") / width)
+    rows = df.select("*", value.alias("added_"), F.explode(F.array(slot, slot + 1)).alias("slice_"))
+    span = Window.partitionBy(by, "slice_").orderBy("us").rangeBetween(-width + 1, 0)
+    rows = rows.withColumn("value", F.sum("added_").over(span).cast("long"))
+    return rows.where(F.col("slice_") == slot).drop("added_", "slice_")
 
 
 COUNT, SECONDS, STATS = 1, 2, 3
@@ -76,7 +93,7 @@ def res2file(df: DataFrame, interval: str, values: list[tuple[int, str]], header
             parts.append(m.alias(names[-1]))
             formats.append("%.12f" if kind == SECONDS else "%d")
     sums = df.crossJoin(F.broadcast(ends)).groupBy(slot.alias("bucket")).agg(*parts)
-    every = ends.where("first_ is not null").select(F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("last_") - F.col("first_")) / width))).alias("bucket"))
+    every = _numbers(ends, F.floor((F.col("last_") - F.col("first_")) / width)).select("bucket")
     zeros = [F.coalesce(n, F.lit(0).cast("double" if f != "%d" else "long")) for n, f in zip(names, formats, strict=True)]
     lines = every.join(sums, "bucket", "left").select("bucket", F.format_string(" ".join(formats), *zeros).alias("line"))
     if header:

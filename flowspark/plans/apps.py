@@ -62,6 +62,8 @@ def common_fingerprints(df: DataFrame, payload: str, destination: str, span: int
     """Fingerprints of ``span`` words, deterministically sampled by a prefix, that went to at least ``least`` destinations."""
     words = F.split(payload, "[ \t\n]+")
     starts = F.when(F.size("w") >= span, F.sequence(F.lit(1), F.size("w") - (span - 1))).otherwise(F.array().cast("array<int>"))
-    prints = df.select(F.col(destination).alias("d"), words.alias("w")).select("d", F.explode(F.transform(starts, lambda k: F.md5(F.array_join(F.slice("w", k, span), " ").cast("binary")))).alias("fingerprint"))
-    pairs = prints.where(F.col("fingerprint").startswith(mask)).select("fingerprint", "d").distinct()
+    every = F.transform(starts, lambda k: F.md5(F.array_join(F.slice("w", k, span), " ").cast("binary")))
+    # Sampled within the array: only what the mask lets through becomes rows.
+    prints = F.array_distinct(F.filter(every, lambda x: x.startswith(mask)))
+    pairs = df.select(F.col(destination).alias("d"), words.alias("w")).select(F.explode(prints).alias("fingerprint"), "d").distinct()
     return pairs.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("destinations")).where(F.col("destinations") >= least)

@@ -330,7 +330,8 @@ def _anonymized(df: DataFrame, text: str) -> DataFrame:
         shared = {"src_ip": ["src_ip", "dst_ip"], "dst_ip": ["src_ip", "dst_ip"], "sport": ["sport", "dport"], "dport": ["sport", "dport"]}.get(c, [c])
         made = anon.map_first_seen(df, shared)
         n = F.col(f"{c}_map")
-        new = anon.ipv4_text(n) if c in ("src_ip", "dst_ip") else n.cast("string").cast(kind)
+        six = F.concat(F.lit("2001:0db8:0000:0000:"), F.regexp_replace(F.lower(F.lpad(F.hex(n), 16, "0")), "(.{4})(?=.)", "$1:"))
+        new = F.when(F.col(c).contains(":"), six).otherwise(anon.ipv4_text(n)) if c in ("src_ip", "dst_ip") else n.cast("string").cast(kind)
         return made.withColumn(c, F.when(of_protocol, new).otherwise(F.col(c))).drop(*(f"{x}_map" for x in shared))
     if how == "PREFIX_PRESERVING":
         if c not in ("src_ip", "dst_ip"):
@@ -359,8 +360,6 @@ def _byte_function(how: str, args: list[str], data: Column) -> Column:
         return F.substring(data, 1, int(args[0]) if args else 0)
     if how == "PATTERN_FILL":
         return F.lit((bytes([int(args[1]) & 255]) if args[0] == "INTEGER" else args[1].encode()) * 16)
-    if how == "REPLACE":
-        return F.lit(args[0].encode())
     if how == "HASHED":
         return F.unhex(anon.hashed(data, args[0]))
     if how == "RANDOM":
@@ -372,6 +371,12 @@ def _check_anonymize(text: str) -> None:
     _bad(text.count(",") < 2, Err.INVALID_ARGUMENT, text)
 
 
+def _check_threshold(kind: int, fd: int, fid: int, limit: int, bound: int, timeout: int, divider: int, events: int) -> None:
+    """In line only: polls by wall clock have no meaning for a finished stream, moving windows are windows.moving_window."""
+    _checked(fd, fid)
+    _bad(bool(kind & (64 | 128) or timeout or divider > 1), Err.NOT_SUPPORTED, "type, timeout and divider of polled and moving modes")
+
+
 def _to_file(df: DataFrame, kind: int, path: str, limit: int) -> DataFrame:
     write_packets(df, path, {0: "pcap", 1: "pcap", 2: "erf"}[kind], limit)
     return df.sparkSession.createDataFrame([(path,)], "value string")
@@ -411,7 +416,7 @@ def _install() -> None:
         FunctionDef("DIST", std, "rfsss", check=_checked, result=_over(lambda df, lo, hi, w: aggregates.dist(df, F.col("value"), int(lo), int(hi), int(w)))),
         FunctionDef("BURST", std, "iiiiiii", result=aggregates.burst),
         FunctionDef("BUCKET", std, "rfsi", check=_checked, result=_over(lambda df, t, reset: windows.bucket(df, F.col("value"), t, bool(reset)))),
-        FunctionDef("THRESHOLD", std, "irfliiii", check=lambda t, fd, fid, *r: _checked(fd, fid), result=lambda df, t, fd, fid, thr, bound, timeout, divider, n: _over(lambda d: windows.threshold(d, F.col("value"), bound, thr, n))(df, fd, fid)),
+        FunctionDef("THRESHOLD", std, "irfliiii", check=_check_threshold, result=lambda df, t, fd, fid, thr, bound, timeout, divider, n: _over(lambda d: windows.threshold(d, F.col("value"), bound, thr, n))(df, fd, fid)),
         FunctionDef("TO_BUFFER", std, "i"),
         FunctionDef("TO_FILE", std, "iwl", check=lambda k, p, n: _bad(k not in (0, 1, 2), Err.FUNCTION_COULD_NOT_APPLY), result=_to_file),
         FunctionDef("RES2FILE", std, "sSswsi", result=_res2file),
@@ -422,7 +427,7 @@ def _install() -> None:
         FunctionDef("ANONYMIZEIP", extra, "s", check=lambda k: _bad(len(k.encode()) != 32, Err.INVALID_ARGUMENT_1), filters=lambda df, k: encode(anon.anonymize_ip(df, k.encode())), modifies=True),
         FunctionDef("ANONYMIZE", "anon", "s", check=_check_anonymize, filters=_anonymize, modifies=True),
         FunctionDef("PRINT_PACKET", "anon", result=lambda df: df.drop("pkt", "l4_payload")),
-        FunctionDef("UNCOOK", "anon", "iii"),
+        FunctionDef("UNCOOK", "anon", "iii", check=lambda *a: _bad(True, Err.NOT_SUPPORTED, "take the packets of cooked ones apart with reassembly.uncook")),
         FunctionDef("INTERFACE", "capture", "i", check=lambda n: _bad(n < 0, Err.INVALID_ARGUMENT), filters=filters.interface),
         FunctionDef("FLOW_REPORT", "report", "ssss", result=_report),
         *(FunctionDef(n, track, filters=lambda df, n=n: trackers.track(df, n)) for n in [*trackers.SIGNATURES, *trackers.STATELESS, "TRACK_FTP", "TRACK_GRID_FTP"]),
@@ -431,12 +436,10 @@ def _install() -> None:
         register_function(f)
 
 
-def _flow_hash() -> Column:
-    return filters.flow_hash(anon.ipv4_number(F.col("src_ip")), anon.ipv4_number(F.col("dst_ip")), F.col("ip_proto"), F.col("sport"), F.col("dport"))
-
-
 def _hash_sample(df: DataFrame, below: int, keep: int) -> DataFrame:
-    return filters.hash_sample(df.where("ip_version = 4 and sport is not null"), _flow_hash(), below)
+    rows = df.where("ip_version = 4 and sport is not null")
+    rows = filters.flow_hash(rows, "hash of flow", anon.ipv4_number(F.col("src_ip")), anon.ipv4_number(F.col("dst_ip")), F.col("ip_proto"), F.col("sport"), F.col("dport"))
+    return filters.hash_sample(rows, F.col("hash of flow"), below).drop("hash of flow")
 
 
 def _hash_records(df: DataFrame, below: int, keep: int) -> DataFrame:

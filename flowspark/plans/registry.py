@@ -195,8 +195,8 @@ def _mix_sql() -> str:
 
 @query(_mix_sql())
 def hash_sample(e):
-    h = filters.flow_hash(F.col("flow_key"), F.col("sensor"), F.lit(6), F.col("flow_key"), F.col("sensor"))
-    return filters.hash_sample(e.withColumn("hash", h), F.col("hash"), 256).select("pkt_no", "flow_key", "hash")
+    rows = filters.flow_hash(e, "hash", F.col("flow_key"), F.col("sensor"), F.lit(6), F.col("flow_key"), F.col("sensor"))
+    return filters.hash_sample(rows, F.col("hash"), 256).select("pkt_no", "flow_key", "hash")
 
 
 @query(" SELECT pkt_no FROM e WHERE contains(substr(payload, 3, 8), 'k\": 1')")

@@ -8,6 +8,8 @@ upper bits, so it orders the whole stream.
 from __future__ import annotations
 
 import struct
+import time
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -111,15 +113,16 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 class CaptureWriter(DataSourceWriter):
     """One file a partition, in the order of its rows; files move into place on commit."""
 
-    def __init__(self, path: str, erf: bool) -> None:
-        self.path, self.erf = path, erf
+    def __init__(self, path: str, erf: bool, overwrite: bool) -> None:
+        self.path, self.erf, self.overwrite = path, erf, overwrite
+        self.job = f"{time.time_ns():019d}-{uuid.uuid4().hex[:8]}"  # later jobs sort after earlier ones
 
     def write(self, iterator) -> WriterCommitMessage:
         task = TaskContext.get()
         system, folder = _open(self.path)
         system.create_dir(folder, recursive=True)
         end = "erf" if self.erf else "pcap"
-        temporary, final = f"{folder}/_attempt-{task.partitionId():05d}-{task.taskAttemptId()}", f"{folder}/part-{task.partitionId():05d}.{end}"
+        temporary, final = f"{folder}/_attempt-{task.partitionId():05d}-{task.taskAttemptId()}", f"{folder}/part-{self.job}-{task.partitionId():05d}.{end}"
         with system.open_output_stream(temporary) as out:
             first = True
             for r in iterator:
@@ -132,10 +135,8 @@ class CaptureWriter(DataSourceWriter):
         return Written(temporary, final)
 
     def commit(self, messages: list[Written | None]) -> None:
-        system, _ = _open(self.path)
-        for m in messages:
-            if m is not None:
-                system.move(m.temporary, m.final)
+        system, folder = _open(self.path)
+        put_in_place(system, folder, [(m.temporary, m.final) for m in messages if m is not None], self.overwrite)
 
     def abort(self, messages: list[Written | None]) -> None:
         system, _ = _open(self.path)
@@ -144,6 +145,23 @@ class CaptureWriter(DataSourceWriter):
                 system.delete_file(m.temporary)
 
 
+def put_in_place(system: fs.FileSystem, folder: str, moves: list[tuple[str, str]], overwrite: bool) -> None:
+    """Give a job's files their names, all or none of them; with ``overwrite`` the files before them go afterwards."""
+    before = [f.path for f in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if f.type == fs.FileType.File and f.base_name.startswith("part-")]
+    done: list[tuple[str, str]] = []
+    try:
+        for temporary, final in moves:
+            system.move(temporary, final)
+            done.append((temporary, final))
+    except Exception:
+        for temporary, final in done:
+            system.move(final, temporary)
+        raise
+    if overwrite:
+        for path in before:
+            system.delete_file(path)
+
+
 def erf_record(r) -> bytes:
     ethernet = r.link_type == ETHERNET
     data = (b"\0\0" if ethernet else b"") + bytes(r.pkt)
@@ -162,7 +180,7 @@ class PcapSource(DataSource):
         return CaptureReader(self.options["path"], pcap_records)
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return CaptureWriter(self.options["path"], False)
+        return CaptureWriter(self.options["path"], False, overwrite)
 
 
 class ErfSource(PcapSource):
@@ -174,7 +192,7 @@ class ErfSource(PcapSource):
         return CaptureReader(self.options["path"], erf_records)
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return CaptureWriter(self.options["path"], True)
+        return CaptureWriter(self.options["path"], True, overwrite)
 
 
 #: Readers by the name of the format.
@@ -187,13 +205,13 @@ def read_packets(spark: SparkSession, path: str, kind: str = "pcap") -> DataFram
     return spark.read.format(kind).load(path)
 
 
-def write_packets(df: DataFrame, path: str, kind: str = "pcap", limit: int = 0) -> None:
+def write_packets(df: DataFrame, path: str, kind: str = "pcap", limit: int = 0, mode: str = "append") -> None:
     """Write packets in order, at most ``limit`` (0: all): ranges of positions are dealt out, so that the files in order
-    of name are the stream in order."""
+    of name are the stream in order. By default they are added to those in the folder; ``mode`` overwrite replaces them."""
     df.sparkSession.dataSource.register(FORMATS[kind])
     rows = df.select(*[part.split()[0] for part in PACKETS.split(", ")])
     rows = rows.orderBy("pkt_no").limit(limit) if limit else rows.repartitionByRange("pkt_no").sortWithinPartitions("pkt_no")
-    rows.write.format(kind).mode("append").save(path)
+    rows.write.format(kind).mode(mode).save(path)
 
 
 # -- decoding ---------------------------------------------------------------
@@ -349,8 +367,9 @@ def rebuild(r: dict, adjust: bool = False) -> bytes:
             put(l3 + at, width, r[name])
     for name, at in (("src_ip", 12 if v4 else 8), ("dst_ip", 16 if v4 else 24)):
         value = _address(r[name])
-        if len(value) == (4 if v4 else 16):
-            data[l3 + at : l3 + at + len(value)] = value
+        if len(value) != (4 if v4 else 16):
+            raise ValueError(f"{name} {r[name]} doesn't fit IPv{r['ip_version']}")  # else the old address would stay
+        data[l3 + at : l3 + at + len(value)] = value
     fields = _L4.get(r["ip_proto"], {}) if r["sport"] is not None or r["icmp_type"] is not None else {}
     for name, (at, width) in fields.items():
         put(l4 + at, width, r[name])

@@ -124,7 +124,7 @@ def test_error_numbers(packets, spark):
 def test_anonymize(packets, proto, field, column, how):
     flow = api.create_flow(packets)
     flow.apply("ANONYMIZE", f"{proto},{field},{how}")
-    if how == "PREFIX_PRESERVING" and column != "src_ip":
+    if how == "PREFIX_PRESERVING" and column != "src_ip" or how.startswith("REPLACE") and column != "l4_payload":
         with pytest.raises(FlowError):
             flow.connect()
         return
@@ -146,12 +146,14 @@ def test_fixed_width_fields_take_bytes(spark):
     from flowspark.functions.anonymize import on_bytes
 
     flow = lambda how: [tuple(r) for r in api._anonymized(api._anonymized(rows, f"IP,SRC_IP,{how}"), f"TCP,SRC_PORT,{how}").select("src_ip", "sport").orderBy("k").collect()]
-    rows = spark.createDataFrame([(0, "1.2.3.4", 6, 258), (1, "0001:0000:0000:0000:0000:0000:0000:00ff", 6, 80), (2, "1.2.3.4", 17, 258), (3, None, 6, None)], "k int, src_ip string, ip_proto int, sport int")
+    rows = spark.createDataFrame([(0, "1.2.3.4", 6, 258), (1, "0001:0000:0000:0000:0000:0000:0000:00ff", 6, 80), (2, "1.2.3.4", 17, 258), (3, None, 6, None)], "k int, src_ip string, ip_proto int, sport int").select("*", F.lit(None).cast("string").alias("dst_ip"), F.lit(None).cast("int").alias("dport"), F.col("k").cast("long").alias("pkt_no"))
     text = "54455354" * 4
     six = ":".join(text[k : k + 4] for k in range(0, 32, 4))
     assert flow("PATTERN_FILL,STR,TEST") == [("84.69.83.84", 0x5445), (six, 0x5445), ("84.69.83.84", 258), (None, None)]
     assert flow("PATTERN_FILL,INTEGER,1") == [("1.1.1.1", 257), ("0101:" * 7 + "0101", 257), ("1.1.1.1", 258), (None, None)]
-    assert flow("REPLACE,AB")[0] == ("65.66.0.0", 0x4142)
+    with pytest.raises(FlowError):
+        flow("REPLACE,AB")
+    assert flow("MAP")[:2] == [("0.0.0.1", 1), ("2001:0db8:0000:0000:0000:0000:0000:0002", 2)]
     assert flow("STRIP,1")[:2] == [("1.0.0.0", 256), ("0000:" * 7 + "0000", 0)]
     digest = hashlib.md5(bytes([1, 2, 3, 4])).digest()
     assert flow("HASHED,MD5")[0] == (".".join(map(str, digest[:4])), int.from_bytes(hashlib.md5(bytes([1, 2])).digest()[:2]))

@@ -79,6 +79,11 @@ def test_files_round_trip(spark, packets, tmp_path, kind):
     assert back.agg(F.sum("wlen")).first()[0] == df.agg(F.sum("wlen")).first()[0]
     write_packets(df, str(tmp_path / "five"), kind, limit=5)
     assert read_packets(spark, str(tmp_path / "five"), kind).count() == 5
+    write_packets(df, str(tmp_path / "five"), kind)
+    more = read_packets(spark, str(tmp_path / "five"), kind)
+    assert more.count() == 18 and [bytes(r.pkt) for r in more.orderBy("pkt_no").collect()][5:] == [bytes(r.pkt) for r in back.orderBy("pkt_no").collect()]
+    write_packets(df, str(tmp_path / "five"), kind, mode="overwrite")
+    assert pick(read_packets(spark, str(tmp_path / "five"), kind)) == pick(back)
     cut = next((tmp_path / "all").glob(f"*.{kind}"))
     (tmp_path / f"cut.{kind}").write_bytes(cut.read_bytes()[:-3])
     assert read_packets(spark, str(tmp_path / f"cut.{kind}"), kind).count() < 13

@@ -1,9 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from flowspark.functions import anonymize as anon
 from flowspark.functions.intervals import absolute, micros
-from flowspark.operators import aggregates, filters, order, values
+from flowspark.operators import aggregates, filters, order, values, windows
 from flowspark.operators.filters import search_patterns
 from flowspark.plans.errors import FlowError
 from flowspark.sources.records import from_events, scope
@@ -42,11 +44,26 @@ def test_samples(spark, sf_dir):
     assert filters.sample_periodic(e, 20).count() == n // 20 and filters.sample_periodic(e, 0).count() == n
     share = filters.sample_probabilistic(e, 30).count() / n
     assert 0.25 < share < 0.35 and filters.sample_probabilistic(e, 100).count() == n and filters.sample_probabilistic(e, 0).count() == 0
-    h = filters.flow_hash(F.col("flow_key"), F.lit(1), F.lit(6), F.lit(80), F.lit(90))
-    assert e.select(h.alias("h")).where("h < 0 or h > 1023").count() == 0
-    assert e.select(h.alias("h"), "flow_key").distinct().count() == e.select("flow_key").distinct().count()
+    hashed = filters.flow_hash(e, "h", F.col("flow_key"), F.lit(1), F.lit(6), F.lit(80), F.lit(90))
+    assert hashed.columns == [*e.columns, "h"]
+    assert hashed.where("h < 0 or h > 1023").count() == 0
+    assert hashed.select("h", "flow_key").distinct().count() == e.select("flow_key").distinct().count()
     with pytest.raises(FlowError):
-        filters.hash_sample(e, h, 0)
+        filters.hash_sample(hashed, F.col("h"), 0)
+
+
+def test_moving_window_matches_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(k, rng.randrange(60_000_000), rng.randrange(3), rng.randrange(100)) for k in range(400)]
+    df = spark.createDataFrame(rows, "pkt_no long, us long, sensor int, wlen long")
+    got = {r.pkt_no: r.value for r in windows.moving_window(df, F.col("wlen"), "5s", "sensor").collect()}
+    assert got == {k: sum(w for _, u, s, w in rows if s == sensor and us - 5_000_000 < u <= us) for k, us, sensor, _ in rows}
+
+
+def test_buckets_over_several_blocks(spark):
+    df = spark.createDataFrame([(0, 0, 5), (1, 150_000_000, 7), (2, 150_000_500, 1)], "pkt_no long, us long, wlen long")
+    got = windows.bucket(df, F.col("wlen"), "1ms", reset=False, flush=True).orderBy("bucket").collect()
+    assert len(got) == 150_001 and (got[0].value, got[149_999].value, got[150_000].value) == (5, 5, 13)
 
 
 def test_values_and_histograms(spark):
