@@ -12,18 +12,23 @@ pairs, so the result is exact. Two layouts:
   each, and meets some 1e-4 of the corpus; more parts make smaller tiles.
 * For a wide radius, population counts exclude little. Tiles are then bands of the number
   of distinct shingles, whose pairs are skipped when the numbers alone rule the similarity
-  of the sets out, cut into blocks of fingerprints that meet block by block (no task gets
-  a whole band).
+  of the sets out.
 
-A task emits a spanning forest of the links it finds, at most one edge for each row it
-read rather than all pairs. Components come from the edges by large-star and small-star
-rounds of joins and minima (Kiveris et al., 2014).
+A tile that is counted to be large is cut into blocks that meet each other in tasks of
+their own. A task emits a spanning forest of the links it finds, at most one edge for each
+row it read rather than all pairs. Components come from the edges by large-star and
+small-star rounds of joins and minima (Kiveris et al., 2014).
+
+Where links are defined by the similarity of shingle sets, fingerprints only find
+candidates: the sets of the rows that have one are compared exactly within each component
+of candidates (``similar``), which again gives a spanning forest.
 """
 
 from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -35,33 +40,49 @@ from flowspark.llm.common import map_texts
 from flowspark.session import durable
 
 WORDS_AT_ONCE = 1 << 16
+#: Rows of a tile beyond which it is cut into blocks, and blocks at most.
+TILE_ROWS, MOST_CUTS = 1 << 17, 1 << 12
+#: Shingle hashes that a block of a component of candidates holds.
+HASHES_A_BLOCK = 1 << 20
+#: Rows of a table of keys that may be broadcast (some 30 bytes each).
+MOST_BROADCAST = 200_000
 
 
-def fingerprint(text: str | None, width: int, seeds: tuple[int, ...] = (42,), distinct: bool = False) -> tuple[int, ...]:
-    """The number of words, then a signed 64-bit SimHash of the word shingles for each seed; no words: zeros. With
-    ``distinct`` the number is that of distinct shingles; the SimHash counts every occurrence all the same."""
+def shingle_hashes(text: str | None, width: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """Hashes of all word shingles, in parts; none without words, that of all words if they are fewer than ``width``."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return (0,) * (1 + len(seeds))
     size = min(width, len(words))
-    ones = np.zeros((len(seeds), 64), np.int64)
     digest = xxhash.xxh64_intdigest
-    found = []
-    for at in range(0, len(words) - size + 1, WORDS_AT_ONCE):
+    for at in range(0, len(words) - size + 1 if words else 0, WORDS_AT_ONCE):
         part = words[at : at + WORDS_AT_ONCE + size - 1]
         joined = b" ".join(part)
         ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))[: len(part) - size + 1].tolist()
         shingles = [joined[a:b] for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)]
-        hashes = np.fromiter((digest(x, seeds[0]) for x in shingles), np.uint64, len(shingles))
-        if distinct:
-            found.append(hashes)
+        yield np.fromiter((digest(x, seed) for x in shingles), np.uint64, len(shingles))
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The distinct shingle hashes in order."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(text, width)]))
+
+
+def fingerprint(text: str | None, width: int, seeds: tuple[int, ...] = (42,), distinct: bool = False) -> tuple[int, ...]:
+    """The number of word shingles, then a signed 64-bit SimHash of them for each seed; no words: zeros. With
+    ``distinct`` each different shingle counts once, else every occurrence."""
+    if distinct:
+        whole = shingle_set(text, width)
+        parts = (whole[k : k + WORDS_AT_ONCE] for k in range(0, len(whole), WORDS_AT_ONCE))
+    else:
+        parts = shingle_hashes(text, width, seeds[0])
+    ones, number = np.zeros((len(seeds), 64), np.int64), 0
+    for hashes in parts:
+        number += len(hashes)
         for lane, seed in enumerate(seeds):
             # Further lanes mix the first hash with their seed; they need no other pass over the text.
             mixed = hashes if lane == 0 else _mixed(hashes, seed)
             ones[lane] += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * ones > len(words) - size + 1, axis=1, bitorder="little")
-    number = len(np.unique(np.concatenate(found))) if distinct else len(words)
+    bits = np.packbits(2 * ones > number, axis=1, bitorder="little")
     return (number, *bits.view(np.int64)[:, 0].tolist())
 
 
@@ -74,8 +95,9 @@ def _mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
 
 
 def fingerprints(df: DataFrame, text_col: str, width: int, seeds: tuple[int, ...] = (42,), distinct: bool = False) -> DataFrame:
-    """``df`` with its text replaced by the columns words (with ``distinct``: distinct shingles) and f0, f1, ... (a lane for each seed)."""
-    names = ["words", *(f"f{k}" for k in range(len(seeds)))]
+    """``df`` with its text replaced by the columns shingles (their number; with ``distinct``: of different ones) and f0,
+    f1, ... (a lane for each seed)."""
+    names = ["shingles", *(f"f{k}" for k in range(len(seeds)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,48 +122,50 @@ def _neighbours(blocks: int, radius: int) -> list[list[tuple[int, int]]]:
     return out
 
 
-def _by_counts(fps: np.ndarray, blocks: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (twice the tile, and 1 for a probe) and row numbers: each fingerprint in its own tile and, as a
-    probe, in the neighbouring tiles above."""
+def _by_counts(fps: np.ndarray, blocks: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cell, row, probe): each fingerprint in its own cell and, as a probe, in the neighbouring cells above."""
     edges = np.linspace(0, 64, blocks + 1).astype(int)
     bits = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     counts = np.add.reduceat(bits, edges[:-1], axis=1).astype(np.int64)
     sizes = np.diff(edges)
     weight = np.cumprod(np.concatenate(([1], sizes[:-1] + 1)))
     own = counts @ weight
-    keys, rows = [own * 2], [np.arange(len(fps))]
+    cells, rows = [own], [np.arange(len(fps))]
     for change in _neighbours(blocks, radius):
         fits = np.ones(len(fps), bool)
         for part, step in change:
             fits &= (counts[:, part] + step >= 0) & (counts[:, part] + step <= sizes[part])
-        keys.append((own[fits] + sum(step * int(weight[part]) for part, step in change)) * 2 + 1)
+        cells.append(own[fits] + sum(step * int(weight[part]) for part, step in change))
         rows.append(np.flatnonzero(fits))
+    probe = np.repeat([0, 1], [len(fps), sum(map(len, rows)) - len(fps)])
+    return np.concatenate(cells), np.concatenate(rows), probe
+
+
+def _by_band(band: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for bands: each row in its own and, as a probe, in the one above."""
+    rows = np.arange(len(band))
+    return np.concatenate([band, band + 1]), np.concatenate([rows, rows]), np.repeat([0, 1], len(band))
+
+
+def _dealt(cell: np.ndarray, row: np.ndarray, probe: np.ndarray, fps: np.ndarray, cut: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and row numbers. A key is a cell, two of its blocks and, in the last bit, whether the row is a probe. The first
+    block's rows are held and the second's pass by; in a tile of a block with itself, probes from other cells, too.
+    ``cut`` has the cells of several blocks in order, ``cuts`` how many."""
+    found = np.searchsorted(cut, cell)
+    is_cut = (cut[np.minimum(found, len(cut) - 1)] == cell) if len(cut) else np.zeros(len(cell), bool)
+    keys, rows = [cell[~is_cut] << 25 | probe[~is_cut]], [row[~is_cut]]
+    many = cuts[found[is_cut]] if len(cut) else np.empty(0, np.int64)
+    cell, row, probe = cell[is_cut], row[is_cut], probe[is_cut]
+    mine = ((fps[row].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % np.maximum(many, 1)
+    for k in range(int(many.max()) if len(many) else 0):
+        at = np.flatnonzero(many > k)
+        low, high = (np.where(probe[at] == 1, k, f(mine[at], k)) for f in (np.minimum, np.maximum))
+        passes = (probe[at] == 1) | (mine[at] > k)
+        keys.append(cell[at] << 25 | low << 13 | high << 1 | passes)
+        rows.append(row[at])
     return np.concatenate(keys), np.concatenate(rows)
 
 
-def _by_length(band: np.ndarray, fps: np.ndarray, bands: set[int], cuts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same for bands of length, cut into ``cuts`` blocks each: a block meets the blocks from itself on in its
-    band and all blocks of the next band, if that is one of ``bands``."""
-    part = ((fps.view(np.uint64) >> np.uint64(11)) % np.uint64(cuts)).astype(np.int64)
-    keys, rows = [], []
-    for b in np.unique(band).tolist():
-        mine = np.flatnonzero(band == b)
-        at = part[mine]
-        pairs = [(0, np.minimum(at, k), np.maximum(at, k), at > k) for k in range(cuts)]
-        pairs += [(1, at, k, 0) for k in range(cuts if b + 1 in bands else 0)]
-        pairs += [(-1, k, at, 1) for k in range(cuts if b - 1 in bands else 0)]
-        for step, low, high, probe in pairs:
-            tile = ((b * 2 + step) * cuts + low) * cuts + high
-            keys.append(tile * 2 + probe)
-            rows.append(mine)
-    return np.concatenate(keys), np.concatenate(rows)
-
-
-def _meets_itself(tile: int, cuts: int) -> bool:
-    """Whether a tile of ``_by_length`` is a block with itself."""
-    return tile // cuts**2 % 2 == 0 and tile // cuts % cuts == tile % cuts
-
-
 class _Forest:
     """Union-find over fingerprints; keeps the edges that joined two trees."""
 
@@ -182,32 +206,43 @@ def _meet(own: np.ndarray, others: np.ndarray, radius: int, forest: _Forest, ste
             forest.link(a, b)
 
 
-def links(nodes: DataFrame, radius: int, lanes: int, blocks: int = 8, ratio: float | None = None, cuts: int = 8) -> DataFrame:
+def links(nodes: DataFrame, radius: int, lanes: int, blocks: int = 8, ratio: float | None = None, least_cuts: int = 8, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Edges (a, b) between node ids that connect the nodes within ``radius`` bits, by way of others: exactly those
     without ``ratio``; with it, all whose numbers are within the ratio, and none beyond the radius.
 
-    ``nodes`` has columns node, words, f0, f1, ... (words: a number that bounds the similarity, such as
-    that of distinct shingles). Without ``ratio`` tiles are by population counts (one
-    lane), with it by that number: then texts whose numbers differ by more than that
-    ratio need not be linked, and each band is cut into
-    ``cuts`` blocks: a row goes to some 3 * cuts of them at any size of the corpus, and
-    more of them spread the comparisons over more tasks. A tile's own rows are held in
-    memory; copies are one node, and near copies of one text can fill a tile with no
-    more than the patterns that exist around it.
+    ``nodes`` has columns node, shingles, f0, f1, ... (shingles: a number that bounds the
+    similarity, such as that of distinct shingles). Without ``ratio`` tiles are by
+    population counts (one lane), with it by that number: then texts whose numbers differ
+    by more than that ratio need not be linked. Tiles of more than ``tile_rows`` rows are
+    cut into blocks, bands of more than 1,024 rows into ``least_cuts`` at least, which
+    spreads the comparisons over tasks. A block is held in memory; copies are one node.
     """
     names = ["node", *(f"f{k}" for k in range(lanes))]
     # Bands of numbers within the ratio; texts within it are in one band or in two that follow each other.
-    band = F.lit(0) if ratio is None else F.floor(F.log(F.greatest("words", F.lit(1))) / F.lit(-float(np.log(ratio))))
+    band = F.lit(0) if ratio is None else F.floor(F.log(F.greatest("shingles", F.lit(1))) / F.lit(-float(np.log(ratio))))
     nodes = nodes.select(band.cast("long").alias("band"), *names)
-    # Some 100 bands at most.
-    bands = {r.band for r in nodes.select("band").distinct().collect()} if ratio is not None else set()
+
+    def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+        return [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(1 + len(names))]
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at_band, *values = columns(batch)
+            cell = _by_counts(values[1], blocks, 0)[0] if ratio is None else at_band
+            cell, n = np.unique(cell, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n.astype(np.int64))], ["cell", "n"])
+
+    counted = nodes.mapInArrow(sizes, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    # Some 100 bands at most, or one row for each tile_rows rows.
+    large = counted.where(F.col("n") > (tile_rows if ratio is None else min(tile_rows, 1024))).orderBy("cell").collect()
+    cut = np.array([r.cell for r in large], np.int64)
+    cuts = np.array([min(MOST_CUTS, max(1 if ratio is None else least_cuts, -(-r.n // tile_rows))) for r in large], np.int64)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                at_band, *values = (part.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(1 + len(names)))
-                key, row = _by_counts(values[1], blocks, radius) if ratio is None else _by_length(at_band, values[1], bands, cuts)
+                at_band, *values = columns(batch.slice(at, 4096))
+                key, row = _dealt(*(_by_counts(values[1], blocks, radius) if ratio is None else _by_band(at_band)), values[1], cut, cuts)
                 yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(v[row]) for v in values)], ["key", *names])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, np.ndarray]]:
@@ -232,10 +267,11 @@ def links(nodes: DataFrame, radius: int, lanes: int, blocks: int = 8, ratio: flo
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
                     found = []
                 tile, own, forest = at, nothing, _Forest()
-            if len(own) and (is_probe or ratio is None or _meets_itself(tile, cuts)):
+            with_itself = tile is not None and tile >> 12 & 4095 == tile & 4095
+            if len(own) and (is_probe or with_itself):
                 _meet(own, rows, radius, forest)
             if not is_probe and len(rows):
-                if ratio is None or _meets_itself(tile, cuts):
+                if with_itself:
                     _meet(rows, rows, radius, forest)
                 own = np.concatenate([own, rows])
 
@@ -274,18 +310,19 @@ def simhash_components(
     blocks: int = 8,
     ratio: float | None = None,
     carry: tuple[str, ...] = (),
-    cuts: int = 8,
 ) -> DataFrame:
     """One row per row of ``df``: id, carried columns, fingerprint (16 hex digits a lane), component_id.
 
     Null or empty texts have fingerprint zero and are linked like any other. Rows with
-    equal fingerprints (with ``ratio``: and equal numbers of distinct shingles) are one node, however many they are, so a group of copies costs one. component_id is the smallest id in the component; null ids are ignored in it
-    unless there is no other. An empty table gives an empty result; other columns are
-    not read.
+    equal fingerprints (with ``ratio``: and equal numbers of distinct shingles) are one
+    node, however many they are, so a group of copies costs one. component_id is the
+    smallest id in the component; null ids are ignored in it unless there is no other. An
+    empty table gives an empty result; other columns are not read.
     """
     lanes = [f"f{k}" for k in range(len(seeds))]
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)])
-    marked, rooted = _rooted(source, F.col("id"), width, radius, seeds, blocks, ratio, cuts)
+    marked, nodes = _nodes(source, F.col("id"), width, seeds, ratio is not None)
+    rooted = _rooted(nodes, components(links(nodes, radius, len(seeds), blocks, ratio)))
     grouped = durable(rooted.groupBy("root").agg(F.min("least").alias("component")))
     labelled = durable(rooted.join(grouped, "root").select("node", "component"))
     out = marked.join(labelled, "node")
@@ -297,47 +334,139 @@ def simhash_components(
     )
 
 
-def _rooted(source: DataFrame, order: Column, width: int, radius: int, seeds: tuple[int, ...], blocks: int, ratio: float | None, cuts: int) -> tuple[DataFrame, DataFrame]:
-    """``source`` with fingerprints and node in place of its text, and (node, least, root) with each node's least ``order``."""
+def _nodes(source: DataFrame, order: Column, width: int, seeds: tuple[int, ...], distinct: bool) -> tuple[DataFrame, DataFrame]:
+    """``source`` with fingerprints and node in place of its text, and a row for each node with its least ``order``."""
     lanes = [f"f{k}" for k in range(len(seeds))]
-    if ratio is not None:
-        node = F.xxhash64("words", *lanes)  # texts of one fingerprint may lie in several bands
-    else:
-        node = F.col("f0") if len(seeds) == 1 else F.xxhash64(*lanes)
-    marked = durable(fingerprints(source, "text", width, seeds, ratio is not None).withColumn("node", node))
-    nodes = durable(marked.groupBy("node").agg(F.min(order).alias("least"), F.min("words").alias("words"), *(F.first(f).alias(f) for f in lanes)))
-    found = components(links(nodes, radius, len(seeds), blocks, ratio, cuts))
-    return marked, durable(nodes.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
+    node = F.xxhash64("shingles", *lanes) if distinct else F.col("f0") if len(seeds) == 1 else F.xxhash64(*lanes)
+    marked = durable(fingerprints(source, "text", width, seeds, distinct).withColumn("node", node))
+    return marked, durable(marked.groupBy("node").agg(F.min(order).alias("least"), F.min("shingles").alias("shingles"), *(F.first(f).alias(f) for f in lanes)))
+
+
+def _rooted(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, least, root) of all nodes."""
+    return durable(nodes.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
+
+
+def single_linkage(nodes: list[int], sets: list[np.ndarray], similarity: Fraction) -> list[tuple[int, int]]:
+    """Edges that connect exactly the nodes whose sets have a similarity (common elements over all) of ``similarity`` or
+    more, by way of others. Each node is met once, and then compared with those that no one has met."""
+    p, q = similarity.numerator, similarity.denominator
+    order = sorted(range(len(nodes)), key=lambda k: len(sets[k]))
+    sizes = np.array([len(sets[k]) for k in order], np.int64)
+    names = np.array([nodes[k] for k in order], np.int64)
+    numbers = np.unique(np.concatenate([np.empty(0, np.uint64), *(sets[k] for k in order)]), return_inverse=True)[1].astype(np.int32)
+    first = np.cumsum(sizes) - sizes
+    mark = np.zeros(int(numbers.max()) + 1 if len(numbers) else 1, bool)
+    # Those not met yet, in order of size, with their elements one after the other.
+    left, left_sizes, left_first, elements, met, edges, waiting = np.arange(len(order)), sizes, first, numbers, np.zeros(len(order), bool), [], []
+    start = 0
+    while True:
+        if not waiting:
+            while start < len(order) and met[start]:
+                start += 1
+            if start == len(order):
+                return edges
+            met[start] = True
+            waiting.append(start)
+        x = waiting.pop()
+        if 2 * np.count_nonzero(met[left]) > len(left):
+            keep = ~met[left]
+            elements = elements[np.repeat(keep, left_sizes)]
+            left, left_sizes = left[keep], left_sizes[keep]
+            left_first = np.cumsum(left_sizes) - left_sizes
+        low, high = np.searchsorted(left_sizes * q, sizes[x] * p, "left"), np.searchsorted(left_sizes * p, sizes[x] * q, "right")
+        if low >= high or not sizes[x]:
+            continue
+        mine = numbers[first[x] : first[x] + sizes[x]]
+        mark[mine] = True
+        common = np.add.reduceat(mark[elements[left_first[low] : left_first[high - 1] + left_sizes[high - 1]]], left_first[low:high] - left_first[low], dtype=np.int64)
+        mark[mine] = False
+        near = left[low:high][(common * (p + q) >= (sizes[x] + left_sizes[low:high]) * p)]
+        near = near[~met[near]]
+        met[near] = True
+        waiting += near.tolist()
+        edges += [(int(names[x]), y) for y in names[near].tolist()]
+
+
+def similar(clusters: DataFrame, width: int, similarity: Fraction, hashes_a_block: int = HASHES_A_BLOCK) -> DataFrame:
+    """Edges (a, b) that connect the nodes of a cluster whose shingle sets are similar, compared exactly.
+
+    ``clusters`` has columns root, parts, node, text: a cluster is dealt to ``parts``
+    blocks, each of which meets itself and the others; a task holds two blocks' sets. A
+    node that comes more than once counts once.
+    """
 
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            made = []
+            for root, parts, node, text in zip(*batch.columns, strict=True):
+                root, parts, node = root.as_py(), parts.as_py(), node.as_py()
+                if node in seen:
+                    continue
+                seen.add(node)
+                mine = (node * 0x9E3779B97F4A7C15 >> 13) % parts
+                data = shingle_set(text.as_py(), width).tobytes()
+                made += [(root, min(mine, k), max(mine, k), node, data) for k in range(parts)]
+            yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["root", "i", "j", "node", "data"])
 
-def keep_one_of_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, slack: float = 1.0) -> DataFrame:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, members = None, {}
+        for batch in itertools.chain(batches, [None]):
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True) if batch is not None else [(None, 0, 0, 0, b"")]
+            for root, i, j, node, data in rows:
+                if (root, i, j) != at:
+                    edges = single_linkage(list(members), list(members.values()), similarity)
+                    if edges:
+                        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in range(2)], ["a", "b"])
+                    at, members = (root, i, j), {}
+                members[node] = np.frombuffer(data, np.uint64)
+
+    rows = map_texts(clusters.select("root", "parts", "node", "text"), sets, "root bigint, i int, j int, node bigint, data binary")
+    rows = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    return map_texts(rows, compare, "a bigint, b bigint").distinct()
+
+
+def keep_one_of_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, slack: float = 4.0) -> DataFrame:
     """``df`` without all but one row of each group of near copies, columns unchanged.
 
-    Near copies: the similarity of the 5-word shingles, read off the angle between
-    fingerprints of 512 bits, is ``similarity`` or more. ``slack`` widens the radius by
-    that many standard deviations of the estimate, so that pairs at the threshold are
-    found more often than missed. The row with the smallest id stays, null ids last; of
-    rows with that id, the one with the smallest hash of its text; of rows that repeat
-    id and text, one. A row stays or goes by its own text: others with its id (or without
-    one, too) don't count. Empty texts are copies of each other.
+    Near copies are linked by a similarity (common elements over all) of their sets of
+    ``width``-word shingles of ``similarity`` or more; a text of fewer words is one
+    shingle, texts without words are copies of each other. Candidates are pairs of 512-bit
+    SimHashes of the sets within the radius expected at that similarity, widened by
+    ``slack`` standard deviations of it; each component of candidates is then compared
+    exactly, so no row goes without a chain of real links. The row with the smallest id
+    stays, null ids last; of rows with that id, the one with the smallest hash of its text;
+    of rows that repeat id and text, one. A row stays or goes by its own text: others with
+    its id (or without one, too) don't count.
     """
     lanes = tuple(range(42, 50))
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     radius = int(64 * len(lanes) * share + slack * np.sqrt(64 * len(lanes) * share * (1 - share)))
     hashes = lambda: (F.xxhash64(text_col), F.hash(text_col))
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(h.alias(n) for h, n in zip(hashes(), "hg", strict=True)))
-    marked, rooted = _rooted(source, F.struct(F.isnull("id").alias("none"), "id", "h", "g"), width, radius, lanes, 8, similarity * 0.9, 4)
-    kept = durable(rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.id", "least.h", "least.g"))
-    # Rows that repeat id and text can't be told apart; all others are chosen by the join alone.
-    repeated = durable(marked.groupBy("id", "h", "g").count().where("count > 1").drop("count"))
+    marked, nodes = _nodes(source, F.struct(F.isnull("id").alias("none"), "id", "h", "g"), width, lanes, True)
     same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["h"] == b["h"]) & (a["g"] == b["g"])
     h, g = hashes()
 
-    def among(rows: DataFrame) -> DataFrame:
-        return df.join(rows, df[id_col].eqNullSafe(rows["id"]) & (h == rows["h"]) & (g == rows["g"]), "left_semi")
-
-    if repeated.isEmpty():
-        return among(kept)
-    several = among(durable(kept.join(repeated, same(kept, repeated), "left_semi")))
-    several = several.withColumn("h of text", h).withColumn("g of text", g).dropDuplicates([id_col, "h of text", "g of text"])
-    return among(durable(kept.join(repeated, same(kept, repeated), "left_anti"))).unionByName(several.select(*df.columns))
+    def meet(rows: DataFrame, how: str, columns: list[Column] | None = None) -> DataFrame:
+        """``df`` joined with a table of ids and hashes, which is broadcast if it is counted to be small."""
+        few = F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
+        joined = df.join(few, df[id_col].eqNullSafe(rows["id"]) & (h == rows["h"]) & (g == rows["g"]), how)
+        return joined.select(*columns) if columns else joined
+
+    candidates = components(links(nodes, radius, len(lanes), ratio=similarity * 0.9)).join(nodes.select("node", "least.id", "least.h", "least.g", "shingles"), "node")
+    candidates = durable(candidates)
+    parts = durable(candidates.groupBy("root").agg(F.ceil(F.sum("shingles") / HASHES_A_BLOCK).cast("int").alias("parts")))
+    candidates = durable(candidates.join(parts, "root").select("id", "h", "g", "root", F.greatest("parts", F.lit(1)).alias("parts"), "node"))
+    clusters = meet(candidates, "inner", [candidates["root"], candidates["parts"], candidates["node"], df[text_col].alias("text")])
+    rooted = _rooted(nodes, components(similar(clusters, width, Fraction(similarity).limit_denominator(10_000))))
+    kept = durable(rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.id", "least.h", "least.g"))
+    keys = marked.groupBy("id", "h", "g").count()
+    # Rows that repeat id and text can't be told apart; all others are chosen by the join alone.
+    several = durable(kept.join(keys.where("count > 1").drop("count"), same(kept, keys), "left_semi"))
+    gone = durable(keys.select("id", "h", "g").join(kept, same(keys, kept), "left_anti"))
+    if several.isEmpty():
+        return meet(gone, "left_anti")
+    once = meet(several, "left_semi").withColumn("h of text", h).withColumn("g of text", g).dropDuplicates([id_col, "h of text", "g of text"])
+    return meet(durable(gone.union(several)), "left_anti").unionByName(once.select(*df.columns))

@@ -5,8 +5,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from flowspark.llm.decontaminate import words
-from flowspark.llm.simhash import fingerprint
-from tests.llm.test_simhash import roots
+from tests.llm.test_simhash import roots, similar_sets, slow_set
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -20,13 +19,8 @@ def brute(docs, items):
         for k in set(ks):
             found[k] = found.get(k, 0) + 1
     docs = [(d, "\n".join(x for x, k in zip(t.split("\n"), keys[d], strict=True) if not k or found[k] < 10)) for d, t in docs]
-    prints = {d: fingerprint(t, 5, tuple(range(42, 50))) for d, t in docs}
-
-    def near(a, b):
-        x, y = prints[a], prints[b]
-        return sum(((p ^ q) % 2**64).bit_count() for p, q in zip(x[1:], y[1:], strict=True)) <= 85
-
-    up = roots(sorted(prints), near)
+    sets = {d: slow_set(t) for d, t in docs}
+    up = roots(sorted(sets), lambda a, b: similar_sets(sets[a], sets[b]))
     docs = [(d, t) for d, t in docs if up[d] == d]
     joined = [b" " + b" ".join(words(i)) + b" " for i in items]
     docs = [(d, t) for d, t in docs if not any(i in b" " + b" ".join(words(t)) + b" " for i in joined)]
