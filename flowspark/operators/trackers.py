@@ -27,9 +27,18 @@ DIRECT_CONNECT = [
 IRC = ["PRIVMSG ", "NOTICE ", " :DOWN// ", " :EFTP// ", "ACTION"]
 EDONKEY_MAGIC = b"\x03\x02\x00\x70\x72\x01\x00\x00\x00"
 EDONKEY_HEADERS = [0xE3, 0xC5, 0xD4]
-# Ranges of operation codes, both ends included.
-EDONKEY_TCP = [(0x01, 0x02), (0x05, 0x05), (0x10, 0x10), (0x14, 0x16), (0x18, 0x1A), (0x1C, 0x1C), (0x21, 0x21), (0x32, 0x36), (0x38, 0x38), (0x40, 0x43), (0x46, 0x52), (0x54, 0x59), (0x5D, 0x61), (0x81, 0x82)]
-EDONKEY_UDP = [(0x0A, 0x16), (0x18, 0x1D), (0x90, 0x93), (0x96, 0x9C), (0x9E, 0x9E), (0xA1, 0xA4)]
+# Operation codes (fixed values) between client and server, between clients, and of the extended protocol, over TCP.
+EDONKEY_SERVER = [0x01, 0x05, 0x14, 0x15, 0x16, 0x18, 0x19, 0x1A, 0x1C, 0x21, 0x32, 0x33, 0x34, 0x35, 0x36, 0x38, 0x40, 0x41, 0x42, 0x43]
+EDONKEY_CLIENT = [
+    0x10, 0x46, 0x47, 0x48, 0x49, 0x4A, 0x4B, 0x4C, 0x4D, 0x4E, 0x4F, 0x50, 0x51, 0x52, 0x54, 0x55, 0x56, 0x57, 0x58, 0x59, 0x5D, 0x5E, 0x5F, 0x60, 0x61,
+]
+EDONKEY_EXTENDED = [0x01, 0x02, 0x40, 0x60, 0x81, 0x82]
+# The same over UDP: servers, extended protocol, overnet.
+EDONKEY_UDP_SERVER = [0x96, 0x97, 0x98, 0x99, 0x9A, 0x9B, 0x9C, 0x9E, 0xA1, 0xA2, 0xA3, 0xA4]
+EDONKEY_UDP_EXTENDED = [0x90, 0x91, 0x92, 0x93]
+EDONKEY_OVERNET = [0x0A, 0x0B, 0x0C, 0x0D, 0x0E, 0x0F, 0x10, 0x11, 0x12, 0x13, 0x14, 0x15, 0x16, 0x18, 0x19, 0x1A, 0x1B, 0x1C, 0x1D]
+EDONKEY_TCP = [*EDONKEY_SERVER, *EDONKEY_CLIENT, *EDONKEY_EXTENDED]
+EDONKEY_UDP = [*EDONKEY_UDP_SERVER, *EDONKEY_UDP_EXTENDED, *EDONKEY_OVERNET]
 
 IDLE = "60s"
 SESSION_KEY = ["ip_proto", "low_ip", "high_ip", "low_port", "high_port"]
@@ -54,9 +63,8 @@ def _byte(k: int) -> Column:
 def _is_edonkey() -> Column:
     size = sum((_byte(k + 1).cast("long") * 256**k for k in range(1, 4)), _byte(1).cast("long"))
     code = _byte(5)
-    inside = lambda ranges: _any([code.between(a, b) for a, b in ranges])
     fits = size == F.octet_length("l4_payload") - 5
-    tcp, udp = (F.col("ip_proto") == 6) & fits & inside(EDONKEY_TCP), (F.col("ip_proto") == 17) & (fits | inside(EDONKEY_UDP)) & inside(EDONKEY_UDP)
+    tcp, udp = (F.col("ip_proto") == 6) & fits & code.isin(EDONKEY_TCP), (F.col("ip_proto") == 17) & code.isin(EDONKEY_UDP)
     return _has(EDONKEY_MAGIC, 100) | (_byte(0).isin(EDONKEY_HEADERS) & (tcp | udp))
 
 
