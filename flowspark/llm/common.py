@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import string
-
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,13 +20,23 @@ def lower_ascii(text: Column) -> Column:
     )
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate files, in whatever file system it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 ROWS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    return df.mapInArrow(run, schema)
+
+
 def map_texts(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """``df.mapInArrow``, with batches of 2,000 rows where the session has Spark's default of 10,000: rows that hold whole
+    """``map_batches``, with batches of 2,000 rows where the session has Spark's default of 10,000: rows that hold whole
     texts are large, and a worker holds a batch at a time."""
     conf = df.sparkSession.conf
     if conf.get(ROWS_A_BATCH) == "10000":
         conf.set(ROWS_A_BATCH, "2000")
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)

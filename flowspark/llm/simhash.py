@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import map_texts
+from flowspark.llm.common import map_batches, map_texts
 from flowspark.session import durable
 
 WORDS_AT_ONCE = 1 << 16
@@ -232,7 +232,7 @@ def links(nodes: DataFrame, radius: int, lanes: int, blocks: int = 8, ratio: flo
             cell, n = np.unique(cell, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n.astype(np.int64))], ["cell", "n"])
 
-    counted = nodes.mapInArrow(sizes, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    counted = map_batches(nodes, sizes, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
     # Some 100 bands at most, or one row for each tile_rows rows.
     large = counted.where(F.col("n") > (tile_rows if ratio is None else min(tile_rows, 1024))).orderBy("cell").collect()
     cut = np.array([r.cell for r in large], np.int64)
@@ -276,9 +276,9 @@ def links(nodes: DataFrame, radius: int, lanes: int, blocks: int = 8, ratio: flo
                 own = np.concatenate([own, rows])
 
     schema = ", ".join(f"{n} bigint" for n in ["key", *names])
-    spread_out = nodes.mapInArrow(spread, schema)
+    spread_out = map_batches(nodes, spread, schema)
     spread_out = spread_out.repartition(F.expr("shiftright(key, 1)")).sortWithinPartitions("key", "node")
-    return spread_out.mapInArrow(compare, "a bigint, b bigint").where("a <> b").distinct()
+    return map_batches(spread_out, compare, "a bigint, b bigint").where("a <> b").distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:

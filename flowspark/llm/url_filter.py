@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import lower_ascii
+from flowspark.llm.common import lower_ascii, map_batches
 
 MOST_RULES = 1_000_000
 
@@ -78,7 +78,7 @@ def judge_by_trie(df: DataFrame, rules: list[tuple[str, str, str]], host_col: st
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r for _, r in found], pa.string()), pa.array([a for a, _ in found], pa.string())], [*names, "rule", "action"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), "rule string", "action string"])
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def judge_by_join(df: DataFrame, rules: DataFrame, host_col: str, path_col: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 
 import __spark_entry__ as entry
-from flowspark.llm.suffix_tree import DISCOUNT, END, Table, score_texts, tokens
+from flowspark.llm.suffix_tree import DISCOUNT, END, Table, score_texts, sequence_key, tokens
 from tests.oracle import connect, oracle_rows
 
 
@@ -17,17 +17,24 @@ def test_table_finds_all_keys():
     assert (table.find(keys + 2**41) == -1).all() and (Table(keys[:0]).find(keys) == -1).all()
 
 
+def test_sequence_keys_are_those_of_sql(spark):
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(-(2**63), 2**63, (2, 50))
+    got = spark.createDataFrame(list(zip(range(50), a.tolist(), b.tolist())), "k int, a long, b long").selectExpr("xxhash64(a, b) h").orderBy("k").collect()
+    assert [r.h for r in got] == sequence_key(a, b).tolist()
+
+
 class Plain:
     """The tree with dictionaries of tuples."""
 
-    def __init__(self, texts, depth, entries):
+    def __init__(self, texts, depth, least):
         self.n = sum(map(len, texts))
         self.counts = {}
         for size in range(1, depth + 2):
             grams = Counter(tuple(t[k : k + size]) for t in texts for k in range(len(t) - size + 1))
             if size == 1:
                 self.words = {g[0]: c for g, c in grams.items()}
-            self.counts[size] = {g: c for g, c in grams.items() if c * entries >= self.n}
+            self.counts[size] = {g: c for g, c in grams.items() if c >= least}
         self.depth, self.states = depth, set()
         for size in range(1, depth + 1):
             for s, n in self.counts[size].items():
@@ -74,16 +81,16 @@ def test_scores_match_plain_model(spark):
     ids = [None, *range(len(texts) - 2), 7]
     df = spark.createDataFrame(list(zip(ids, texts, [1.5] * len(texts), strict=True)), "doc_id long, text string, score double")
     out = [zlib.crc32(str("" if i is None else i).encode()) % 5 == 1 for i in ids]
-    for depth, entries in ((2, 400), (3, 2000), (1, 50)):
-        model = Plain([tokens(t) for t, o in zip(texts, out, strict=True) if not o], depth, entries)
-        assert model.states or entries == 50
+    for depth, least, frequent in ((2, 2, 1), (3, 2, 2000), (1, 5, 50)):
+        model = Plain([tokens(t) for t, o in zip(texts, out, strict=True) if not o], depth, least)
+        assert model.states
         want = Counter()
         for i, t, o in zip(ids, texts, out, strict=True):
             w = tokens(t)
             base = sum(math.log10(model.base(x)) for x in w)
             score = sum(math.log10(model.p(x, w[:k])) for k, x in enumerate(w))
             want[i, o, len(w), sum(x in model.words for x in w), model.n, round(base, 7), round(score, 7)] += 1
-        got = Counter((*tuple(r)[:5], round(r.base_score, 7), round(r.score, 7)) for r in score_texts(df, depth=depth, entries=entries).collect())
+        got = Counter((*tuple(r)[:5], round(r.base_score, 7), round(r.score, 7)) for r in score_texts(df, depth=depth, least=least, frequent=frequent).collect())
         assert got == want
         words = [*model.words, "unseen"]
         for history in (["a"], ["a", "b"], ["zz", "c"], [b"a", b"b", b"c"]):
