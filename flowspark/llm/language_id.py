@@ -5,6 +5,8 @@ log P(language | row) = text likelihood + P(declared language | language)
 
 * Text: hashed byte trigrams of the words, naive Bayes, fitted on a bounded sample of
   labelled rows; the sum is tempered, since trigrams of a text are far from independent.
+* Beside the languages there is a class for everything else, whose trigrams are the
+  sample's bytes drawn one by one. A row is rejected where its posterior wins.
 * Declared markup language and address suffix: smoothed tables of soft counts (each
   row's posterior by its text alone), by grouped aggregation over all rows.
 * Host prior: soft counts by host, smoothed towards its domain's, those towards the
@@ -30,15 +32,34 @@ GRAMS = 1 << 16
 LETTER = np.array([b if chr(b).isalpha() or b >= 0x80 else 0x20 for b in range(256)], np.uint8)
 
 
-def grams(text: str | None) -> np.ndarray:
-    """Numbers below GRAMS of the byte trigrams of the lower-cased words, each word with a space on both sides."""
+def letters(text: str | None) -> np.ndarray:
+    """The bytes of the lower-cased words, a space before and after each."""
     data = LETTER[np.frombuffer((" " + (text or "") + " ").lower().encode("utf-8", "surrogatepass"), np.uint8)]
     space = data == 0x20
-    data = data[~(space & np.concatenate(([False], space[:-1])))].astype(np.uint32)
-    if len(data) < 3:
-        return np.empty(0, np.uint32)
-    joined = data[:-2] << np.uint32(16) | data[1:-1] << np.uint32(8) | data[2:]
-    return (joined * np.uint32(2654435761)) >> np.uint32(16)
+    return data[~(space & np.concatenate(([False], space[:-1])))]
+
+
+def _numbers(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Numbers below GRAMS of byte trigrams."""
+    a, b, c = (x.astype(np.uint32) for x in (a, b, c))
+    return ((a << np.uint32(16) | b << np.uint32(8) | c) * np.uint32(2654435761)) >> np.uint32(16)
+
+
+def grams(text: str | None) -> np.ndarray:
+    """Numbers of the trigrams of the words."""
+    data = letters(text)
+    return _numbers(data[:-2], data[1:-1], data[2:]) if len(data) >= 3 else np.empty(0, np.uint32)
+
+
+def chance(bytes_seen: np.ndarray) -> np.ndarray:
+    """P(trigram) when bytes are drawn one by one from the 256 counts; trigrams that can't come up share a thousandth."""
+    used = np.flatnonzero(bytes_seen)
+    p = bytes_seen[used] / max(1, bytes_seen.sum())
+    out = np.full(GRAMS, 0.001 / GRAMS)
+    for a, share in zip(used, p, strict=True):
+        numbers = _numbers(np.full(1, a), used[:, None], used[None, :])
+        out += np.bincount(numbers.ravel(), (share * np.outer(p, p)).ravel(), GRAMS)
+    return out / out.sum()
 
 
 def sample_of(labelled: DataFrame, label_col: str, rows_a_label: int, seed: int = 7) -> DataFrame:
@@ -48,32 +69,40 @@ def sample_of(labelled: DataFrame, label_col: str, rows_a_label: int, seed: int
     return labelled.sampleBy(label_col, shares, seed) if shares else labelled.limit(0)
 
 
-def fit(sample: DataFrame, text_col: str, label_col: str) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and the table of log P(trigram | language), one column each."""
+def fit(sample: DataFrame, text_col: str, label_col: str, strength: float = 1000.0, margin: float = 1.0) -> tuple[list[str], np.ndarray]:
+    """Languages in order, and the table of log P(trigram | class): a column for each language, then that of everything
+    else. Languages are smoothed towards ``chance``, worth ``strength`` trigrams. Everything else is ``chance``,
+    a ``margin`` less likely at each trigram (natural logarithm), so that it takes a text that clearly fits no language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: dict[str, np.ndarray] = {}
+            sums: dict[str | None, np.ndarray] = {None: np.zeros(256, np.int64)}
             for text, label in zip(batch.column(0), batch.column(1), strict=True):
                 if label.as_py() not in sums:
                     sums[label.as_py()] = np.zeros(GRAMS, np.int64)
                 sums[label.as_py()] += np.bincount(grams(text.as_py()), minlength=GRAMS)
+                sums[None] += np.bincount(letters(text.as_py()), minlength=256)
             for label, counts in sums.items():
                 at = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])], ["label", "gram", "n"])
 
-    counts = sample.select(text_col, F.col(label_col).cast("string")).mapInArrow(run, "label string, gram int, n bigint")
-    rows = counts.groupBy("label", "gram").agg(F.sum("n").alias("n")).collect()  # languages times GRAMS at most
-    labels = sorted({r.label for r in rows})
-    table = np.full((GRAMS, len(labels)), 0.1)
+    counts = map_texts(sample.where(F.col(label_col).isNotNull()).select(text_col, F.col(label_col).cast("string")), run, "label string, gram int, n bigint")
+    rows = counts.groupBy("label", "gram").agg(F.sum("n").alias("n")).collect()  # languages times GRAMS at most; without a label, bytes
+    labels = sorted({r.label for r in rows if r.label is not None})
+    table, seen = np.zeros((GRAMS, len(labels))), np.zeros(256, np.int64)
     for r in rows:
-        table[r.gram, labels.index(r.label)] += r.n
-    return labels, np.log(table / table.sum(axis=0)).astype(np.float32)
+        if r.label is None:
+            seen[r.gram] += r.n
+        else:
+            table[r.gram, labels.index(r.label)] += r.n
+    drawn = chance(seen)
+    table = np.log((table + strength * drawn[:, None]) / (table.sum(axis=0) + strength))
+    return labels, np.concatenate([table, (np.log(drawn) - margin)[:, None]], axis=1).astype(np.float32)
 
 
 def text_evidence(df: DataFrame, text_col: str, table: np.ndarray, cap: float) -> DataFrame:
-    """``df`` with its text replaced by t0, t1, ... (tempered log-likelihoods) and best (mean of the best language
-    for a trigram; null without letters)."""
+    """``df`` with its text replaced by t0, t1, ... (tempered log-likelihoods) and best (how much likelier a trigram is
+    in the best language than in the last class, on average; null without letters)."""
     held = df.sparkSession.sparkContext.broadcast(table)  # GRAMS rows, whatever the data
     many = table.shape[1]
     made = [f"t{k}" for k in range(many)]
@@ -90,7 +119,7 @@ def text_evidence(df: DataFrame, text_col: str, table: np.ndarray, cap: float) -
                     continue
                 mean = weights[found].mean(axis=0, dtype=np.float64)
                 out[row] = mean * (len(found) / (1 + len(found) / cap))
-                best.append(float(mean.max()))
+                best.append(float(mean[:-1].max() - mean[-1]))
             rest = [k for k in range(batch.num_columns) if k != at]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in rest), *(pa.array(out[:, k]) for k in range(many)), pa.array(best, pa.float64())], [*(batch.schema.names[k] for k in rest), *made, "best"])
 
@@ -122,17 +151,22 @@ def identify(
     domain: Column | None = None,
     cap: float = 60.0,
     smoothing: float = 5.0,
+    rest: float = 0.01,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per row of ``df``: carried columns, language, confidence (its posterior), text_fit, rejected.
 
-    A row is rejected, with language null, when its text has no letters or its trigrams
-    are less likely in every language than at random (text_fit below 0); without any
-    language every row is. Null text counts as empty. Null evidence counts as none; a null host takes its domain's or
-    the corpus's prior. Ties go to the language first in order. Repeated rows each
-    give a row, an empty table an empty result; other columns are not read.
+    ``table`` has a column for each language and one for everything else, whose prior is
+    ``rest`` before any row is seen and which takes part in all evidence like a language. A
+    row is rejected, with language null, when its text has no letters or everything else
+    has the largest posterior; without any language every row is. text_fit is the
+    average advantage of the best language at a trigram. Null text counts as empty. Null
+    evidence counts as none; a null host takes its domain's or the corpus's prior. Ties go
+    to the language first in order. Repeated rows each give a row, an empty table an empty
+    result; other columns are not read.
     """
-    n = len(labels)
+    n = len(labels) + 1
+    start = [(1 - rest) / max(1, n - 1)] * (n - 1) + [rest]
     nothing = F.lit(None).cast("string")
     if not labels:
         unknown = F.lit(None).cast("double")
@@ -144,12 +178,12 @@ def identify(
         *[(nothing if c is None else F.lower(c.cast("string"))).alias(name) for name, c in evidence.items()],
     )
     rows = text_evidence(source, "text", table, cap)
-    soft = [F.when(F.col("best").isNull(), F.lit(0.0)).otherwise(p).alias(f"p{k}") for k, p in enumerate(_softmax([F.col(f"t{k}") for k in range(n)]))]
+    soft = [F.when(F.col("best").isNull(), F.lit(0.0)).otherwise(p).alias(f"p{k}") for k, p in enumerate(_softmax([F.col(f"t{k}") + float(np.log(start[k])) for k in range(n)]))]
     rows = durable(rows.select("*", *soft))
     sums = [F.sum(f"p{k}").alias(f"s{k}") for k in range(n)]
     whole = rows.agg(*sums).first()
     total = sum(whole[f"s{k}"] or 0.0 for k in range(n))
-    share = [((whole[f"s{k}"] or 0.0) + 1.0) / (total + n) for k in range(n)]
+    share = [((whole[f"s{k}"] or 0.0) + n * start[k]) / (total + n) for k in range(n)]
     score = [F.col(f"t{k}") for k in range(n)]
 
     for name in ("declared", "suffix"):
@@ -179,13 +213,13 @@ def identify(
 
     score = [s + F.log(p) for s, p in zip(score, prior, strict=True)]
     posterior = F.array(*_softmax(score))
-    chance = F.lit(float(np.log(1.0 / GRAMS)))
-    out = rows.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(carry)], posterior.alias("post"), (F.col("best") - chance).alias("text_fit"))
-    rejected = F.coalesce(F.col("text_fit") < 0, F.lit(True))
+    out = rows.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(carry)], posterior.alias("post"), F.col("best").alias("text_fit"))
     top = F.array_max("post")
+    place = F.array_position("post", top).cast("int")
+    rejected = F.col("text_fit").isNull() | (place == n)
     return out.select(
         *carry,
-        F.when(~rejected, F.element_at(F.array(*map(F.lit, labels)), F.array_position("post", top).cast("int"))).alias("language"),
+        F.when(~rejected, F.element_at(F.array(*map(F.lit, [*labels, ""])), place)).alias("language"),
         F.when(~rejected, top).alias("confidence"),
         "text_fit",
         rejected.alias("rejected"),
