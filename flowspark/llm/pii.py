@@ -3,16 +3,21 @@
 A surrogate is drawn by a keyed hash of the entity's kind and normal form, so all
 mentions of an entity, however formatted, in any document get the same one. It keeps
 separators, lengths, letter case and script, and what the kind needs: vowels and
-consonants of names with the last letter that often tells the gender (titles stay),
-Luhn validity of card numbers, country codes of phone numbers, private or public
-ranges of addresses. Distinct entities must have distinct surrogates, none of them an
-entity of the corpus itself: a job over the table of distinct entities finds clashes
-and moves the clashing ones to their next draw until there are none.
+consonants of names, gendered endings of given names and the last letter of other names
+(titles stay), Luhn validity of card numbers, check digits of IBANs, country codes of
+phone numbers, private or public ranges of addresses. Each word of a name is an entity by
+itself, so a surname alone meets the surname in a full name; names found after a title
+are also replaced where the same text repeats them without one.
+
+Distinct entities must have distinct surrogates, none of them an entity of the corpus
+itself: a job over the table of distinct entities finds clashes and moves the clashing
+ones to their next draw (a name's then grows) until there are none.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -20,23 +25,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import map_texts
+from flowspark.llm.common import map_batches, map_texts
 from flowspark.session import durable
 
-TITLES = "Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Señor|Señora|Sra|Monsieur|Madame|Mme"
+#: Titles also stand in capitals, but for Ms and Mme, which are common abbreviations then.
+WORDS = ["Mr", "Mrs", "Miss", "Dr", "Prof", "Herr", "Frau", "Señor", "Señora", "Sra", "Monsieur", "Madame"]
+TITLES = "|".join([*WORDS, "Ms", "Mme", *(w.upper() for w in WORDS)])
+#: Given names whose surrogates take the endings of their gender.
+FEMALE = frozenset("mary anna anne maria emma erika eva sarah julia laura marie sophie claire camille carmen lucia elena sofia isabel ingrid helga petra sabine susan linda karen lisa nancy betty helen sandra donna carol ruth sharon michelle jane alice emily olivia amelia grace charlotte".split())
+MALE = frozenset("john james robert michael william david richard thomas bob paul mark george peter hans karl heinz klaus jürgen stefan wolfgang max felix jean pierre jacques louis michel juan carlos josé luis miguel pedro antonio daniel matthew anthony steven andrew kevin brian henry jack oliver noah liam".split())
+ENDINGS = {"f": ("a", "ia", "ina", "ella"), "m": ("o", "us", "an", "er")}
 _NAME = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
-# Every part is bounded or starts at the edge of a run, so that the search is linear in the text.
+# Every part starts at the edge of a run, and is bounded or gives nothing back, so that the search is linear in the text.
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.%+\-])[\w.%+\-]{1,64}@(?:[\w\-]{1,63}\.){1,8}[^\W\d_]{2,24})"
-    r"|(?P<secret>(?<=[\"'])[A-Za-z0-9_\-+/=]{16,256}(?=[\"'])|\b[0-9a-f]{32,128}\b|\b[0-9A-F]{32,128}\b)"
+    r"|(?P<secret>(?<=[\"'])[A-Za-z0-9_\-+/=.]{16,}+(?=[\"'])|\b[0-9a-f]{32,}+\b|\b[0-9A-F]{32,}+\b)"
+    r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
+    r"|(?P<ipv6>(?<![\w:.])(?=[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:)[0-9A-Fa-f:]{3,39}(?![\w:]))"
     r"|(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<phone>\+\d{1,3}[ .\-]?\(\d{1,4}\)[ .\-]?\d{2,4}[ .\-]?\d{2,4}(?:[ .\-]\d{2,4})?\b|\+\d{8,15}\b|\+\d{1,3}(?:[ .\-]\d{2,4}){2,4}\b"
-    r"|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}\b|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-]))"
+    r"|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}\b|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])|(?<![\w.])(?<!\d )\d{3}(?P<between>[. ])\d{3}(?P=between)\d{4}(?!\w|[. ]\d))"
     r"|(?P<card>(?<![\w.])(?:\d{13,19}|\d{4}(?: \d{4}){2} \d{1,4}|\d{4}(?:-\d{4}){2}-\d{1,4}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w|\.\d))"
     rf"|(?P<person>\b(?:{TITLES})\b\.? (?P<name>{_NAME}(?: (?!(?:{TITLES})\b){_NAME})?))"
 )
-MAYBE = re.compile(rf"[0-9@]|\b(?:{TITLES})\b|[\"'][A-Za-z0-9_\-+/=]{{16}}")
+MAYBE = re.compile(rf"[\d@:]|\b(?:{TITLES})\b|[\"'][A-Za-z0-9_\-+/=.]{{16}}|[0-9a-fA-F]{{32}}")
 LEAST_DRAWS = 10**7
 
 
@@ -53,6 +66,8 @@ HEX = "0123456789abcdef"
 def _alphabet(c: str) -> str | None:
     """The alphabet of a lower-case character: its group, or the letters of its block of 64 code points."""
     known = ALPHABETS.get(c)
+    if known is None and c.isdecimal():  # the ten digits of another script
+        return "".join(chr(ord(c) - int(c) + d) for d in range(10))
     if known or not c.isalpha():
         return known
     first = ord(c) & ~63
@@ -64,23 +79,44 @@ def _number(key: bytes, kind: str, norm: str, draw: int) -> int:
     return int.from_bytes(hashlib.blake2b(data, key=key, digest_size=64).digest(), "big") | int.from_bytes(hashlib.blake2b(data + b"\1", key=key, digest_size=64).digest(), "big") << 512
 
 
-def _drawn(key: bytes, kind: str, norm: str, draw: int, keep_last: bool = False, lengthen: bool = True) -> str:
-    """``norm`` with every letter and digit replaced; short ones grow until there are enough draws."""
-    value, size, out, used = _number(key, kind, norm, draw), 1, [], None
-    for c in norm[:-1] if keep_last else norm:
-        alphabet = HEX if kind == "secret" and set(norm) <= set(HEX) else _alphabet(c)
+def _drawn(key: bytes, kind: str, norm: str, draw: int, kept: int = 0, grow: int = 0) -> str:
+    """``norm`` with every letter and digit replaced but for the last ``kept``; ``grow`` characters more stand before those."""
+    value, out, used = _number(key, kind, norm, draw), [], None
+    hexadecimal = kind == "secret" and set(norm.lower()) <= set(HEX)
+    for c in norm[: len(norm) - kept]:
+        alphabet = (HEX.upper() if c.isupper() else HEX) if hexadecimal and (c.isdigit() or c.isalpha()) else _alphabet(c)
         if alphabet:
             value, k = divmod(value, len(alphabet))
             if value == 0:
                 value = _number(key, kind, norm + str(len(out)), draw)
             c, used = alphabet[k], alphabet
-            size *= len(alphabet)
         out.append(c)
-    while lengthen and used and size < LEAST_DRAWS:
+    for _ in range(grow if used else 0):
         value, k = divmod(value, len(used))
         out.append(used[k])
-        size *= len(used)
-    return "".join(out) + (norm[-1] if keep_last else "")
+    return "".join(out) + norm[len(norm) - kept :]
+
+
+def _short(norm: str) -> int:
+    """Characters that a text lacks to have some LEAST_DRAWS draws."""
+    size, used = 1, None
+    for c in norm:
+        used = _alphabet(c) or used
+        size *= len(_alphabet(c) or "-")
+    more = 0
+    while used and size < LEAST_DRAWS:
+        size, more = size * len(used), more + 1
+    return more
+
+
+def _name(key: bytes, norm: str, draw: int) -> str:
+    """A word of a name: of the same length, longer by a letter every fourth draw."""
+    gender = "f" if norm in FEMALE else "m" if norm in MALE else None
+    if gender is None:
+        return _drawn(key, "person", norm, draw, int(len(norm) > 2), (draw + 3) // 4)
+    fitting = [e for e in ENDINGS[gender] if len(e) + 2 <= len(norm)] or [ENDINGS[gender][0]]
+    ending = fitting[_number(key, "ending", norm, draw) % len(fitting)]
+    return _drawn(key, "person", norm[: len(norm) - len(ending)], draw, 0, (draw + 3) // 4) + ending
 
 
 def _luhn(digits: str) -> int:
@@ -93,16 +129,30 @@ def normal(kind: str, value: str) -> str:
         return re.sub(r"\D", "", value)
     if kind == "ip":
         return ".".join(str(int(x)) for x in value.split("."))
+    if kind == "ipv6":
+        return str(ipaddress.IPv6Address(value))
+    if kind == "iban":
+        return value.replace(" ", "")
     return value if kind == "secret" else value.lower()
 
 
+def units(kind: str, value: str) -> list[tuple[str, str]]:
+    """The entities of a mention, (kind, normal form): the words of a name, else the mention itself."""
+    return [(kind, normal(kind, w)) for w in value.split(" ")] if kind == "person" else [(kind, normal(kind, value))]
+
+
+def _iban_rest(value: str) -> int:
+    """1 for a valid IBAN."""
+    return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97
+
+
 def surrogate(key: bytes, kind: str, norm: str, draw: int) -> str:
     """The normal form of the surrogate."""
     if kind == "email":
         local, _, domain = norm.rpartition("@")
         *labels, top = domain.split(".")
         # A domain has one surrogate of its own, whatever stands before it.
-        return _drawn(key, kind + domain, local, draw) + "@" + ".".join([*(_drawn(key, "domain", x, 0) for x in labels), top])
+        return _drawn(key, kind + domain, local, draw, grow=(draw + 3) // 4) + "@" + ".".join([*(_drawn(key, "domain", x, 0, grow=_short(x)) for x in labels), top])
     if kind == "ip":
         value = _number(key, kind, norm, draw)
         a, b, *_ = map(int, norm.split("."))
@@ -118,50 +168,121 @@ def surrogate(key: bytes, kind: str, norm: str, draw: int) -> str:
             if octets[0] in (10, 127) or tuple(octets[:2]) == (192, 168) or octets[0] == 172:
                 octets[0] = 11
         return ".".join(map(str, octets))
+    if kind == "ipv6":
+        old = int(ipaddress.IPv6Address(norm))
+        # Link-local, local and documentation prefixes stay; all else becomes a global address.
+        bits = next((b for b, p in ((16, 0xFE80 << 112), (7, 0xFC << 120), (32, 0x20010DB8 << 96)) if old >> 128 - b == p >> 128 - b), None)
+        kept = old if bits else 1 << 125
+        low = (1 << 128 - (bits or 3)) - 1
+        return str(ipaddress.IPv6Address(kept & ~low | _number(key, kind, norm, draw) & low))
+    if kind == "iban":
+        body = _drawn(key, kind, norm[4:].lower(), draw).upper()
+        return f"{norm[:2]}{98 - _iban_rest(norm[:2] + '00' + body):02d}{body}"
     if kind == "card":
-        body = _drawn(key, kind, norm[:-1], draw, lengthen=False)
+        body = _drawn(key, kind, norm[:-1], draw)
         valid = _luhn(norm) == 0
         last = next(str(d) for d in range(10) if (_luhn(body + str(d)) == 0))
         return body + (last if valid else str((int(last) + 1 + _number(key, "check", norm, draw) % 9) % 10))
     if kind == "phone":
         kept = 1 if len(norm) == 11 and norm[0] == "1" else 2 if len(norm) > 10 else 0  # the country code
-        return norm[:kept] + _drawn(key, kind, norm[kept:], draw, lengthen=False)
-    if kind == "person":
-        return " ".join(_drawn(key, f"name{k}", word, draw, keep_last=len(word) > 2) for k, word in enumerate(norm.split(" ")))
-    return _drawn(key, kind, norm, draw, lengthen=kind != "ssn")
+        return norm[:kept] + _drawn(key, kind, norm[kept:], draw)
+    return _name(key, norm, draw) if kind == "person" else _drawn(key, kind, norm, draw)
 
 
 def _formatted(kind: str, value: str, new: str) -> str:
-    """The surrogate's normal form, written as the mention was."""
+    """The surrogate's normal form, written as the mention (of a name, its word) was."""
     if kind in ("phone", "card", "ssn"):
         digits = iter(new)
         return "".join(next(digits) if c.isdigit() else c for c in value)
-    if kind in ("ip", "secret"):
+    if kind == "iban":
+        letters = iter(new)
+        return "".join(c if c == " " else next(letters) for c in value)
+    if kind in ("ip", "ipv6", "secret"):
         return new
-    if value.isupper():
+    if value.isupper() and len(value) > 1:
         return new.upper()
-    words = value.split(" ") if kind == "person" else [value]
-    return " ".join(n[:1].upper() + n[1:] if w[:1].isupper() else n for n, w in zip(new.split(" ") if kind == "person" else [new], words, strict=True))
+    return new[:1].upper() + new[1:] if value[:1].isupper() else new
+
+
+def _is_name(word: str) -> bool:
+    """Whether a word can be one of a name: it begins with a capital or with a letter of a script without capitals."""
+    return word[0].isupper() or word[0].lower() == word[0].upper()
+
+
+def _in_small_letters(word: str, text: str) -> bool:
+    """Whether a word that begins with a capital also stands in the text without capitals, not as part of an address."""
+    return word != word.lower() and re.search(rf"(?<![\w@.]){re.escape(word.lower())}(?![\w@]|\.\w)", text) is not None
+
+
+def _judged(kind: str, value: str) -> bool:
+    """Whether what looks like an entity is one."""
+    if kind == "ip":
+        return all(int(x) <= 255 for x in value.split("."))
+    if kind == "ipv6":
+        try:
+            return int(ipaddress.IPv6Address(value)) > 1
+        except ValueError:
+            return False
+    if kind == "iban":
+        return 15 <= len(value.replace(" ", "")) <= 34 and _iban_rest(value.replace(" ", "")) == 1
+    if kind == "secret":  # not a long number, and with dots neither a name of a file nor a host
+        return not value.isdigit() and ("." not in value or any(c.isdigit() for c in value) and any(c.isupper() for c in value))
+    return True
 
 
 def mentions(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """(start, end, kind, value) of each entity, from left to right."""
+    """(start, end, kind, value) of each entity, from left to right.
+
+    A name follows a title: one word, or two if the second doesn't stand in the text in
+    small letters, too. Its words are mentions wherever else they stand as whole words
+    with the same first letter, unless the text has them in small letters as well.
+    """
     if not MAYBE.search(text):
         return
-    for m in PATTERN.finditer(text):
-        kind = m.lastgroup if m.lastgroup != "name" else "person"
+    found, names, at = [], set(), 0
+    while m := PATTERN.search(text, at):
+        kind = m.lastgroup
         start, end = m.span("name") if kind == "person" else m.span()
         value = text[start:end]
-        if kind == "ip" and any(int(x) > 255 for x in value.split(".")):
-            continue
         if kind == "person":
-            words = [w for w in value.split(" ")]
-            capital = next((k for k, w in enumerate(words) if not w[0].isupper()), len(words))
-            if not capital:
+            words = value.split(" ")
+            if not _is_name(words[0]):
+                at = start
                 continue
-            value = " ".join(words[:capital])
+            if len(words) == 2 and (not _is_name(words[1]) or _in_small_letters(words[1], text)):
+                words = words[:1]
+            value = " ".join(words)
             end = start + len(value)
-        yield start, end, kind, value
+            names.update(words)
+        at = end
+        if _judged(kind, value):
+            found.append((start, end, kind, value))
+    if names:
+        names = {w for w in names if len(w) > 1 and not _in_small_letters(w, text)}
+        names |= {f for w in names for f in (w.upper(), w[:1] + w[1:].lower())}
+    if names:
+        word = "|".join(sorted(map(re.escape, names), key=len, reverse=True))
+        again = re.compile(rf"(?<![\w@.])(?:{word})(?: (?:{word}))*(?!\w|@|\.\w)")
+        taken, k = list(found), 0
+        for m in again.finditer(text):
+            while k < len(taken) and taken[k][1] <= m.start():
+                k += 1
+            if k == len(taken) or taken[k][0] >= m.end():
+                found.append((m.start(), m.end(), "person", m.group()))
+        found.sort()
+    yield from found
+
+
+def replaced(text: str, key: bytes, draw_of) -> tuple[str, dict[str, int]]:
+    """The text with surrogates, and the number of mentions by kind. ``draw_of`` gives the draw of (kind, normal form)."""
+    out, at, count = [], 0, {}
+    for start, end, kind, value in mentions(text):
+        words = value.split(" ") if kind == "person" else [value]
+        new = [_formatted(kind, w, surrogate(key, *unit, draw_of(unit))) for w, unit in zip(words, units(kind, value), strict=True)]
+        out += [text[at:start], " ".join(new)]
+        at = end
+        count[kind] = count.get(kind, 0) + 1
+    return (text if not out else "".join([*out, text[at:]])), count
 
 
 def entities(df: DataFrame, text_col: str) -> DataFrame:
@@ -169,7 +290,7 @@ def entities(df: DataFrame, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {(kind, normal(kind, value)) for t in batch.column(0) for _, _, kind, value in mentions(t.as_py() or "")}
+            found = {unit for t in batch.column(0) for _, _, kind, value in mentions(t.as_py() or "") for unit in units(kind, value)}
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([n for _, n in found], pa.string())], ["kind", "norm"])
 
     return map_texts(df.select(text_col), run, "kind string, norm string").distinct()
@@ -186,7 +307,7 @@ def clashing(found: DataFrame, key: bytes, most_draws: int = 50) -> DataFrame:
 
     drawn = found.select("kind", "norm", F.lit(0).alias("draw"))
     for _ in range(most_draws):
-        made = durable(drawn.mapInArrow(run, "kind string, norm string, draw int, made string"))
+        made = durable(map_batches(drawn, run, "kind string, norm string, draw int, made string"))
         taken = found.select("kind", F.col("norm").alias("made"), F.lit(True).alias("taken"))
         firsts = durable(made.groupBy("kind", "made").agg(F.min("norm").alias("first"), F.count(F.lit(1)).alias("n")).join(taken, ["kind", "made"], "left").where("n > 1 or taken"))
         if firsts.isEmpty():
@@ -225,15 +346,9 @@ def replace_pii(df: DataFrame, key: bytes, text_col: str = "text", most_broadcas
         for batch in batches:
             texts, totals, kinds = [], [], []
             for text, own in zip(batch.column(at).to_pylist(), batch.column(last), strict=True):
-                out, end, count = [], 0, {}
                 draws = dict(own.as_py() or ())
-                for start, stop, kind, value in mentions(text or ""):
-                    norm = normal(kind, value)
-                    draw = few.get((kind, norm), 0) or draws.get(f"{kind} {norm}", 0)
-                    out += [text[end:start], _formatted(kind, value, surrogate(key, kind, norm, draw))]
-                    end = stop
-                    count[kind] = count.get(kind, 0) + 1
-                texts.append(text if not out else "".join([*out, text[end:]]))
+                new, count = replaced(text or "", key, lambda unit, draws=draws: few.get(unit, 0) or draws.get(" ".join(unit), 0))
+                texts.append(new if count else text)
                 totals.append(sum(count.values()))
                 kinds.append(sorted(count.items()))
             columns = batch.columns[:last]
@@ -250,11 +365,11 @@ def _with_draws(rows: DataFrame, later: DataFrame, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(h.as_py(), g.as_py(), kind, normal(kind, value)) for h, g, t in zip(*batch.columns, strict=True) for _, _, kind, value in mentions(t.as_py() or "")]
+            found = [(h.as_py(), g.as_py(), *unit) for h, g, t in zip(*batch.columns, strict=True) for _, _, kind, value in mentions(t.as_py() or "") for unit in units(kind, value)]
             columns = list(zip(*found, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.string()), strict=True)], ["h", "g", "kind", "norm"])
 
-    pairs = texts.mapInArrow(run, "h bigint, g int, kind string, norm string").distinct().join(later, ["kind", "norm"])
+    pairs = map_batches(texts, run, "h bigint, g int, kind string, norm string").distinct().join(later, ["kind", "norm"])
     entry = F.struct(F.concat_ws(" ", "kind", "norm").alias("key"), F.col("draw").alias("value"))
     draws = durable(pairs.groupBy("h", "g").agg(F.map_from_entries(F.collect_list(entry)).alias("later draws")))
     keyed = rows.withColumn("h of text", F.xxhash64(text_col)).withColumn("g of text", F.hash(text_col))

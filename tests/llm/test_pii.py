@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from flowspark.llm import pii
-from flowspark.llm.pii import _luhn, clashing, mentions, normal, replace_pii
+from flowspark.llm.pii import FEMALE, MALE, _iban_rest, _luhn, clashing, mentions, normal, replace_pii, replaced, surrogate
 
 KEY = b"test key"
 
@@ -36,6 +36,8 @@ def test_surrogates_keep_kind_and_format(spark):
             assert len(a) == len(b) and [c.isdigit() for c in a] == [c.isdigit() for c in b] or kind == "secret"
         if kind == "card":
             assert (_luhn(normal(kind, a)) == 0) == (_luhn(normal(kind, b)) == 0)
+        if kind in ("person", "email"):
+            assert kind == "email" or len(a) == len(b)
     addresses = [v for k, v in new if k == "ip"]
     assert addresses[0].startswith("192.168.") and addresses[1].startswith("10.") and not addresses[2].startswith(("10.", "192.168."))
     people = [v for k, v in new if k == "person"]
@@ -84,3 +86,53 @@ def test_query_leaves_no_entity_and_clean_texts_alone(spark, sf_dir):
             assert pairs.setdefault((k, normal(k, a)), normal(k, b)) == normal(k, b)
             assert normal(k, b) not in before
     assert len(set(pairs.values())) == len(pairs)
+
+
+def new(text):
+    return replaced(text, KEY, lambda unit: 0)[0]
+
+
+def test_names_keep_coreference():
+    """By another way: words of names and their places are written down here."""
+    text = "Frau Erika Mustermann came. Frau Mustermann left, and Erika stayed. MR JOHN SMITH met John Smith; Smith, John. Mr. Smith The end of the smithy. erika@x.org"
+    places = {w: [k for k in range(len(text)) if text.startswith(w, k)] for w in ("Erika", "Mustermann")}
+    out = new(text)
+    assert "Mustermann" not in out and "Erika " not in out and "SMITH" not in out and "Smith" not in out and "John" not in out
+    for word, at in places.items():
+        assert len(at) == 2 and len({out[a : a + len(word)] for a in at}) == 1
+    first = out.index("MR ") + 3
+    john, smith = out[first : first + 4], out[first + 5 : first + 10]
+    assert out[first + 11 :].startswith(f"met {john.capitalize()} {smith.capitalize()}; {smith.capitalize()}, {john.capitalize()}. Mr. {smith.capitalize()} The end of the smithy. ")
+
+
+def test_gender_length_and_script():
+    for title, names, endings in (("Mr.", MALE, ("o", "us", "an", "er")), ("Ms.", FEMALE, ("a", "ia", "ina", "ella"))):
+        for name in names:
+            made = surrogate(KEY, "person", name, 0)
+            assert len(made) == len(name) and made.endswith(endings)
+            assert new(f"{title} {name.capitalize()}") == f"{title} {made.capitalize()}"
+    assert [len(surrogate(KEY, "person", "li", d)) for d in (0, 1, 5)] == [2, 3, 4]
+    text = new("Prof. 王 小明, Dr. Иванова")
+    assert "王" not in text and "小明" not in text and text.endswith("а") and all(c > "\u3000" for c in text[6:].split(",")[0].replace(" ", ""))
+
+
+def test_secrets_of_any_length_phones_and_other_numbers():
+    for secret in ("A1b2" * 100, "ab.CD.12" * 60):
+        out = new(f'key = "{secret}"')
+        assert len(out) == len(secret) + 8 and out[7:-1] != secret and [c == "." for c in out[7:-1]] == [c == "." for c in secret]
+    assert "0f" * 100 not in new("sum " + "0f" * 100) and len(new("sum " + "0f" * 100)) == 204
+    for text, form in (("call 555.123.4567 now", "call ddd.ddd.dddd now"), ("555 123 4567", "ddd ddd dddd"), ("٣٥٥-١٢٣-٤٥٦٧", None)):
+        out = new(text)
+        assert out != text and (form is None or "".join("d" if c.isdigit() else c for c in out) == form)
+    assert new("fe80::1:2").startswith("fe80") and new("2001:db8::17 x").startswith("2001:db8:") and new("2a00:1450::68 x")[0] in "23"
+    iban = new("to DE89 3704 0044 0532 0130 00.")
+    assert iban != "to DE89 3704 0044 0532 0130 00." and iban.startswith("to DE") and _iban_rest(iban[3:-1].replace(" ", "")) == 1 and len(iban) == 31
+    for text in ("12:30:45 and 10:20", "std::vector", "1234567890" * 5, '"documentation.example.org"', "2024 100 2000 10", "Dr. who"):
+        assert new(text) == text
+
+
+def test_entities_in_a_very_long_text(spark):
+    long = "word " * 200_000 + "Mr. Smith mails a.b@example.com. " + "word " * 200_000 + "Smith"
+    out = replace_pii(spark.createDataFrame([(1, long), (2, long)], "doc_id long, text string"), KEY).collect()
+    assert out[0].text == out[1].text and out[0].n_found == 3 and "Smith" not in out[0].text and "a.b@example" not in out[0].text
+    assert out[0].text.count("word ") == 400_000
