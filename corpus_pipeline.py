@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import table
+from flowspark.llm.common import delete_folder, table
 from flowspark.llm.decontaminate import without_contaminated
 from flowspark.llm.language_id import keep_identified
 from flowspark.llm.line_dedup import drop_common_lines
@@ -60,4 +60,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{k}_{name}")
             docs = spark.read.parquet(f"{folder}/{k}_{name}")
+            if k:
+                delete_folder(spark, f"{folder}/{k - 1}_{STAGES[k - 1][0]}")
     return docs

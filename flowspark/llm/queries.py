@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowspark.llm.bpe import bpe_decode, bpe_encode
-from flowspark.llm.common import lower_ascii, table
+from flowspark.llm.common import delete_folder, lower_ascii, table
 from flowspark.llm.decontaminate import contaminated
 from flowspark.llm.exact_dedup import exact_dedup
 from flowspark.llm.language_id import declared_language, domain_of, fit, host_of, identify, page_text, sample_of, suffix_of
@@ -18,8 +18,8 @@ from flowspark.llm.pii import replace_pii
 from flowspark.llm.simhash import simhash_components
 from flowspark.llm.suffix_tree import score_texts
 from flowspark.llm.url_filter import judge_urls
-from flowspark.llm.warc import chunk_payloads, mark_revisits, read_warc, write_warc
-from flowspark.session import shared_dir
+from flowspark.llm.warc import read_warc, warc_records, write_warc
+from flowspark.session import durable, shared_dir
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,13 +106,15 @@ def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the pages as archives in the shared folder and reads them back; all columns come from the archives."""
     path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    pages = mark_revisits(table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("target_uri"), "html"), "page_id", "html")
+    pages = warc_records(table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("target_uri"), "html"), "page_id", "html")
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("none")))
-    records = pages.select(urn("page_id").alias("record_id"), "record_type", "target_uri", urn("refers_to").alias("refers_to"), "payload_bytes", "payload_digest", "html")
-    write_warc(chunk_payloads(records, "html"), path)
+    records = pages.select(urn("page_id").alias("record_id"), "record_type", "target_uri", urn("refers_to").alias("refers_to"), "payload_bytes", "payload_digest", "chunk_no", "data")
+    write_warc(records, path)
     page = lambda c: F.expr(f"try_cast(substring({c}, 10) as bigint)")
     ends = read_warc(spark, path, with_data=False).where("is_last")
-    return ends.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+    out = durable(ends.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to")))
+    delete_folder(spark, path)
+    return out
 
 
 OP6_SQL = """

@@ -1,16 +1,21 @@
 """WARC archives as a chunked record table.
 
 A record is one or more rows (record_id, chunk_no, data, ...) in order, so that no
-payload needs to be a single value: the writer streams chunks into one gzip member per
-record, the reader streams them out again with a running SHA-256, and both hold one
-chunk at a time. ``warc`` is a Spark data source; files that tasks wrote are moved
-into place when the job commits, so a lost executor or a second attempt leaves nothing.
+payload needs to be a single value, and what is shuffled and sorted are rows of a chunk:
+the writer streams chunks into one gzip member per record and holds their running SHA-256
+against the one announced, the reader streams them out again with a running SHA-256, and
+both hold one chunk at a time. ``warc`` is a Spark data source; files that tasks wrote are
+moved into place when the job commits, under names of their own, so a lost executor or a
+second attempt leaves nothing and a second job adds to the first.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import itertools
+import time
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,7 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from flowspark.llm.common import map_texts
 from flowspark.session import durable
+from flowspark.sources.pcap import put_in_place
 
 CHUNK_BYTES = 1 << 20
 #: What a writer takes; payload_bytes and payload_digest (SHA-256, hex) are those of the full payload.
@@ -61,31 +68,38 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, overwrite: bool) -> None:
+        self.path, self.overwrite = path, overwrite
+        self.job = f"{time.time_ns():019d}-{uuid.uuid4().hex[:8]}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         task = TaskContext.get()
         system, folder = _open(self.path)
         system.create_dir(folder, recursive=True)
-        final = f"{folder}/part-{task.partitionId():05d}.warc.gz"
+        final = f"{folder}/part-{self.job}-{task.partitionId():05d}.warc.gz"
         temporary = f"{folder}/_attempt-{task.partitionId():05d}-{task.taskAttemptId()}"
         with system.open_output_stream(temporary) as out:
-            member, left = None, 0
+            member, left, running, digest = None, 0, None, None
             for batch in iterator:
                 for k in range(batch.num_rows):
                     r = {name: column[k].as_py() for name, column in zip(batch.schema.names, batch.columns, strict=True)}
                     if r["chunk_no"] == 0:
                         if left:
                             raise ValueError(f"a record ended {left} bytes short of its length")
-                        member = zlib.compressobj(1, wbits=31)
+                        member, running = zlib.compressobj(1, wbits=31), hashlib.sha256()
+                        digest = None if r["record_type"] == "revisit" else r["payload_digest"]
                         left = 0 if r["record_type"] == "revisit" else r["payload_bytes"]
                         out.write(member.compress(record_head(r["record_type"], r["record_id"], r["target_uri"], r["refers_to"], r["payload_bytes"], r["payload_digest"])))
+                    elif member is None:
+                        raise ValueError("a record's chunks are not in order")
                     out.write(member.compress(r["data"] or b""))
+                    running.update(r["data"] or b"")
                     left -= len(r["data"] or b"")
                     if left < 0:
                         raise ValueError("a record is longer than its length says")
                     if left == 0:
+                        if digest is not None and running.hexdigest() != digest:
+                            raise ValueError(f"{r['record_id']} is not what its digest says")
                         out.write(member.compress(b"\r\n\r\n") + member.flush())
                         member = None
             if left:
@@ -93,10 +107,8 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(temporary, final)
 
     def commit(self, messages: list[Written | None]) -> None:
-        system, _ = _open(self.path)
-        for m in messages:
-            if m is not None:
-                system.move(m.temporary, m.final)
+        system, folder = _open(self.path)
+        put_in_place(system, folder, [(m.temporary, m.final) for m in messages if m is not None], self.overwrite)
 
     def abort(self, messages: list[Written | None]) -> None:
         system, _ = _open(self.path)
@@ -200,7 +212,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options["path"], self.options.get("with_data", "true") == "true", int(self.options.get("chunk_bytes", CHUNK_BYTES)))
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], overwrite)
 
 
 def mark_revisits(df: DataFrame, id_col: str, payload_col: str, least_bytes: int = 100) -> DataFrame:
@@ -213,10 +225,12 @@ def mark_revisits(df: DataFrame, id_col: str, payload_col: str, least_bytes: int
 
     A payload that a third of the rows share is counted before the shuffle, and its
     rows meet their response in a join whose large partitions adaptive execution splits.
+    Leave payloads out of ``df`` but for ``payload_col``, which is not in the result: only
+    its length and digest go through the join.
     """
     made = ("payload_bytes", "payload_digest", "record_type", "refers_to")
     data = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    rows = df.drop(*made).withColumn("payload_bytes", F.octet_length(data).cast("long")).withColumn("payload_digest", F.sha2(data, 256))
+    rows = df.drop(*made).withColumn("payload_bytes", F.octet_length(data).cast("long")).withColumn("payload_digest", F.sha2(data, 256)).drop(payload_col)
     long = rows.where(F.col("payload_bytes") >= least_bytes)
     groups = long.groupBy("payload_digest").agg(F.min(id_col).alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
     groups = durable(groups.select(F.col("payload_digest").alias("group_key"), "refers_to"))
@@ -228,19 +242,58 @@ def mark_revisits(df: DataFrame, id_col: str, payload_col: str, least_bytes: int
 
 
 def chunk_payloads(df: DataFrame, payload_col: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """``df`` with the payload in chunks: columns chunk_no and data, one row at least; revisits have no data."""
-    data = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")))
-    rows = df.withColumn("whole", data).drop(payload_col)
+    """``df`` with the payload in chunks: columns chunk_no and data, one row at least (null counts as empty), each row's
+    chunks in order."""
+    rows = df.withColumn("whole", F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))).drop(payload_col)
     last = F.greatest(F.lit(0), F.ceil(F.octet_length("whole") / chunk_bytes).cast("int") - 1)
     rows = rows.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), last)))
     return rows.withColumn("data", F.expr(f"substring(whole, chunk_no * {chunk_bytes} + 1, {chunk_bytes})")).drop("whole")
 
 
-def write_warc(chunks: DataFrame, path: str) -> None:
-    """Write rows of RECORD, each record's rows in order within a partition; one archive a partition."""
+def digest_chunks(chunks: DataFrame) -> DataFrame:
+    """(record_id, payload_bytes, payload_digest) of rows (record_id, chunk_no, data): for payloads that come in chunks
+    and are too large for one value. A task holds a chunk and the running digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        record, running, size, done = None, None, 0, []
+        for batch in itertools.chain(batches, [None]):
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True) if batch is not None else [(None, 0, None)]
+            for name, number, data in rows:
+                if number == 0:
+                    if running is not None:
+                        done.append((record, size, running.hexdigest()))
+                    record, running, size = name, hashlib.sha256(), 0
+                elif name != record:
+                    raise ValueError(f"{name} has no first chunk")
+                running.update(data or b"")
+                size += len(data or b"")
+            if len(done) > 1000 or batch is None:
+                yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.string()))], ["record_id", "payload_bytes", "payload_digest"])
+                done = []
+
+    rows = chunks.select("record_id", "chunk_no", "data").repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
+    return map_texts(rows, run, "record_id string, payload_bytes bigint, payload_digest string")
+
+
+def warc_records(df: DataFrame, id_col: str, payload_col: str, least_bytes: int = 100, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``df`` as chunk rows with payload_bytes, payload_digest, record_type and refers_to (see ``mark_revisits``), without
+    ``payload_col``; revisits have one row without data. Payloads are cut before they meet what was found out about them."""
+    facts = ("payload_bytes", "payload_digest", "record_type", "refers_to")
+    marked = mark_revisits(df.select(F.col(id_col).alias("id"), F.col(payload_col).alias("payload")), "id", "payload", least_bytes).distinct()
+    data = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
+    rows = df.drop(*facts).withColumn("digest of row", F.sha2(data, 256)).withColumn("number of row", F.monotonically_increasing_id())
+    chunks = chunk_payloads(rows, payload_col, chunk_bytes)
+    met = chunks.join(marked, chunks[id_col].eqNullSafe(marked["id"]) & (chunks["digest of row"] == marked["payload_digest"])).drop("id")
+    met = met.where("record_type = 'response' or chunk_no = 0").withColumn("data", F.when(F.col("record_type") == "response", F.col("data")).otherwise(F.lit(b"")))
+    return met.sortWithinPartitions("number of row", "chunk_no").drop("digest of row", "number of row")
+
+
+def write_warc(chunks: DataFrame, path: str, mode: str = "append") -> None:
+    """Write rows of RECORD, each record's rows in order within a partition; one archive a partition. By default they are
+    added to those in the folder; ``mode`` overwrite replaces them."""
     chunks.sparkSession.dataSource.register(WarcSource)
     columns = [part.split()[0] for part in RECORD.split(", ")]
-    chunks.select(*[F.col(c).cast(k) for c, k in (part.split() for part in RECORD.split(", "))]).toDF(*columns).write.format("warc").mode("append").save(path)
+    chunks.select(*[F.col(c).cast(k) for c, k in (part.split() for part in RECORD.split(", "))]).toDF(*columns).write.format("warc").mode(mode).save(path)
 
 
 def read_warc(spark: SparkSession, path: str, with_data: bool = True) -> DataFrame:

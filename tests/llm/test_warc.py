@@ -3,9 +3,12 @@ import hashlib
 import io
 
 import pytest
+from pyarrow import fs
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from flowspark.llm.warc import RECORD, chunk_payloads, mark_revisits, read_records, read_warc, record_head, write_warc
+from flowspark.llm.warc import RECORD, digest_chunks, read_records, read_warc, record_head, warc_records, write_warc
+from flowspark.sources.pcap import put_in_place
 from tests.oracle import connect, same
 
 PAYLOADS = [(1, b"a" * 100), (2, b"a" * 100), (2, b"a" * 100), (0, b"a" * 99), (9, b"a" * 99), (3, None), (4, b""), (None, b"a" * 100), (5, b"\r\n\r\nWARC/1.1\r\n" * 9), (6, bytes(range(256)) * 9000), (None, b"b" * 200), (None, b"b" * 200)]
@@ -13,9 +16,9 @@ PAYLOADS = [(1, b"a" * 100), (2, b"a" * 100), (2, b"a" * 100), (0, b"a" * 99), (
 
 def test_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(i, p, "http://x/\r\ny", "clash") for i, p in PAYLOADS], "page_id long, payload binary, target_uri string, refers_to string")
-    marked = mark_revisits(df, "page_id", "payload")
-    rows = marked.selectExpr("concat('urn:page:', coalesce(string(page_id), 'null')) record_id", "record_type", "target_uri", "'urn:page:' || refers_to refers_to", "payload_bytes", "payload_digest", "payload")
-    write_warc(chunk_payloads(rows, "payload", 1000), str(tmp_path))
+    marked = warc_records(df, "page_id", "payload", chunk_bytes=1000)
+    rows = marked.selectExpr("concat('urn:page:', coalesce(string(page_id), 'null')) record_id", "record_type", "target_uri", "'urn:page:' || refers_to refers_to", "payload_bytes", "payload_digest", "chunk_no", "data")
+    write_warc(rows, str(tmp_path))
     got = {}
     for r in sorted(read_warc(spark, str(tmp_path)).collect(), key=lambda r: (r.record_id, r.record_type, r.payload_bytes, r.chunk_no)):
         got.setdefault((r.record_id, r.record_type), []).append(r)
@@ -34,6 +37,36 @@ def test_round_trip(spark, tmp_path):
     assert raw.count(b"WARC-Record-ID: <urn:") == len(PAYLOADS) and not list(tmp_path.glob("_attempt*"))
 
 
+def test_jobs_add_or_replace(spark, tmp_path):
+    records = lambda names: warc_records(spark.createDataFrame([(n, b"x" * n, None) for n in names], "page_id long, payload binary, target_uri string"), "page_id", "payload").selectExpr("string(page_id) record_id", "record_type", "target_uri", "string(refers_to) refers_to", "payload_bytes", "payload_digest", "chunk_no", "data")
+    count = lambda: read_warc(spark, str(tmp_path)).where("is_last").count()
+    write_warc(records([1, 2]), str(tmp_path))
+    write_warc(records([3]), str(tmp_path))
+    assert count() == 3
+    write_warc(records([7, 8]), str(tmp_path), "overwrite")
+    assert sorted(r.payload_bytes for r in read_warc(spark, str(tmp_path)).where("is_last").collect()) == [7, 8]
+    with pytest.raises(Exception, match="digest"):
+        write_warc(records([5]).withColumn("payload_digest", F.lit("0")), str(tmp_path))
+    assert count() == 2
+
+
+def test_moves_are_undone(tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / name).write_text(name)
+    with pytest.raises(OSError):
+        put_in_place(fs.LocalFileSystem(), str(tmp_path), [(f"{tmp_path}/a", f"{tmp_path}/part-1"), (f"{tmp_path}/none", f"{tmp_path}/part-2")], True)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a", "b"]
+
+
+def test_digests_of_chunks(spark):
+    rows = [(f"r{k}", n, bytes([k]) * (k if n else 3)) for k in range(1, 40) for n in range(k % 4 + 1)] + [("empty", 0, None)]
+    got = {r.record_id: (r.payload_bytes, r.payload_digest) for r in digest_chunks(spark.createDataFrame(rows[::-1], "record_id string, chunk_no long, data binary")).collect()}
+    whole = {}
+    for name, _, data in rows:
+        whole[name] = whole.get(name, b"") + (data or b"")
+    assert got == {name: (len(d), hashlib.sha256(d).hexdigest()) for name, d in whole.items()}
+
+
 def test_empty_and_broken(spark, tmp_path):
     empty = spark.createDataFrame([], RECORD)
     write_warc(empty, str(tmp_path / "e"))
