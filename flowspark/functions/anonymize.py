@@ -86,7 +86,8 @@ def map_first_seen(df: DataFrame, columns: list[str], order: str = "pkt_no", suf
 
 def map_distribution(c: Column, kind: str, a: float, b: float, key: str = "") -> Column:
     """A draw from UNIFORM (a to b, whole numbers) or GAUSSIAN (mean a, deviation b) that is the same for equal values."""
-    u = lambda salt: (F.pmod(F.xxhash64(F.lit(key + salt), c), F.lit(2**53)) + 1) / F.lit(float(2**53 + 1))
+    drawn = lambda salt: F.conv(F.substring(F.md5(F.concat(F.lit(f"{key}{salt}:"), c.cast("string")).cast("binary")), 1, 13), 16, 10).cast("long")
+    u = lambda salt: (drawn(salt) + 1) / F.lit(float(2**52 + 1))
     if kind == "UNIFORM":
         return (F.lit(a) + F.floor(u("u") * (b - a + 1))).cast("long")
     if kind == "GAUSSIAN":

@@ -78,7 +78,8 @@ def sample_periodic(df: DataFrame, period: int) -> DataFrame:
 def sample_probabilistic(df: DataFrame, percent: int, seed: int = 42) -> DataFrame:
     """Rows pass with ``percent`` in a hundred, by a hash of the position, so that a repeated run takes the same rows."""
     percent = min(100, max(0, percent))
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), "pkt_no"), F.lit(100)) < percent)
+    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("pkt_no").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    return df.where(drawn % 100 < percent)
 
 
 #: Fixed values of the mixing steps: bits shifted to the right, or to the left if below 0.
@@ -87,22 +88,23 @@ SHIFTS = (13, -8, 13, 12, -16, 5, 3, -10, 15)
 GOLDEN, START = 0x9E3779B9, 6564987
 
 
-def flow_hash(df: DataFrame, name: str, src: Column, dst: Column, proto: Column, sport: Column, dport: Column) -> DataFrame:
-    """``df`` with a flow's hash below 1024 in column ``name``: all packets of a flow share it.
+def flow_hash(src: Column, dst: Column, proto: Column, sport: Column, dport: Column) -> Column:
+    """A flow's hash below 1024: all packets of a flow share it.
 
-    Three 32-bit words are mixed reversibly (in the manner of Jenkins' lookup hash), one projection a step: as a
-    single expression each step would hold the one before several times over.
+    Three 32-bit words are mixed reversibly (in the manner of Jenkins' lookup hash), as a fold over the shifts: written
+    out, each step would hold the one before several times over, and so would a filter that is pushed below it.
     """
     word = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))
     a = src.cast("long") + F.lit(GOLDEN)
     b = dst.cast("long").bitwiseXOR(proto.cast("long")) + F.lit(GOLDEN)
     c = sport.cast("long").bitwiseOR(F.shiftleft(dport.cast("long"), 16)) + F.lit(START)
-    rows = df.select("*", word(a).alias("x_"), word(b).alias("y_"), word(c).alias("z_"))
-    for bits in SHIFTS:
-        shifted = F.shiftright("z_", bits) if bits > 0 else F.shiftleft("z_", -bits)
-        mixed = word(word(F.col("x_") - F.col("y_") - F.col("z_")).bitwiseXOR(shifted))
-        rows = rows.select(*df.columns, F.col("y_").alias("x_"), F.col("z_").alias("y_"), mixed.alias("z_"))
-    return rows.select(*(c for c in df.columns if c != name), (F.col("z_") % 1024).alias(name))
+
+    def step(s: Column, bits: Column) -> Column:
+        shifted = F.when(bits > 0, F.call_function("shiftright", s["z"], bits)).otherwise(F.call_function("shiftleft", s["z"], -bits))
+        return F.struct(s["y"].alias("x"), s["z"].alias("y"), word(word(s["x"] - s["y"] - s["z"]).bitwiseXOR(shifted)).alias("z"))
+
+    start = F.struct(word(a).alias("x"), word(b).alias("y"), word(c).alias("z"))
+    return F.aggregate(F.array(*map(F.lit, SHIFTS)), start, step, lambda s: s["z"] % 1024)
 
 
 def hash_sample(df: DataFrame, hashed: Column, keep_below: int) -> DataFrame:

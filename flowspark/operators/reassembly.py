@@ -17,8 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowspark.functions.anonymize import ipv4_number
 from flowspark.functions.intervals import micros
 from flowspark.plans.errors import Err, FlowError
+from flowspark.sources.pcap import ETHERNET, PACKETS, decode
 
 CLIENT, SERVER, BOTH = 1, 2, 3
 FIN, SYN, RST = 1, 2, 4
@@ -173,6 +175,26 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), KINDS, strict=True)], NAMES)
 
 
+def cooked_packets(df: DataFrame, threshold: int = 32000, timeout: str = "60s", once: bool = False, collect: int = BOTH) -> DataFrame:
+    """``cook`` for what follows in a flow: its chunks as decoded packets, with bytes of their own (Ethernet, IP and TCP
+    headers with the chunk's length and sequence number 0), and the other packets as they are. The columns chunk_no,
+    payload and packets come on top."""
+    tcp = F.coalesce((F.col("ip_proto") == 6) & F.col("sport").isNotNull(), F.lit(False))
+    chunks = cook(df.where(tcp), threshold, timeout, once, collect)
+    number = lambda c, digits: F.lpad(F.hex(c), digits, "0")
+    size, six = F.octet_length("payload"), F.col("src_ip").contains(":")
+    length = lambda more: number(F.least(size + more, F.lit(65535)), 4)
+    four = F.concat(F.lit("4500"), length(40), F.lit("0000000040060000"), number(ipv4_number(F.when(~six, F.col("src_ip"))), 8), number(ipv4_number(F.when(~six, F.col("dst_ip"))), 8))
+    long = F.concat(F.lit("60000000"), length(20), F.lit("0640"), F.replace("src_ip", F.lit(":"), F.lit("")), F.replace("dst_ip", F.lit(":"), F.lit("")))
+    head = F.concat(F.lit("020000000001020000000002"), F.when(six, F.concat(F.lit("86DD"), long)).otherwise(F.concat(F.lit("0800"), four)), number("sport", 4), number("dport", 4), F.lit("00000000000000005018FFFF00000000"))
+    pkt = F.concat(F.unhex(head), "payload")
+    ntp = F.shiftleft(F.floor(F.col("us") / 1_000_000), 32) + F.floor((F.col("us") % 1_000_000) * 4294967296 / 1_000_000)
+    made = {"pkt_no": F.col("pkt_no"), "us": F.col("us"), "ts_ntp": ntp, "ifindex": F.lit(0), "caplen": F.octet_length(pkt), "wlen": F.octet_length(pkt), "link_type": F.lit(ETHERNET), "pkt": pkt}
+    frames = chunks.select(*(made[name].cast(kind).alias(name) for name, kind in (c.split() for c in PACKETS.split(", "))), "chunk_no", "payload", "packets")
+    others = df.where(~tcp).select("*", F.lit(None).cast("int").alias("chunk_no"), F.col("l4_payload").alias("payload"), F.array("pkt_no").alias("packets"))
+    return decode(frames).unionByName(others, allowMissingColumns=True).select(*others.columns)
+
+
 def uncook(cooked: DataFrame, packets: DataFrame) -> DataFrame:
     """The packets that went into cooked ones, each once."""
     return packets.join(cooked.select(F.explode("packets").alias("pkt_no")).distinct(), "pkt_no", "left_semi")

@@ -423,7 +423,7 @@ def _install() -> None:
         FunctionDef("REGEXP", extra, "s", check=lambda s: filters.regexp(F.lit(b""), s), filters=lambda df, s: df.where(filters.regexp(pay(), s))),
         FunctionDef("TOP", extra, "issii", check=_check_top, result=lambda df, n, p, name, by, reset: aggregates.top(df.withColumn("wlen", F.col("wlen") - F.coalesce("l3_off", F.lit(0))), _top_field(p, name), n, by, f"{reset}s" if reset else None)),
         FunctionDef("EXPIRED_FLOWS", extra, "iii", result=lambda df, a, b, least: flows.expired_flows(df.where("sport is not null"), FIVE, "30s", least)),
-        FunctionDef("COOKING", extra, "iiii", filters=lambda df, n, t, once, c: reassembly.cook(df, n or 32000, f"{t or 60}s", bool(once), c or reassembly.BOTH), modifies=True),
+        FunctionDef("COOKING", extra, "iiii", filters=lambda df, n, t, once, c: reassembly.cooked_packets(df, n or 32000, f"{t or 60}s", bool(once), c or reassembly.BOTH), modifies=True),
         FunctionDef("ANONYMIZEIP", extra, "s", check=lambda k: _bad(len(k.encode()) != 32, Err.INVALID_ARGUMENT_1), filters=lambda df, k: encode(anon.anonymize_ip(df, k.encode())), modifies=True),
         FunctionDef("ANONYMIZE", "anon", "s", check=_check_anonymize, filters=_anonymize, modifies=True),
         FunctionDef("PRINT_PACKET", "anon", result=lambda df: df.drop("pkt", "l4_payload")),
@@ -437,9 +437,8 @@ def _install() -> None:
 
 
 def _hash_sample(df: DataFrame, below: int, keep: int) -> DataFrame:
-    rows = df.where("ip_version = 4 and sport is not null")
-    rows = filters.flow_hash(rows, "hash of flow", anon.ipv4_number(F.col("src_ip")), anon.ipv4_number(F.col("dst_ip")), F.col("ip_proto"), F.col("sport"), F.col("dport"))
-    return filters.hash_sample(rows, F.col("hash of flow"), below).drop("hash of flow")
+    h = filters.flow_hash(anon.ipv4_number(F.col("src_ip")), anon.ipv4_number(F.col("dst_ip")), F.col("ip_proto"), F.col("sport"), F.col("dport"))
+    return filters.hash_sample(df.where("ip_version = 4 and sport is not null"), h, below)
 
 
 def _hash_records(df: DataFrame, below: int, keep: int) -> DataFrame:

@@ -177,7 +177,7 @@ def sample_periodic(e):
     return filters.sample_periodic(e, 20).select("pkt_no")
 
 
-@query(None)
+@query(" SELECT pkt_no FROM e WHERE ('0x' || substr(md5('42:' || pkt_no), 1, 8))::BIGINT % 100 < 10")
 def sample_probabilistic(e):
     return filters.sample_probabilistic(e, 10).select("pkt_no")
 
@@ -195,8 +195,8 @@ def _mix_sql() -> str:
 
 @query(_mix_sql())
 def hash_sample(e):
-    rows = filters.flow_hash(e, "hash", F.col("flow_key"), F.col("sensor"), F.lit(6), F.col("flow_key"), F.col("sensor"))
-    return filters.hash_sample(rows, F.col("hash"), 256).select("pkt_no", "flow_key", "hash")
+    h = filters.flow_hash(F.col("flow_key"), F.col("sensor"), F.lit(6), F.col("flow_key"), F.col("sensor"))
+    return filters.hash_sample(e.withColumn("hash", h), F.col("hash"), 256).select("pkt_no", "flow_key", "hash")
 
 
 @query(" SELECT pkt_no FROM e WHERE contains(substr(payload, 3, 8), 'k\": 1')")
@@ -370,7 +370,11 @@ def anon_prefix_preserving(e):
     return anon.anonymize_ip(ips, b"0123456789abcdefFEDCBA9876543210", ("src_ip",))
 
 
-@query(None)
+def _drawn(salt: str) -> str:
+    return f"((('0x' || substr(md5('{salt}:' || flow_key), 1, 13))::BIGINT + 1) / 4503599627370497.0)"
+
+
+@query(f" SELECT pkt_no, CAST(1 + floor({_drawn('u')} * 100) AS BIGINT) AS uniform, 50.0 + 5.0 * sqrt(-2 * ln({_drawn('r')})) * cos(2 * pi() * {_drawn('a')}) AS gaussian FROM e")
 def anon_map_distribution(e):
     return e.select("pkt_no", anon.map_distribution(F.col("flow_key"), "UNIFORM", 1, 100).alias("uniform"), anon.map_distribution(F.col("flow_key"), "GAUSSIAN", 50.0, 5.0).alias("gaussian"))
 
