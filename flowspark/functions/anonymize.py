@@ -172,10 +172,33 @@ def _prefix_preserving_4(c: Column, key: bytes) -> Column:
     return ipv4_text(number.bitwiseXOR(reduce(lambda x, y: x + y, flips)))
 
 
-def anonymize_ip(df: DataFrame, key: bytes, columns: tuple[str, ...] = ("src_ip", "dst_ip")) -> DataFrame:
-    """``df`` with prefix-preserving addresses; each distinct address is enciphered once."""
+def prefix_preserving_map(c: Column, key: bytes = b"") -> Column:
+    """Addresses (IPv4 or IPv6) whose bits are flipped or kept by a draw for the bits before: those that share k bits share
+    k bits afterwards. The draws are the last bits of MD5 over key, number of bits and those bits as text."""
+    six = c.contains(":")
+    half = lambda at: F.lpad(F.conv(F.substring(ipv6_digits(F.when(six, c)), at, 16), 16, 2), 64, "0")
+    bits = F.when(six, F.concat(half(1), half(17))).otherwise(F.lpad(F.conv(ipv4_number(F.when(~six, c)).cast("string"), 10, 2), 32, "0"))
+
+    def changed(own: Column, k: Column) -> Column:
+        drawn = F.md5(F.concat(F.lit(key.decode("latin-1") + ":"), k.cast("string"), F.lit(":"), F.substring(own, F.lit(1), k)).cast("binary"))
+        flip = F.substring(drawn, 32, 1).isin(*"13579bdf")
+        return F.when((F.substring(own, k + 1, F.lit(1)) == "1") != flip, "1").otherwise("0")
+
+    def whole(own: Column) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.char_length(own) - 1), lambda k: changed(own, k)), "")
+
+    def text(new: Column) -> Column:
+        digits = F.lower(F.concat(*(F.lpad(F.conv(F.substring(new, a, 64), 2, 16), 16, "0") for a in (1, 65))))
+        return F.when(F.char_length(new) == 128, F.regexp_replace(digits, "(.{4})(?=.)", "$1:")).otherwise(ipv4_text(F.conv(new, 2, 10).cast("long")))
+
+    # Arrays of one element: what a function of several uses is given is computed once.
+    return F.when(c.isNotNull(), F.transform(F.transform(F.array(bits), whole), text)[0])
+
+
+def anonymize_ip(df: DataFrame, key: bytes, columns: tuple[str, ...] = ("src_ip", "dst_ip"), change=prefix_preserving) -> DataFrame:
+    """``df`` with prefix-preserving addresses; each distinct address is changed once."""
     values = df.select(F.explode(F.array(*columns)).alias("a_")).where("a_ is not null").distinct()
-    made = values.withColumn("made_", prefix_preserving(F.col("a_"), key))
+    made = values.withColumn("made_", change(F.col("a_"), key))
     for c in columns:
         df = df.join(made, F.col(c) == F.col("a_"), "left").withColumn(c, F.col("made_")).drop("a_", "made_")
     return df

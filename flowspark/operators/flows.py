@@ -52,13 +52,15 @@ LENGTH_EDGES = [50, 100, 200, 750, 1300, 1400, 1450, 1500, 65535]
 DISTANCE_EDGES = [25, 50, 75, 100, 200, 300, 400, 500, 1000]
 
 
-def flow_report(df: DataFrame, key: list[str], forward: Column, idle: str = "30s", lifetime: str = "240s", extra: dict[str, Column] | None = None) -> DataFrame:
+def flow_report(df: DataFrame, key: list[str], forward: Column, idle: str = "30s", lifetime: str = "240s", extra: dict[str, Column] | None = None, tcp: bool = False) -> DataFrame:
     """Bidirectional flow records: one row a flow, counters for each direction, histograms, moments and rates.
 
     ``forward`` tells the direction of a record; direction 0 is that of the flow's first
     record. A flow ends after more than ``idle`` of silence, and is cut into records of
     ``lifetime`` counted from its first packet. end_reason: 1 idle, 2 lifetime, 4 end of
-    the stream. ``extra`` adds aggregates by name (as min, max or bit_or of fields).
+    the stream. ``extra`` adds aggregates by name (as min, max or bit_or of fields); ``tcp``, for decoded packets, each
+    direction's segments out of sequence (below the highest number so far, unless numbers wrapped) and its smallest and
+    largest window.
     """
     life = micros(lifetime)
     w = Window.partitionBy(*key, "session")
@@ -68,6 +70,10 @@ def flow_report(df: DataFrame, key: list[str], forward: Column, idle: str = "30s
     rows = rows.withColumn("dir_", (F.col("forward_") != F.first("forward_").over(ordered.rowsBetween(Window.unboundedPreceding, 0))).cast("int"))
     near = Window.partitionBy(*key, "session", "slice", "dir_").orderBy("us", "pkt_no")
     rows = rows.withColumn("distance_", F.col("us") - F.lag("us").over(near))
+    if tcp:
+        highest = F.max("tcp_seq").over(near.rowsBetween(Window.unboundedPreceding, -1))
+        wrapped = (highest > 0xAFFFFFFF) & (F.col("tcp_seq") < 0x3FFFFFFF)
+        rows = rows.withColumn("late_", F.coalesce((F.col("tcp_seq") < highest) & ~wrapped, F.lit(False)))
     aggregates = [F.min("first_us_").alias("flow_start_us"), F.min("us").alias("start_us"), F.max("us").alias("end_us")]
     for d in (0, 1):
         mine = F.col("dir_") == d
@@ -84,6 +90,8 @@ def flow_report(df: DataFrame, key: list[str], forward: Column, idle: str = "30s
             F.array(*_histogram(F.col("wlen"), mine, LENGTH_EDGES[:-1])).alias(f"lengths{d}"),
             F.array(*_histogram(F.col("distance_"), mine, DISTANCE_EDGES)).alias(f"distances{d}"),
         ]
+        if tcp:
+            aggregates += [F.count(pick(F.when(F.col("late_"), 1))).alias(f"out_of_sequence{d}"), F.min(pick(F.col("tcp_win"))).alias(f"min_window{d}"), F.max(pick(F.col("tcp_win"))).alias(f"max_window{d}")]
     aggregates += [c.alias(name) for name, c in (extra or {}).items()]
     out = rows.groupBy(*key, "session", "slice").agg(*aggregates)
     later = Window.partitionBy(*key).orderBy("session", "slice")

@@ -27,6 +27,8 @@ from flowspark.plans.errors import Err, FlowError
 from flowspark.sources.pcap import FIELD_BYTES, decode, encode, read_packets, write_packets
 
 PAYLOAD = "pkt"
+# Modes of THRESHOLD (fixed values).
+POLLED, MOVING = 64, 128
 
 
 @dataclass
@@ -316,7 +318,7 @@ def _anonymized(df: DataFrame, text: str) -> DataFrame:
         if how not in TEXT_FUNCTIONS:
             raise FlowError(Err.INVALID_ARGUMENT, how)
         return df.withColumn("l4_payload", anon.in_text_field(F.col("l4_payload"), proto, name, lambda c: TEXT_FUNCTIONS[how](c, args)))
-    columns = {"SRC_IP": "src_ip", "DST_IP": "dst_ip", "SRC_PORT": "sport", "DST_PORT": "dport", "TTL": "ip_ttl", "TOS": "ip_tos", "ID": "ip_id", "PACKET_LENGTH": "ip_len", "PAYLOAD": "l4_payload", "SEQUENCE_NUMBER": "tcp_seq", "ACK_NUMBER": "tcp_ack", "WINDOW": "tcp_win", "FLAGS": "tcp_flags", "CHECKSUM": "ip_csum", "URGENT_POINTER": "tcp_urg", "UDP_DATAGRAM_LENGTH": "udp_len", "TYPE": "icmp_type", "CODE": "icmp_code"}
+    columns = ANON_COLUMNS | {"CHECKSUM": {"TCP": "tcp_csum", "UDP": "udp_csum"}.get(proto, "ip_csum")}
     if proto not in ("IP", "TCP", "UDP", "ICMP", "HTTP", "FTP"):
         raise FlowError(Err.INVALID_ARGUMENT, proto)
     if name not in columns:
@@ -333,9 +335,9 @@ def _anonymized(df: DataFrame, text: str) -> DataFrame:
         six = F.concat(F.lit("2001:0db8:0000:0000:"), F.regexp_replace(F.lower(F.lpad(F.hex(n), 16, "0")), "(.{4})(?=.)", "$1:"))
         new = F.when(F.col(c).contains(":"), six).otherwise(anon.ipv4_text(n)) if c in ("src_ip", "dst_ip") else n.cast("string").cast(kind)
         return made.withColumn(c, F.when(of_protocol, new).otherwise(F.col(c))).drop(*(f"{x}_map" for x in shared))
+    if how == "PREFIX_PRESERVING_MAP":
+        return anon.anonymize_ip(df, (args[0] if args else "").encode(), (c,), anon.prefix_preserving_map)
     if how == "PREFIX_PRESERVING":
-        if c not in ("src_ip", "dst_ip"):
-            raise FlowError(Err.INVALID_ARGUMENT, name)
         return anon.anonymize_ip(df, (args[0] if args else "0123456789abcdefFEDCBA9876543210").encode(), (c,))
     if how == "CHECKSUM_ADJUST":
         return df.withColumn(c, F.col(c))
@@ -367,14 +369,48 @@ def _byte_function(how: str, args: list[str], data: Column) -> Column:
     raise FlowError(Err.INVALID_ARGUMENT, how)
 
 
+#: Fields of each protocol that can be changed; protocols above TCP reach down to its fields, all of them to those of IP.
+ANON_COLUMNS = {
+    "TOS": "ip_tos", "PACKET_LENGTH": "ip_len", "ID": "ip_id", "TTL": "ip_ttl", "CHECKSUM": "ip_csum", "SRC_IP": "src_ip", "DST_IP": "dst_ip", "SRC_PORT": "sport", "DST_PORT": "dport",
+    "SEQUENCE_NUMBER": "tcp_seq", "ACK_NUMBER": "tcp_ack", "FLAGS": "tcp_flags", "WINDOW": "tcp_win", "URGENT_POINTER": "tcp_urg", "UDP_DATAGRAM_LENGTH": "udp_len", "TYPE": "icmp_type", "CODE": "icmp_code", "PAYLOAD": "l4_payload",
+}
+_IP = {"TOS", "PACKET_LENGTH", "ID", "TTL", "CHECKSUM", "SRC_IP", "DST_IP", "PAYLOAD"}
+_TCP = _IP | {"SRC_PORT", "DST_PORT", "SEQUENCE_NUMBER", "ACK_NUMBER", "FLAGS", "WINDOW", "URGENT_POINTER"}
+ANON_FIELDS = {"IP": _IP, "TCP": _TCP, "HTTP": _TCP, "FTP": _TCP, "UDP": _IP | {"SRC_PORT", "DST_PORT", "UDP_DATAGRAM_LENGTH"}, "ICMP": _IP | {"TYPE", "CODE"}}
+HEADER_FUNCTIONS = {"UNCHANGED", "MAP", "MAP_DISTRIBUTION", "STRIP", "RANDOM", "HASHED", "PATTERN_FILL", "ZERO", "PREFIX_PRESERVING", "PREFIX_PRESERVING_MAP", "CHECKSUM_ADJUST"}
+
+
 def _check_anonymize(text: str) -> None:
+    """Which function may change which field: prefixes only of addresses, checksums only by their adjustment or as plain
+    numbers, texts only in payloads and fields of applications."""
     _bad(text.count(",") < 2, Err.INVALID_ARGUMENT, text)
+    proto, name, how, *_ = text.split(",")
+    _bad(proto not in ANON_FIELDS, Err.INVALID_ARGUMENT, proto)
+    if proto in ("HTTP", "FTP") and anon.text_field(proto, name) or name == "PAYLOAD":
+        _bad(how not in TEXT_FUNCTIONS and not (name == "PAYLOAD" and how in ("MAP", "UNCHANGED")), Err.INVALID_ARGUMENT, how)
+        return
+    _bad(name not in ANON_FIELDS[proto], Err.INVALID_ARGUMENT, name)
+    _bad(how not in HEADER_FUNCTIONS, Err.INVALID_ARGUMENT, how)
+    _bad(how.startswith("PREFIX_PRESERVING") and name not in ("SRC_IP", "DST_IP"), Err.INVALID_ARGUMENT, name)
+    _bad(how == "CHECKSUM_ADJUST" and name != "CHECKSUM", Err.INVALID_ARGUMENT, name)
 
 
 def _check_threshold(kind: int, fd: int, fid: int, limit: int, bound: int, timeout: int, divider: int, events: int) -> None:
-    """In line only: polls by wall clock have no meaning for a finished stream, moving windows are windows.moving_window."""
+    """In line, or (kind MOVING) over the sum of the last ``timeout`` milliseconds at each record, whatever the divider; polls
+    by wall clock have no meaning for a finished stream."""
     _checked(fd, fid)
-    _bad(bool(kind & (64 | 128) or timeout or divider > 1), Err.NOT_SUPPORTED, "type, timeout and divider of polled and moving modes")
+    _bad(bool(kind & POLLED), Err.NOT_SUPPORTED, "polling")
+    _bad(not kind & MOVING and bool(timeout or divider > 1), Err.NOT_SUPPORTED, "timeout and divider without a moving window")
+    _bad(bool(kind & MOVING) and timeout <= 0, Err.INVALID_ARGUMENT_5, "no window")
+
+
+def _threshold(df: DataFrame, kind: int, fd: int, fid: int, limit: int, bound: int, timeout: int, divider: int, events: int) -> DataFrame:
+    def run(rows: DataFrame) -> DataFrame:
+        if kind & MOVING:
+            rows = windows.moving_window(rows.withColumn("all_", F.lit(0)), F.col("value"), f"{timeout}ms", "all_").drop("all_")
+        return windows.threshold(rows, F.col("value"), bound, limit, events)
+
+    return _over(run)(df, fd, fid)
 
 
 def _to_file(df: DataFrame, kind: int, path: str, limit: int) -> DataFrame:
@@ -384,7 +420,7 @@ def _to_file(df: DataFrame, kind: int, path: str, limit: int) -> DataFrame:
 
 def _report(df: DataFrame, kind: str, transport: str, keys: str, record: str) -> DataFrame:
     rows = trackers.with_session_key(df.where("src_ip is not null"))
-    out = flows.flow_report(rows, trackers.SESSION_KEY, F.col("src_ip") == F.col("low_ip"), extra={"tcp_flags": F.bit_or("tcp_flags"), "tos": F.bit_or("ip_tos"), "min_ttl": F.min("ip_ttl"), "max_ttl": F.max("ip_ttl"), "icmp_types": F.bit_or(F.expr("shiftleft(1L, icmp_type)"))})
+    out = flows.flow_report(rows, trackers.SESSION_KEY, F.col("src_ip") == F.col("low_ip"), extra={"tcp_flags": F.bit_or("tcp_flags"), "tos": F.bit_or("ip_tos"), "min_ttl": F.min("ip_ttl"), "max_ttl": F.max("ip_ttl"), "icmp_types": F.bit_or(F.expr("shiftleft(1L, icmp_type)"))}, tcp=True)
     wanted = [x.strip() for x in record.split(",") if x.strip()]
     return out.select(*trackers.SESSION_KEY, *wanted) if wanted else out
 
@@ -416,7 +452,7 @@ def _install() -> None:
         FunctionDef("DIST", std, "rfsss", check=_checked, result=_over(lambda df, lo, hi, w: aggregates.dist(df, F.col("value"), int(lo), int(hi), int(w)))),
         FunctionDef("BURST", std, "iiiiiii", result=aggregates.burst),
         FunctionDef("BUCKET", std, "rfsi", check=_checked, result=_over(lambda df, t, reset: windows.bucket(df, F.col("value"), t, bool(reset)))),
-        FunctionDef("THRESHOLD", std, "irfliiii", check=_check_threshold, result=lambda df, t, fd, fid, thr, bound, timeout, divider, n: _over(lambda d: windows.threshold(d, F.col("value"), bound, thr, n))(df, fd, fid)),
+        FunctionDef("THRESHOLD", std, "irfliiii", check=_check_threshold, result=_threshold),
         FunctionDef("TO_BUFFER", std, "i"),
         FunctionDef("TO_FILE", std, "iwl", check=lambda k, p, n: _bad(k not in (0, 1, 2), Err.FUNCTION_COULD_NOT_APPLY), result=_to_file),
         FunctionDef("RES2FILE", std, "sSswsi", result=_res2file),

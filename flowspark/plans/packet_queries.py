@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowspark.functions.bpf import compile_filter
-from flowspark.operators import filters, reassembly, trackers
+from flowspark.operators import filters, flows, reassembly, trackers
 from flowspark.plans import flow as api
 from flowspark.session import shared_dir
 from flowspark.sources.pcap import PACKETS, decode, read_packets, write_packets
@@ -172,6 +172,16 @@ def packet_flow_totals(p):
     return rows.agg(F.count(F.lit(1)).alias("packets"), F.sum("wlen").alias("bytes"), F.min_by("ip_ttl", "us").alias("ttl"))
 
 
+@packet_query(""" , q AS (SELECT *, pkt_no - CASE WHEN pkt_no % 3 = 0 THEN 500 ELSE 0 END AS seq FROM p WHERE ip_proto = 6),
+r AS (SELECT *, seq < max(seq) OVER (PARTITION BY src_ip, dst_ip, sport, dport ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS late FROM q)
+SELECT src_ip, dst_ip, sport, dport, count(*) AS packets0, 0 AS packets1, CAST(sum(wlen) AS BIGINT) AS bytes0, count(*) FILTER (WHERE late) AS out_of_sequence0, 1000 AS max_window0, bit_or(tcp_flags) AS tcp_flags,
+CAST(max(us) - min(us) AS BIGINT) AS duration_us FROM r GROUP BY ALL""")
+def packet_flow_report(p):
+    rows = p.where("ip_proto = 6").withColumn("tcp_seq", F.col("pkt_no") - F.when(F.col("pkt_no") % 3 == 0, 500).otherwise(0))
+    out = flows.flow_report(rows, ["src_ip", "dst_ip", "sport", "dport"], F.lit(True), "24h", "24h", extra={"tcp_flags": F.bit_or("tcp_flags")}, tcp=True)
+    return out.select("src_ip", "dst_ip", "sport", "dport", "packets0", "packets1", "bytes0", "out_of_sequence0", "max_window0", "tcp_flags", (F.col("end_us") - F.col("start_us")).alias("duration_us"))
+
+
 # -- trackers ---------------------------------------------------------------
 
 
@@ -299,3 +309,27 @@ def cooking_then_str_search(p):
     flow.apply("STR_SEARCH", 'OK {"k": 1', 0, 0)
     flow.connect()
     return flow.packets_left().select("src_ip", "dst_ip", "dport", F.octet_length("l4_payload").alias("bytes"), "wlen")
+
+
+def _bits_sql(ip: str) -> str:
+    """Bits of a decoded address as text."""
+    return f"""CASE WHEN contains({ip}, ':') THEN array_to_string(list_transform(range(1, 33), lambda k: right('000' || bin(CAST('0x' || substr(replace({ip}, ':', ''), k, 1) AS INTEGER)), 4)), '')
+ELSE array_to_string(list_transform(string_split({ip}, '.'), lambda x: lpad(bin(CAST(x AS INTEGER)), 8, '0')), '') END"""
+
+
+@packet_query(f""" , a AS (SELECT DISTINCT src_ip, {_bits_sql('src_ip')} AS bits FROM p),
+n AS (SELECT src_ip, array_to_string(list_transform(range(0, length(bits)), lambda k: CASE WHEN (substr(bits, k + 1, 1) = '1') <> (substr(md5(':' || k || ':' || substr(bits, 1, k)), 32, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f')) THEN '1' ELSE '0' END), '') AS bits FROM a),
+h AS (SELECT src_ip, list_transform(range(0, length(bits), 4), lambda k: list_sum(list_transform(range(0, 4), lambda j: CAST(substr(bits, k + j + 1, 1) AS INTEGER) * CAST(pow(2, 3 - j) AS INTEGER)))) AS d FROM n)
+SELECT pkt_no, CASE WHEN contains(p.src_ip, ':') THEN array_to_string(list_transform(range(0, 8), lambda g: array_to_string(list_transform(range(1, 5), lambda j: lower(hex(CAST(d[g * 4 + j] AS INTEGER)))[-1:]), '')), ':')
+ELSE array_to_string(list_transform(range(0, 4), lambda g: CAST(d[g * 2 + 1] * 16 + d[g * 2 + 2] AS BIGINT)), '.') END AS src_ip, dst_ip FROM p JOIN h ON p.src_ip = h.src_ip""")
+def anonymize_prefix_preserving_map(p):
+    return _changed(p, "IP,SRC_IP,PREFIX_PRESERVING_MAP").select("pkt_no", "src_ip", "dst_ip")
+
+
+@packet_query(" SELECT pkt_no, value FROM (SELECT pkt_no, CAST(sum(wlen) OVER (ORDER BY us RANGE BETWEEN 99999 PRECEDING AND CURRENT ROW) AS BIGINT) AS value FROM p) WHERE value > 800")
+def threshold_moving_mode(p):
+    flow = api.create_flow(p)
+    size = flow.apply("PKTINFO", 1)
+    over = flow.apply("THRESHOLD", api.MOVING, flow.fd, size, 800, 1, 100, 10, 0)
+    flow.connect()
+    return flow.read(over).select("pkt_no", "value")

@@ -352,7 +352,8 @@ FIELD_BYTES = {name: width for header in (_V4, *_L4.values()) for name, (_, widt
 
 def rebuild(r: dict, adjust: bool = False) -> bytes:
     """The bytes of a decoded packet with its columns written back. A payload of another length moves the end of the
-    packet; lengths in headers stay as their columns say. ``adjust`` computes the checksums anew."""
+    packet; lengths in headers stay as their columns say. ``adjust`` computes the checksums of IPv4, TCP, UDP and both
+    ICMPs anew."""
     data, l3, l4 = bytearray(r["pkt"] or b""), r["l3_off"], r["l4_off"]
     if r["ip_version"] is None:
         return bytes(data)
@@ -376,15 +377,19 @@ def rebuild(r: dict, adjust: bool = False) -> bytes:
     if r["l4_payload"] is not None:
         start = l4 + (4 * (data[l4 + 12] >> 4) if r["ip_proto"] == 6 and fields else 8 if fields else 0)
         data[start:] = r["l4_payload"]
-    if adjust and v4:
-        ihl = 4 * (data[l3] & 15)
-        put(l3 + 10, 2, 0)
-        put(l3 + 10, 2, checksum(bytes(data[l3 : l3 + ihl])))
-        at = {6: 16, 17: 6, 1: 2}.get(r["ip_proto"]) if fields else None
+    if adjust:
+        if v4:
+            ihl = 4 * (data[l3] & 15)
+            put(l3 + 10, 2, 0)
+            put(l3 + 10, 2, checksum(bytes(data[l3 : l3 + ihl])))
+        at = {6: 16, 17: 6, 1: 2, 58: 2}.get(r["ip_proto"]) if fields or r["ip_proto"] == 58 else None
         if at is not None:
             put(l4 + at, 2, 0)
             body = bytes(data[l4:])
-            pseudo = b"" if r["ip_proto"] == 1 else bytes(data[l3 + 12 : l3 + 20]) + struct.pack(">BBH", 0, r["ip_proto"], len(body))
+            if v4:
+                pseudo = b"" if r["ip_proto"] == 1 else bytes(data[l3 + 12 : l3 + 20]) + struct.pack(">BBH", 0, r["ip_proto"], len(body))
+            else:
+                pseudo = bytes(data[l3 + 8 : l3 + 40]) + struct.pack(">II", len(body), r["ip_proto"])
             put(l4 + at, 2, checksum(pseudo + body))
     return bytes(data)
 

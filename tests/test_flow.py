@@ -119,15 +119,16 @@ def test_error_numbers(packets, spark):
     assert "PKT_COUNTER" in api.libraries()["std"]
 
 
-@pytest.mark.parametrize("how", ["UNCHANGED", "MAP", "ZERO", "PREFIX_PRESERVING", "PATTERN_FILL,STR,TEST", "REPLACE,TEST", "HASHED,MD5", "STRIP,2", "RANDOM"])
+@pytest.mark.parametrize("how", ["UNCHANGED", "MAP", "ZERO", "PREFIX_PRESERVING", "PREFIX_PRESERVING_MAP", "PATTERN_FILL,STR,TEST", "REPLACE,TEST", "HASHED,MD5", "STRIP,2", "RANDOM"])
 @pytest.mark.parametrize(("proto", "field", "column"), [("IP", "SRC_IP", "src_ip"), ("TCP", "SRC_PORT", "sport"), ("IP", "TTL", "ip_ttl"), ("TCP", "PAYLOAD", "l4_payload")])
 def test_anonymize(packets, proto, field, column, how):
     flow = api.create_flow(packets)
-    flow.apply("ANONYMIZE", f"{proto},{field},{how}")
-    if how == "PREFIX_PRESERVING" and column != "src_ip" or how.startswith("REPLACE") and column != "l4_payload":
+    step = f"{proto},{field},{how}"
+    if how.startswith("PREFIX_PRESERVING") and column != "src_ip" or how.startswith("REPLACE") and column != "l4_payload":
         with pytest.raises(FlowError):
-            flow.connect()
+            flow.apply("ANONYMIZE", step)
         return
+    flow.apply("ANONYMIZE", step)
     flow.connect()
     before = {r.pkt_no: r[column] for r in packets.collect()}
     of = {r.pkt_no for r in packets.collect() if proto == "IP" or r.ip_proto == 6}
@@ -135,7 +136,7 @@ def test_anonymize(packets, proto, field, column, how):
     for r in flow.packets_left().select("pkt_no", column).collect():
         if r.pkt_no not in of or how == "UNCHANGED":
             assert r[column] == before[r.pkt_no]
-        elif how in ("MAP", "PREFIX_PRESERVING"):
+        elif how == "MAP" or how.startswith("PREFIX_PRESERVING"):
             key, value = (bytes(x) if isinstance(x, bytearray) else x for x in (before[r.pkt_no], r[column]))
             assert pairs.setdefault(key, value) == value
         elif how == "ZERO":
