@@ -28,7 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more go; documents stay, also if no line is left. n_chars follows the text."""
-    return drop_common_lines(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    return drop_common_lines(docs, lines_col="lines before", dropped_col="lines dropped").withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ minimal perfect hash (levels of bit arrays, rank as index: Limasset et al., "Fas
 Scalable Minimal Perfect Hashing for Massive Key Sets", 2017) and the arrays behind it:
 a 64-bit fingerprint and a count for each key. Documents then look their lines up in
 the arrays. Shards go out in rounds of bounded size, in turn, so what a task holds
-does not grow with the corpus; a corpus whose arrays fit one round takes one pass.
+does not grow with the corpus; a corpus whose arrays fit one round takes one pass. Lines
+of fewer documents are not in the arrays: a key that is not found has too few.
 """
 
 from __future__ import annotations
@@ -49,9 +50,9 @@ class PerfectHash:
     def __init__(self, sizes: list[int], bits: np.ndarray, left: np.ndarray) -> None:
         self.sizes, self.bits, self.left = sizes, bits, left
         self.starts = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
-        set_bits = np.unpackbits(bits, bitorder="little")
-        self.is_set = set_bits.astype(bool)
-        self.rank = np.concatenate(([0], np.cumsum(set_bits, dtype=np.int64)))
+        self.words = np.concatenate([bits, np.zeros(-len(bits) % 8, np.uint8)]).view("<u8")
+        # Set bits before each word of 64: half a bit for each bit.
+        self.rank = np.concatenate(([0], np.cumsum(np.bitwise_count(self.words), dtype=np.uint32))).astype(np.uint32)
 
     @classmethod
     def build(cls, hashes: np.ndarray) -> PerfectHash:
@@ -73,13 +74,15 @@ class PerfectHash:
         todo = np.arange(len(hashes))
         for level, size in enumerate(self.sizes):
             at = self.starts[level] + _place(hashes[todo], level, size)
-            hit = self.is_set[at]
-            out[todo[hit]] = self.rank[at[hit]]
+            word, bit = self.words[at >> 6], (at & 63).astype(np.uint64)
+            hit = (word >> bit & np.uint64(1)).astype(bool)
+            below = np.bitwise_count(word[hit] & ((np.uint64(1) << bit[hit]) - np.uint64(1)))
+            out[todo[hit]] = self.rank[at[hit] >> 6].astype(np.int64) + below
             todo = todo[~hit]
         if len(self.left) and len(todo):  # the few that met at every level
             at = np.minimum(np.searchsorted(self.left, hashes[todo]), len(self.left) - 1)
             hit = self.left[at] == hashes[todo]
-            out[todo[hit]] = self.rank[-1] + at[hit]
+            out[todo[hit]] = int(self.rank[-1]) + at[hit]
         return out
 
 
@@ -93,7 +96,7 @@ class Shard:
     def build(cls, h: np.ndarray, prints: np.ndarray, counts: np.ndarray) -> Shard:
         perfect = PerfectHash.build(h)
         order = np.argsort(perfect.index(h))
-        return cls(perfect, prints[order], counts[order])
+        return cls(perfect, prints[order], np.minimum(counts[order], 2**32 - 1).astype(np.uint32))
 
     def pack(self) -> tuple:
         p = self.perfect
@@ -102,10 +105,10 @@ class Shard:
     @classmethod
     def unpack(cls, sizes, bits, left, prints, counts) -> Shard:
         u8 = lambda b, kind: np.frombuffer(b, kind)
-        return cls(PerfectHash(list(sizes), u8(bits, np.uint8), u8(left, np.uint64)), u8(prints, np.uint64), u8(counts, np.int64))
+        return cls(PerfectHash(list(sizes), u8(bits, np.uint8), u8(left, np.uint64)), u8(prints, np.uint64), u8(counts, np.uint32))
 
     def count(self, h: np.ndarray, prints: np.ndarray) -> np.ndarray:
-        """Documents of each key, 0 where it isn't one of the shard's."""
+        """Documents of each key (2**32 - 1 at most), 0 where it isn't one of the shard's."""
         if not len(self.counts):
             return np.zeros(len(h), np.int64)
         at = self.perfect.index(h)
@@ -145,15 +148,17 @@ def drop_common_lines(
     least_docs: int = 10,
     least_chars: int = 1,
     shards_a_round: int = 64,
+    lines_col: str = "n_lines",
+    dropped_col: str = "n_dropped",
 ) -> DataFrame:
-    """``df`` with common lines taken out of its text, and columns n_lines and n_dropped.
+    """``df`` with common lines taken out of its text, and columns n_lines and n_dropped (or as named).
 
     A line's key is the line without white space at its ends and with A-Z lower-cased. Keys of
     at least ``least_chars`` code points found in at least ``least_docs`` documents lose all their
     lines in every document; other lines stay as they are, joined by newlines. Rows are
     documents: a repeated row counts again, a line repeated within a row does not. Null
-    or empty text is one empty line and stays empty (null becomes empty). Columns
-    named n_lines or n_dropped in ``df`` are replaced; other columns pass unchanged. An
+    or empty text is one empty line and stays empty (null becomes empty). Columns of
+    ``df`` with the names of the two are replaced; other columns pass unchanged. An
     empty table gives an empty result.
     """
     if least_chars < 1:
@@ -161,17 +166,17 @@ def drop_common_lines(
     common = durable(line_counts(df, text_col, least_chars).where(F.col("n") >= least_docs))
     shards = max(1, -(-common.count() // KEYS_A_SHARD))
     arrays = durable(build_shards(common, shards))
-    names = [n for n in df.columns if n not in ("n_lines", "n_dropped")]
-    out = df.select(*names, F.lit(None).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+    names = [n for n in df.columns if n not in (lines_col, dropped_col)]
+    out = df.select(*names, F.lit(None).cast("long").alias(lines_col), F.lit(0).cast("long").alias(dropped_col))
     for first in range(0, shards, shards_a_round):  # some 150 MB of arrays a round at most
         if first:
             out = durable(out)
         rows = arrays.where(f"shard >= {first} and shard < {first + shards_a_round}").collect()
-        out = _probe(out, text_col, rows, shards, least_docs, least_chars)
+        out = _probe(out, text_col, rows, shards, least_docs, least_chars, lines_col, dropped_col)
     return out
 
 
-def _probe(df: DataFrame, text_col: str, rows: list, shards: int, least_docs: int, least_chars: int) -> DataFrame:
+def _probe(df: DataFrame, text_col: str, rows: list, shards: int, least_docs: int, least_chars: int, lines_col: str, dropped_col: str) -> DataFrame:
     """One pass of the documents over the arrays of one round."""
     held = df.sparkSession.sparkContext.broadcast({r.shard: tuple(r)[1:] for r in rows})
     names = df.columns
@@ -202,9 +207,9 @@ def _probe(df: DataFrame, text_col: str, rows: list, shards: int, least_docs: in
             lines_before.append(len(lines))
         columns = dict(zip(names, batch.columns, strict=True))
         columns[text_col] = pa.array(kept, pa.binary()).cast(pa.string())
-        earlier = columns["n_lines"].to_pylist()
-        columns["n_lines"] = pa.array([n if e is None else e for e, n in zip(earlier, lines_before, strict=True)], pa.int64())
-        columns["n_dropped"] = pa.array([e + n for e, n in zip(columns["n_dropped"].to_pylist(), dropped, strict=True)], pa.int64())
+        earlier = columns[lines_col].to_pylist()
+        columns[lines_col] = pa.array([n if e is None else e for e, n in zip(earlier, lines_before, strict=True)], pa.int64())
+        columns[dropped_col] = pa.array([e + n for e, n in zip(columns[dropped_col].to_pylist(), dropped, strict=True)], pa.int64())
         return pa.RecordBatch.from_arrays([columns[n] for n in names], names)
 
     return map_texts(df, run, df.schema)

@@ -41,6 +41,11 @@ def test_pipeline_matches_brute_force(spark, sf_dir):
     assert len(got) < len(docs)
 
 
+def test_line_dedup_keeps_columns_of_its_own_names(spark, sf_dir):
+    df = spark.createDataFrame([(1, "a\nb", "en", "s", 3, 77, "x")], "doc_id long, text string, lang string, source string, n_chars long, n_lines int, n_dropped string")
+    assert [tuple(r) for r in corpus_pipeline.line_dedup(spark, df, sf_dir).collect()] == [(1, "a\nb", "en", "s", 3, 77, "x")]
+
+
 def test_stages_take_edge_cases(spark, sf_dir):
     rows = [(1, None, None, None, None), (1, None, None, None, None), (2, "", "en", "s", 0), (3, "the of and to in " * 9, "en", "s", 5), (3, "the of and to in " * 9, "en", "s", 5), (None, "der die das und", "de", None, 4), (4, "x " * 200_000, "en", "s", 1)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
