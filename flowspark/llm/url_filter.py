@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from flowspark.llm.common import lower_ascii, map_batches
 
-MOST_RULES = 1_000_000
+MOST_RULES, MOST_BYTES = 200_000, 1 << 24
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -103,11 +103,16 @@ def judge_urls(df: DataFrame, rules: DataFrame, url_col: str = "url", default: s
     longest rule wins: most host labels, then the longest path; of equal rules allow
     wins. Without a fitting rule the verdict is ``default``. A null URL or one without
     :// has empty host and path. Repeated rows each give a row, empty tables give an
-    empty result or no rules; other columns are not read.
+    empty result or no rules; other columns are not read. The trie is broadcast if the rules
+    are counted to be few and their texts short in sum; else they are joined. Carried
+    columns may not have the names of those made.
     """
+    if clash := {"host", "path", "rule", "verdict"} & set(carry):
+        raise ValueError(f"names of columns made here: {sorted(clash)}")
     host, path = host_and_path(F.col(url_col))
     rows = df.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)], host.alias("host"), path.alias("path"))
     rules = rules.select("action", lower_ascii(F.coalesce("host", F.lit(""))).alias("host"), F.coalesce("path", F.lit("")).alias("path"))
-    few = rules.limit(most_rules + 1).collect()
-    judged = judge_by_trie(rows, [tuple(r) for r in few], "host", "path") if len(few) <= most_rules else judge_by_join(rows, rules, "host", "path")
+    many, size = rules.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path")), F.lit(0))).first()
+    few = many <= most_rules and size <= MOST_BYTES
+    judged = judge_by_trie(rows, [tuple(r) for r in rules.collect()], "host", "path") if few else judge_by_join(rows, rules, "host", "path")
     return judged.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(carry)], "host", "path", "rule", F.coalesce("action", F.lit(default)).alias("verdict"))

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 import __spark_entry__ as entry
 from flowspark.llm.url_filter import Trie, judge_urls
 from tests.oracle import connect, same
@@ -41,3 +43,8 @@ def test_join_agrees_and_edge_cases(spark):
 
 def test_query_matches_sql(spark, sf_dir):
     same(entry.queries()["op10_url_filter"](spark, sf_dir), connect(sf_dir), entry.oracle_sql()["op10_url_filter"])
+
+
+def test_clashing_names_are_refused(spark):
+    with pytest.raises(ValueError, match="rule"):
+        judge_urls(spark.createDataFrame([("http://a/", 1)], "url string, rule int"), spark.createDataFrame([], "action string, host string, path string"), carry=("rule",))
