@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import string
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowspark.session import durable
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,11 +31,41 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def tidy_up(spark: SparkSession) -> None:
+    """Let Spark delete files of shuffles and checkpoints that nothing needs any more: they go once the driver's garbage is
+    collected, which by itself may be much later."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``durable``, then without the shuffle files that only this needed."""
+    out = durable(df)
+    del df
+    tidy_up(out.sparkSession)
+    return out
+
+
 ROWS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def _release() -> None:
+    """Give memory that this worker has freed back to the system: workers live on and wait beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
 def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
-    return df.mapInArrow(run, schema)
+    """``df.mapInArrow``; at its end a task gives back what it has freed."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _release()
+
+    return df.mapInArrow(tidy, schema)
 
 
 def map_texts(df: DataFrame, run: Callable, schema) -> DataFrame:

@@ -41,7 +41,7 @@ SHORT_MASKS = ("1111", "10111", "11011", "11101")
 LEAST = 5
 BLOCK_CHARS = 1 << 24
 TOKENS_AT_ONCE = 1 << 18
-HITS_AT_ONCE = 1 << 15
+HITS_AT_ONCE = 1 << 13
 #: Tokens that equal no word: those between items, those between documents.
 ITEM_GAP, DOC_GAP = -1, -2
 

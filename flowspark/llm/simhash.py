@@ -43,7 +43,7 @@ WORDS_AT_ONCE = 1 << 16
 #: Rows of a tile beyond which it is cut into blocks, and blocks at most.
 TILE_ROWS, MOST_CUTS = 1 << 17, 1 << 12
 #: Shingle hashes that a block of a component of candidates holds.
-HASHES_A_BLOCK = 1 << 20
+HASHES_A_BLOCK = 1 << 18
 #: Rows of a table of keys that may be broadcast (some 30 bytes each).
 MOST_BROADCAST = 200_000
 
