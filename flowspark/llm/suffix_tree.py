@@ -17,8 +17,8 @@ of the weights of its sequences of 1, 2, ... words. Sequences are known by 64-bi
 
 The table grows with the corpus and never is in one place: it is made by joins and
 aggregates, dealt to buckets by hash, and texts send their sequences to the buckets, packed
-in blobs. A bit array of fixed size and the most frequent sequences (bounded by a share of
-the tokens) go out by broadcast; they only save sending what has no weight or is everywhere.
+in blobs. A bit array of fixed size and the most frequent sequences (a fixed number at
+most) go out by broadcast; they only save sending what has no weight or is everywhere.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import map_batches, map_texts
+from flowspark.llm.common import map_batches, map_texts, settled, tidy_up
 from flowspark.session import durable
 
 END = b"\n"  # no word has a newline
@@ -140,7 +140,7 @@ class Bits:
     def of(cls, keys: DataFrame) -> Bits:
         """``keys`` has the column key. The array has a fixed size; when it fills up it only lets more through."""
         place = F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-        found = keys.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(key & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+        found = keys.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
         words = np.zeros(1 << FILTER_BITS - 6, np.int64)
         words[found["word"].to_numpy()] = found["bits"].to_numpy()
         return cls(words)
@@ -199,10 +199,11 @@ def grown(found: DataFrame, below: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The sequences of ``found`` (context, suffix, n) with key, n, base, ratio and weight, and the retained contexts
     (key, n, weight). ``below`` has the same for the sequences of a word less; ratio is that of the model to the base
     probability of a sequence's last word after the others."""
+    found = settled(found)
     contexts = below.select(F.col("key").alias("context"), F.col("n").alias("times"))
     suffixes = below.select(F.col("key").alias("suffix"), "base", F.col("ratio").alias("before"))
     rows = found.join(contexts, "context").join(suffixes, "suffix")
-    rows = durable(rows.select(F.xxhash64("context", "suffix").alias("key"), "context", "n", "times", "base", "before"))
+    rows = settled(rows.select(F.xxhash64("context", "suffix").alias("key"), "context", "n", "times", "base", "before"))
     own, other = F.col("n") / F.col("times"), F.least(F.col("before") * F.col("base"), F.lit(1.0))
     sums = rows.groupBy("context").agg(
         F.max("times").alias("times"), F.count(F.lit(1)).alias("symbols"), F.sum(own).alias("mass"), F.sum(other).alias("mass_before"),
@@ -215,27 +216,27 @@ def grown(found: DataFrame, below: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.drop("times").join(retained, "context", "left")
     ratio = F.coalesce(F.col("rest") * F.col("before") + (F.col("n") - DISCOUNT) / F.col("times") / F.col("base"), F.col("before"))
     weight = F.coalesce(F.log10(ratio) - F.log10("before") - F.log10("rest"), F.lit(0.0))
-    rows = durable(rows.select("key", "n", "base", ratio.alias("ratio"), weight.alias("weight")))
+    rows = settled(rows.select("key", "n", "base", ratio.alias("ratio"), weight.alias("weight")))
     return rows, retained.select(F.col("context").alias("key"), F.col("times").alias("n"), F.log10("rest").alias("weight"))
 
 
 def tree(training: DataFrame, depth: int, least: int) -> tuple[DataFrame, int, int]:
     """(key, n, base, gain) of all sequences that weigh something, the number of training tokens and that of distinct ones.
     base is what a known word adds to an unknown one's logarithm, gain the model's over the base distribution."""
-    words = durable(word_counts(training))
+    words = settled(word_counts(training))
     n, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     none = F.lit(0.0)
     weights = words.select("key", "n", F.log10((F.col("n") + 0.5) / 0.5).alias("base"), none.alias("gain"))
-    below = words.select("key", "n", ((F.col("n") + 0.5) / F.lit(n + 0.5 * (distinct + 1))).alias("base"), F.lit(1.0).alias("ratio"))
+    below = words.select("key", "n", ((F.col("n") + 0.5) / F.lit(n + 0.5 * (distinct + 1))).alias("base"), F.lit(1.0).alias("ratio")).where(F.col("n") >= least)
     for size in range(2, depth + 2):
-        held = training.sparkSession.sparkContext.broadcast(Bits.of(below.where(F.col("n") >= least)))
+        held = training.sparkSession.sparkContext.broadcast(Bits.of(below))
         rows, retained = grown(sequence_counts(training, size, held).where(F.col("n") >= least), below)
         if retained.isEmpty():
             break
         for part in (rows.where("weight <> 0"), retained):
             weights = weights.union(part.select("key", "n", none, "weight"))
         below = rows
-    return durable(weights.groupBy("key").agg(F.max("n").alias("n"), F.sum("base").alias("base"), F.sum("gain").alias("gain"))), n, distinct
+    return settled(weights.groupBy("key").agg(F.max("n").alias("n"), F.sum("base").alias("base"), F.sum("gain").alias("gain"))), n, distinct
 
 
 class Frequent:
@@ -246,6 +247,15 @@ class Frequent:
         self.base, self.gain = rows["base"].to_numpy(), rows["gain"].to_numpy()
 
 
+def _most_frequent(weights: DataFrame, most: int) -> DataFrame:
+    """(key, base, gain) of the sequences above a power of two that no more than ``most`` reach."""
+    sizes = {r.p: r.m for r in weights.groupBy(F.floor(F.log2("n")).alias("p")).agg(F.count(F.lit(1)).alias("m")).collect()}
+    power, held = 63, 0
+    while power > 0 and held + sizes.get(power - 1, 0) <= most:
+        power, held = power - 1, held + sizes.get(power - 1, 0)
+    return weights.where(F.col("n") >= 2**power).select("key", "base", "gain")
+
+
 #: Rows that meet in a bucket (weights, then sequences of a part of the texts, then the texts' own rows), and the parts' sums.
 KINDS = ("part bigint", "bucket int", "kind int", "doc int", "apart boolean", "n_tokens bigint", "known bigint", "base double", "gain double", "a binary", "b binary", "c binary")
 ARROW = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
@@ -276,9 +286,9 @@ def score_texts(
     id_col: str = "doc_id",
     text_col: str = "text",
     kept_out: Column | None = None,
-    depth: int = 3,
-    least: int = 2,
-    frequent: int = 1 << 17,
+    depth: int = 2,
+    least: int = 4,
+    frequent: int = 1 << 19,
 ) -> DataFrame:
     """One row per row of ``df``: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -288,17 +298,17 @@ def score_texts(
     Null text counts as empty: its only token is the end. Repeated rows are learnt from
     and scored once each. Without training rows every word is unknown. An empty table
     gives an empty result; other columns are not read. ``frequent`` only bounds what tasks
-    hold to send less: sequences that make up 1/frequent of the tokens, so that many a
-    level at most.
+    hold to send less: the most frequent sequences, so many at most.
     """
     spark = df.sparkSession
     apart = F.coalesce(held_out(F.col(id_col)) if kept_out is None else kept_out, F.lit(False))
     rows = df.select(F.col(id_col).alias("id"), apart.alias("apart"), F.col(text_col).alias("text"))
     weights, n, distinct = tree(rows.where("not apart").select("text"), depth, least)
+    tidy_up(spark)
     unknown = float(np.log10(0.5 / (n + 0.5 * (distinct + 1))))
-    top = spark.sparkContext.broadcast(Frequent(weights.where(F.col("n") * frequent >= n).select("key", "base", "gain").toArrow()))
+    top = spark.sparkContext.broadcast(Frequent(_most_frequent(weights, frequent).toArrow()))
     held = spark.sparkContext.broadcast(Bits.of(weights))
-    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-weights.count() // KEYS_A_BUCKET))
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-weights.count() // KEYS_A_BUCKET))
     id_kind = rows.schema["id"].dataType.simpleString()
     schema = ", ".join([f"id {id_kind}", *KINDS])
     bucket_of = lambda keys: (keys.view(np.uint64) >> np.uint64(24)).astype(np.int64) % buckets

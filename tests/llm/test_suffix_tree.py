@@ -81,7 +81,7 @@ def test_scores_match_plain_model(spark):
     ids = [None, *range(len(texts) - 2), 7]
     df = spark.createDataFrame(list(zip(ids, texts, [1.5] * len(texts), strict=True)), "doc_id long, text string, score double")
     out = [zlib.crc32(str("" if i is None else i).encode()) % 5 == 1 for i in ids]
-    for depth, least, frequent in ((2, 2, 1), (3, 2, 2000), (1, 5, 50)):
+    for depth, least, frequent in ((2, 2, 0), (3, 2, 2000), (1, 5, 50)):
         model = Plain([tokens(t) for t, o in zip(texts, out, strict=True) if not o], depth, least)
         assert model.states
         want = Counter()
