@@ -131,23 +131,29 @@ def levels(keys: np.ndarray, starts: np.ndarray, most: int) -> Iterator[tuple[np
 
 
 class Bits:
-    """A bit array over keys: a key whose bit is not set was not put in."""
+    """A Bloom filter over keys: a key one of whose bits is not set was not put in."""
+
+    SHIFTS = (0, 20, 37)
 
     def __init__(self, words: np.ndarray) -> None:
         self.words = words
 
     @classmethod
     def of(cls, keys: DataFrame) -> Bits:
-        """``keys`` has the column key. The array has a fixed size; when it fills up it only lets more through."""
-        place = F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-        found = keys.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+        """``keys`` has the column key. The filter has a fixed size; when it fills up it only lets more through."""
+        places = F.array(*(F.shiftrightunsigned("key", k).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) for k in cls.SHIFTS))
+        found = keys.select(F.explode(places).alias("place")).select(F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
+        found = found.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
         words = np.zeros(1 << FILTER_BITS - 6, np.int64)
         words[found["word"].to_numpy()] = found["bits"].to_numpy()
         return cls(words)
 
     def may_have(self, keys: np.ndarray) -> np.ndarray:
-        place = keys & ((1 << FILTER_BITS) - 1)
-        return (self.words[place >> 6] >> (place & 63) & 1).astype(bool)
+        out = np.ones(len(keys), bool)
+        for k in self.SHIFTS:
+            place = (keys.view(np.uint64) >> np.uint64(k)).astype(np.int64) & ((1 << FILTER_BITS) - 1)
+            out &= (self.words[place >> 6] >> (place & 63) & 1).astype(bool)
+        return out
 
 
 def word_counts(training: DataFrame) -> DataFrame:
@@ -300,6 +306,8 @@ def score_texts(
     gives an empty result; other columns are not read. ``frequent`` only bounds what tasks
     hold to send less: the most frequent sequences, so many at most.
     """
+    if id_col in ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"):
+        raise ValueError(f"{id_col} is the name of a column made here")
     spark = df.sparkSession
     apart = F.coalesce(held_out(F.col(id_col)) if kept_out is None else kept_out, F.lit(False))
     rows = df.select(F.col(id_col).alias("id"), apart.alias("apart"), F.col(text_col).alias("text"))
@@ -355,7 +363,16 @@ def score_texts(
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, blobs, table, base, gain = None, [], None, None, None
+        sums: dict[int, np.ndarray] = {}  # of the parts met so far, handed on when they grow large
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for part, own in sums.items():
+                docs = np.flatnonzero(own.any(axis=0))
+                yield _rows(1, id_type, part=[part], kind=[0], a=[docs.astype(np.int32).tobytes()], b=[own[:, docs].tobytes()])
+            sums.clear()
+
         for bucket, kind, rows in _runs(batches, "bucket"):
+            id_type = rows.column("id").type
             if bucket != at:
                 at, blobs, table = bucket, [], None
             if kind == 0:
@@ -368,10 +385,17 @@ def score_texts(
                     table, blobs = Table(keys), []
                 for part, own, doc in zip(rows.column("part").to_pylist(), rows.column("a"), rows.column("b"), strict=True):
                     number, doc = table.find(np.frombuffer(own.as_buffer(), np.int64)), np.frombuffer(doc.as_buffer(), np.int32)
-                    docs, doc = np.unique(doc[number >= 0], return_inverse=True)
-                    number = number[number >= 0]
-                    sums = np.stack([np.bincount(doc, x, len(docs)) for x in (base[number], gain[number], base[number] > 0)]) if len(docs) else np.empty((3, 0))
-                    yield _rows(1, rows.column("id").type, part=[part], kind=[0], a=[docs.astype(np.int32).tobytes()], b=[sums.tobytes()])
+                    doc, number = doc[number >= 0], number[number >= 0]
+                    if len(doc):
+                        many = int(doc.max()) + 1
+                        found, own = np.stack([np.bincount(doc, x, many) for x in (base[number], gain[number], base[number] > 0)]), sums.get(part, np.zeros((3, 0)))
+                        if own.shape[1] < many:
+                            own = np.concatenate([own, np.zeros((3, many - own.shape[1]))], axis=1)
+                        own[:, :many] += found
+                        sums[part] = own
+                if sum(x.nbytes for x in sums.values()) > 1 << 25:
+                    yield from flushed()
+        yield from flushed()
 
     def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, sums = None, np.zeros((3, 0))
