@@ -87,14 +87,11 @@ def fit(sample: DataFrame, text_col: str, label_col: str, strength: float = 1000
                 yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])], ["label", "gram", "n"])
 
     counts = map_texts(sample.where(F.col(label_col).isNotNull()).select(text_col, F.col(label_col).cast("string")), run, "label string, gram int, n bigint")
-    rows = counts.groupBy("label", "gram").agg(F.sum("n").alias("n")).collect()  # languages times GRAMS at most; without a label, bytes
-    labels = sorted({r.label for r in rows if r.label is not None})
-    table, seen = np.zeros((GRAMS, len(labels))), np.zeros(256, np.int64)
-    for r in rows:
-        if r.label is None:
-            seen[r.gram] += r.n
-        else:
-            table[r.gram, labels.index(r.label)] += r.n
+    rows = counts.groupBy("label", "gram").agg(F.sum("n").alias("n")).toArrow()  # languages times GRAMS at most; without a label, bytes
+    label, gram, n = np.array(rows["label"].to_pylist(), object), rows["gram"].to_numpy(), rows["n"].to_numpy()
+    labels = sorted(set(label) - {None})
+    seen = np.bincount(gram[label == None], n[label == None], 256)  # noqa: E711
+    table = np.stack([np.bincount(gram[label == x], n[label == x], GRAMS) for x in labels], axis=1) if labels else np.zeros((GRAMS, 0))
     drawn = chance(seen)
     table = np.log((table + strength * drawn[:, None]) / (table.sum(axis=0) + strength))
     return labels, np.concatenate([table, (np.log(drawn) - margin)[:, None]], axis=1).astype(np.float32)

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import map_batches, map_texts
+from flowspark.llm.common import map_batches, map_texts, tidy_up
 from flowspark.session import durable
 
 WORDS_AT_ONCE = 1 << 16
@@ -293,6 +293,7 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         least = durable(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         stars = durable(small.where("a <> b").distinct())
+        tidy_up(stars.sparkSession)
         now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before:
             return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(stars.select(F.col("b"), F.col("b")).distinct())
@@ -349,7 +350,8 @@ def _rooted(nodes: DataFrame, found: DataFrame) -> DataFrame:
 
 def single_linkage(nodes: list[int], sets: list[np.ndarray], similarity: Fraction) -> list[tuple[int, int]]:
     """Edges that connect exactly the nodes whose sets have a similarity (common elements over all) of ``similarity`` or
-    more, by way of others. Each node is met once, and then compared with those that no one has met."""
+    more, by way of others: from the smallest node of each component to its others. Each node is met once, and then
+    compared with those that no one has met."""
     p, q = similarity.numerator, similarity.denominator
     order = sorted(range(len(nodes)), key=lambda k: len(sets[k]))
     sizes = np.array([len(sets[k]) for k in order], np.int64)
@@ -358,16 +360,19 @@ def single_linkage(nodes: list[int], sets: list[np.ndarray], similarity: Fractio
     first = np.cumsum(sizes) - sizes
     mark = np.zeros(int(numbers.max()) + 1 if len(numbers) else 1, bool)
     # Those not met yet, in order of size, with their elements one after the other.
-    left, left_sizes, left_first, elements, met, edges, waiting = np.arange(len(order)), sizes, first, numbers, np.zeros(len(order), bool), [], []
-    start = 0
+    left, left_sizes, left_first, elements, met, waiting = np.arange(len(order)), sizes, first, numbers, np.zeros(len(order), bool), []
+    start, edges, tree = 0, [], []
     while True:
         if not waiting:
+            least = min(tree, default=0)
+            edges += [(least, x) for x in tree if x != least]
             while start < len(order) and met[start]:
                 start += 1
             if start == len(order):
                 return edges
             met[start] = True
             waiting.append(start)
+            tree = [int(names[start])]
         x = waiting.pop()
         if 2 * np.count_nonzero(met[left]) > len(left):
             keep = ~met[left]
@@ -385,7 +390,7 @@ def single_linkage(nodes: list[int], sets: list[np.ndarray], similarity: Fractio
         near = near[~met[near]]
         met[near] = True
         waiting += near.tolist()
-        edges += [(int(names[x]), y) for y in names[near].tolist()]
+        tree += names[near].tolist()
 
 
 def similar(clusters: DataFrame, width: int, similarity: Fraction, hashes_a_block: int = HASHES_A_BLOCK) -> DataFrame:
@@ -460,7 +465,13 @@ def keep_one_of_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str
     parts = durable(candidates.groupBy("root").agg(F.ceil(F.sum("shingles") / HASHES_A_BLOCK).cast("int").alias("parts")))
     candidates = durable(candidates.join(parts, "root").select("id", "h", "g", "root", F.greatest("parts", F.lit(1)).alias("parts"), "node"))
     clusters = meet(candidates, "inner", [candidates["root"], candidates["parts"], candidates["node"], df[text_col].alias("text")])
-    rooted = _rooted(nodes, components(similar(clusters, width, Fraction(similarity).limit_denominator(10_000))))
+    linked = durable(similar(clusters, width, Fraction(similarity).limit_denominator(10_000)))
+    if parts.where("parts > 1").isEmpty():  # each cluster was compared in one task, whose edges lead to a tree's smallest node
+        found = linked.select(F.col("b").alias("node"), F.col("a").alias("root")).union(linked.select("a", "a").distinct())
+    else:
+        found = components(linked)
+    rooted = _rooted(nodes, found)
+    tidy_up(df.sparkSession)
     kept = durable(rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.id", "least.h", "least.g"))
     keys = marked.groupBy("id", "h", "g").count()
     # Rows that repeat id and text can't be told apart; all others are chosen by the join alone.
