@@ -14,9 +14,12 @@ from flowspark.llm.decontaminate import contaminated
 from flowspark.llm.exact_dedup import exact_dedup
 from flowspark.llm.language_id import declared_language, domain_of, fit, host_of, identify, page_text, sample_of, suffix_of
 from flowspark.llm.line_dedup import drop_common_lines
+from flowspark.llm.mixing import mix_sources, words_of
+from flowspark.llm.ordering import lookup, positions
 from flowspark.llm.pii import replace_pii
 from flowspark.llm.simhash import simhash_components
 from flowspark.llm.suffix_tree import score_texts
+from flowspark.llm.trie import numbered_turns, prefix_trie
 from flowspark.llm.url_filter import judge_urls
 from flowspark.llm.warc import read_warc, warc_records, write_warc
 from flowspark.session import durable, shared_dir
@@ -150,6 +153,102 @@ fits AS (
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM fits WHERE k = 1
 """
 
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in full: sources weigh 1, 2, 3, 1, ... in order of their code points, null last."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", words_of(F.col("text")).alias("size"))
+    docs = durable(docs)
+    names = positions(docs.select("source").distinct(), "n", [], [F.col("source").asc_nulls_last()])
+    weights = names.select("source", ((F.col("n") - 1) % 3 + 1).alias("weight"))
+    taken, sources, _ = mix_sources(docs, weights, "source")
+    sources = sources.select("source", "source_size", "target")
+    out = taken.withColumn("source", F.col("pattern")[0]).alias("d").join(F.broadcast(sources).alias("s"), F.expr("d.source <=> s.source"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP12_SQL = """
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+         CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS draw
+  FROM documents
+),
+s AS (SELECT source, sum(size)::DOUBLE AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM d GROUP BY source),
+w AS (SELECT source, source_size, (((n - 1) % 3) + 1)::DOUBLE AS weight, 3 * source_size AS cap, sum(source_size) OVER () AS total FROM s),
+f AS (  -- the first sources by limit to weight are held to it, as few as leaves no other above its own
+  SELECT *, row_number() OVER o - 1 AS k, total - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_over,
+         sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights
+  FROM w WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)
+),
+level AS (SELECT left_over, weights FROM f WHERE weight * left_over / weights <= cap ORDER BY k LIMIT 1),
+t AS (
+  SELECT source, source_size::BIGINT AS source_size, least(weight * left_over / weights, cap) AS target,
+         floor(least(weight * left_over / weights, cap) + 0.5)::BIGINT AS quota
+  FROM w, level
+),
+r AS (
+  SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN least(quota, 3 * source_size) // source_size ELSE 0 END AS copies,
+         CASE WHEN source_size > 0 THEN least(quota, 3 * source_size) % source_size ELSE 0 END AS rest,
+         sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size::BIGINT AS size, source_size, target, (copies * size + greatest(0, least(size, rest - start)))::BIGINT AS taken FROM r
+"""
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations of whole tables, rebuilt so that they share beginnings: the first h turns of conversation c - c % 20, then
+    the conversation's own turns after its first h, with h = crc32(c) % 4. Only digests of turns are moved about."""
+    shared = F.crc32(F.col("conv_id").cast("string")) % 4
+    turns = durable(numbered_turns(table(spark, sf_dir, "conversations")))
+    convs = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).withColumn("h", shared).withColumn("base", F.col("conv_id") - F.col("conv_id") % 20)
+    bases = convs.select(F.col("conv_id").alias("base"), F.col("n").alias("n_base"))
+    convs = convs.join(bases, "base", "left").withColumn("led", F.least("h", F.coalesce("n_base", F.lit(0))))
+    convs = durable(convs.select("conv_id", "base", "h", "led", "n", (F.col("led") + F.greatest(F.col("n") - F.col("h"), F.lit(0))).alias("turns")))
+    heads = turns.where("pos <= 3 and conv_id % 20 = 0").withColumnRenamed("conv_id", "base")
+    led = convs.where("led > 0").join(heads, "base").where("pos <= led").withColumn("depth", F.col("pos"))
+    own = lookup(turns, convs.select("conv_id", "h", "led", "n", "turns"), ["conv_id"], "n").where("pos > h").withColumn("depth", F.col("pos") - F.col("h") + F.col("led"))
+    names = ["conv_id", "depth", "t1", "t2", "words", "turns"]
+    return prefix_trie(led.select(*names).unionByName(own.select(*names)), convs.where("turns = 0"))
+
+
+OP13_SQL = """
+WITH RECURSIVE turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base,
+         xor(4294967295, list_reduce(CAST(encode(CAST(conv_id AS VARCHAR)) AS VARCHAR).split('').list_transform(lambda c: ascii(c)::BIGINT),
+           lambda crc, b: list_reduce(range(8), lambda x, i: xor(x >> 1, (x & 1) * 3988292384), xor(crc, b)), 4294967295)) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)
+),
+rebuilt AS (
+  SELECT c.conv_id, t.role, t.text, 0 AS part, pos FROM convs c JOIN turns t ON t.conv_id = c.base AND t.pos <= c.h
+  UNION ALL SELECT c.conv_id, t.role, t.text, 1, pos FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > c.h
+),
+whole AS (
+  SELECT c.conv_id, coalesce(list(md5(struct_pack(a := role, b := text)::JSON::VARCHAR) ORDER BY part, pos) FILTER (WHERE role IS NOT NULL), []) AS turns,
+         coalesce(list(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) ORDER BY part, pos) FILTER (WHERE role IS NOT NULL), []) AS words
+  FROM convs c LEFT JOIN rebuilt r ON c.conv_id = r.conv_id GROUP BY c.conv_id
+),
+seen AS (SELECT conv_id, d, turns[1:d] AS node, CASE WHEN d > 0 THEN words[d] ELSE 0 END AS words, len(turns) = d AS at_end FROM whole, unnest(range(0, len(turns) + 1)) AS t(d)),
+nodes AS (
+  SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE at_end), '')) AS ends_sha256
+  FROM seen GROUP BY node, d
+),
+children AS (SELECT node[1:d - 1] AS node, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1, 2),
+own AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children c ON n.node = c.node AND n.d = c.d),
+below AS (
+  SELECT node[1:e] AS node, e AS d, sum((n_children = 0)::BIGINT) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+  FROM own, unnest(range(0, d + 1)) AS t(e) GROUP BY 1, 2
+)
+SELECT n.conv_id, n.d::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, b.n_leaves::BIGINT AS n_leaves,
+       b.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM own n JOIN below b ON n.node = b.node AND n.d = b.d LEFT JOIN nodes p ON n.d > 0 AND p.d = n.d - 1 AND p.node = n.node[1:n.d - 1]
+"""
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash": op2_simhash,
@@ -161,5 +260,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_language_id": op9_language_id,
     "op10_url_filter": op10_url_filter,
+    "op12_mixing": op12_mixing,
+    "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op6_warc": OP6_SQL, "op8_line_dedup": OP8_SQL, "op10_url_filter": OP10_SQL}
+ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op6_warc": OP6_SQL, "op8_line_dedup": OP8_SQL, "op10_url_filter": OP10_SQL, "op12_mixing": OP12_SQL, "op13_prefix_trie": OP13_SQL}
