@@ -16,6 +16,7 @@ from flowspark.llm.language_id import declared_language, domain_of, fit, host_of
 from flowspark.llm.line_dedup import drop_common_lines
 from flowspark.llm.mixing import mix_sources, words_of
 from flowspark.llm.ordering import lookup, positions
+from flowspark.llm.phrases import collocations
 from flowspark.llm.pii import replace_pii
 from flowspark.llm.simhash import simhash_components
 from flowspark.llm.suffix_tree import score_texts
@@ -154,6 +155,42 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM fits
 """
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+         regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]') AS pieces
+  FROM documents
+),
+p AS (SELECT lang, doc, generate_subscripts(pieces, 1) AS piece, regexp_extract_all(unnest(pieces), '[^\\x20\\x09]+') AS words FROM d),
+w AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM p),
+f AS (
+  SELECT lang, words[i:i + m - 1] AS phrase, m, count(*) AS f
+  FROM w, (VALUES (1), (2), (3)) AS t(m) WHERE i + m - 1 <= len(words) GROUP BY 1, 2, 3
+),
+totals AS (SELECT lang, count(*) AS n FROM w GROUP BY 1),
+c AS (SELECT * FROM f WHERE m > 1 AND f >= 10),
+inner_ AS (SELECT lang, phrase[i:i + 1] AS phrase, max(f) AS longer FROM c, (VALUES (1), (2)) AS t(i) WHERE m = 3 GROUP BY 1, 2),
+kept AS (SELECT c.* FROM c LEFT JOIN inner_ i ON c.lang = i.lang AND c.phrase = i.phrase WHERE longer IS NULL OR 100 * longer < 50 * f),
+cuts AS (
+  SELECT k.lang, k.phrase, k.f AS a, t.k AS k, x.f AS l, y.f AS r,
+         CAST((CAST(1000000 AS HUGEINT) * k.f * k.f) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM kept k, (VALUES (1), (2)) AS t(k), f x, f y
+  WHERE t.k < k.m AND x.lang = k.lang AND x.phrase = k.phrase[1:t.k] AND y.lang = k.lang AND y.phrase = k.phrase[t.k + 1:]
+),
+lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS choice FROM cuts),
+ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(phrase, ' ')) AS rank,
+         array_to_string(phrase, ' ') AS phrase, a, l, r, score
+  FROM lowest WHERE choice = 1
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in full: sources weigh 1, 2, 3, 1, ... in order of their code points, null last."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", words_of(F.col("text")).alias("size"))
@@ -260,7 +297,8 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_language_id": op9_language_id,
     "op10_url_filter": op10_url_filter,
+    "op11_collocations": op11_collocations,
     "op12_mixing": op12_mixing,
     "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op6_warc": OP6_SQL, "op8_line_dedup": OP8_SQL, "op10_url_filter": OP10_SQL, "op12_mixing": OP12_SQL, "op13_prefix_trie": OP13_SQL}
+ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op6_warc": OP6_SQL, "op8_line_dedup": OP8_SQL, "op10_url_filter": OP10_SQL, "op11_collocations": OP11_SQL, "op12_mixing": OP12_SQL, "op13_prefix_trie": OP13_SQL}
