@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowspark.functions.bpf import compile_filter
 from flowspark.operators import filters, flows, reassembly, trackers
 from flowspark.plans import flow as api
-from flowspark.session import shared_dir
-from flowspark.sources.pcap import PACKETS, decode, read_packets, write_packets
+from flowspark.session import delete_folder, durable, shared_dir
+from flowspark.sources.pcap import PACKETS, decode, read_packets, stream_packets, write_packets
 from flowspark.sources.records import from_events
 
 QUERIES: dict = {}
@@ -210,11 +210,23 @@ def track_skype(p):
 # -- files ------------------------------------------------------------------
 
 
+def _new_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/capture-{uuid.uuid4().hex}"
+
+
+def _kept(df: DataFrame, *folders: str) -> DataFrame:
+    """``df`` read now, so that the folders it comes from can go."""
+    out = durable(df)
+    for folder in folders:
+        delete_folder(df.sparkSession, folder)
+    return out
+
+
 def _round_trip(kind: str):
     def f(p: DataFrame) -> DataFrame:
-        path = f"{shared_dir(p.sparkSession).rstrip('/')}/capture-{uuid.uuid4().hex}"
+        path = _new_folder(p.sparkSession)
         write_packets(p, path, kind)
-        return read_packets(p.sparkSession, path, kind).select("us", "ifindex", "wlen", "caplen", F.md5("pkt").alias("digest"))
+        return _kept(read_packets(p.sparkSession, path, kind).select("us", "ifindex", "wlen", "caplen", F.md5("pkt").alias("digest")), path)
 
     return f
 
@@ -226,13 +238,43 @@ packet_query(" SELECT us, ifindex, wlen, wlen AS caplen, md5(unhex(l2 || l3 || l
 
 @packet_query(" SELECT us, wlen FROM p WHERE ip_proto = 17 ORDER BY pkt_no LIMIT 50")
 def to_file_limit(p):
-    path = f"{shared_dir(p.sparkSession).rstrip('/')}/capture-{uuid.uuid4().hex}"
+    path = _new_folder(p.sparkSession)
     flow = api.create_flow(p)
     flow.apply("BPF_FILTER", "udp")
     file = flow.apply("TO_FILE", 0, path, 50)
     flow.connect()
     flow.read(file)
-    return read_packets(p.sparkSession, path).select("us", "wlen")
+    return _kept(read_packets(p.sparkSession, path).select("us", "wlen"), path)
+
+
+#: Twelve record headers in a row, each with 16 bytes of packet: what a capture that is sent over the wire looks like.
+INNER_RECORDS = "repeat('01000000000000001000000010000000' || repeat('41', 16), 12)"
+
+
+@packet_query(f" SELECT us, wlen + 384 AS wlen, row_number() OVER (ORDER BY pkt_no) AS n, md5(unhex(l2 || l3 || l4 || {INNER_RECORDS})) AS digest FROM p")
+def pcap_ranges(p):
+    """Large files (here: above 128 KiB) read in ranges, with payloads that look like records."""
+    path = _new_folder(p.sparkSession)
+    whole = p.withColumn("pkt", F.concat("pkt", F.expr(f"unhex({INNER_RECORDS})"))).withColumn("wlen", F.col("wlen") + 384)
+    write_packets(whole, path)
+    rows = read_packets(p.sparkSession, path, split_bytes=1 << 17)
+    file = F.shiftright("pkt_no", 40).alias("file")
+    sizes = rows.groupBy(file).agg(F.count(F.lit(1)).alias("n_file"))  # one row a file
+    sizes = sizes.select("file", (F.sum("n_file").over(Window.orderBy("file")) - F.col("n_file")).alias("earlier"))
+    numbered = rows.withColumn("file", file).join(F.broadcast(sizes), "file")
+    return _kept(numbered.select("us", "wlen", (F.col("earlier") + (F.col("pkt_no") - F.shiftleft("file", 40)) + 1).alias("n"), F.md5("pkt").alias("digest")), path)
+
+
+@packet_query(" SELECT us, wlen, md5(unhex(l2 || l3 || l4)) AS digest FROM p")
+def pcap_stream(p):
+    """A folder of captures followed as a stream that is stopped and started again after it has grown."""
+    spark = p.sparkSession
+    source, out, state = (_new_folder(spark) for _ in range(3))
+    for part in (F.col("pkt_no") % 1000 < 400, F.col("pkt_no") % 1000 >= 400):
+        write_packets(p.where(part), source)
+        query = stream_packets(spark, source).select("us", "wlen", F.md5("pkt").alias("digest")).writeStream.format("parquet")
+        query.option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return _kept(spark.read.parquet(out), source, out, state)
 
 
 # -- anonymisation of fields, reassembly ------------------------------------
@@ -284,8 +326,6 @@ def checksum_adjust(p):
 
 def _streams(p: DataFrame) -> DataFrame:
     """The TCP packets with sequence numbers that follow each other in each connection, in order of time."""
-    from pyspark.sql import Window
-
     before = Window.partitionBy("src_ip", "dst_ip", "sport", "dport").orderBy("pkt_no").rowsBetween(Window.unboundedPreceding, -1)
     sent = F.coalesce(F.sum(F.octet_length("l4_payload")).over(before), F.lit(0))
     return p.where("ip_proto = 6").withColumn("tcp_seq", (F.lit(1) + sent).cast("long")).withColumn("tcp_flags", F.lit(16))

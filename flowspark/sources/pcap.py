@@ -1,8 +1,8 @@
 """PCAP and ERF capture files as Spark data sources, and the packet decoder.
 
-A file is the unit of work (a capture can't be entered in the middle); a folder of
-files is read file by file in order of name. ``pkt_no`` has the file's place in its
-upper bits, so it orders the whole stream.
+A folder of files is read in order of name. ``pkt_no`` has the file's place in its upper bits and
+the record's number in it below, so it orders the whole stream. ``read_packets`` cuts large
+files into ranges (``splits``); ``stream_packets`` follows a growing folder (``capture_stream``).
 """
 
 from __future__ import annotations
@@ -18,51 +18,11 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
-
-PACKETS = "pkt_no bigint, us bigint, ts_ntp bigint, ifindex int, caplen int, wlen int, link_type int, pkt binary"
-ETHERNET, CISCO_HDLC = 1, 104
-# Magic numbers of the file header and the length of its snapshots (fixed values of the format).
-MAGIC, MAGIC_NANO, SNAPLEN = 0xA1B2C3D4, 0xA1B23C4D, 65535
-ROWS_A_BATCH = 4096
-
-
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
-def pcap_records(stream) -> Iterator[tuple]:
-    """(us, ntp, ifindex, caplen, wlen, link type, bytes) of each record; a cut last record is left out."""
-    head = stream.read(24)
-    if len(head) < 24:
-        return
-    order = next((o for o in "<>" if struct.unpack(o + "I", head[:4])[0] in (MAGIC, MAGIC_NANO)), None)
-    if order is None:
-        raise ValueError("no PCAP file")
-    nano = struct.unpack(order + "I", head[:4])[0] == MAGIC_NANO
-    link = struct.unpack(order + "I", head[20:24])[0]
-    while len(head := stream.read(16)) == 16:
-        sec, part, caplen, wlen = struct.unpack(order + "IIII", head)
-        data = stream.read(caplen)
-        if len(data) < caplen:
-            return
-        unit = 10**9 if nano else 10**6
-        yield sec * 10**6 + part * 10**6 // unit, (sec << 32) + (part << 32) // unit, 0, caplen, wlen, link, data
-
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-def erf_records(stream) -> Iterator[tuple]:
-    """The same of ERF records: type 2 is Ethernet (two bytes of padding first), type 1 HDLC; others are left out."""
-    while len(head := stream.read(16)) == 16:
-        ts, kind, flags, rlen, _, wlen = struct.unpack("<QBB", head[:10]) + struct.unpack(">HHH", head[10:16])
-        data = stream.read(rlen - 16)
-        if len(data) < rlen - 16:
-            return
-        if kind & 0x7F not in (1, 2):
-            continue
-        data = data[2:] if kind & 0x7F == 2 else data
-        data = data[:wlen]
-        us = (ts >> 32) * 10**6 + ((ts & 0xFFFFFFFF) * 10**6 + 2**31 >> 32)
-        yield us, ts, flags & 3, len(data), wlen, ETHERNET if kind & 0x7F == 2 else CISCO_HDLC, data
+from flowspark.sources.capture_stream import CaptureStreamReader
+from flowspark.sources.formats import CISCO_HDLC, ETHERNET, MAGIC, PACKETS, SNAPLEN, opened
+from flowspark.sources.splits import SPLIT_BYTES, files_of, layout_of, read_ranges, rows_between
 
 
 @dataclass
@@ -78,36 +38,21 @@ class Written(WriterCommitMessage):
 
 
 class CaptureReader(DataSourceReader):
-    def __init__(self, path: str, records) -> None:
-        self.path, self.records = path, records
+    """A file is a task."""
+
+    def __init__(self, path: str, kind: str) -> None:
+        self.path, self.kind = path, kind
 
     def partitions(self) -> list[InputPartition]:
-        system, path = _open(self.path)
-        info = system.get_file_info(path)
-        if info.type == fs.FileType.NotFound:
-            raise FileNotFoundError(self.path)
-        files = [path] if info.type == fs.FileType.File else sorted(f.path for f in system.get_file_info(fs.FileSelector(path)) if f.type == fs.FileType.File and not f.base_name.startswith(("_", ".")))
-        return [File(f, k) for k, f in enumerate(files)]
+        return [File(f.path, k) for k, f in enumerate(files_of(self.path))]
 
     def read(self, partition: File | None) -> Iterator[pa.RecordBatch]:
         if partition is None:
             return
-        system, _ = _open(self.path)
-        rows, number = [], partition.place << 40
-        with system.open_input_stream(partition.path, buffer_size=1 << 20) as stream:
-            for record in self.records(stream):
-                rows.append((number, *record))
-                number += 1
-                if len(rows) == ROWS_A_BATCH:
-                    yield _batch(rows)
-                    rows = []
-        if rows:
-            yield _batch(rows)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["pkt_no", "us", "ts_ntp", "ifindex", "caplen", "wlen", "link_type", "pkt"])
+        with opened(self.path)[0].open_input_file(partition.path) as file:
+            layout = layout_of(self.kind, file)
+            if layout is not None:
+                yield from rows_between(file, layout, layout.start, file.size(), partition.place << 40)
 
 
 class CaptureWriter(DataSourceWriter):
@@ -119,7 +64,7 @@ class CaptureWriter(DataSourceWriter):
 
     def write(self, iterator) -> WriterCommitMessage:
         task = TaskContext.get()
-        system, folder = _open(self.path)
+        system, folder = opened(self.path)
         system.create_dir(folder, recursive=True)
         end = "erf" if self.erf else "pcap"
         temporary, final = f"{folder}/_attempt-{task.partitionId():05d}-{task.taskAttemptId()}", f"{folder}/part-{self.job}-{task.partitionId():05d}.{end}"
@@ -135,11 +80,11 @@ class CaptureWriter(DataSourceWriter):
         return Written(temporary, final)
 
     def commit(self, messages: list[Written | None]) -> None:
-        system, folder = _open(self.path)
+        system, folder = opened(self.path)
         put_in_place(system, folder, [(m.temporary, m.final) for m in messages if m is not None], self.overwrite)
 
     def abort(self, messages: list[Written | None]) -> None:
-        system, _ = _open(self.path)
+        system, _ = opened(self.path)
         for m in messages:
             if m is not None:
                 system.delete_file(m.temporary)
@@ -177,7 +122,10 @@ class PcapSource(DataSource):
         return PACKETS
 
     def reader(self, schema) -> DataSourceReader:
-        return CaptureReader(self.options["path"], pcap_records)
+        return CaptureReader(self.options["path"], self.name())
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return CaptureStreamReader(self.options["path"], self.name(), int(self.options.get("splitBytes", SPLIT_BYTES)))
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         return CaptureWriter(self.options["path"], False, overwrite)
@@ -188,9 +136,6 @@ class ErfSource(PcapSource):
     def name(cls) -> str:
         return "erf"
 
-    def reader(self, schema) -> DataSourceReader:
-        return CaptureReader(self.options["path"], erf_records)
-
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         return CaptureWriter(self.options["path"], True, overwrite)
 
@@ -199,12 +144,22 @@ class ErfSource(PcapSource):
 FORMATS = {"pcap": PcapSource, "erf": ErfSource}
 
 
-def read_packets(spark: SparkSession, path: str, kind: str = "pcap") -> DataFrame:
-    """Packets of a file or a folder of files."""
+def read_packets(spark: SparkSession, path: str, kind: str = "pcap", split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Packets of a file or a folder of files. Where a file is larger than ``split_bytes``, all are cut into ranges of that
+    size, which are measured at once, and each range is a task; the rows are the same."""
     spark.dataSource.register(FORMATS[kind])
+    files = files_of(path)
+    if any(f.size > split_bytes for f in files):
+        return read_ranges(spark, path, kind, PACKETS, files, split_bytes)
     return spark.read.format(kind).load(path)
 
 
+def stream_packets(spark: SparkSession, path: str, kind: str = "pcap") -> DataFrame:
+    """The same packets as a stream: what is in the folder, then what comes (``capture_stream``)."""
+    spark.dataSource.register(FORMATS[kind])
+    return spark.readStream.format(kind).load(path)
+
+
 def write_packets(df: DataFrame, path: str, kind: str = "pcap", limit: int = 0, mode: str = "append") -> None:
     """Write packets in order, at most ``limit`` (0: all): ranges of positions are dealt out, so that the files in order
     of name are the stream in order. By default they are added to those in the folder; ``mode`` overwrite replaces them."""
