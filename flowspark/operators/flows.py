@@ -1,4 +1,4 @@
-"""Flow records: sessions of records with one key."""
+"""Flow records: sessions of records with one key, by a segmented scan that runs over any share of the stream."""
 
 from __future__ import annotations
 
@@ -10,18 +10,58 @@ from flowspark.functions.intervals import micros
 IDLE, ACTIVE, FORCED = 1, 2, 4
 
 
-def sessions(df: DataFrame, key: list[str], idle: str, closes: Column | None = None) -> DataFrame:
+#: Width of the time blocks in which a key's records are scanned: one task has one key's records of one block at a time.
+BLOCK = "10m"
+
+
+def sessions(
+    df: DataFrame, key: list[str], idle: str, closes: Column | None = None, firsts: dict[str, Column] | None = None, seen: dict[str, Column] | None = None, block: str = BLOCK
+) -> DataFrame:
     """``df`` with column session: the number, within its key, of the session each record is in. A session ends after
     more than ``idle`` without records, or after a record that ``closes`` it.
 
-    A key's records are sorted, not held: the window spills. Keys are flows, so no key
-    holds a large share of a stream; where one does, its records are still one ordered scan.
+    ``firsts`` adds, by name, values of the session's first record; ``seen`` whether a condition has held in the session up to
+    the record, itself included.
+
+    A key may hold any share of the records. They are dealt by key and time block and scanned block by block; one row a
+    key and block (its first and last record, its breaks, what its open session has) carries what a block hands to
+    the next, so only these rows of a key meet in one task.
     """
-    w = Window.partitionBy(*key).orderBy("us", "pkt_no")
-    new = F.coalesce((F.col("us") - F.lag("us").over(w) > micros(idle)).cast("int"), F.lit(1))
-    if closes is not None:
-        new = F.greatest(new, F.coalesce(F.lag(closes.cast("int")).over(w), F.lit(0)))
-    return df.withColumn("new_", new).withColumn("session", F.sum("new_").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new_")
+    firsts, seen = firsts or {}, seen or {}
+    span = micros(block)
+    rows = df.withColumns({"block_": F.floor(F.col("us") / span), "closes_": F.lit(False) if closes is None else F.coalesce(closes, F.lit(False))})
+    rows = rows.withColumns({f"seen_{n}": F.coalesce(c, F.lit(False)).cast("int") for n, c in seen.items()} | {"own_": F.struct(F.lit(0).alias("none"), *(c.alias(n) for n, c in firsts.items()))})
+    w = Window.partitionBy(*key, "block_").orderBy("us", "pkt_no")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    breaks = (F.col("us") - F.lag("us").over(w) > micros(idle)) | F.lag("closes_").over(w)
+    rows = rows.withColumn("new_", F.coalesce(breaks, F.lit(False)).cast("int"))  # the block's first record: see below
+    rows = rows.withColumn("inner_", F.sum("new_").over(upto)).withColumn("start_", F.last(F.when(F.col("new_") == 1, F.col("own_")), ignorenulls=True).over(upto))
+    inside = Window.partitionBy(*key, "block_", "inner_").orderBy("us", "pkt_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"seen_{n}": F.max(f"seen_{n}").over(inside) for n in seen})
+
+    last = F.struct("us", "pkt_no", "closes_", "inner_", "start_", *(f"seen_{n}" for n in seen))
+    blocks = rows.groupBy(*key, "block_").agg(F.min(F.struct("us", "pkt_no", "own_")).alias("head_"), F.max_by(last, F.struct("us", "pkt_no")).alias("tail_"))
+    b = Window.partitionBy(*key).orderBy("block_")
+    earlier = b.rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.coalesce((F.col("head_.us") - F.lag("tail_.us").over(b) > micros(idle)) | F.lag("tail_.closes_").over(b), F.lit(True))
+    blocks = blocks.withColumn("fresh_", fresh.cast("int"))
+    blocks = blocks.withColumn("open_", F.sum(F.col("fresh_") + F.col("tail_.inner_")).over(b))  # the session that is open at the block's end
+    blocks = blocks.withColumn("began_", F.coalesce("tail_.start_", F.when(F.col("fresh_") == 1, F.col("head_.own_"))))
+    carried = {"number_": F.col("open_") - F.col("tail_.inner_"), "before_": F.when(F.col("fresh_") == 1, F.col("head_.own_")).otherwise(F.last("began_", ignorenulls=True).over(earlier))}
+    of_session = Window.partitionBy(*key, "open_").orderBy("block_").rowsBetween(Window.unboundedPreceding, 0)
+    blocks = blocks.withColumns({f"held_{n}": F.max(f"tail_.seen_{n}").over(of_session) for n in seen})
+    carried |= {f"carried_{n}": F.when(F.col("fresh_") == 0, F.lag(f"held_{n}").over(b)) for n in seen}
+    blocks = blocks.withColumns(carried).select(*(F.col(k).alias(f"b_{k}") for k in key), F.col("block_").alias("b_block_"), *carried)
+
+    same = F.col("block_") == F.col("b_block_")
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"b_{k}"))
+    out = rows.join(blocks, same)
+    start = F.coalesce("start_", "before_")
+    return out.select(
+        *df.columns, (F.col("number_") + F.col("inner_")).alias("session"), *(start[n].alias(n) for n in firsts),
+        *((F.greatest(F.col(f"seen_{n}"), F.when(F.col("inner_") == 0, F.col(f"carried_{n}"))) == 1).alias(n) for n in seen),
+    )
 
 
 def expired_flows(df: DataFrame, key: list[str], idle: str = "30s", min_pkts: int = 0, keep_open: bool = True) -> DataFrame:
@@ -63,11 +103,9 @@ def flow_report(df: DataFrame, key: list[str], forward: Column, idle: str = "30s
     largest window.
     """
     life = micros(lifetime)
-    w = Window.partitionBy(*key, "session")
-    ordered = w.orderBy("us", "pkt_no")
-    rows = sessions(df, key, idle).withColumn("forward_", forward)
-    rows = rows.withColumn("first_us_", F.min("us").over(w)).withColumn("slice", F.floor((F.col("us") - F.col("first_us_")) / life).cast("long"))
-    rows = rows.withColumn("dir_", (F.col("forward_") != F.first("forward_").over(ordered.rowsBetween(Window.unboundedPreceding, 0))).cast("int"))
+    rows = sessions(df.withColumn("forward_", forward), key, idle, firsts={"first_us_": F.col("us"), "first_forward_": F.col("forward_")})
+    rows = rows.withColumn("slice", F.floor((F.col("us") - F.col("first_us_")) / life).cast("long"))
+    rows = rows.withColumn("dir_", (F.col("forward_") != F.col("first_forward_")).cast("int"))
     near = Window.partitionBy(*key, "session", "slice", "dir_").orderBy("us", "pkt_no")
     rows = rows.withColumn("distance_", F.col("us") - F.lag("us").over(near))
     if tcp:

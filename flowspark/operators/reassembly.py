@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from flowspark.functions.anonymize import ipv4_number
 from flowspark.functions.intervals import micros
+from flowspark.operators.defragment import defragment
 from flowspark.plans.errors import Err, FlowError
 from flowspark.sources.pcap import ETHERNET, PACKETS, decode
 
@@ -178,7 +179,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def cooked_packets(df: DataFrame, threshold: int = 32000, timeout: str = "60s", once: bool = False, collect: int = BOTH) -> DataFrame:
     """``cook`` for what follows in a flow: its chunks as decoded packets, with bytes of their own (Ethernet, IP and TCP
     headers with the chunk's length and sequence number 0), and the other packets as they are. The columns chunk_no,
-    payload and packets come on top."""
+    payload and packets come on top. Fragments of IP datagrams are put together first."""
+    df = defragment(df)
     tcp = F.coalesce((F.col("ip_proto") == 6) & F.col("sport").isNotNull(), F.lit(False))
     chunks = cook(df.where(tcp), threshold, timeout, once, collect)
     number = lambda c, digits: F.lpad(F.hex(c), digits, "0")

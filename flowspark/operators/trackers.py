@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.operators.flows import sessions
@@ -93,9 +93,7 @@ def with_session_key(df: DataFrame) -> DataFrame:
 
 def claimed(df: DataFrame, key: list[str], signature: Column, idle: str = IDLE, closes: Column | None = None) -> DataFrame:
     """``df`` with column claimed: whether the record's session had shown the signature by then, itself included."""
-    rows = sessions(df.withColumn("signature_", F.coalesce(signature, F.lit(False)).cast("int")), key, idle, closes)
-    upto = Window.partitionBy(*key, "session").orderBy("us", "pkt_no").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("claimed", F.max("signature_").over(upto) == 1).drop("signature_", "session")
+    return sessions(df, key, idle, closes, seen={"claimed": signature}).drop("session")
 
 
 def track(df: DataFrame, protocol: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowspark.functions.bpf import compile_filter
+from flowspark.operators import defragment as fragments
 from flowspark.operators import filters, flows, reassembly, trackers
 from flowspark.plans import flow as api
 from flowspark.session import delete_folder, durable, shared_dir
@@ -72,26 +73,55 @@ TRACKED = {"gnutella": "u % 12 = 0", "torrent": "u % 12 = 1", "dc": "u % 12 = 2"
 PAIRS = ", f AS (SELECT src_ip AS a, dst_ip AS b, min(us) AS since FROM p WHERE ip_proto = 6 AND dport = {port} GROUP BY ALL) SELECT pkt_no FROM p LEFT JOIN f ON src_ip = a AND dst_ip = b WHERE ip_proto = 6 AND (dport = {port} OR us >= since{ports})"
 
 
-def from_event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packets (undecoded) made of the events."""
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = from_events(spark, sf_dir).select("pkt_no", "flow_key", "proto", "payload")
     for step in STEPS:
         e = e.selectExpr("*", *(f"{sql} AS {name}" for name, sql in step))
-    pkt = F.unhex(F.concat("l2", "l3", "l4"))
-    us = F.col("pkt_no") * 10_000
+    return e
+
+
+def from_event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets (undecoded) made of the events."""
+    return _frames(_steps(spark, sf_dir), F.concat("l2", "l3", "l4"), F.col("pkt_no") * 10_000)
+
+
+#: The fragments of a frame: from every 16th byte on 24 bytes, so that neighbours overlap in 8. Odd ones come last and
+#: have other bytes there; those of an even number come in reverse order.
+FRAGMENTS = [
+    [("k", "explode(sequence(0L, (l4_size - 9) div 16))")],
+    [("piece", "substring(l4, CAST(32 * k + 1 AS INT), 48)"), ("more", "CASE WHEN 16 * k + 24 < l4_size THEN 1 ELSE 0 END")],
+    [("len", "CAST(length(piece) / 2 AS INT)")],
+    [("part", "CASE WHEN k % 2 = 0 THEN piece ELSE repeat('FF', least(8, len)) || substring(piece, 17, CASE WHEN more = 1 THEN 16 ELSE 32 END) || repeat('FF', 8 * more) END")],
+    [
+        ("head", "CASE WHEN ip_version = 6 THEN substring(l3, 1, 8) || lpad(hex(len + 8), 4, '0') || '2C' || substring(l3, 15) || lpad(hex(ip_proto), 2, '0') || '00' || lpad(hex(16 * k + more), 4, '0') || lpad(hex(pkt_no), 8, '0') "
+                 "ELSE '4500' || lpad(hex(20 + len), 4, '0') || substring(l3, 9, 4) || lpad(hex(more * 8192 + 2 * k), 4, '0') || substring(l3, 17) END"),
+        ("us", "pkt_no * 10000 + (k % 2) * 500 + 50 - k"),
+    ],
+]
+
+
+def from_event_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _steps(spark, sf_dir)
+    for step in FRAGMENTS:
+        e = e.selectExpr("*", *(f"{sql} AS {name}" for name, sql in step))
+    return _frames(e.withColumn("pkt_no", F.col("pkt_no") * 1000 + F.col("k")), F.concat("l2", "head", "part"), F.col("us"))
+
+
+def _frames(e: DataFrame, whole, us) -> DataFrame:
+    pkt = F.unhex(whole)
     ntp = F.shiftleft(F.floor(us / 1_000_000), 32) + F.floor((us % 1_000_000) * 4294967296 / 1_000_000)
     columns = {"pkt_no": F.col("pkt_no"), "us": us, "ts_ntp": ntp, "ifindex": F.col("pkt_no") % 2, "caplen": F.octet_length(pkt), "wlen": F.octet_length(pkt), "link_type": F.lit(1), "pkt": pkt}
     return e.select(*(columns[name].cast(kind).alias(name) for name, kind in (c.split() for c in PACKETS.split(", "))))
 
 
-def packet_query(sql: str | None, name: str | None = None):
+def packet_query(sql: str | None, name: str | None = None, source=from_event_frames):
     """Register a function of the decoded packets."""
 
     def wrap(f):
         known = name or f.__name__
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(decode(from_event_frames(spark, sf_dir)))
+            return f(decode(source(spark, sf_dir)))
 
         QUERIES[known] = run
         if sql is not None:
@@ -351,6 +381,13 @@ def cooking_then_str_search(p):
     return flow.packets_left().select("src_ip", "dst_ip", "dport", F.octet_length("l4_payload").alias("bytes"), "wlen")
 
 
+@packet_query(" SELECT ip_version, src_ip, dst_ip, ip_proto, sport, dport, wlen + CASE WHEN ip_version = 6 AND l4_size <= 24 THEN 8 ELSE 0 END AS wlen, md5(unhex(data)) AS digest FROM p", source=from_event_fragments)
+def defragment(p):
+    """Overlapping fragments of both versions out of order give the frames they were cut from; a fragment that is all there
+    is keeps its header."""
+    return fragments.defragment(p).select("ip_version", "src_ip", "dst_ip", "ip_proto", "sport", "dport", "wlen", F.md5("l4_payload").alias("digest"))
+
+
 def _bits_sql(ip: str) -> str:
     """Bits of a decoded address as text."""
     return f"""CASE WHEN contains({ip}, ':') THEN array_to_string(list_transform(range(1, 33), lambda k: right('000' || bin(CAST('0x' || substr(replace({ip}, ':', ''), k, 1) AS INTEGER)), 4)), '')

@@ -174,7 +174,7 @@ def write_packets(df: DataFrame, path: str, kind: str = "pcap", limit: int = 0,
 DECODED = (
     "eth_type int, vlan_id int, mpls boolean, l3_off int, l4_off int, ip_version int, ip_tos int, ip_len int, ip_id int, ip_frag int, ip_ttl int, ip_proto int, ip_csum int, "
     "src_ip string, dst_ip string, sport int, dport int, tcp_seq bigint, tcp_ack bigint, tcp_flags int, tcp_win int, tcp_csum int, tcp_urg int, udp_len int, udp_csum int, "
-    "icmp_type int, icmp_code int, l4_payload binary"
+    "icmp_type int, icmp_code int, ip_more boolean, frag_id bigint, frag_at int, l4_payload binary"
 )
 _KINDS = {"int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
 
@@ -183,7 +183,8 @@ def decode(df: DataFrame) -> DataFrame:
     """``df`` with the header fields of its packets, null where a packet has no such header.
 
     Ethernet with 802.1Q and MPLS, Cisco HDLC; IPv4, IPv6 with extension headers; TCP,
-    UDP, ICMP. Fields are read for a whole batch at once; a later fragment has no ports.
+    UDP, ICMP. Fields are read for a whole batch at once; a later fragment has no ports. Of fragments, and of all IPv4:
+    ip_more (fragments follow), frag_id, and frag_at, where in the packet the fragment's data begins.
     """
     names, at_pkt, at_link = df.columns, df.columns.index("pkt"), df.columns.index("link_type")
     fields = [part.split() for part in DECODED.split(", ")]
@@ -243,11 +244,14 @@ def decode_batch(packets: list[bytes], link: np.ndarray) -> dict:
     v4, v6 = (kind == 0x0800) & (version == 4) & has(off, 20), (kind == 0x86DD) & (version == 6) & has(off, 40)
     proto = np.where(v4, u(off + 9), np.where(v6, u(off + 6), -1))
     l4 = np.where(v4, off + 4 * (u(off) & 15), off + 40)
-    frag = np.where(v4, u(off + 6, 2) & 0x1FFF, 0)
+    frag, more, ident = np.where(v4, u(off + 6, 2) & 0x1FFF, 0), v4 & (u(off + 6) & 0x20 > 0), np.where(v4, u(off + 4, 2), -1)
+    frag_at = np.where(v4, l4, -1)
     for _ in range(6):  # IPv6 extension headers
-        plain = v6 & np.isin(proto, (0, 43, 60)) & has(l4, 8)
-        fragment = v6 & (proto == 44) & has(l4, 8)
+        plain = v6 & np.isin(proto, (0, 43, 60)) & has(l4, 8) & (frag == 0)
+        fragment = v6 & (proto == 44) & has(l4, 8) & (frag_at < 0)
         frag = np.where(fragment, u(l4 + 2, 2) >> 3, frag)
+        more |= fragment & (u(l4 + 3) & 1 == 1)
+        ident, frag_at = np.where(fragment, u(l4 + 4, 4), ident), np.where(fragment, l4 + 8, frag_at)
         following = u(l4)
         step = np.where(plain, 8 * (u(l4 + 1) + 1), np.where(fragment, 8, 0))
         proto = np.where(plain | fragment, following, proto)
@@ -273,6 +277,7 @@ def decode_batch(packets: list[bytes], link: np.ndarray) -> dict:
         "src_ip": [address(k, 12, 8) for k in range(n)], "dst_ip": [address(k, 16, 24) for k in range(n)],
         "sport": (u(l4, 2), ports), "dport": (u(l4 + 2, 2), ports), "tcp_seq": (u(l4 + 4, 4), tcp), "tcp_ack": (u(l4 + 8, 4), tcp), "tcp_flags": (u(l4 + 13), tcp), "tcp_win": (u(l4 + 14, 2), tcp),
         "tcp_csum": (u(l4 + 16, 2), tcp), "tcp_urg": (u(l4 + 18, 2), tcp), "udp_len": (u(l4 + 4, 2), udp), "udp_csum": (u(l4 + 6, 2), udp), "icmp_type": (u(l4), icmp), "icmp_code": (u(l4 + 1), icmp),
+        "ip_more": (more, ip), "frag_id": (ident, ident >= 0), "frag_at": (frag_at, frag_at >= 0),
         "l4_payload": [packets[k][int(start[k]) : max(int(start[k]), int(end[k]))] if ip[k] else None for k in range(n)],
     }
 
