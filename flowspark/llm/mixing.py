@@ -154,7 +154,7 @@ def route(patterns: DataFrame, quotas: DataFrame, most_copies: int = 3, most_arc
         made = [(list(keys[p]), sources[s], words) for (p, s), words in flow.items()]
         return pd.DataFrame(made, columns=["pattern", "source", "words"])
 
-    solved = meeting.groupBy(F.lit(0)).applyInPandas(solve, f"pattern {at['pattern']}, source string, words bigint")
+    solved = meeting.groupBy("alone").applyInPandas(solve, f"pattern {at['pattern']}, source string, words bigint")
     return alone.unionByName(durable(solved))
 
 
