@@ -62,12 +62,12 @@ def regexp(c: Column, pattern: str, replacements: list[str | None]) -> Column:
     return F.when(found, F.concat(*parts, F.regexp_extract(c, whole, len(replacements) + 2))).otherwise(c)
 
 
-def filename_random(c: Column, seed: int = 42) -> Column:
-    """Everything before the last dot replaced by as many random hex digits."""
+def filename_random(c: Column, seed: int = 42, draw: Column | None = None) -> Column:
+    """Everything before the last dot replaced by as many random hex digits; with ``draw``, those that follow from it."""
     stem, end = F.regexp_extract(c, r"(?s)^(.*)(\.[^.]*)$", 1), F.regexp_extract(c, r"(?s)^(.*)(\.[^.]*)$", 2)
     base = F.when(end != "", stem).otherwise(c)
     n = F.char_length(base)
-    return F.concat(F.substring(F.repeat(F.sha2(F.rand(seed).cast("string"), 256), F.ceil(n / 64).cast("int")), F.lit(1), n), F.when(end != "", end).otherwise(""))
+    return F.concat(F.substring(F.repeat(F.sha2(F.rand(seed).cast("string") if draw is None else F.concat(draw, c), 256), F.ceil(n / 64).cast("int")), F.lit(1), n), F.when(end != "", end).otherwise(""))
 
 
 def map_first_seen(df: DataFrame, columns: list[str], order: str = "pkt_no", suffix: str = "_map") -> DataFrame:
@@ -212,33 +212,42 @@ HTTP_NAMES = {n: n.replace("_", "-") for n in HTTP_HEADERS} | {"CONNECTION_TYPE"
 FTP_COMMANDS = {n: n for n in "USER PASS ACCT STRU MODE CWD PWD CDUP PASV RETR REST PORT LIST NLST QUIT SYST STAT HELP NOOP STOR APPE STOU ALLO MKD RMD DELE RNFR RNTO SITE".split()} | {"FTP_TYPE": "TYPE"}
 
 
+#: Where a line begins, and lines that begin a request or a response.
+LINE = r"(?<=^|\r\n)"
+REQUEST_LINE, STATUS_LINE = r"[A-Z]+ [^ \r\n]+ HTTP/[0-9.]+\r\n", r"HTTP/[0-9.]+ [0-9]{3}[ \r]"
+
+
 def text_field(proto: str, name: str) -> str | None:
-    """A pattern with three groups: what stands before the field's value, the value, what stands after it."""
+    """A pattern of the field's values, at every place where the field stands: also in the second request of a payload."""
     if proto == "HTTP":
         if name in HTTP_NAMES:
-            return rf"(?is)^(.*?\r\n{HTTP_NAMES[name]}:[ \t]*)([^\r\n]*)(.*)$"
-        request, response = r"[A-Z]+", r"HTTP/[0-9.]+"
-        lines = {
-            "METHOD": rf"(?s)^()({request})( [^ \r\n]+ HTTP/.*)$",
-            "URI": rf"(?s)^({request} )([^ \r\n]+)( HTTP/.*)$",
-            "HTTP_VERSION": rf"(?s)^({request} [^ \r\n]+ |)({response})(.*)$",
-            "RESPONSE_CODE": rf"(?s)^({response} )([0-9]{{3}})(.*)$",
-            "RESP_CODE_DESCR": rf"(?s)^({response} [0-9]{{3}} )([^\r\n]*)(.*)$",
-            "HTTP_PAYLOAD": r"(?s)^(.*?\r\n\r\n)(.*)()$",
-        }
-        return lines.get(name)
+            return rf"(?i)(?<=\r\n{HTTP_NAMES[name]}:[ \t]{{0,64}})[^\r\n \t][^\r\n]*"
+        return {
+            "METHOD": rf"{LINE}[A-Z]+(?= [^ \r\n]+ HTTP/)",
+            "URI": r"(?<=(?:^|\r\n)[A-Z]{1,32} )[^ \r\n]+(?= HTTP/)",
+            "HTTP_VERSION": rf"(?:{LINE}|(?<=(?:^|\r\n)[A-Z]{{1,32}} [^ \r\n]{{1,65535}} ))HTTP/[0-9.]+",
+            "RESPONSE_CODE": r"(?<=(?:^|\r\n)HTTP/[0-9.]{1,16} )[0-9]{3}",
+            "RESP_CODE_DESCR": r"(?<=(?:^|\r\n)HTTP/[0-9.]{1,16} [0-9]{3} )[^\r\n]+",
+            # From a blank line to the next first line of a request or response, or the end.
+            "HTTP_PAYLOAD": rf"(?s)(?<=\r\n\r\n)(?!{REQUEST_LINE}|{STATUS_LINE}).+?(?={REQUEST_LINE}|{STATUS_LINE}|\z)",
+        }.get(name)
     if proto == "FTP":
         if name in FTP_COMMANDS:
-            return rf"(?is)^({FTP_COMMANDS[name]}[ \t]*)([^\r\n]*)(.*)$"
-        return {"FTP_RESPONSE_CODE": r"(?s)^()([0-9]{3})(.*)$", "FTP_RESPONSE_ARG": r"(?s)^([0-9]{3}[ -])([^\r\n]*)(.*)$"}.get(name)
+            return rf"(?i)(?<=(?:^|\r\n){FTP_COMMANDS[name]}[ \t]{{1,64}})[^\r\n \t][^\r\n]*"
+        return {"FTP_RESPONSE_CODE": rf"{LINE}[0-9]{{3}}(?=[ -])", "FTP_RESPONSE_ARG": r"(?<=(?:^|\r\n)[0-9]{3}[ -])[^\r\n]+"}.get(name)
     return None
 
 
 def in_text_field(payload: Column, proto: str, name: str, change) -> Column:
-    """The payload (bytes) with ``change`` applied to one field's value, as it is where the field is not there."""
+    """The payload (bytes) with ``change`` applied to each of a field's values; as it is where the field is not there.
+
+    The payload is cut at all of the values at once, and put together again from what lies between them and what they
+    have become: values may change their length. ``change`` is part of a lambda, so it must be deterministic.
+    """
     pattern = text_field(proto, name)
     if pattern is None:
         raise FlowError(Err.INVALID_ARGUMENT, f"{proto} has no {name}")
     text = F.decode(payload, "ISO-8859-1")
-    new = F.concat(F.regexp_extract(text, pattern, 1), change(F.regexp_extract(text, pattern, 2)), F.regexp_extract(text, pattern, 3))
-    return F.when(F.coalesce(text.rlike(pattern), F.lit(False)), F.encode(new, "ISO-8859-1")).otherwise(payload)
+    values = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), change)
+    edits = F.zip_with(F.split(text, pattern, -1), values, lambda between, value: F.concat(between, F.coalesce(value, F.lit(""))))
+    return F.when(F.coalesce(text.rlike(pattern), F.lit(False)), F.encode(F.array_join(edits, ""), "ISO-8859-1")).otherwise(payload)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,8 +102,8 @@ def flow_report(df: DataFrame, key: list[str], forward: Column, idle: str = "30s
     record. A flow ends after more than ``idle`` of silence, and is cut into records of
     ``lifetime`` counted from its first packet. end_reason: 1 idle, 2 lifetime, 4 end of
     the stream. ``extra`` adds aggregates by name (as min, max or bit_or of fields); ``tcp``, for decoded packets, each
-    direction's segments out of sequence (below the highest number so far, unless numbers wrapped) and its smallest and
-    largest window.
+    direction's segments out of sequence (below the highest number so far, unless numbers wrapped), its smallest and
+    largest window, and its effective window (``effective_windows``).
     """
     life = micros(lifetime)
     rows = sessions(df.withColumn("forward_", forward), key, idle, firsts={"first_us_": F.col("us"), "first_forward_": F.col("forward_")})
@@ -131,7 +134,14 @@ def flow_report(df: DataFrame, key: list[str], forward: Column, idle: str = "30s
         if tcp:
             aggregates += [F.count(pick(F.when(F.col("late_"), 1))).alias(f"out_of_sequence{d}"), F.min(pick(F.col("tcp_win"))).alias(f"min_window{d}"), F.max(pick(F.col("tcp_win"))).alias(f"max_window{d}")]
     aggregates += [c.alias(name) for name, c in (extra or {}).items()]
-    out = rows.groupBy(*key, "session", "slice").agg(*aggregates)
+    group = [*key, "session", "slice"]
+    out = rows.groupBy(*group).agg(*aggregates)
+    if tcp:
+        flights = effective_windows(rows, group).select(*(F.col(c).alias(f"w_{c}") for c in group), "effective_window0", "effective_window1")
+        same = F.lit(True)
+        for c in group:
+            same = same & F.col(c).eqNullSafe(F.col(f"w_{c}"))
+        out = out.join(flights, same, "left").drop(*(f"w_{c}" for c in group)).withColumns({n: F.coalesce(n, F.lit(0)).cast("long") for n in ("effective_window0", "effective_window1")})
     later = Window.partitionBy(*key).orderBy("session", "slice")
     following = F.lead("session").over(later)
     reason = F.when(following == F.col("session"), ACTIVE).when(following.isNotNull(), IDLE).otherwise(FORCED)
@@ -139,6 +149,46 @@ def flow_report(df: DataFrame, key: list[str], forward: Column, idle: str = "30s
     return out.withColumn("end_reason", reason).withColumn("latency_us", latency)
 
 
+def effective_windows(rows: DataFrame, group: list[str]) -> DataFrame:
+    """(group, effective_window0, effective_window1): the most payload that a side had on its way at once, as seen from here.
+
+    A flight begins with a side's first TCP segment when it has none, and takes in all its segments until the other side
+    acknowledges more than the flight's first sequence number (numbers wrap); an acknowledgement of 0 is none. Flights that are never
+    acknowledged don't count. ``rows`` have dir_, tcp_seq, tcp_ack and l4_payload; a group is a flow record, no longer than
+    its lifetime, and is scanned in order: four numbers a side are held.
+    """
+    seen = rows.where("tcp_seq is not null").select(*group, "us", "pkt_no", "dir_", "tcp_seq", "tcp_ack", F.coalesce(F.octet_length("l4_payload"), F.lit(0)).alias("size_"))
+    schema = ", ".join(f"`{c}` {seen.schema[c].dataType.simpleString()}" for c in group) + ", effective_window0 bigint, effective_window1 bigint"
+    width = len(group)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, first, held, best, kinds = None, [None, None], [0, 0], [0, 0], None
+
+        def made(done: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*done, strict=True) if done else [[] for _ in range(width + 2)]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*group, "effective_window0", "effective_window1"])
+
+        for batch in batches:
+            kinds, done = [*(batch.schema.field(c).type for c in group), pa.int64(), pa.int64()], []
+            for *whose, _, _, side, seq, ack, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if whose != now:
+                    if now is not None:
+                        done.append((*now, *best))
+                    now, first, held, best = whose, [None, None], [0, 0], [0, 0]
+                other = 1 - side
+                if first[other] is not None and ack and 0 < (ack - first[other]) % 2**32 < 2**31:
+                    best[other], first[other] = max(best[other], held[other]), None
+                if first[side] is None:
+                    first[side], held[side] = seq, size
+                else:
+                    held[side] += size
+            yield made(done)
+        if now is not None:
+            yield made([(*now, *best)])
+
+    return seen.repartition(*group).sortWithinPartitions(*group, "us", "pkt_no").mapInArrow(run, schema)
+
+
 def _histogram(value: Column, mine: Column, edges: list[int]) -> list[Column]:
     """Counts of the values up to each edge, and of those above the last."""
     low = [None, *edges]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowspark.operators.asof import as_of
 from flowspark.operators.order import lagged
 from flowspark.plans.errors import Err, FlowError
 
@@ -41,7 +42,11 @@ def byte_hash(data: Column) -> Column:
 
 @F.pandas_udf(T.LongType())
 def _byte_hash(data: pd.Series) -> pd.Series:
-    return pd.Series([0 if d is None else (len(d) + int(np.frombuffer(d, np.uint8).sum(dtype=np.int64))) % 500009 for d in data])
+    values = [d or b"" for d in data]
+    sizes = np.fromiter(map(len, values), np.int64, len(values))
+    upto = np.concatenate(([0], np.cumsum(np.frombuffer(b"".join(values), np.uint8), dtype=np.int64)))
+    ends = np.cumsum(sizes)
+    return pd.Series((sizes + upto[ends] - upto[ends - sizes]) % 500009)
 
 
 def binop(left: DataFrame, right: DataFrame, op: int) -> DataFrame:
@@ -50,3 +55,13 @@ def binop(left: DataFrame, right: DataFrame, op: int) -> DataFrame:
         raise FlowError(Err.INVALID_ARGUMENT_1, "0 adds, 1 subtracts")
     both = left.select(F.col("value").alias("a_")).crossJoin(right.select(F.col("value").alias("b_")))
     return both.select((F.col("a_") + F.col("b_") if op == ADD else F.col("a_") - F.col("b_")).alias("value"))
+
+
+def binop_at_records(df: DataFrame, left: DataFrame, right: DataFrame, op: int) -> DataFrame:
+    """``df`` with column value: at each record, the sum or difference (signed) of what two other streams (pkt_no, us, value)
+    show by then; a stream that has shown nothing yet counts 0."""
+    if op not in (ADD, SUB):
+        raise FlowError(Err.INVALID_ARGUMENT_1, "0 adds, 1 subtracts")
+    rows = as_of(df, {"a_": left.select("pkt_no", "us", "value"), "b_": right.select("pkt_no", "us", "value")})
+    a, b = F.coalesce("a_", F.lit(0)), F.coalesce("b_", F.lit(0))
+    return rows.withColumn("value", a + b if op == ADD else a - b).drop("a_", "b_")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,12 +61,63 @@ def packet_loss(sent: DataFrame, received: DataFrame, key: list[str]) -> DataFra
     return a.join(b, key, "left").select(*key, "sent", F.coalesce("received", F.lit(0)).alias("received"), (F.col("sent") - F.coalesce("received", F.lit(0))).alias("lost"))
 
 
-def common_fingerprints(df: DataFrame, payload: str, destination: str, span: int, least: int, mask: str = "00") -> DataFrame:
-    """Fingerprints of ``span`` words, deterministically sampled by a prefix, that went to at least ``least`` destinations."""
-    words = F.split(payload, "[ \t\n]+")
-    starts = F.when(F.size("w") >= span, F.sequence(F.lit(1), F.size("w") - (span - 1))).otherwise(F.array().cast("array<int>"))
-    every = F.transform(starts, lambda k: F.md5(F.array_join(F.slice("w", k, span), " ").cast("binary")))
-    # Sampled within the array: only what the mask lets through becomes rows.
-    prints = F.array_distinct(F.filter(every, lambda x: x.startswith(mask)))
-    pairs = df.select(F.col(destination).alias("d"), words.alias("w")).select(F.explode(prints).alias("fingerprint"), "d").distinct()
+#: Base of the rolling polynomial and the inverse of it; both odd, so that each byte keeps its weight modulo 2**32.
+BASE, MODULUS = 257, 1 << 32
+INVERSE = pow(BASE, -1, MODULUS)
+BYTES_AT_ONCE = 1 << 23
+
+
+def rolling_fingerprints(payloads: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprint, payload, end): that of each ``span`` bytes that lie in one payload, the payload's number, and where in all the bytes
+    the span ends. The fingerprint is the polynomial of the bytes in 257 modulo 2**32, the last byte with weight 1."""
+    data = np.frombuffer(b"".join(payloads), np.uint8)
+    ends = np.cumsum(np.fromiter(map(len, payloads), np.int64, len(payloads)))
+    powers, inverses = (np.full(len(data), x, np.uint32) for x in (BASE, INVERSE))
+    powers[:1] = inverses[:1] = 1
+    powers, inverses = np.cumprod(powers, dtype=np.uint32), np.cumprod(inverses, dtype=np.uint32)
+    upto = np.concatenate((np.zeros(1, np.uint32), np.cumsum(data * inverses, dtype=np.uint32)))
+    last = np.arange(span - 1, len(data))  # sums of the span's bytes times 257**-place, moved up to the place of its last byte
+    whose = np.searchsorted(ends, last, side="right")
+    inside = last - (ends - np.diff(ends, prepend=0))[whose] >= span - 1
+    last, whose = last[inside], whose[inside]
+    return (upto[last + 1] - upto[last + 1 - span]) * powers[last], whose, last
+
+
+def common_fingerprints(df: DataFrame, payload: str, destination: str, span: int, least: int, mask: int = 0xFF, skip_zeros: bool = False) -> DataFrame:
+    """(fingerprint, destinations): fingerprints of all stretches of ``span`` bytes of ``payload`` (text or bytes; null has none)
+    that went to at least ``least`` destinations, of those whose bits in ``mask`` are 0. ``skip_zeros`` leaves out stretches with
+    a zero byte. Null destinations don't count.
+
+    The same content has the same fingerprint wherever it stands, so sampling by mask is consistent. A batch is fingerprinted
+    at once; distinct pairs of fingerprint and destination come first, so that a fingerprint with very many records is counted in two
+    levels.
+    """
+    kind = df.schema[destination].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, rows, size = [], [], 0
+            for k in range(batch.num_rows + 1):
+                if k == batch.num_rows or size >= BYTES_AT_ONCE:
+                    if held:
+                        yield found(held, batch.column(1).take(pa.array(rows)))
+                    held, rows, size = [], [], 0
+                if k < batch.num_rows:
+                    data = batch.column(0)[k].as_py()
+                    if data is not None and len(data) >= span:
+                        held.append(data)
+                        rows.append(k)
+                        size += len(data)
+
+    def found(held: list[bytes], where: pa.Array) -> pa.RecordBatch:
+        prints, whose, last = rolling_fingerprints(held, span)
+        kept = prints & np.uint32(mask) == 0
+        if skip_zeros:
+            zeros = np.concatenate(([0], np.cumsum(np.frombuffer(b"".join(held), np.uint8) == 0)))
+            kept &= zeros[last + 1] == zeros[last + 1 - span]
+        pairs = np.unique(np.stack([prints[kept].astype(np.int64), whose[kept].astype(np.int64)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), where.take(pa.array(pairs[1]))], ["fingerprint", "d"])
+
+    rows = df.where(F.col(destination).isNotNull()).select(F.col(payload).cast("binary").alias("data"), F.col(destination).alias("d"))
+    pairs = rows.mapInArrow(run, f"fingerprint bigint, d {kind}").distinct()
     return pairs.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("destinations")).where(F.col("destinations") >= least)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from flowspark.functions import anonymize as anon
 from flowspark.functions.bpf import compile_filter
 from flowspark.operators import aggregates, filters, flows, reassembly, trackers, values, windows
+from flowspark.operators.order import running_sum
 from flowspark.plans.errors import Err, FlowError
 from flowspark.sources.pcap import FIELD_BYTES, decode, encode, read_packets, write_packets
 
@@ -37,7 +38,8 @@ class FunctionDef:
 
     ``check`` validates arguments when the function is applied. ``filters`` gives the
     stream that later functions see; ``value`` a record's part of the function's value,
-    for functions that read others; ``result`` the result over the stream so far.
+    for functions that read others, which ``counts`` says are to be added up; ``result`` the
+    result over the stream so far.
     """
 
     name: str
@@ -48,6 +50,7 @@ class FunctionDef:
     value: Callable | None = None
     result: Callable | None = None
     modifies: bool = False
+    counts: bool = False
 
 
 @dataclass
@@ -156,6 +159,12 @@ class Flow:
         out = instance.function.result(instance.stream, *instance.args)
         return out.withColumn("read_us", F.lit(int(time.time() * 1e6)))
 
+    def values(self, fid: int) -> DataFrame:
+        """The packets a function sees, with column value: the function's at each of them (a counter's, what it has counted)."""
+        if self.instance(fid) and self.status == "INIT":
+            raise FlowError(Err.FLOW_NOT_CONNECTED, str(self.fd))
+        return _current(self.fd, fid)
+
     def packets_left(self) -> DataFrame:
         """The packets that pass all functions, in order where they are read one by one."""
         if self.status == "INIT":
@@ -269,6 +278,17 @@ def _int_result(df: DataFrame, op: int, fd1: int, fid1: int, fd2: int, fid2: int
     return values.binop(one, two, op)
 
 
+def _current(fd: int, fid: int) -> DataFrame:
+    """What a function shows at each record of its stream: counters what they have counted, others the record's value."""
+    instance, value = _source(fd, fid)
+    rows = value(instance.stream, *instance.args)
+    return running_sum(rows.withColumnRenamed("value", "part_"), F.col("part_"), "value").drop("part_") if instance.function.counts else rows
+
+
+def _binop_values(df: DataFrame, op: int, fd1: int, fid1: int, fd2: int, fid2: int) -> DataFrame:
+    return values.binop_at_records(df, _current(fd1, fid1), _current(fd2, fid2), op)
+
+
 #: Fields of TOP: by number of the protocol and the field's name.
 TOP_FIELDS = {
     "IP": ["ip_tos", "ip_len", "ip_id", "ip_frag", "ip_ttl", "ip_proto", "ip_csum", "src_ip", "dst_ip"],
@@ -292,7 +312,7 @@ def _check_top(many, proto, name, sort_by, reset):
 FIVE = ["src_ip", "dst_ip", "ip_proto", "sport", "dport"]
 
 
-#: Functions on texts, for fields of application protocols.
+#: Functions on texts, for fields of application protocols; random ones draw from the column draw_.
 TEXT_FUNCTIONS = {
     "ZERO": lambda c, a: F.repeat(F.lit("\0"), F.char_length(c)),
     "STRIP": lambda c, a: anon.strip(c, int(a[0]) if a else 0),
@@ -300,8 +320,8 @@ TEXT_FUNCTIONS = {
     "REPLACE": lambda c, a: anon.replace(c, a[0]),
     "HASHED": lambda c, a: anon.hashed(c, a[0], a[1] if len(a) > 1 else None),
     "REGEXP": lambda c, a: anon.regexp(c, a[0], [None if x == "NULL" else x for x in a[2:]]),
-    "FILENAME_RANDOM": lambda c, a: anon.filename_random(c),
-    "RANDOM": lambda c, a: F.substring(F.repeat(F.sha2(F.rand().cast("string"), 256), F.ceil(F.char_length(c) / 64).cast("int")), F.lit(1), F.char_length(c)),
+    "FILENAME_RANDOM": lambda c, a: anon.filename_random(c, draw=F.col("draw_")),
+    "RANDOM": lambda c, a: F.substring(F.repeat(F.sha2(F.concat(F.col("draw_"), c), 256), F.ceil(F.char_length(c) / 64).cast("int")), F.lit(1), F.char_length(c)),
     "UNCHANGED": lambda c, a: c,
 }
 
@@ -317,7 +337,8 @@ def _anonymized(df: DataFrame, text: str) -> DataFrame:
     if proto in ("HTTP", "FTP") and anon.text_field(proto, name):
         if how not in TEXT_FUNCTIONS:
             raise FlowError(Err.INVALID_ARGUMENT, how)
-        return df.withColumn("l4_payload", anon.in_text_field(F.col("l4_payload"), proto, name, lambda c: TEXT_FUNCTIONS[how](c, args)))
+        drawn = df.withColumn("draw_", F.rand().cast("string") if how in ("RANDOM", "FILENAME_RANDOM") else F.lit(""))
+        return drawn.withColumn("l4_payload", anon.in_text_field(F.col("l4_payload"), proto, name, lambda c: TEXT_FUNCTIONS[how](c, args))).drop("draw_")
     columns = ANON_COLUMNS | {"CHECKSUM": {"TCP": "tcp_csum", "UDP": "udp_csum"}.get(proto, "ip_csum")}
     if proto not in ("IP", "TCP", "UDP", "ICMP", "HTTP", "FTP"):
         raise FlowError(Err.INVALID_ARGUMENT, proto)
@@ -436,8 +457,8 @@ def _install() -> None:
     hashed = lambda df, layer: df.withColumn("value", values.byte_hash(F.expr(data[layer])))
     pay = lambda: F.col(PAYLOAD)
     for f in (
-        FunctionDef("PKT_COUNTER", std, value=count, result=lambda df: aggregates.pkt_counter(df)),
-        FunctionDef("BYTE_COUNTER", std, value=wlen, result=lambda df: aggregates.byte_counter(df)),
+        FunctionDef("PKT_COUNTER", std, value=count, counts=True, result=lambda df: aggregates.pkt_counter(df)),
+        FunctionDef("BYTE_COUNTER", std, value=wlen, counts=True, result=lambda df: aggregates.byte_counter(df)),
         FunctionDef("BPF_FILTER", std, "s", check=lambda s: compile_filter(s), filters=lambda df, s: df.where(compile_filter(s))),
         FunctionDef("STR_SEARCH", std, "sii", check=lambda s, o, d: filters.str_search(F.lit(b""), s, o, d), filters=lambda df, s, o, d: df.where(filters.str_search(pay(), s, o, d))),
         FunctionDef("SAMPLE", std, "ii", filters=lambda df, v, mode: filters.sample_probabilistic(df, v) if mode == filters.PROBABILISTIC else filters.sample_periodic(df, v)),
@@ -447,7 +468,7 @@ def _install() -> None:
         FunctionDef("PKTINFO", std, "i", check=lambda w: _bad(w not in (0, 1), Err.INVALID_ARGUMENT_1), value=info, result=last(info)),
         FunctionDef("GAP", std, value=gap, result=last(gap)),
         FunctionDef("HASH", std, "i", check=lambda w: _bad(w not in data, Err.INVALID_ARGUMENT_1), value=hashed, result=last(hashed)),
-        FunctionDef("BINOP", std, "irfrf", check=lambda op, a, b, c, d: (_bad(op not in (0, 1), Err.INVALID_ARGUMENT_1), _checked(a, b), _checked(c, d)), result=_int_result),
+        FunctionDef("BINOP", std, "irfrf", check=lambda op, a, b, c, d: (_bad(op not in (0, 1), Err.INVALID_ARGUMENT_1), _checked(a, b), _checked(c, d)), value=_binop_values, result=_int_result),
         FunctionDef("STATS", std, "rfs", check=_checked, result=_over(lambda df, ticks: aggregates.stats(df, F.col("value"), ticks))),
         FunctionDef("DIST", std, "rfsss", check=_checked, result=_over(lambda df, lo, hi, w: aggregates.dist(df, F.col("value"), int(lo), int(hi), int(w)))),
         FunctionDef("BURST", std, "iiiiiii", result=aggregates.burst),

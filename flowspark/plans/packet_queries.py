@@ -107,6 +107,55 @@ def from_event_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frames(e.withColumn("pkt_no", F.col("pkt_no") * 1000 + F.col("k")), F.concat("l2", "head", "part"), F.col("us"))
 
 
+def _sent(side: int) -> str:
+    return f"CAST(coalesce(sum(CASE WHEN side = {side} THEN size ELSE 0 END) OVER (PARTITION BY u ORDER BY pkt_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT)"
+
+
+#: TCP connections of both directions, one a key: sequence numbers that wrap at 2**32, acknowledgements that lag behind.
+DIALOGUES = [
+    [("u", "flow_key"), ("side", "CASE WHEN pkt_no % 3 = 0 THEN 1 ELSE 0 END"), ("data", "hex(payload)")],
+    [("size", "CAST(length(data) / 2 AS BIGINT)")],
+    [("sent0", _sent(0)), ("sent1", _sent(1))],
+    [
+        ("own", "CASE side WHEN 0 THEN sent0 ELSE sent1 END"),
+        ("seq", "CAST((4294967000 + CASE side WHEN 0 THEN sent0 ELSE sent1 END) % 4294967296 AS BIGINT)"),
+        ("ack", "CAST((4294967000 + greatest(0, CASE side WHEN 0 THEN sent1 ELSE sent0 END - (pkt_no % 4) * 12)) % 4294967296 AS BIGINT)"),
+        ("client", "'0A00' || lpad(hex(u), 4, '0')"), ("server", "'C0A80101'"),
+        ("ports", "CASE side WHEN 0 THEN lpad(hex(1024 + u), 4, '0') || '0050' ELSE '0050' || lpad(hex(1024 + u), 4, '0') END"),
+    ],
+]
+D = "WITH e AS (SELECT event_id AS pkt_no, user_id AS flow_key, event_type AS proto, props AS payload FROM events)" + "".join(
+    f", d{k} AS (SELECT *, {', '.join(f'{sql} AS {name}' for name, sql in step)} FROM {'e' if k == 0 else f'd{k - 1}'})" for k, step in enumerate(DIALOGUES)
+) + f", q AS (SELECT *, pkt_no * 10000 AS us FROM d{len(DIALOGUES) - 1})"
+
+
+def _dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = from_events(spark, sf_dir).select("pkt_no", "flow_key", "proto", "payload")
+    for step in DIALOGUES:
+        e = e.selectExpr("*", *(f"{sql} AS {name}" for name, sql in step))
+    return e
+
+
+def _tcp_frames(e: DataFrame, us) -> DataFrame:
+    head = F.expr("'0200000000010200000000020800' || '4500' || lpad(hex(40 + CAST(length(data) / 2 AS BIGINT)), 4, '0') || '000000004006' || '0000' || CASE side WHEN 0 THEN client || server ELSE server || client END")
+    tcp = F.expr("ports || lpad(hex(seq), 8, '0') || lpad(hex(ack), 8, '0') || '501003E800000000' || data")
+    return _frames(e, F.concat(head, tcp), us)
+
+
+def from_event_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both directions of each key's connection, in order."""
+    return _tcp_frames(_dialogues(spark, sf_dir), F.col("pkt_no") * 10_000)
+
+
+def from_disordered_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same late by up to 2.8 s after each side's first segment, so that segments overtake each other; every fourth is
+    sent again without its first four bytes, which overlaps."""
+    e = _dialogues(spark, sf_dir).selectExpr("*", "explode(CASE WHEN pkt_no % 4 = 0 AND size > 4 THEN array(0, 1) ELSE array(0) END) AS again")
+    e = e.withColumns({"data": F.expr("CASE again WHEN 1 THEN substring(data, 9) ELSE data END"), "seq": F.expr("(seq + 4 * again) % 4294967296")})
+    late = F.expr("pkt_no * 10000 + CASE WHEN own = 0 AND again = 0 THEN 0 ELSE 200000000 + (pkt_no % 5) * 700000 + again * 1000 END")
+    return _tcp_frames(e.withColumn("pkt_no", F.col("pkt_no") * 2 + F.col("again")), late)
+
+
 def _frames(e: DataFrame, whole, us) -> DataFrame:
     pkt = F.unhex(whole)
     ntp = F.shiftleft(F.floor(us / 1_000_000), 32) + F.floor((us % 1_000_000) * 4294967296 / 1_000_000)
@@ -114,8 +163,8 @@ def _frames(e: DataFrame, whole, us) -> DataFrame:
     return e.select(*(columns[name].cast(kind).alias(name) for name, kind in (c.split() for c in PACKETS.split(", "))))
 
 
-def packet_query(sql: str | None, name: str | None = None, source=from_event_frames):
-    """Register a function of the decoded packets."""
+def packet_query(sql: str | None, name: str | None = None, source=from_event_frames, views: str = P):
+    """Register a function of the decoded packets; the SQL goes on from ``views``."""
 
     def wrap(f):
         known = name or f.__name__
@@ -125,7 +174,7 @@ def packet_query(sql: str | None, name: str | None = None, source=from_event_fra
 
         QUERIES[known] = run
         if sql is not None:
-            ORACLE_SQL[known] = P + sql
+            ORACLE_SQL[known] = views + sql
         return f
 
     return wrap
@@ -381,6 +430,72 @@ def cooking_then_str_search(p):
     return flow.packets_left().select("src_ip", "dst_ip", "dport", F.octet_length("l4_payload").alias("bytes"), "wlen")
 
 
+@packet_query(""" , c AS (SELECT u, side, string_agg(data, '' ORDER BY pkt_no) AS whole FROM q GROUP BY ALL),
+k AS (SELECT *, unnest(range(0, CAST(length(whole) AS BIGINT), 400)) AS place FROM c)
+SELECT CASE side WHEN 0 THEN 1024 + u ELSE 80 END AS sport, CASE side WHEN 0 THEN 80 ELSE 1024 + u END AS dport, place // 400 AS chunk_no, CAST(length(substr(whole, place + 1, 400)) / 2 AS BIGINT) AS bytes, md5(unhex(substr(whole, place + 1, 400))) AS digest FROM k""", source=from_disordered_dialogues, views=D)
+def cooking_disordered(p):
+    """Both directions, segments out of order, sent again and overlapping, numbers that wrap."""
+    cooked = reassembly.cook(p, 200, "24h")
+    return cooked.select("sport", "dport", "chunk_no", F.octet_length("payload").alias("bytes"), F.md5("payload").alias("digest"))
+
+
+def _flight_sql(side: int, other: int) -> str:
+    """The state of one side's flight (first number, bytes, best) after a packet y from state x."""
+    passes = f"y.d = {other} AND x.f{side} >= 0 AND y.a <> 0 AND (y.a - x.f{side} + 4294967296) % 4294967296 BETWEEN 1 AND 2147483647"
+    return f"""f{side} := CASE WHEN {passes} THEN -1 WHEN y.d = {side} AND x.f{side} < 0 THEN y.s ELSE x.f{side} END,
+b{side} := CASE WHEN y.d = {side} AND x.f{side} < 0 THEN y.n WHEN y.d = {side} THEN x.b{side} + y.n ELSE x.b{side} END,
+e{side} := CASE WHEN {passes} THEN greatest(x.e{side}, x.b{side}) ELSE x.e{side} END"""
+
+
+_FLIGHT = "f0 := CAST(-1 AS BIGINT), b0 := CAST(0 AS BIGINT), e0 := CAST(0 AS BIGINT), f1 := CAST(-1 AS BIGINT), b1 := CAST(0 AS BIGINT), e1 := CAST(0 AS BIGINT)"
+
+
+@packet_query(f""" , o AS (SELECT *, CASE WHEN side = first_value(side) OVER (PARTITION BY u ORDER BY pkt_no) THEN 0 ELSE 1 END AS d FROM q),
+l AS (SELECT u, list(struct_pack(d := CAST(d AS BIGINT), s := seq, a := ack, n := size, {_FLIGHT}) ORDER BY pkt_no) AS l, count(*) FILTER (WHERE d = 0) AS packets0, count(*) FILTER (WHERE d = 1) AS packets1 FROM o GROUP BY u),
+r AS (SELECT u, packets0, packets1, list_reduce(l, lambda x, y: struct_pack(d := y.d, s := y.s, a := y.a, n := y.n, {_flight_sql(0, 1)}, {_flight_sql(1, 0)}),
+struct_pack(d := CAST(0 AS BIGINT), s := CAST(0 AS BIGINT), a := CAST(0 AS BIGINT), n := CAST(0 AS BIGINT), {_FLIGHT})) AS z FROM l)
+SELECT u, packets0, packets1, z.e0 AS effective_window0, z.e1 AS effective_window1 FROM r""", source=from_event_dialogues, views=D)
+def effective_tcp_window(p):
+    """What each side has on its way until the other acknowledges the first of it."""
+    rows = p.withColumn("u", F.when(F.col("dport") == 80, F.col("sport")).otherwise(F.col("dport")) - 1024)
+    out = flows.flow_report(rows, ["u"], F.col("dport") == 80, "24h", "24h", tcp=True)
+    return out.select("u", "packets0", "packets1", "effective_window0", "effective_window1")
+
+
+@packet_query(""" , l AS (SELECT us, row_number() OVER (ORDER BY us) AS v FROM p WHERE ip_proto = 6), r AS (SELECT us, CAST(sum(wlen) OVER (ORDER BY us) AS BIGINT) AS v FROM p WHERE ip_proto = 17)
+SELECT p.pkt_no, coalesce(r.v, 0) - coalesce(l.v, 0) AS value FROM p ASOF LEFT JOIN l ON p.us >= l.us ASOF LEFT JOIN r ON p.us >= r.us WHERE p.ifindex = 1""")
+def binop_at_packets(p):
+    """At each packet of one flow, what two other flows have counted by then."""
+    tcp, udp, own = api.create_flow(p), api.create_flow(p), api.create_flow(p)
+    tcp.apply("BPF_FILTER", "tcp")
+    udp.apply("BPF_FILTER", "udp")
+    packets, bytes_ = tcp.apply("PKT_COUNTER"), udp.apply("BYTE_COUNTER")
+    own.apply("INTERFACE", 1)
+    own.apply("BINOP", 1, udp.fd, bytes_, tcp.fd, packets)
+    for flow in (tcp, udp, own):
+        flow.connect()
+    return own.values(2).select("pkt_no", "value")
+
+
+#: Two requests in one payload, the second with a body.
+PIPELINED = """hex('GET /a') || hex(pkt_no) || hex(' HTTP/1.1') || '0D0A' || hex('Host: one') || '0D0A' || hex('Cookie: id=') || hex(pkt_no) || '0D0A0D0A' ||
+hex('POST /b?q=') || hex(flow_key) || hex(' HTTP/1.0') || '0D0A' || hex('COOKIE:  two; x=') || hex(flow_key) || '0D0A' || hex('Host: two') || '0D0A0D0A' || hex(payload)"""
+
+
+def from_pipelined_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = from_events(spark, sf_dir).select("pkt_no", "flow_key", "payload").selectExpr("pkt_no", f"{PIPELINED.replace('hex(pkt_no)', 'hex(CAST(pkt_no AS STRING))').replace('hex(flow_key)', 'hex(CAST(flow_key AS STRING))')} AS data")
+    e = e.selectExpr("*", "0 AS side", "'0A000001' AS client", "'C0A80101' AS server", "'04000050' AS ports", "pkt_no AS seq", "0 AS ack")
+    return _tcp_frames(e, F.col("pkt_no") * 10_000)
+
+
+@packet_query(""" SELECT pkt_no, md5('GET ' || repeat('-', length('/a' || pkt_no)) || ' HTTP/1.1' || chr(13) || chr(10) || 'Host: one' || chr(13) || chr(10) || 'Cookie: gone' || chr(13) || chr(10) || chr(13) || chr(10)
+|| 'POST ' || repeat('-', length('/b?q=' || flow_key)) || ' HTTP/1.0' || chr(13) || chr(10) || 'COOKIE:  gone' || chr(13) || chr(10) || 'Host: two' || chr(13) || chr(10) || chr(13) || chr(10) || md5(payload)) AS digest FROM p""", source=from_pipelined_requests)
+def anonymize_pipelined(p):
+    """Fields of every request in a payload."""
+    out = _changed(p, "HTTP,URI,PATTERN_FILL,STR,-", "HTTP,COOKIE,REPLACE,gone", "HTTP,HTTP_PAYLOAD,HASHED,MD5")
+    return out.select("pkt_no", F.md5(F.expr("substring(pkt, 55)")).alias("digest"))
+
+
 @packet_query(" SELECT ip_version, src_ip, dst_ip, ip_proto, sport, dport, wlen + CASE WHEN ip_version = 6 AND l4_size <= 24 THEN 8 ELSE 0 END AS wlen, md5(unhex(data)) AS digest FROM p", source=from_event_fragments)
 def defragment(p):
     """Overlapping fragments of both versions out of order give the frames they were cut from; a fragment that is all there

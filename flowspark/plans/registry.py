@@ -422,11 +422,16 @@ def packet_loss(e):
     return apps.packet_loss(e, e.where("pkt_no % 33 <> 0"), ["flow_key"])
 
 
-@table_query("""WITH w AS (SELECT doc_id, source, regexp_split_to_array(text, '[ \\t\\n]+') AS words FROM documents),
-s AS (SELECT source, md5(array_to_string(list_slice(words, k, k + 7), ' ')) AS h FROM w, unnest(generate_series(1, greatest(len(words) - 7, 0))) AS g(k))
-SELECT h AS fingerprint, count(DISTINCT source) AS destinations FROM s WHERE starts_with(h, '00') GROUP BY h HAVING count(DISTINCT source) >= 3""")
+SPAN_BYTES = 16
+
+
+@table_query(f"""WITH d AS (SELECT row_number() OVER () AS doc, source, hex(encode(text)) AS h FROM documents WHERE text IS NOT NULL AND source IS NOT NULL),
+b AS (SELECT doc, source, k, CAST('0x' || substr(h, CAST(2 * k + 1 AS BIGINT), 2) AS BIGINT) AS x FROM d, unnest(range(0, length(h) // 2)) AS g(k)),
+s AS (SELECT source, ({' + '.join(f'lag(x, {k}) OVER w * {pow(257, k, 1 << 32)}' for k in range(SPAN_BYTES))}) % 4294967296 AS fingerprint FROM b WINDOW w AS (PARTITION BY doc ORDER BY k))
+SELECT fingerprint, count(DISTINCT source) AS destinations FROM s WHERE fingerprint % 256 = 0 GROUP BY 1 HAVING count(DISTINCT source) >= 3""")
 def common_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apps.common_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"), "text", "source", 8, 3)
+    """Every stretch of 16 bytes of every document."""
+    return apps.common_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"), "text", "source", SPAN_BYTES, 3)
 
 
 @table_query("SELECT CAST(date_trunc('day', l_shipdate) AS DATE) AS day, CAST(sum(l_quantity) AS BIGINT) AS bytes, count(*) AS packets FROM lineitem GROUP BY 1")
