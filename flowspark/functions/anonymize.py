@@ -212,9 +212,9 @@ HTTP_NAMES = {n: n.replace("_", "-") for n in HTTP_HEADERS} | {"CONNECTION_TYPE"
 FTP_COMMANDS = {n: n for n in "USER PASS ACCT STRU MODE CWD PWD CDUP PASV RETR REST PORT LIST NLST QUIT SYST STAT HELP NOOP STOR APPE STOU ALLO MKD RMD DELE RNFR RNTO SITE".split()} | {"FTP_TYPE": "TYPE"}
 
 
-#: Where a line begins, and lines that begin a request or a response.
-LINE = r"(?<=^|\r\n)"
-REQUEST_LINE, STATUS_LINE = r"[A-Z]+ [^ \r\n]+ HTTP/[0-9.]+\r\n", r"HTTP/[0-9.]+ [0-9]{3}[ \r]"
+#: Where a line begins, and first lines of requests and responses: a body before them need not end with a line.
+LINE, METHODS = r"(?<=^|\r\n)", "GET|HEAD|POST|PUT|DELETE|CONNECT|OPTIONS|TRACE|PATCH"
+REQUEST_LINE, STATUS_LINE = rf"(?:{METHODS}) [^ \r\n]+ HTTP/[0-9.]+\r\n", r"HTTP/[0-9.]+ [0-9]{3}[ \r]"
 
 
 def text_field(proto: str, name: str) -> str | None:
@@ -223,11 +223,11 @@ def text_field(proto: str, name: str) -> str | None:
         if name in HTTP_NAMES:
             return rf"(?i)(?<=\r\n{HTTP_NAMES[name]}:[ \t]{{0,64}})[^\r\n \t][^\r\n]*"
         return {
-            "METHOD": rf"{LINE}[A-Z]+(?= [^ \r\n]+ HTTP/)",
-            "URI": r"(?<=(?:^|\r\n)[A-Z]{1,32} )[^ \r\n]+(?= HTTP/)",
-            "HTTP_VERSION": rf"(?:{LINE}|(?<=(?:^|\r\n)[A-Z]{{1,32}} [^ \r\n]{{1,65535}} ))HTTP/[0-9.]+",
-            "RESPONSE_CODE": r"(?<=(?:^|\r\n)HTTP/[0-9.]{1,16} )[0-9]{3}",
-            "RESP_CODE_DESCR": r"(?<=(?:^|\r\n)HTTP/[0-9.]{1,16} [0-9]{3} )[^\r\n]+",
+            "METHOD": rf"(?:{LINE}[A-Z]+|{METHODS})(?= [^ \r\n]+ HTTP/)",
+            "URI": r"(?<=[A-Z]{1,32} )[^ \r\n]+(?= HTTP/)",
+            "HTTP_VERSION": r"HTTP/[0-9.]+(?= [0-9]{3}[ \r]|\r\n)",
+            "RESPONSE_CODE": r"(?<=HTTP/[0-9.]{1,16} )[0-9]{3}",
+            "RESP_CODE_DESCR": r"(?<=HTTP/[0-9.]{1,16} [0-9]{3} )[^\r\n]+",
             # From a blank line to the next first line of a request or response, or the end.
             "HTTP_PAYLOAD": rf"(?s)(?<=\r\n\r\n)(?!{REQUEST_LINE}|{STATUS_LINE}).+?(?={REQUEST_LINE}|{STATUS_LINE}|\z)",
         }.get(name)
