@@ -95,7 +95,7 @@ LENGTH_EDGES = [50, 100, 200, 750, 1300, 1400, 1450, 1500, 65535]
 DISTANCE_EDGES = [25, 50, 75, 100, 200, 300, 400, 500, 1000]
 
 
-def flow_report(df: DataFrame, key: list[str], forward: Column, idle: str = "30s", lifetime: str = "240s", extra: dict[str, Column] | None = None, tcp: bool = False) -> DataFrame:
+def flow_report(df: DataFrame, key: list[str], forward: Column, idle: str = "30s", lifetime: str = "240s", extra: dict[str, Column] | None = None, tcp: bool = False, cache: str | None = None) -> DataFrame:
     """Bidirectional flow records: one row a flow, counters for each direction, histograms, moments and rates.
 
     ``forward`` tells the direction of a record; direction 0 is that of the flow's first
@@ -103,7 +103,9 @@ def flow_report(df: DataFrame, key: list[str], forward: Column, idle: str = "30s
     ``lifetime`` counted from its first packet. end_reason: 1 idle, 2 lifetime, 4 end of
     the stream. ``extra`` adds aggregates by name (as min, max or bit_or of fields); ``tcp``, for decoded packets, each
     direction's segments out of sequence (below the highest number so far, unless numbers wrapped), its smallest and
-    largest window, and its effective window (``effective_windows``).
+    largest window, and its effective window (``effective_windows``). ``cache`` keeps flows in mind beyond their record: a
+    record that begins no later than that after its key's record before ended continues its flow. It adds flow (the number
+    within the key, from 1), flow_first_us (when the flow's first record began) and continued.
     """
     life = micros(lifetime)
     rows = sessions(df.withColumn("forward_", forward), key, idle, firsts={"first_us_": F.col("us"), "first_forward_": F.col("forward_")})
@@ -146,7 +148,12 @@ def flow_report(df: DataFrame, key: list[str], forward: Column, idle: str = "30s
     following = F.lead("session").over(later)
     reason = F.when(following == F.col("session"), ACTIVE).when(following.isNotNull(), IDLE).otherwise(FORCED)
     latency = F.when((F.col("slice") == 0) & F.col("first_us0").isNotNull() & F.col("first_us1").isNotNull(), F.col("first_us1") - F.col("first_us0"))
-    return out.withColumn("end_reason", reason).withColumn("latency_us", latency)
+    out = out.withColumn("end_reason", reason).withColumn("latency_us", latency)
+    if cache is None:
+        return out
+    fresh = F.coalesce(F.col("start_us") - F.lag("end_us").over(later) > micros(cache), F.lit(True))
+    out = out.withColumn("continued", ~fresh).withColumn("flow", F.sum(fresh.cast("int")).over(later))
+    return out.withColumn("flow_first_us", F.min("start_us").over(Window.partitionBy(*key, "flow")))
 
 
 def effective_windows(rows: DataFrame, group: list[str]) -> DataFrame:

@@ -441,7 +441,7 @@ def _to_file(df: DataFrame, kind: int, path: str, limit: int) -> DataFrame:
 
 def _report(df: DataFrame, kind: str, transport: str, keys: str, record: str) -> DataFrame:
     rows = trackers.with_session_key(df.where("src_ip is not null"))
-    out = flows.flow_report(rows, trackers.SESSION_KEY, F.col("src_ip") == F.col("low_ip"), extra={"tcp_flags": F.bit_or("tcp_flags"), "tos": F.bit_or("ip_tos"), "min_ttl": F.min("ip_ttl"), "max_ttl": F.max("ip_ttl"), "icmp_types": F.bit_or(F.expr("shiftleft(1L, icmp_type)"))}, tcp=True)
+    out = flows.flow_report(rows, trackers.SESSION_KEY, F.col("src_ip") == F.col("low_ip"), extra={"tcp_flags": F.bit_or("tcp_flags"), "tos": F.bit_or("ip_tos"), "min_ttl": F.min("ip_ttl"), "max_ttl": F.max("ip_ttl"), "icmp_types": F.bit_or(F.expr("shiftleft(1L, icmp_type)"))}, tcp=True, cache="360s")
     wanted = [x.strip() for x in record.split(",") if x.strip()]
     return out.select(*trackers.SESSION_KEY, *wanted) if wanted else out
 

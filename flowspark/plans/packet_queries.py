@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from flowspark.functions.bpf import compile_filter
 from flowspark.operators import defragment as fragments
-from flowspark.operators import filters, flows, reassembly, trackers
+from flowspark.operators import filters, flows, reassembly, rtp, trackers
 from flowspark.plans import flow as api
 from flowspark.session import delete_folder, durable, shared_dir
 from flowspark.sources.pcap import PACKETS, decode, read_packets, stream_packets, write_packets
@@ -462,6 +462,47 @@ def effective_tcp_window(p):
     return out.select("u", "packets0", "packets1", "effective_window0", "effective_window1")
 
 
+#: RTP streams, one a key: 20 ms of sound (160 samples) a packet, every 13th number left out, arrival late by up to 6 ms, timestamps
+#: and numbers that wrap.
+RTP = [
+    [("u", "flow_key"), ("k", "CAST(row_number() OVER (PARTITION BY flow_key ORDER BY pkt_no) AS BIGINT)")],
+    [("seq", "(65500 + k + CAST((k - k % 13) / 13 AS BIGINT)) % 65536"), ("rtp_time", "(4294960000 + k * 160) % 4294967296"), ("us", "k * 20000 + (pkt_no * 7919) % 6000")],
+]
+R = "WITH e AS (SELECT event_id AS pkt_no, user_id AS flow_key FROM events)" + "".join(
+    f", r{k} AS (SELECT *, {', '.join(f'{sql} AS {name}' for name, sql in step)} FROM {'e' if k == 0 else f'r{k - 1}'})" for k, step in enumerate(RTP)
+)
+
+
+def from_rtp_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = from_events(spark, sf_dir).select("pkt_no", "flow_key")
+    for step in RTP:
+        e = e.selectExpr("*", *(f"{sql} AS {name}" for name, sql in step))
+    head = F.expr("'02000000000102000000000208004500003000000000401100000A000001C0A80101' || lpad(hex(10000 + u), 4, '0') || '1388001C0000'")
+    rtp_head = F.expr("'8008' || lpad(hex(seq), 4, '0') || lpad(hex(rtp_time), 8, '0') || lpad(hex(u), 8, '0') || '0102030405060708'")
+    return _frames(e, F.concat(head, rtp_head), F.col("us"))
+
+
+@packet_query(""" , d AS (SELECT u, k, us, CASE WHEN seq = (lag(seq) OVER w + 1) % 65536 THEN abs((us - lag(us) OVER w) - 160 * 1000000.0::DOUBLE / 8000) END AS d FROM r1 WINDOW w AS (PARTITION BY u ORDER BY us, pkt_no)),
+l AS (SELECT u, count(*) AS packets, count(*) - 1 - count(d) AS jumps, max(d) AS max_deviation, list(d ORDER BY us) FILTER (WHERE d IS NOT NULL) AS ds FROM d GROUP BY u)
+SELECT u, packets, jumps, round(max_deviation, 3) AS max_deviation, round(list_reduce(ds, lambda j, x: j + (x - j) / 16), 3) AS jitter FROM l""", source=from_rtp_frames, views=R)
+def rtp_jitter(p):
+    out = rtp.rtp_report(rtp.rtp_packets(p))
+    return out.select(F.col("ssrc").alias("u"), "packets", "jumps", F.round("max_deviation", 3).alias("max_deviation"), F.round("jitter", 3).alias("jitter"))
+
+
+@packet_query(""" , w AS (SELECT *, CASE WHEN us - lag(us) OVER k > 30000000 THEN 1 ELSE 0 END AS new, CASE WHEN us - lag(us) OVER k > 360000000 THEN 1 ELSE 0 END AS gone FROM (SELECT u, us * 40 AS us FROM q) WINDOW k AS (PARTITION BY u ORDER BY us)),
+s AS (SELECT *, sum(new) OVER o AS session, 1 + sum(gone) OVER o AS flow FROM w WINDOW o AS (PARTITION BY u ORDER BY us)),
+c AS (SELECT *, min(us) OVER (PARTITION BY u, session) AS began FROM s),
+g AS (SELECT u, session, (us - began) // 240000000 AS slice, flow, min(us) AS start_us, max(us) AS end_us, count(*) AS packets FROM c GROUP BY ALL)
+SELECT u, start_us, end_us, packets, CAST(flow AS BIGINT) AS flow, min(start_us) OVER (PARTITION BY u, flow) AS flow_first_us,
+start_us > min(start_us) OVER (PARTITION BY u, flow) AS continued FROM g""", source=from_event_dialogues, views=D)
+def flow_continuity(p):
+    """Flows that fall silent for 30 s and come back within 360 s are the same flow (times are stretched forty-fold)."""
+    rows = p.withColumn("u", F.when(F.col("dport") == 80, F.col("sport")).otherwise(F.col("dport")) - 1024).withColumn("us", F.col("us") * 40)
+    out = flows.flow_report(rows, ["u"], F.col("dport") == 80, cache="360s")
+    return out.select("u", "start_us", "end_us", (F.col("packets0") + F.col("packets1")).alias("packets"), F.col("flow").cast("long").alias("flow"), "flow_first_us", "continued")
+
+
 @packet_query(""" , l AS (SELECT us, row_number() OVER (ORDER BY us) AS v FROM p WHERE ip_proto = 6), r AS (SELECT us, CAST(sum(wlen) OVER (ORDER BY us) AS BIGINT) AS v FROM p WHERE ip_proto = 17)
 SELECT p.pkt_no, coalesce(r.v, 0) - coalesce(l.v, 0) AS value FROM p ASOF LEFT JOIN l ON p.us >= l.us ASOF LEFT JOIN r ON p.us >= r.us WHERE p.ifindex = 1""")
 def binop_at_packets(p):
