@@ -29,8 +29,7 @@ def rows(df):
     return sorted((r.pkt_no, r.us, r.wlen, bytes(r.pkt)) for r in df.collect())
 
 
-@pytest.mark.parametrize("kind", ["pcap", "erf"])
-@pytest.mark.parametrize("split", [400, 1000, 50_000])
+@pytest.mark.parametrize("kind, split", [("pcap", 700), ("pcap", 50_000), ("erf", 1000)])
 def test_ranges_of_a_file_give_the_sequential_rows(spark, tmp_path, kind, split):
     path = str(tmp_path / kind)
     write_packets(stream(spark, frames()).coalesce(1), path, kind)
@@ -43,8 +42,6 @@ def test_wrong_guesses_are_walked_again(spark, tmp_path):
     """Ranges that begin inside payloads full of headers: many first guesses are wrong, no row is."""
     (tmp_path / "a.pcap").write_bytes(pcap(frames()))
     path = str(tmp_path)
-    with open(tmp_path / "a.pcap", "rb"):
-        pass
     plan = splits.plan_ranges(spark, path, "pcap", splits.files_of(path), 700).collect()
     file = splits.opened(path)[0].open_input_file(str(tmp_path / "a.pcap"))
     layout = splits.layout_of("pcap", file)
