@@ -146,8 +146,73 @@ def _iban_rest(value: str) -> int:
     return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97
 
 
+#: The draw of entities in ranges so full that surrogates can't avoid the corpus, and the share of a range that makes it so.
+DENSE, DENSE_SHARE = -1, 4
+_PRIVATE = {"10/8": (10 << 24, 1 << 24), "127/8": (127 << 24, 1 << 24), "192.168/16": (0xC0A8 << 16, 1 << 16), "172.16/12": (0xAC1 << 20, 1 << 20)}
+
+
+def _address(norm: str) -> int:
+    return int.from_bytes(bytes(map(int, norm.split("."))), "big")
+
+
+def _country_code(norm: str) -> int:
+    """Leading digits of a phone number that stay."""
+    return 1 if len(norm) == 11 and norm[0] == "1" else 2 if len(norm) > 10 else 0
+
+
+def closed_range(kind: str, norm: str) -> tuple[str, int] | None:
+    """Name and size of the range in which all surrogates of an entity lie, for kinds whose ranges can fill up."""
+    if kind == "ip":
+        value = _address(norm)
+        return next(((name, size) for name, (base, size) in _PRIVATE.items() if base <= value < base + size), ("public", 1 << 32))
+    if kind == "phone" and norm.isascii():
+        kept = _country_code(norm)
+        return f"{norm[:kept]}+{len(norm) - kept}", 10 ** (len(norm) - kept)
+    return ("9 digits", 10**9) if kind == "ssn" and norm.isascii() else None
+
+
+def _permuted(key: bytes, label: str, x: int, size: int, back: bool) -> int:
+    """A keyed permutation of the numbers below ``size``, or its inverse: a Feistel network of eight rounds over the next even
+    number of bits, walked along until it is below ``size`` again."""
+    half = max(1, -(-(size - 1).bit_length() // 2))
+    mask = (1 << half) - 1
+    while True:
+        left, right = x >> half, x & mask
+        for k in reversed(range(8)) if back else range(8):
+            mixed = lambda part, k=k: int.from_bytes(hashlib.blake2b(f"{label}\0{k}\0{part}".encode(), key=key, digest_size=8).digest(), "big") & mask
+            left, right = (right ^ mixed(left), left) if back else (right, left ^ mixed(right))
+        x = left << half | right
+        if x < size:
+            return x
+
+
+def _shifted(key: bytes, label: str, x: int, size: int, fits=lambda y: True) -> int:
+    """Another number below ``size`` that ``fits``, a different one for each x: the next one in a keyed order of all."""
+    while True:
+        x = _permuted(key, label, (_permuted(key, label, x, size, False) + 1) % size, size, True)
+        if fits(x):
+            return x
+
+
+def _in_full_range(key: bytes, kind: str, norm: str) -> str:
+    """The surrogate of an entity in a full range: never itself, and no two alike, but perhaps another entity of the corpus."""
+    name, size = closed_range(kind, norm)
+    label = f"{kind} {name}"
+    if kind != "ip":
+        kept = _country_code(norm) if kind == "phone" else 0
+        return norm[:kept] + f"{_shifted(key, label, int(norm[kept:]), size):0{len(norm) - kept}d}"
+    if name in _PRIVATE:
+        base = _PRIVATE[name][0]
+        value = base + _shifted(key, label, _address(norm) - base, size)
+    else:
+        value = _shifted(key, label, _address(norm), size, lambda y: not any(base <= y < base + n for base, n in _PRIVATE.values()))
+    return ".".join(map(str, value.to_bytes(4, "big")))
+
+
 def surrogate(key: bytes, kind: str, norm: str, draw: int) -> str:
     """The normal form of the surrogate."""
+    if draw == DENSE:
+        return _in_full_range(key, kind, norm)
     if kind == "email":
         local, _, domain = norm.rpartition("@")
         *labels, top = domain.split(".")
@@ -184,7 +249,7 @@ def surrogate(key: bytes, kind: str, norm: str, draw: int) -> str:
         last = next(str(d) for d in range(10) if (_luhn(body + str(d)) == 0))
         return body + (last if valid else str((int(last) + 1 + _number(key, "check", norm, draw) % 9) % 10))
     if kind == "phone":
-        kept = 1 if len(norm) == 11 and norm[0] == "1" else 2 if len(norm) > 10 else 0  # the country code
+        kept = _country_code(norm)
         return norm[:kept] + _drawn(key, kind, norm[kept:], draw)
     return _name(key, norm, draw) if kind == "person" else _drawn(key, kind, norm, draw)
 
@@ -296,6 +361,40 @@ def entities(df: DataFrame, text_col: str) -> DataFrame:
     return map_texts(df.select(text_col), run, "kind string, norm string").distinct()
 
 
+def full_ranges(found: DataFrame) -> frozenset[tuple[str, str]]:
+    """(kind, range) of the closed ranges of which the corpus has more than one in DENSE_SHARE: half of a range taken leaves no
+    surrogates that are both distinct and new, and long before that most draws clash. There are few ranges: of addresses
+    five, of phone numbers one a country code and length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, norms = (c.to_pylist() for c in batch.columns)
+            ranges = [(k, *r) for k, n in zip(kinds, norms, strict=True) if (r := closed_range(k, n))]
+            columns = list(zip(*ranges, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array([float(x) for x in columns[2]], pa.float64())], ["kind", "range", "size"])
+
+    closed = map_batches(found.where(F.col("kind").isin("ip", "phone", "ssn")).select("kind", "norm"), run, "kind string, range string, size double")
+    counted = closed.groupBy("kind", "range").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
+    return frozenset((r.kind, r.range) for r in counted.where(F.col("n") * DENSE_SHARE > F.col("size")).collect())
+
+
+def _is_dense(kind: str, norm: str, full: frozenset) -> bool:
+    return bool(full) and kind in ("ip", "phone", "ssn") and (r := closed_range(kind, norm)) is not None and (kind, r[0]) in full
+
+
+def _without_dense(found: DataFrame, full: frozenset) -> DataFrame:
+    """The entities that are drawn; those of full ranges have no draws and clash with none of the others."""
+    if not full:
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [not _is_dense(k, n, full) for k, n in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return durable(map_batches(found.select("kind", "norm"), run, "kind string, norm string"))
+
+
 def clashing(found: DataFrame, key: bytes, most_draws: int = 50) -> DataFrame:
     """(kind, norm, draw) of the entities that must not take their first draw."""
 
@@ -323,21 +422,31 @@ def replace_pii(df: DataFrame, key: bytes, text_col: str = "text", most_broadcas
 
     The same key gives the same surrogates in every run over the same corpus. Null text
     stays null and empty text empty, with nothing found; text without entities is
-    unchanged. Repeated rows get the same text. Columns named n_found or found in ``df``
-    are replaced, others pass unchanged; an empty table gives an empty result.
+    unchanged. Repeated rows get the same text, and mentions that tie (stand at the same place) go to the kind that
+    comes first in the pattern. Columns named n_found or found in ``df`` are replaced, others pass unchanged,
+    whatever their names; an empty table gives an empty result.
+
+    Where a closed range (private addresses, phone numbers of a length, nine-digit numbers) is so full that new values
+    can't be had (``full_ranges``), its entities take those of a keyed permutation of the range: distinct, never their
+    own, but perhaps another entity's.
 
     The few entities that clash go out by broadcast if they are counted to be few, else
     they are joined to the texts that mention them.
     """
     names = [n for n in df.columns if n not in ("n_found", "found")]
     rows = df.select(*names)
-    later = durable(clashing(durable(entities(df, text_col)), key))
+    found = durable(entities(df, text_col))
+    full = full_ranges(found)
+    later = durable(clashing(_without_dense(found, full), key))
+    draws_col = "later draws"
+    while draws_col in names:
+        draws_col += " "
     if later.count() <= most_broadcast:
         held = df.sparkSession.sparkContext.broadcast({(r.kind, r.norm): r.draw for r in later.collect()})
-        rows = rows.withColumn("later draws", F.lit(None).cast("map<string,int>"))
+        rows = rows.withColumn(draws_col, F.lit(None).cast("map<string,int>"))
     else:
         held = df.sparkSession.sparkContext.broadcast({})
-        rows = _with_draws(rows, later, text_col)
+        rows = _with_draws(rows, later, text_col, draws_col)
     at, last = names.index(text_col), len(names)
     made_names = [*names, "n_found", "found"]
 
@@ -347,7 +456,7 @@ def replace_pii(df: DataFrame, key: bytes, text_col: str = "text", most_broadcas
             texts, totals, kinds = [], [], []
             for text, own in zip(batch.column(at).to_pylist(), batch.column(last), strict=True):
                 draws = dict(own.as_py() or ())
-                new, count = replaced(text or "", key, lambda unit, draws=draws: few.get(unit, 0) or draws.get(" ".join(unit), 0))
+                new, count = replaced(text or "", key, lambda unit, draws=draws: DENSE if _is_dense(*unit, full) else few.get(unit, 0) or draws.get(" ".join(unit), 0))
                 texts.append(new if count else text)
                 totals.append(sum(count.values()))
                 kinds.append(sorted(count.items()))
@@ -359,7 +468,7 @@ def replace_pii(df: DataFrame, key: bytes, text_col: str = "text", most_broadcas
     return map_texts(rows, run, schema)
 
 
-def _with_draws(rows: DataFrame, later: DataFrame, text_col: str) -> DataFrame:
+def _with_draws(rows: DataFrame, later: DataFrame, text_col: str, draws_col: str) -> DataFrame:
     """``rows`` with the later draws of the entities each text mentions; texts are known by two hashes."""
     texts = rows.select(F.xxhash64(text_col).alias("h"), F.hash(text_col).alias("g"), F.col(text_col).alias("text"))
 
@@ -372,6 +481,5 @@ def _with_draws(rows: DataFrame, later: DataFrame, text_col: str) -> DataFrame:
     pairs = map_batches(texts, run, "h bigint, g int, kind string, norm string").distinct().join(later, ["kind", "norm"])
     entry = F.struct(F.concat_ws(" ", "kind", "norm").alias("key"), F.col("draw").alias("value"))
     draws = durable(pairs.groupBy("h", "g").agg(F.map_from_entries(F.collect_list(entry)).alias("later draws")))
-    keyed = rows.withColumn("h of text", F.xxhash64(text_col)).withColumn("g of text", F.hash(text_col))
-    out = keyed.join(draws, (F.col("h of text") == draws["h"]) & (F.col("g of text") == draws["g"]), "left")
-    return out.select(*rows.columns, "later draws")
+    whole = rows.select(F.struct(*rows.columns).alias("row"), F.xxhash64(text_col).alias("h"), F.hash(text_col).alias("g"))
+    return whole.join(draws, ["h", "g"], "left").select("row.*", F.col("later draws").alias(draws_col))

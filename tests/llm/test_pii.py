@@ -136,3 +136,37 @@ def test_entities_in_a_very_long_text(spark):
     out = replace_pii(spark.createDataFrame([(1, long), (2, long)], "doc_id long, text string"), KEY).collect()
     assert out[0].text == out[1].text and out[0].n_found == 3 and "Smith" not in out[0].text and "a.b@example" not in out[0].text
     assert out[0].text.count("word ") == 400_000
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 10, 255, 1000])
+def test_permutation_of_a_range(size):
+    for label in ("a", "b"):
+        out = [pii._permuted(KEY, label, x, size, False) for x in range(size)]
+        assert sorted(out) == list(range(size)) and [pii._permuted(KEY, label, y, size, True) for y in out] == list(range(size))
+    if size > 1:
+        moved = [pii._shifted(KEY, "a", x, size) for x in range(size)]
+        assert sorted(moved) == list(range(size)) and all(x != y for x, y in enumerate(moved))
+
+
+def test_a_full_range_of_addresses(spark):
+    """All of 192.168.0.0/16 and a few others: surrogates are a permutation of the range, others still avoid the corpus."""
+    rows = [(k, " ".join(f"192.168.{k}.{j}" for j in range(256)) + f" and 10.0.0.{k} and 8.8.{k}.8", "x") for k in range(256)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `later draws` string").repartition(8)
+    out = {r.doc_id: r for r in replace_pii(df, KEY).collect()}
+    pairs = {}
+    for k, text, _ in rows:
+        assert out[k]["later draws"] == "x" and out[k].n_found == 258
+        for (_, a), (_, b) in zip(found(text), found(out[k].text), strict=True):
+            assert pairs.setdefault(a, b) == b != a
+    local = {a: b for a, b in pairs.items() if a.startswith("192.168.")}
+    assert len(local) == 65_536 == len(set(local.values())) and all(b.startswith("192.168.") for b in local.values())
+    rest = [b for a, b in pairs.items() if a not in local]
+    assert len(rest) == 512 == len(set(rest)) and not set(rest) & set(pairs)
+
+
+def test_full_ranges_of_other_kinds():
+    for kind, norm in (("phone", "0171234567"), ("phone", "4917123456789"), ("phone", "10171234567"), ("ssn", "078051120"), ("ip", "8.8.8.8"), ("ip", "10.1.2.3"), ("ip", "172.20.0.1"), ("ip", "127.0.0.1")):
+        made = surrogate(KEY, kind, norm, pii.DENSE)
+        assert made != norm and len(made) == len(norm) or kind == "ip"
+        assert pii.closed_range(kind, made) == pii.closed_range(kind, norm) and made != norm
+    assert pii.closed_range("person", "smith") is None
