@@ -37,9 +37,9 @@ class FunctionDef:
     """A function that flows can apply.
 
     ``check`` validates arguments when the function is applied. ``filters`` gives the
-    stream that later functions see; ``value`` a record's part of the function's value,
-    for functions that read others, which ``counts`` says are to be added up; ``result`` the
-    result over the stream so far.
+    stream that later functions see, ``changes`` the same where only decoded columns change;
+    ``value`` a record's part of the function's value, for functions that read others,
+    which ``counts`` says are to be added up; ``result`` the result over the stream so far.
     """
 
     name: str
@@ -47,6 +47,7 @@ class FunctionDef:
     argdescr: str = ""
     check: Callable = lambda *a: None
     filters: Callable | None = None
+    changes: Callable | None = None
     value: Callable | None = None
     result: Callable | None = None
     modifies: bool = False
@@ -136,10 +137,18 @@ class Flow:
         self._open()
         if self.status != "INIT":
             raise FlowError(Err.FLOW_ALREADY_ACTIVE, str(self.fd))
-        stream = self.packets
-        for instance in self.instances:
+        stream, unwritten = self.packets, False
+        for k, instance in enumerate(self.instances):
             instance.stream = stream
-            if instance.function.filters is not None:
+            if instance.function.changes is not None:
+                # Bytes are written back once, after the last of several changes in a row (or where checksums are due).
+                before, adjust = stream, instance.args[0].split(",")[2:3] == ["CHECKSUM_ADJUST"]
+                stream = instance.function.changes(stream, *instance.args)
+                unwritten |= stream is not before
+                more = k + 1 < len(self.instances) and self.instances[k + 1].function.changes is not None
+                if unwritten and "pkt" in stream.columns and (adjust or not more):
+                    stream, unwritten = encode(stream, adjust), False
+            elif instance.function.filters is not None:
                 stream = instance.function.filters(stream, *instance.args)
         self.stream, self.status = stream, "ACTIVE"
 
@@ -312,7 +321,7 @@ def _check_top(many, proto, name, sort_by, reset):
 FIVE = ["src_ip", "dst_ip", "ip_proto", "sport", "dport"]
 
 
-#: Functions on texts, for fields of application protocols; random ones draw from the column draw_.
+#: Functions on texts, for fields of application protocols; random ones draw anew, or (in lambdas) from a column.
 TEXT_FUNCTIONS = {
     "ZERO": lambda c, a: F.repeat(F.lit("\0"), F.char_length(c)),
     "STRIP": lambda c, a: anon.strip(c, int(a[0]) if a else 0),
@@ -320,25 +329,21 @@ TEXT_FUNCTIONS = {
     "REPLACE": lambda c, a: anon.replace(c, a[0]),
     "HASHED": lambda c, a: anon.hashed(c, a[0], a[1] if len(a) > 1 else None),
     "REGEXP": lambda c, a: anon.regexp(c, a[0], [None if x == "NULL" else x for x in a[2:]]),
-    "FILENAME_RANDOM": lambda c, a: anon.filename_random(c, draw=F.col("draw_")),
-    "RANDOM": lambda c, a: F.substring(F.repeat(F.sha2(F.concat(F.col("draw_"), c), 256), F.ceil(F.char_length(c) / 64).cast("int")), F.lit(1), F.char_length(c)),
+    "FILENAME_RANDOM": lambda c, a, draw=None: anon.filename_random(c, draw=draw),
+    "RANDOM": lambda c, a, draw=None: F.substring(F.repeat(F.sha2(F.rand().cast("string") if draw is None else F.concat(draw, c), 256), F.ceil(F.char_length(c) / 64).cast("int")), F.lit(1), F.char_length(c)),
     "UNCHANGED": lambda c, a: c,
 }
 
 
-def _anonymize(df: DataFrame, text: str) -> DataFrame:
-    """Change the columns of a field, then the packets' bytes."""
-    changed = _anonymized(df, text)
-    return changed if changed is df or "pkt" not in df.columns else encode(changed, adjust=text.split(",")[2] == "CHECKSUM_ADJUST")
-
-
 def _anonymized(df: DataFrame, text: str) -> DataFrame:
+    """The packets with the columns of a field changed; their bytes are as before."""
     proto, name, how, *args = text.split(",")
     if proto in ("HTTP", "FTP") and anon.text_field(proto, name):
         if how not in TEXT_FUNCTIONS:
             raise FlowError(Err.INVALID_ARGUMENT, how)
-        drawn = df.withColumn("draw_", F.rand().cast("string") if how in ("RANDOM", "FILENAME_RANDOM") else F.lit(""))
-        return drawn.withColumn("l4_payload", anon.in_text_field(F.col("l4_payload"), proto, name, lambda c: TEXT_FUNCTIONS[how](c, args))).drop("draw_")
+        draws = {"draw": F.col("draw_")} if how in ("RANDOM", "FILENAME_RANDOM") else {}
+        drawn = df.withColumn("draw_", F.rand().cast("string")) if draws else df
+        return drawn.withColumn("l4_payload", anon.in_text_field(F.col("l4_payload"), proto, name, lambda c: TEXT_FUNCTIONS[how](c, args, **draws))).drop("draw_")
     columns = ANON_COLUMNS | {"CHECKSUM": {"TCP": "tcp_csum", "UDP": "udp_csum"}.get(proto, "ip_csum")}
     if proto not in ("IP", "TCP", "UDP", "ICMP", "HTTP", "FTP"):
         raise FlowError(Err.INVALID_ARGUMENT, proto)
@@ -482,7 +487,7 @@ def _install() -> None:
         FunctionDef("EXPIRED_FLOWS", extra, "iii", result=lambda df, a, b, least: flows.expired_flows(df.where("sport is not null"), FIVE, "30s", least)),
         FunctionDef("COOKING", extra, "iiii", filters=lambda df, n, t, once, c: reassembly.cooked_packets(df, n or 32000, f"{t or 60}s", bool(once), c or reassembly.BOTH), modifies=True),
         FunctionDef("ANONYMIZEIP", extra, "s", check=lambda k: _bad(len(k.encode()) != 32, Err.INVALID_ARGUMENT_1), filters=lambda df, k: encode(anon.anonymize_ip(df, k.encode())), modifies=True),
-        FunctionDef("ANONYMIZE", "anon", "s", check=_check_anonymize, filters=_anonymize, modifies=True),
+        FunctionDef("ANONYMIZE", "anon", "s", check=_check_anonymize, changes=_anonymized, modifies=True),
         FunctionDef("PRINT_PACKET", "anon", result=lambda df: df.drop("pkt", "l4_payload")),
         FunctionDef("UNCOOK", "anon", "iii", check=lambda *a: _bad(True, Err.NOT_SUPPORTED, "take the packets of cooked ones apart with reassembly.uncook")),
         FunctionDef("INTERFACE", "capture", "i", check=lambda n: _bad(n < 0, Err.INVALID_ARGUMENT), filters=filters.interface),

@@ -218,7 +218,7 @@ def test_anonymised_packets_are_written(spark, tmp_path):
     for r in rows.values():
         head = bytes(r.pkt)[14:34]
         assert checksum(head) == 0
-    assert code(lambda: api._anonymize(flow.packets, "HTTP,NOTHING,ZERO")) == 7000
+    assert code(lambda: api._anonymized(flow.packets, "HTTP,NOTHING,ZERO")) == 7000
 
 
 def test_prefix_preserving_takes_ipv6(spark):
