@@ -425,8 +425,8 @@ def packet_loss(e):
 SPAN_BYTES = 16
 
 
-@table_query(f"""WITH d AS (SELECT row_number() OVER () AS doc, source, hex(encode(text)) AS h FROM documents WHERE text IS NOT NULL AND source IS NOT NULL),
-b AS (SELECT doc, source, k, CAST('0x' || substr(h, CAST(2 * k + 1 AS BIGINT), 2) AS BIGINT) AS x FROM d, unnest(range(0, length(h) // 2)) AS g(k)),
+@table_query(f"""WITH d AS (SELECT row_number() OVER () AS doc, source, regexp_extract_all(hex(encode(text)), '..') AS h FROM documents WHERE text IS NOT NULL AND source IS NOT NULL),
+b AS (SELECT doc, source, unnest(list_transform(h, lambda x: CAST('0x' || x AS BIGINT))) AS x, generate_subscripts(h, 1) AS k FROM d),
 s AS (SELECT source, ({' + '.join(f'lag(x, {k}) OVER w * {pow(257, k, 1 << 32)}' for k in range(SPAN_BYTES))}) % 4294967296 AS fingerprint FROM b WINDOW w AS (PARTITION BY doc ORDER BY k))
 SELECT fingerprint, count(DISTINCT source) AS destinations FROM s WHERE fingerprint % 256 = 0 GROUP BY 1 HAVING count(DISTINCT source) >= 3""")
 def common_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
