@@ -156,46 +156,125 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _fields(stream) -> dict[str, str]:
-    """Header lines up to the empty one, names in lower case."""
-    out = {}
+    """Header lines up to the empty one, names in lower case; bytes that are no UTF-8 are Latin-1. Lines that begin with white
+    space go on with the one before."""
+    out, name = {}, None
     while (line := stream.readline().rstrip(b"\r\n")):
-        name, _, value = line.decode("utf-8").partition(":")
-        out[name.strip().lower()] = value.strip()
+        try:
+            text = line.decode("utf-8")
+        except UnicodeDecodeError:
+            text = line.decode("iso-8859-1")
+        if text[0] in " \t" and name is not None:
+            out[name] += " " + text.strip()
+            continue
+        name, _, value = text.partition(":")
+        name = name.strip().lower()
+        out[name] = value.strip()
     return out
 
 
+class _Block:
+    """The bytes of a record, as many as its header says."""
+
+    def __init__(self, stream, size: int, record: str) -> None:
+        self.stream, self.left, self.record = stream, size, record
+
+    def read(self, n: int) -> bytes:
+        data = self.stream.read(min(n, self.left)) if self.left else b""
+        if self.left and n and not data:
+            raise EOFError(f"{self.record} ends {self.left} bytes early")
+        self.left -= len(data)
+        return data
+
+    def readline(self) -> bytes:
+        """A line of the record; one that the record's end cuts has no line end."""
+        line = self.stream.readline(self.left) if self.left else b""
+        self.left -= len(line)
+        return line
+
+
+class _Parts:
+    """The payload of a block in chunked transfer encoding (RFC 9112, 7.1). What doesn't begin with the size of a part is taken as it is."""
+
+    def __init__(self, block: _Block) -> None:
+        self.block, self.part, self.ended, self.plain = block, 0, False, b""
+        self._size(block.readline(), True)
+
+    def _size(self, line: bytes, first: bool = False) -> None:
+        digits = line.split(b";")[0].strip()
+        if digits and all(c in b"0123456789abcdefABCDEF" for c in digits):
+            self.part = int(digits, 16)
+            self.ended = self.part == 0
+        elif first:
+            self.plain, self.part = line, -1
+        else:
+            self.ended = True
+
+    def read(self, n: int) -> bytes:
+        if self.part < 0:
+            data, self.plain = self.plain[:n], self.plain[n:]
+            return data or self.block.read(n)
+        if self.ended or not self.block.left:
+            return b""
+        data = self.block.read(min(n, self.part))
+        self.part -= len(data)
+        if not self.part:
+            self.block.readline()
+            self._size(self.block.readline())
+        return data
+
+
+def _full(body, n: int) -> bytes:
+    """``n`` bytes, fewer at the end."""
+    out = bytearray()
+    while len(out) < n and (data := body.read(n - len(out))):
+        out += data
+    return bytes(out)
+
+
+#: Records that have no payload of a page.
+ABOUT = ("warcinfo", "request", "metadata")
+
+
 def read_records(stream, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple]:
-    """Rows of CHUNK from a stream of WARC records."""
+    """Rows of CHUNK from a stream of WARC records, as this library or others write them.
+
+    The length in a record's own header decides where it ends. Responses lose their HTTP header and chunked transfer
+    encoding; responses without HTTP, and resource, conversion and continuation records, are payload as they are. Records of ABOUT are
+    passed over. A revisit has one row without data; its length is that its HTTP header tells (none: 0), its digest that of its
+    own header. Digests other than SHA-256 keep their prefix.
+    """
     while (version := stream.readline()):
         if not version.strip():
             continue
         if not version.startswith(b"WARC/"):
             raise ValueError(f"no WARC record: {version[:40]!r}")
         head = _fields(stream)
-        record = head["warc-record-id"].strip("<>")
-        kind, uri = head["warc-type"], head.get("warc-target-uri")
-        status = stream.readline()
-        http_head = _fields(stream)
-        size = int(http_head["content-length"])
-        if not status.startswith(b"HTTP/"):
-            raise ValueError(f"no HTTP block: {status[:40]!r}")
+        record, kind, uri = head.get("warc-record-id", "").strip("<>"), head.get("warc-type", ""), head.get("warc-target-uri")
+        block = _Block(stream, int(head.get("content-length", "0")), record)
+        http, body = {}, block
+        if kind in ("response", "revisit") and head.get("content-type", "application/http").startswith("application/http"):
+            status = block.readline()
+            if status and not status.startswith(b"HTTP/"):
+                raise ValueError(f"no HTTP block: {status[:40]!r}")
+            http = _fields(block)
         if kind == "revisit":
-            digest = head["warc-payload-digest"].removeprefix("sha256:")
-            yield record, kind, uri, head["warc-refers-to"].strip("<>"), size, digest, 0, b"", True
-        else:
+            yield record, kind, uri, head.get("warc-refers-to", "").strip("<>") or None, int(http.get("content-length") or 0), head.get("warc-payload-digest", "").removeprefix("sha256:"), 0, b"", True
+        elif kind not in ABOUT:
+            if http.get("transfer-encoding", "").lower() == "chunked":
+                body = _Parts(block)
             running, done, number = hashlib.sha256(), 0, 0
+            data = _full(body, chunk_bytes)
             while True:
-                data = stream.read(min(chunk_bytes, size - done)) if done < size else b""
-                if done < size and not data:
-                    raise EOFError(f"{record} ends after {done} of {size} bytes")
+                following = _full(body, chunk_bytes) if len(data) == chunk_bytes else b""
                 running.update(data)
                 done += len(data)
-                yield record, kind, uri, None, done, running.hexdigest(), number, data, done == size
-                number += 1
-                if done == size:
+                yield record, kind, uri, None, done, running.hexdigest(), number, data, not following
+                if not following:
                     break
-        stream.readline()
-        stream.readline()
+                data, number = following, number + 1
+        while block.read(chunk_bytes):
+            pass
 
 
 class WarcSource(DataSource):

@@ -80,3 +80,45 @@ def test_empty_and_broken(spark, tmp_path):
 
 def test_query_matches_sql(spark, sf_dir):
     same(entry.queries()["op6_warc"](spark, sf_dir), connect(sf_dir), entry.oracle_sql()["op6_warc"])
+
+
+def record(kind, block, uri="http://a/", **more):
+    head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:{kind}>", "WARC-Target-URI": uri, "Content-Length": str(len(block))} | {k.replace("_", "-"): v for k, v in more.items()}
+    return b"WARC/1.0\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in head.items()) + b"\r\n" + block + b"\r\n\r\n"
+
+
+def payloads(data, chunk_bytes=4):
+    out = {}
+    for name, kind, _, refers, size, digest, number, part, last in read_records(io.BytesIO(data), chunk_bytes):
+        rows = out.setdefault((name, kind), [])
+        assert number == len(rows) and (kind == "revisit" or size == sum(map(len, rows)) + len(part))
+        rows.append(part)
+        if last:
+            assert kind == "revisit" or digest == hashlib.sha256(b"".join(rows)).hexdigest()
+            out[name, kind] = (b"".join(rows), size, refers)
+    return out
+
+
+def test_archives_of_public_form():
+    """What crawlers write: a warcinfo first, requests and metadata between, HTTP lengths that lie, chunked encoding, Latin-1."""
+    html = b"<html>\xe9</html>"
+    parts = b"6\r\n<html>\r\n8;x=y\r\n\xe9</html>\r\n0\r\nTrailer: x\r\n\r\n"
+    http = lambda head, body: b"HTTP/1.1 200 OK\r\n" + head + b"\r\n" + body
+    archive = record("warcinfo", b"software: x\r\n", Content_Type="application/warc-fields") + record("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n")
+    cases = {
+        "lying": (http(b"Content-Length: 3\r\nX: \xe9\r\n", html), html), "none": (http(b"", html), html), "empty": (http(b"Content-Length: 0\r\n", b""), b""),
+        "parts": (http(b"Transfer-Encoding: chunked\r\n", parts), b"<html>\xe9</html>"), "no parts": (http(b"Transfer-Encoding: chunked\r\n", html), html),
+        "cut parts": (http(b"Transfer-Encoding: Chunked\r\n", b"ff\r\nabc"), b"abc"), "folded": (http(b"A: b\r\n c\r\n", b"1234"), b"1234"),
+    }
+    for name, (block, _) in cases.items():
+        archive += record("response", block, WARC_Record_ID=f"<{name}>", Content_Type="application/http; msgtype=response") + record("metadata", b"fetchTimeMs: 1")
+    archive += record("response", b"a. 1 IN A 1.2.3.4", "dns:a", WARC_Record_ID="<dns>", Content_Type="text/dns") + record("resource", b"\0\1bytes", WARC_Record_ID="<res>")
+    archive += record("revisit", http(b"", b""), WARC_Record_ID="<again>", WARC_Refers_To="<none>", WARC_Payload_Digest="sha1:ABC", WARC_Profile="x") + record("conversion", b"text", WARC_Record_ID="<conv>")
+    for chunk_bytes in (1, 4, 1 << 20):
+        got = payloads(archive, chunk_bytes)
+        assert {k: v[0] for k, v in got.items() if k[1] == "response"} == {(n, "response"): p for n, (_, p) in cases.items()} | {("dns", "response"): b"a. 1 IN A 1.2.3.4"}
+        assert got["res", "resource"][0] == b"\0\1bytes" and got["conv", "conversion"][0] == b"text" and got["again", "revisit"] == (b"", 0, "none") and len(got) == len(cases) + 4
+    with pytest.raises(EOFError):
+        payloads(record("response", http(b"", html))[:-9])
+    with pytest.raises(ValueError, match="no WARC"):
+        payloads(b"<html>")
