@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from flowspark.functions.intervals import micros
@@ -95,7 +95,8 @@ LENGTH_EDGES = [50, 100, 200, 750, 1300, 1400, 1450, 1500, 65535]
 DISTANCE_EDGES = [25, 50, 75, 100, 200, 300, 400, 500, 1000]
 
 
-def flow_report(df: DataFrame, key: list[str], forward: Column, idle: str = "30s", lifetime: str = "240s", extra: dict[str, Column] | None = None, tcp: bool = False, cache: str | None = None) -> DataFrame:
+def flow_report(df: DataFrame, key: list[str], forward: Column, idle: str = "30s", lifetime: str = "240s", extra: dict[str, Column] | None = None, tcp: bool = False, cache: str | None = None,
+                sides: dict[str, tuple[Callable[[Column], Column], Column]] | None = None, periods: tuple[str, ...] = ()) -> DataFrame:
     """Bidirectional flow records: one row a flow, counters for each direction, histograms, moments and rates.
 
     ``forward`` tells the direction of a record; direction 0 is that of the flow's first
@@ -106,6 +107,12 @@ def flow_report(df: DataFrame, key: list[str], forward: Column, idle: str = "30s
     largest window, and its effective window (``effective_windows``). ``cache`` keeps flows in mind beyond their record: a
     record that begins no later than that after its key's record before ended continues its flow. It adds flow (the number
     within the key, from 1), flow_first_us (when the flow's first record began) and continued.
+
+    With a column tcp_scale (``options.with_options``) windows are shifted by what the side's last SYN in the session has
+    announced, also in an earlier record. ``sides`` adds aggregates (a function and its column) of each direction, named with 0
+    or 1 at the end. ``periods`` adds each direction's lowest and highest bit rate over periods of those lengths: a period is the ten
+    slots up to one that has packets; it counts once the direction has run for a whole one in the record, and the last counts
+    always; silence of a period makes the lowest 0.
     """
     life = micros(lifetime)
     rows = sessions(df.withColumn("forward_", forward), key, idle, firsts={"first_us_": F.col("us"), "first_forward_": F.col("forward_")})
@@ -117,6 +124,11 @@ def flow_report(df: DataFrame, key: list[str], forward: Column, idle: str = "30s
         highest = F.max("tcp_seq").over(near.rowsBetween(Window.unboundedPreceding, -1))
         wrapped = (highest > 0xAFFFFFFF) & (F.col("tcp_seq") < 0x3FFFFFFF)
         rows = rows.withColumn("late_", F.coalesce((F.col("tcp_seq") < highest) & ~wrapped, F.lit(False)))
+    scaled = tcp and "tcp_scale" in df.columns
+    if scaled:
+        rows = rows.withColumn("scale_", F.last("tcp_scale", ignorenulls=True).over(near.rowsBetween(Window.unboundedPreceding, 0)))
+    for name in periods:
+        rows = _moving(rows, [*key, "session", "slice", "dir_"], near, name)
     aggregates = [F.min("first_us_").alias("flow_start_us"), F.min("us").alias("start_us"), F.max("us").alias("end_us")]
     for d in (0, 1):
         mine = F.col("dir_") == d
@@ -135,6 +147,16 @@ def flow_report(df: DataFrame, key: list[str], forward: Column, idle: str = "30s
         ]
         if tcp:
             aggregates += [F.count(pick(F.when(F.col("late_"), 1))).alias(f"out_of_sequence{d}"), F.min(pick(F.col("tcp_win"))).alias(f"min_window{d}"), F.max(pick(F.col("tcp_win"))).alias(f"max_window{d}")]
+        if scaled:
+            unknown, wide = pick(F.when(F.col("scale_").isNull(), F.col("tcp_win"))), pick(F.call_function("shiftleft", F.col("tcp_win").cast("long"), F.col("scale_")))
+            aggregates += [F.min(unknown).alias(f"low_{d}"), F.max(unknown).alias(f"high_{d}"), F.min(wide).alias(f"low_wide_{d}"), F.max(wide).alias(f"high_wide_{d}")]
+            aggregates.append(F.max_by("tcp_scale", pick(F.when(F.col("tcp_scale").isNotNull(), F.struct("us", "pkt_no")))).alias(f"scale_{d}"))
+        aggregates += [f(pick(c)).alias(f"{name}{d}") for name, (f, c) in (sides or {}).items()]
+        for name in periods:
+            bits = lambda c, name=name: (c * 8_000_000 / micros(name)).cast("long")
+            whole, last = pick(F.when(F.col(f"whole_{name}"), F.col(f"sum_{name}"))), F.max_by(f"sum_{name}", pick(F.struct("us", "pkt_no")))
+            lowest = F.when(F.coalesce(F.bool_or(pick(F.col(f"still_{name}"))), F.lit(False)), F.lit(0)).otherwise(F.least(F.min(whole), last))
+            aggregates += [bits(lowest).alias(f"min_rate{d}_{name}"), bits(F.greatest(F.max(whole), last)).alias(f"max_rate{d}_{name}")]
     aggregates += [c.alias(name) for name, c in (extra or {}).items()]
     group = [*key, "session", "slice"]
     out = rows.groupBy(*group).agg(*aggregates)
@@ -149,6 +171,12 @@ def flow_report(df: DataFrame, key: list[str], forward: Column, idle: str = "30s
     reason = F.when(following == F.col("session"), ACTIVE).when(following.isNotNull(), IDLE).otherwise(FORCED)
     latency = F.when((F.col("slice") == 0) & F.col("first_us0").isNotNull() & F.col("first_us1").isNotNull(), F.col("first_us1") - F.col("first_us0"))
     out = out.withColumn("end_reason", reason).withColumn("latency_us", latency)
+    if scaled:
+        before = Window.partitionBy(*key, "session").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+        out = out.withColumns({f"scale_{d}": F.coalesce(F.last(f"scale_{d}", ignorenulls=True).over(before), F.lit(0)) for d in (0, 1)})
+        shifted = lambda name, d: F.call_function("shiftleft", F.col(f"{name}_{d}").cast("long"), F.col(f"scale_{d}"))
+        windows = {f"min_window{d}": F.least(shifted("low", d), F.col(f"low_wide_{d}")) for d in (0, 1)} | {f"max_window{d}": F.greatest(shifted("high", d), F.col(f"high_wide_{d}")) for d in (0, 1)}
+        out = out.withColumns(windows).drop(*(f"{n}_{d}" for n in ("low", "high", "low_wide", "high_wide", "scale") for d in (0, 1)))
     if cache is None:
         return out
     fresh = F.coalesce(F.col("start_us") - F.lag("end_us").over(later) > micros(cache), F.lit(True))
@@ -196,6 +224,31 @@ def effective_windows(rows: DataFrame, group: list[str]) -> DataFrame:
     return seen.repartition(*group).sortWithinPartitions(*group, "us", "pkt_no").mapInArrow(run, schema)
 
 
+def packet_sides() -> dict[str, tuple[Callable[[Column], Column], Column]]:
+    """Bits of each direction of packets with their options: of IPv4 and TCP options and of ICMP types (up to 62)."""
+    types = F.expr("CASE WHEN ip_proto = 1 AND icmp_type <= 62 THEN shiftleft(1L, icmp_type) END")
+    return {"ip_options": (F.bit_or, F.col("ip_options")), "tcp_options": (F.bit_or, F.col("tcp_options")), "icmp_types": (F.bit_or, types)}
+
+
+#: Slots of a period of bit rates.
+SLOTS = 10
+
+
+def _moving(rows: DataFrame, side: list[str], near: WindowSpec, period: str) -> DataFrame:
+    """``rows`` with, for one period, the bytes of the ten slots up to each record's slot, whether its side has run for a whole
+    period by then, and whether it was silent for one before. All windows are dealt alike, so rows are shuffled once for
+    any number of periods; a slot's sum is made once, of the records of ten slots."""
+    width = micros(period) // SLOTS
+    slot = lambda us: F.floor(us / width)
+    first = F.min("us").over(near.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn(f"slot_{period}", slot(F.col("us")))
+    return rows.withColumns({
+        f"sum_{period}": F.sum("wlen").over(Window.partitionBy(*side).orderBy(f"slot_{period}").rangeBetween(1 - SLOTS, 0)),
+        f"whole_{period}": F.col(f"slot_{period}") - slot(first) >= SLOTS - 1,
+        f"still_{period}": F.col(f"slot_{period}") - slot(F.lag("us").over(near)) >= SLOTS,
+    })
+
+
 def _histogram(value: Column, mine: Column, edges: list[int]) -> list[Column]:
     """Counts of the values up to each edge, and of those above the last."""
     low = [None, *edges]

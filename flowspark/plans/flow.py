@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from flowspark.functions import anonymize as anon
 from flowspark.functions.bpf import compile_filter
+from flowspark.functions.options import with_options
 from flowspark.operators import aggregates, filters, flows, reassembly, trackers, values, windows
 from flowspark.operators.order import running_sum
 from flowspark.plans.errors import Err, FlowError
@@ -445,9 +446,10 @@ def _to_file(df: DataFrame, kind: int, path: str, limit: int) -> DataFrame:
 
 
 def _report(df: DataFrame, kind: str, transport: str, keys: str, record: str) -> DataFrame:
-    rows = trackers.with_session_key(df.where("src_ip is not null"))
-    out = flows.flow_report(rows, trackers.SESSION_KEY, F.col("src_ip") == F.col("low_ip"), extra={"tcp_flags": F.bit_or("tcp_flags"), "tos": F.bit_or("ip_tos"), "min_ttl": F.min("ip_ttl"), "max_ttl": F.max("ip_ttl"), "icmp_types": F.bit_or(F.expr("shiftleft(1L, icmp_type)"))}, tcp=True, cache="360s")
     wanted = [x.strip() for x in record.split(",") if x.strip()]
+    rows = trackers.with_session_key(with_options(df.where("src_ip is not null")))
+    periods = ("1s", "100ms", "10ms", "1ms") if not wanted or any("_rate" in x for x in wanted) else ()
+    out = flows.flow_report(rows, trackers.SESSION_KEY, F.col("src_ip") == F.col("low_ip"), extra={"tcp_flags": F.bit_or("tcp_flags"), "tos": F.bit_or("ip_tos"), "min_ttl": F.min("ip_ttl"), "max_ttl": F.max("ip_ttl"), "icmp_types": F.bit_or(F.expr("CASE WHEN icmp_type <= 62 THEN shiftleft(1L, icmp_type) END"))}, tcp=True, cache="360s", sides=flows.packet_sides(), periods=periods)
     return out.select(*trackers.SESSION_KEY, *wanted) if wanted else out
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowspark.functions.bpf import compile_filter
+from flowspark.functions.options import with_options
 from flowspark.operators import defragment as fragments
 from flowspark.operators import filters, flows, reassembly, rtp, trackers
 from flowspark.plans import flow as api
@@ -462,6 +463,63 @@ def effective_tcp_window(p):
     return out.select("u", "packets0", "packets1", "effective_window0", "effective_window1")
 
 
+#: Connections of fifteen hosts, each fourth of them ICMP, with options in the headers: router alert or padding in IPv4; timestamps, segment
+#: size, selective acknowledgements, a list that ends in a length of 0, window scales of a SYN and (without effect) of other segments in TCP.
+OPTIONS = [
+    [
+        ("u", "flow_key % 15"), ("side", "CASE WHEN pkt_no % 3 = 0 THEN 1 ELSE 0 END"), ("us", "pkt_no * 500"), ("icmp", "flow_key % 15 % 4 = 3"), ("data", "hex(payload)"),
+        ("ip_list", "CASE pkt_no % 5 WHEN 0 THEN '94040000' WHEN 1 THEN '01000000' ELSE '' END"),
+        ("ip_bits", "CASE pkt_no % 5 WHEN 0 THEN 1048576 WHEN 1 THEN 3 ELSE 0 END"),
+        ("list", "CASE pkt_no % 7 WHEN 0 THEN '0303' || lpad(hex(pkt_no % 5), 2, '0') || '00' WHEN 1 THEN '0101080A0000000100000002' WHEN 2 THEN '020405B4' WHEN 3 THEN '04020000' WHEN 4 THEN '03030700' WHEN 5 THEN '1E000101' ELSE '' END"),
+        ("bits", "CASE pkt_no % 7 WHEN 0 THEN 9 WHEN 1 THEN 258 WHEN 2 THEN 4 WHEN 3 THEN 17 WHEN 4 THEN 9 WHEN 5 THEN 1073741824 ELSE 0 END"),
+        ("flags", "CASE WHEN pkt_no % 7 = 0 THEN 2 ELSE 16 END"), ("win", "500 + pkt_no % 700"), ("kind", "pkt_no % 20"),
+    ],
+    [
+        ("l4", "CASE WHEN icmp THEN lpad(hex(kind), 2, '0') || '00000000000000' ELSE CASE side WHEN 0 THEN lpad(hex(1024 + u), 4, '0') || '0050' ELSE '0050' || lpad(hex(1024 + u), 4, '0') END "
+               "|| lpad(hex(pkt_no), 8, '0') || '00000000' || lpad(hex(16 * (5 + CAST(length(list) / 8 AS BIGINT))), 2, '0') || lpad(hex(flags), 2, '0') || lpad(hex(win), 4, '0') || '00000000' || list END || data"),
+        ("ends", "CASE side WHEN 0 THEN '0A0000' || lpad(hex(u), 2, '0') || 'C0A80101' ELSE 'C0A80101' || '0A0000' || lpad(hex(u), 2, '0') END"),
+    ],
+    [("l3", "'4' || CASE ip_list WHEN '' THEN '5' ELSE '6' END || '00' || lpad(hex(20 + CAST(length(ip_list || l4) / 2 AS BIGINT)), 4, '0') || '0000000040' || CASE WHEN icmp THEN '01' ELSE '06' END || '0000' || ends || ip_list || l4")],
+]
+O = "WITH e AS (SELECT event_id AS pkt_no, user_id AS flow_key, props AS payload FROM events)" + "".join(
+    f", o{k} AS (SELECT *, {', '.join(f'{sql} AS {name}' for name, sql in step)} FROM {'e' if k == 0 else f'o{k - 1}'})" for k, step in enumerate(OPTIONS)
+)
+
+
+def from_option_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = from_events(spark, sf_dir).select("pkt_no", "flow_key", "payload")
+    for step in OPTIONS:
+        e = e.selectExpr("*", *(f"{sql} AS {name}" for name, sql in step))
+    return _frames(e, F.concat(F.lit("0200000000010200000000020800"), "l3"), F.col("us"))
+
+
+PERIODS = {"1s": 1_000_000, "100ms": 100_000, "10ms": 10_000, "1ms": 1_000}
+_RECORD = "u, session, slice"
+
+
+def _of_sides(pattern: str) -> str:
+    return ", ".join(pattern.replace("{d}", str(d)) for d in (0, 1))
+
+
+@packet_query(f""" , w AS (SELECT *, 14 + CAST(length(l3) / 2 AS BIGINT) AS wlen, CASE WHEN us - lag(us) OVER k > 40000 THEN 1 ELSE 0 END AS new FROM o{len(OPTIONS) - 1} WINDOW k AS (PARTITION BY u ORDER BY us)),
+n AS (SELECT *, sum(new) OVER (PARTITION BY u ORDER BY us) AS session FROM w),
+s AS (SELECT *, (us - min(us) OVER k) // 1000000 AS slice, CASE WHEN side = arg_min(side, us) OVER k THEN 0 ELSE 1 END AS d FROM n WINDOW k AS (PARTITION BY u, session)),
+r AS (SELECT *, CAST(win AS BIGINT) << coalesce(last_value(CASE WHEN pkt_no % 7 = 0 AND NOT icmp THEN pkt_no % 5 END IGNORE NULLS) OVER (PARTITION BY u, session, d ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS wide FROM s),
+sl AS (SELECT {_RECORD}, d, w, us // (w // 10) AS slot, sum(wlen) AS b FROM r, (VALUES {', '.join(f'({w})' for w in PERIODS.values())}) AS t(w) GROUP BY ALL),
+mv AS (SELECT *, sum(b) OVER (k RANGE BETWEEN 9 PRECEDING AND CURRENT ROW) AS m, slot - min(slot) OVER a >= 9 OR slot = max(slot) OVER a AS counts, slot - lag(slot) OVER k >= 10 AS still
+FROM sl WINDOW k AS (PARTITION BY {_RECORD}, d, w ORDER BY slot), a AS (PARTITION BY {_RECORD}, d, w)),
+rt AS (SELECT {_RECORD}, d, w, CAST(max(m) FILTER (counts) * 8000000 // w AS BIGINT) AS hi, CASE WHEN bool_or(still) THEN 0 ELSE CAST(min(m) FILTER (counts) * 8000000 // w AS BIGINT) END AS lo FROM mv GROUP BY {_RECORD}, d, w),
+rp AS (SELECT {_RECORD}, {', '.join(_of_sides(f"max(lo) FILTER (d = {{d}} AND w = {w}) AS min_rate{{d}}_{p}, max(hi) FILTER (d = {{d}} AND w = {w}) AS max_rate{{d}}_{p}") for p, w in PERIODS.items())} FROM rt GROUP BY ALL),
+g AS (SELECT {_RECORD}, min(us) AS start_us, {_of_sides("count(*) FILTER (d = {d}) AS packets{d}, bit_or(CAST(ip_bits AS BIGINT)) FILTER (d = {d}) AS ip_options{d}, bit_or(CAST(bits AS BIGINT)) FILTER (d = {d} AND NOT icmp) AS tcp_options{d}, bit_or(CAST(1 AS BIGINT) << kind) FILTER (d = {d} AND icmp) AS icmp_types{d}, min(wide) FILTER (d = {d} AND NOT icmp) AS min_window{d}, max(wide) FILTER (d = {d} AND NOT icmp) AS max_window{d}")} FROM r GROUP BY ALL)
+SELECT '10.0.0.' || u AS host, * EXCLUDE ({_RECORD}) FROM g JOIN rp USING ({_RECORD})""", source=from_option_frames, views=O)
+def packet_flow_report_full(p):
+    """Option bits, ICMP types, scaled windows and bit rates of four periods, each way, in one report."""
+    rows = with_options(p).withColumn("host", F.least("src_ip", "dst_ip"))
+    out = flows.flow_report(rows, ["host"], F.col("src_ip") == F.col("host"), "40ms", "1s", tcp=True, sides=flows.packet_sides(), periods=tuple(PERIODS))
+    names = [f"{n}{d}" for n in ("packets", "ip_options", "tcp_options", "icmp_types", "min_window", "max_window") for d in (0, 1)]
+    return out.select("host", "start_us", *names, *(f"{n}_rate{d}_{period}" for n in ("min", "max") for d in (0, 1) for period in PERIODS))
+
+
 #: RTP streams, one a key: 20 ms of sound (160 samples) a packet, every 13th number left out, arrival late by up to 6 ms, timestamps
 #: and numbers that wrap.
 RTP = [
