@@ -25,6 +25,26 @@ def lower_ascii(text: Column) -> Column:
     )
 
 
+#: Bits of a row of a key table, and most rows: 64 MB in all.
+ROW_BITS, MOST_ROWS = 32768, 1 << 14
+
+
+def key_table(keys: DataFrame, count: int, bits_a_key: int = 16) -> tuple[DataFrame, int]:
+    """(part, bits) for hashes in column h, ``count`` of them, and the number of parts: bitmaps of ROW_BITS bits, MOST_ROWS at
+    most whatever the count, so that they can be broadcast. With more keys than fit more hashes seem to be among them."""
+    parts = max(1, min(MOST_ROWS, -(-count * bits_a_key // ROW_BITS)))
+    place = F.expr(f"pmod(shiftrightunsigned(h, 20), {ROW_BITS})")
+    return keys.groupBy(F.expr(f"pmod(h, {parts}L)").alias("part")).agg(F.bitmap_construct_agg(place).alias("bits")), parts
+
+
+def key_in_table(df: DataFrame, hashed: Column, bitmaps: DataFrame, parts: int, name: str) -> DataFrame:
+    """``df`` with a boolean column ``name``: false if the hash is certainly none of the table's."""
+    rows = df.withColumn("hash_", hashed).withColumn("part", F.expr(f"pmod(hash_, {parts}L)")).withColumn("place_", F.expr(f"cast(pmod(shiftrightunsigned(hash_, 20), {ROW_BITS}) as int)"))
+    rows = rows.join(F.broadcast(bitmaps), "part", "left")
+    bit = F.expr("getbit(cast(conv(hex(substring(bits, place_ div 8 + 1, 1)), 16, 10) as bigint), place_ % 8) = 1")
+    return rows.select(*df.columns, F.coalesce(bit, F.lit(False)).alias(name))
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediate files, in whatever file system it is."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -23,11 +23,11 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from flowspark.llm.common import map_texts
+from flowspark.llm.common import key_in_table, key_table, map_texts
 from flowspark.session import durable
 from flowspark.sources.pcap import put_in_place
 
@@ -294,6 +294,31 @@ class WarcSource(DataSource):
         return WarcWriter(self.options["path"], overwrite)
 
 
+FACTS = ("payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _named(df: DataFrame, *without: str) -> Column:
+    """The columns of ``df`` but for some, as one, so that no name among them meets those made here."""
+    return F.struct(F.lit(None).cast("int").alias("no column"), *(F.col(f"`{c}`") for c in df.columns if c not in without))
+
+
+def shared_payloads(df: DataFrame, id_col: str, payload_col: str, least_bytes: int = 100) -> DataFrame:
+    """(digest, refers_to, members) of payloads of at least ``least_bytes`` bytes that several rows have: refers_to is their smallest id,
+    null if none has one. A payload that a third of the rows share is counted before the shuffle."""
+    data = F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b""))
+    long = df.select(F.col(f"`{id_col}`").alias("id"), data.alias("data")).where(F.octet_length("data") >= least_bytes)
+    return durable(long.groupBy(F.sha2("data", 256).alias("digest")).agg(F.min("id").alias("refers_to"), F.count(F.lit(1)).alias("members")).where("members > 1"))
+
+
+def _marked(rows: DataFrame, shared: DataFrame, least_bytes: int) -> DataFrame:
+    """``rows`` (id, payload_bytes, payload_digest and others) with record_type and refers_to."""
+    alone = F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))
+    rows = rows.withColumn("met", F.when(F.col("payload_bytes") >= least_bytes, F.col("payload_digest")).otherwise(alone))
+    rows = rows.join(shared.select(F.col("digest").alias("met"), F.col("refers_to").alias("first")), "met", "left").drop("met")
+    revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("id"))
+    return rows.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("first"))).drop("first")
+
+
 def mark_revisits(df: DataFrame, id_col: str, payload_col: str, least_bytes: int = 100) -> DataFrame:
     """``df`` with payload_bytes, payload_digest, record_type and refers_to.
 
@@ -307,17 +332,9 @@ def mark_revisits(df: DataFrame, id_col: str, payload_col: str, least_bytes: int
     Leave payloads out of ``df`` but for ``payload_col``, which is not in the result: only
     its length and digest go through the join.
     """
-    made = ("payload_bytes", "payload_digest", "record_type", "refers_to")
-    data = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    rows = df.drop(*made).withColumn("payload_bytes", F.octet_length(data).cast("long")).withColumn("payload_digest", F.sha2(data, 256)).drop(payload_col)
-    long = rows.where(F.col("payload_bytes") >= least_bytes)
-    groups = long.groupBy("payload_digest").agg(F.min(id_col).alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups = durable(groups.select(F.col("payload_digest").alias("group_key"), "refers_to"))
-    alone = F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))
-    rows = rows.withColumn("group_key", F.when(F.col("payload_bytes") >= least_bytes, F.col("payload_digest")).otherwise(alone))
-    rows = rows.join(groups, "group_key", "left").drop("group_key")
-    revisit = F.col("refers_to").isNotNull() & ~F.col("refers_to").eqNullSafe(F.col(id_col))
-    return rows.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("refers_to")))
+    data = F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b""))
+    rows = df.select(_named(df, payload_col, *FACTS).alias("row"), F.col(f"`{id_col}`").alias("id"), F.octet_length(data).cast("long").alias("payload_bytes"), F.sha2(data, 256).alias("payload_digest"))
+    return _marked(rows, shared_payloads(df, id_col, payload_col, least_bytes), least_bytes).select("row.*", *FACTS).drop("no column")
 
 
 def chunk_payloads(df: DataFrame, payload_col: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -356,15 +373,26 @@ def digest_chunks(chunks: DataFrame) -> DataFrame:
 
 def warc_records(df: DataFrame, id_col: str, payload_col: str, least_bytes: int = 100, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``df`` as chunk rows with payload_bytes, payload_digest, record_type and refers_to (see ``mark_revisits``), without
-    ``payload_col``; revisits have one row without data. Payloads are cut before they meet what was found out about them."""
-    facts = ("payload_bytes", "payload_digest", "record_type", "refers_to")
-    marked = mark_revisits(df.select(F.col(id_col).alias("id"), F.col(payload_col).alias("payload")), "id", "payload", least_bytes).distinct()
-    data = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    rows = df.drop(*facts).withColumn("digest of row", F.sha2(data, 256)).withColumn("number of row", F.monotonically_increasing_id())
-    chunks = chunk_payloads(rows, payload_col, chunk_bytes)
-    met = chunks.join(marked, chunks[id_col].eqNullSafe(marked["id"]) & (chunks["digest of row"] == marked["payload_digest"])).drop("id")
+    ``payload_col``; revisits have one row without data. Other columns pass unchanged, whatever their names.
+
+    Digests that several rows share are made a bit table of bounded size; payloads that it excludes are responses where they
+    lie and are not shuffled. The others are cut into chunks, which meet what was found out about their row; a full
+    table only means that more payloads travel. ``df`` is read three times.
+    """
+    shared = shared_payloads(df, id_col, payload_col, least_bytes)
+    data = F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b""))
+    rows = df.select(_named(df, payload_col, *FACTS).alias("row"), F.col(f"`{id_col}`").alias("id"), data.alias("payload"), F.sha2(data, 256).alias("payload_digest"), F.octet_length(data).cast("long").alias("payload_bytes"))
+    rows = key_in_table(rows, F.xxhash64("payload_digest"), *key_table(shared.select(F.xxhash64("digest").alias("h")), shared.count()), "may_share")
+    meets = F.col("may_share") & (F.col("payload_bytes") >= least_bytes)
+    made = ["row", "payload_bytes", "payload_digest", "record_type", "refers_to", "chunk_no", "data"]
+    alone = chunk_payloads(rows.where(~meets), "payload", chunk_bytes).withColumns({"record_type": F.lit("response"), "refers_to": F.lit(None).cast(shared.schema["refers_to"].dataType)}).select(made)
+    several = rows.where(meets)
+    marks = _marked(several.select("id", "payload_bytes", "payload_digest"), shared, least_bytes).distinct()
+    marks = marks.select(F.col("id").alias("of_id"), F.col("payload_digest").alias("of_digest"), "record_type", "refers_to")
+    chunks = chunk_payloads(several.withColumn("number", F.monotonically_increasing_id()), "payload", chunk_bytes)
+    met = chunks.join(marks, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("payload_digest") == F.col("of_digest")))
     met = met.where("record_type = 'response' or chunk_no = 0").withColumn("data", F.when(F.col("record_type") == "response", F.col("data")).otherwise(F.lit(b"")))
-    return met.sortWithinPartitions("number of row", "chunk_no").drop("digest of row", "number of row")
+    return alone.union(met.sortWithinPartitions("number", "chunk_no").select(made)).select("row.*", *FACTS, "chunk_no", "data").drop("no column")
 
 
 def write_warc(chunks: DataFrame, path: str, mode: str = "append") -> None:

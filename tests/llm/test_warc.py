@@ -7,7 +7,8 @@ from pyarrow import fs
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from flowspark.llm.warc import RECORD, digest_chunks, read_records, read_warc, record_head, warc_records, write_warc
+from flowspark.llm.common import key_in_table, key_table
+from flowspark.llm.warc import RECORD, digest_chunks, mark_revisits, read_records, read_warc, record_head, warc_records, write_warc
 from flowspark.sources.pcap import put_in_place
 from tests.oracle import connect, same
 
@@ -122,3 +123,39 @@ def test_archives_of_public_form():
         payloads(record("response", http(b"", html))[:-9])
     with pytest.raises(ValueError, match="no WARC"):
         payloads(b"<html>")
+
+
+def test_names_of_other_columns(spark):
+    rows = [(1, b"x" * 200, "a", "b", 1, "c", "d", "e"), (2, b"x" * 200, None, "b", 2, "c", "d", "e"), (3, b"y" * 200, "a", "b", 3, "c", "d", "e"), (4, None, "a", "b", 4, "c", "d", "e")]
+    df = spark.createDataFrame(rows, "page_id long, payload binary, whole string, group_key string, `digest of row` long, id string, row string, `a.b` string")
+    got = {r.page_id: r for r in warc_records(df, "page_id", "payload").collect()}
+    assert set(warc_records(df, "page_id", "payload").columns) == {*df.columns, "payload_bytes", "payload_digest", "record_type", "refers_to", "chunk_no", "data"} - {"payload"}
+    assert [(got[k].record_type, got[k].refers_to, got[k].payload_bytes, len(got[k].data)) for k in (1, 2, 3, 4)] == [("response", None, 200, 200), ("revisit", 1, 200, 0), ("response", None, 200, 200), ("response", None, 0, 0)]
+    for k, *_, in rows:
+        assert tuple(got[k][c] for c in df.columns if c != "payload") == tuple(v for c, v in zip(df.columns, rows[k - 1], strict=True) if c != "payload")
+    marked = mark_revisits(df, "page_id", "payload")
+    assert {(r.page_id, r.record_type, r["digest of row"], r.group_key, r["a.b"]) for r in marked.collect()} == {(1, "response", 1, "b", "e"), (2, "revisit", 2, "b", "e"), (3, "response", 3, "b", "e"), (4, "response", 4, "b", "e")}
+
+
+def test_long_payloads_meet_or_stay(spark, tmp_path):
+    """Payloads of several real chunks, shared ones and others; only those that may be shared are shuffled."""
+    big = {k: hashlib.sha256(bytes([k])).digest() * 80_000 for k in range(4)}
+    rows = [(k, big[k % 4 if k < 6 else 3]) for k in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, payload binary").withColumn("target_uri", F.lit("http://x/"))
+    marked = warc_records(df, "page_id", "payload").selectExpr("string(page_id) record_id", "record_type", "target_uri", "string(refers_to) refers_to", "payload_bytes", "payload_digest", "chunk_no", "data")
+    write_warc(marked, str(tmp_path))
+    got = {}
+    for r in sorted(read_warc(spark, str(tmp_path)).collect(), key=lambda r: (r.record_id, r.chunk_no)):
+        got.setdefault((int(r.record_id), r.record_type, r.refers_to and int(r.refers_to)), []).append(bytes(r.data))
+    assert {k: b"".join(v) for k, v in got.items() if k[1] == "response"} == {(k, "response", None): big[k] for k in range(4)}
+    assert all(len(v) == 3 for k, v in got.items() if k[1] == "response")
+    assert {k for k in got if k[1] == "revisit"} == {(4, "revisit", 0), (5, "revisit", 1), *((k, "revisit", 3) for k in (6, 7, 8))}
+
+
+@pytest.mark.parametrize("count", [1, 5000, 10**9])
+def test_key_tables(spark, count):
+    keys = spark.range(5000).select(F.xxhash64("id").alias("h"))
+    probed = key_in_table(spark.range(20_000), F.xxhash64("id"), *key_table(keys, count), "found")
+    assert probed.where("id < 5000 and not found").count() == 0
+    assert probed.where("id >= 5000 and found").count() < (2500 if count == 1 else 1500)
+    assert key_in_table(spark.range(5), F.xxhash64("id"), *key_table(keys.limit(0), 0), "found").where("found").count() == 0
