@@ -63,11 +63,13 @@ def regexp(c: Column, pattern: str, replacements: list[str | None]) -> Column:
 
 
 def filename_random(c: Column, seed: int = 42, draw: Column | None = None) -> Column:
-    """Everything before the last dot replaced by as many random hex digits; with ``draw``, those that follow from it."""
+    """Everything before the last dot replaced by as many random printable characters (codes 33 to 125); with ``draw``, those
+    that follow from it. Null stays null."""
     stem, end = F.regexp_extract(c, r"(?s)^(.*)(\.[^.]*)$", 1), F.regexp_extract(c, r"(?s)^(.*)(\.[^.]*)$", 2)
-    base = F.when(end != "", stem).otherwise(c)
-    n = F.char_length(base)
-    return F.concat(F.substring(F.repeat(F.sha2(F.rand(seed).cast("string") if draw is None else F.concat(draw, c), 256), F.ceil(n / 64).cast("int")), F.lit(1), n), F.when(end != "", end).otherwise(""))
+    n = F.char_length(F.when(end != "", stem).otherwise(c))
+    drawn = F.rand(seed).cast("string") if draw is None else F.concat(draw.cast("string"), c)
+    made = F.transform(F.array_repeat(drawn, n), lambda one, k: F.call_function("char", F.pmod(F.xxhash64(one, k), F.lit(93)) + 33))
+    return F.when(c.isNotNull(), F.concat(F.array_join(made, ""), end))
 
 
 def map_first_seen(df: DataFrame, columns: list[str], order: str = "pkt_no", suffix: str = "_map") -> DataFrame:

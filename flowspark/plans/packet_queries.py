@@ -16,6 +16,7 @@ from flowspark.functions.bpf import compile_filter
 from flowspark.functions.options import with_options
 from flowspark.operators import defragment as fragments
 from flowspark.operators import filters, flows, reassembly, rtp, trackers
+from flowspark.plans import apps
 from flowspark.plans import flow as api
 from flowspark.session import delete_folder, durable, shared_dir
 from flowspark.sources.pcap import PACKETS, decode, read_packets, stream_packets, write_packets
@@ -520,6 +521,117 @@ def packet_flow_report_full(p):
     return out.select("host", "start_us", *names, *(f"{n}_rate{d}_{period}" for n in ("min", "max") for d in (0, 1) for period in PERIODS))
 
 
+def _case(value: str, choices: list[str]) -> str:
+    return f"CASE {value} " + " ".join(f"WHEN {k} THEN {c}" for k, c in enumerate(choices)) + " END"
+
+
+def _steps_of(steps: list, spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = from_events(spark, sf_dir).select("pkt_no", "flow_key", "payload")
+    for step in steps:
+        e = e.selectExpr("*", *(f"{sql} AS {name}" for name, sql in step))
+    return e
+
+
+def _views_of(steps: list, name: str) -> str:
+    out = "WITH e AS (SELECT event_id AS pkt_no, user_id AS flow_key, props AS payload FROM events)"
+    for k, step in enumerate(steps):
+        out += f", {name}{k} AS (SELECT *, {', '.join(f'{sql} AS {n}' for n, sql in step)} FROM {'e' if k == 0 else f'{name}{k - 1}'})"
+    return out + f", p AS (SELECT * FROM {name}{len(steps) - 1})"
+
+
+#: Frames of many protocols: other network layers by Ethernet type or LLC address, protocols over IPv4, and ports over TCP and UDP of both versions.
+ETHER_KINDS = ["0806", "8035", "809B", "80F3", "6003", "6007", "6004", "6001", "6002", "8137", "9000"]
+LLC_KINDS = ["FE", "42", "F0", "E0"]
+IP_KINDS = [1, 2, 9, 47, 50, 51, 88, 103, 112]
+PORT_KINDS = [53, 21, 3386, 80, 88, 631, 1985, 1863, 137, 138, 139, 554, 22, 23, 107, 614, 992, 1900, 111, 6880, 6881, 6899, 6900, 6969, 2491, 513, 6699, 177, 443]
+_E, _L, _I = len(ETHER_KINDS), len(ETHER_KINDS) + len(LLC_KINDS), len(ETHER_KINDS) + len(LLC_KINDS) + len(IP_KINDS)
+ZOO = [
+    [("u", "flow_key"), ("k", f"(flow_key + pkt_no * 7) % {_I + len(PORT_KINDS)}"), ("us", "pkt_no * 10000"), ("data", "hex(payload) || repeat('00', 20)")],
+    [
+        ("ether", _case("k", [f"'{x}'" for x in ETHER_KINDS])), ("llc", _case(f"k - {_E}", [f"'{x}'" for x in LLC_KINDS])),
+        ("ip_proto", f"CASE WHEN k >= {_I} THEN CASE WHEN pkt_no % 3 = 0 THEN 17 ELSE 6 END ELSE {_case(f'k - {_L}', [str(x) for x in IP_KINDS])} END"),
+        ("ip_version", f"CASE WHEN k < {_L} THEN NULL WHEN k >= {_I} AND pkt_no % 5 = 4 THEN 6 ELSE 4 END"),
+        ("port", _case(f"k - {_I}", [str(x) for x in PORT_KINDS])), ("other", "CASE WHEN pkt_no % 11 = 0 THEN 80 ELSE 40000 + flow_key % 1000 END"),
+    ],
+    [("sport", "CASE WHEN port IS NULL THEN NULL WHEN pkt_no % 2 = 0 THEN port ELSE other END"), ("dport", "CASE WHEN port IS NULL THEN NULL WHEN pkt_no % 2 = 0 THEN other ELSE port END")],
+    [("l4", "CASE WHEN port IS NULL THEN data WHEN ip_proto = 6 THEN lpad(hex(sport), 4, '0') || lpad(hex(dport), 4, '0') || lpad(hex(pkt_no), 8, '0') || '00000000501003E800000000' || data "
+            "ELSE lpad(hex(sport), 4, '0') || lpad(hex(dport), 4, '0') || lpad(hex(8 + CAST(length(data) / 2 AS BIGINT)), 4, '0') || '0000' || data END")],
+    [("frame", "'020000000001020000000002' || CASE WHEN ether IS NOT NULL THEN ether || data WHEN llc IS NOT NULL THEN lpad(hex(3 + CAST(length(data) / 2 AS BIGINT)), 4, '0') || llc || llc || '03' || data "
+               "WHEN ip_version = 6 THEN '86DD60000000' || lpad(hex(CAST(length(l4) / 2 AS BIGINT)), 4, '0') || lpad(hex(ip_proto), 2, '0') || '40' || repeat('20', 16) || repeat('21', 16) || l4 "
+               "ELSE '08004500' || lpad(hex(20 + CAST(length(l4) / 2 AS BIGINT)), 4, '0') || '0000000040' || lpad(hex(ip_proto), 2, '0') || '00000A0000010A000002' || l4 END")],
+]
+
+
+def from_protocol_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _frames(_steps_of(ZOO, spark, sf_dir), F.col("frame"), F.col("us"))
+
+
+def _port_sql(*ports: int) -> str:
+    listed = ", ".join(map(str, ports))
+    return f"(sport IN ({listed}) OR dport IN ({listed}))"
+
+
+PROTOCOLS_SQL = {name: f"ether = '{kind}'" for name, kind in zip(("arp", "rarp", "atalk", "aarp", "decnet", "sca", "lat", "mopdl", "moprc", "ipx"), ETHER_KINDS, strict=False)}
+PROTOCOLS_SQL |= {name: f"llc = '{kind}'" for name, kind in zip(("iso", "stp", "netbeui"), LLC_KINDS, strict=False)} | {"ip": "ip_version = 4", "ip6": "ip_version = 6", "tcp": "ip_proto = 6", "udp": "ip_proto = 17"}
+PROTOCOLS_SQL |= {name: f"ip_proto = {kind}" for name, kind in {"icmp": 1, "igmp": 2, "igrp": 9, "esp": 50, "ah": 51, "eigrp": 88, "pim": 103, "vrrp": 112}.items()}
+PROTOCOLS_SQL |= {
+    name: _port_sql(*ports)
+    for name, ports in {
+        "dns": [53], "ftp": [21], "gprs": [3386], "http": [80], "kerberos": [88], "ipp": [631], "hsrp": [1985], "msn": [1863], "netbios": [137, 138, 139], "shells": [22, 23, 107, 614, 992], "ssdp": [1900], "sunrpc": [111],
+        "ucp": [2491], "winmx": [6699], "xdmcp": [177],
+    }.items()
+}
+PROTOCOLS_SQL |= {"radio": f"{_port_sql(554)} AND NOT {_port_sql(80)}", "who": f"ip_proto = 17 AND {_port_sql(513)}", "torrent": f"ip_proto = 6 AND {_port_sql(*range(6881, 6900), 6969)}"}
+
+
+@packet_query(f""" , n AS (SELECT us // 1000000 AS slot, CAST(length(frame) / 2 AS BIGINT) AS wlen, unnest([{', '.join(f"CASE WHEN {test} THEN '{name}' END" for name, test in PROTOCOLS_SQL.items())}]) AS protocol FROM p)
+SELECT slot, protocol, count(*) AS packets, CAST(sum(wlen) AS BIGINT) AS bytes FROM n WHERE protocol IS NOT NULL GROUP BY ALL""", source=from_protocol_frames, views=_views_of(ZOO, "z"))
+def tracker_protocols(p):
+    """The traffic of some forty protocols in each second, in one pass."""
+    return apps.protocol_traffic(p)
+
+
+#: Every signature of the session trackers, in sessions of both directions: some in other case, some too far from the payload's begin.
+_TEXTS = [*trackers.GNUTELLA, *(s for s, _ in trackers.TORRENT), *trackers.DIRECT_CONNECT, *trackers.IRC]
+_EDONKEY = [f"'{head:02X}' || '05000000' || '{code:02X}' || '01020304'" for head, code in zip(trackers.EDONKEY_HEADERS * 20, [*trackers.EDONKEY_TCP, 0xFF], strict=False)]
+_SIGNS = [f"hex('{s}')" for s in _TEXTS] + ["'13' || hex('BitTorrent protocol')", f"'{trackers.EDONKEY_MAGIC.hex().upper()}'", *_EDONKEY, "hex('nothing of all that')"]
+SIGNED = [
+    [("k", f"pkt_no % {len(_SIGNS)}"), ("u", "flow_key % 3"), ("us", "pkt_no * 10000"), ("turn", f"CAST((pkt_no - pkt_no % {len(_SIGNS)}) / {len(_SIGNS)} AS BIGINT)")],
+    [("side", "turn % 2"), ("sign", f"CASE WHEN turn % 3 <> 1 THEN '' WHEN k < {len(trackers.GNUTELLA)} AND pkt_no % 2 = 0 THEN {_case('k', [f'hex(lower({chr(39)}{s}{chr(39)}))' for s in trackers.GNUTELLA])} ELSE {_case('k', _SIGNS)} END")],
+    [("data", f"CASE WHEN sign = '' THEN hex('text') WHEN pkt_no % 7 = 0 THEN repeat('78', 120) || sign WHEN k >= {len(_TEXTS) + 2} THEN sign ELSE sign || hex('=') || hex(payload) END"), ("seq", "pkt_no"), ("ack", "0")],
+    [("client", "'0A0000' || lpad(hex(u), 2, '0')"), ("server", "'C0A80101'"), ("ports", "CASE side WHEN 0 THEN lpad(hex(1024 + k), 4, '0') || '1388' ELSE '1388' || lpad(hex(1024 + k), 4, '0') END")],
+]
+
+
+def from_signed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tcp_frames(_steps_of(SIGNED, spark, sf_dir), F.col("us"))
+
+
+def _within(signs: list[tuple[str, int]]) -> str:
+    return "(" + " OR ".join(f"contains(substr(data, 1, {2 * n}), '{s.encode().hex().upper()}')" for s, n in signs) + ")"
+
+
+_CODES = ", ".join(f"'{c:02X}'" for c in trackers.EDONKEY_TCP)
+SIGNED_SQL = {
+    "gnutella": _within([(s, 100) for text in trackers.GNUTELLA for s in (text, text.lower())]),
+    "torrent": f"(substr(data, 1, 40) = '13' || hex('BitTorrent protocol') OR {_within(trackers.TORRENT)})",
+    "dc": f"(substr(data, 1, 2) = '24' AND {_within([(s, 100) for s in trackers.DIRECT_CONNECT])})",
+    "irc": _within([(s, 100) for s in trackers.IRC]),
+    "edonkey": f"(contains(substr(data, 1, 200), '{trackers.EDONKEY_MAGIC.hex().upper()}') OR (substr(data, 1, 2) IN ('E3', 'C5', 'D4') AND substr(data, 3, 8) = '05000000' AND length(data) = 20 AND substr(data, 11, 2) IN ({_CODES})))",
+}
+
+
+@packet_query(""" , w AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY u, k ORDER BY us) > 60000000 THEN 1 ELSE 0 END AS new FROM p), s AS (SELECT *, sum(new) OVER (PARTITION BY u, k ORDER BY us) AS session FROM w) """
+              + " UNION ALL ".join(f"SELECT '{name}' AS protocol, pkt_no FROM (SELECT pkt_no, bool_or({test}) OVER (PARTITION BY u, k, session ORDER BY us) AS c FROM s) WHERE c" for name, test in SIGNED_SQL.items()), source=from_signed_frames, views=_views_of(SIGNED, "g"))
+def track_all_signatures(p):
+    """Every signature of every session tracker; what is too far into the payload doesn't count. One scan for all protocols."""
+    rows = trackers.with_session_key(p.where("octet_length(l4_payload) > 0"))
+    fin = (F.col("ip_proto") == 6) & (F.col("tcp_flags").bitwiseAND(F.lit(1)) == 1)
+    seen = {name: trackers.SIGNATURES[f"TRACK_{name.upper()}"]() for name in SIGNED_SQL}
+    held = flows.sessions(rows, trackers.SESSION_KEY, trackers.IDLE, F.coalesce(fin, F.lit(False)), seen=seen)
+    return held.select("pkt_no", F.explode(F.array_compact(F.array(*(F.when(F.col(name), F.lit(name)) for name in seen)))).alias("protocol"))
+
+
 #: RTP streams, one a key: 20 ms of sound (160 samples) a packet, every 13th number left out, arrival late by up to 6 ms, timestamps
 #: and numbers that wrap.
 RTP = [
