@@ -165,14 +165,14 @@ def _frames(e: DataFrame, whole, us) -> DataFrame:
     return e.select(*(columns[name].cast(kind).alias(name) for name, kind in (c.split() for c in PACKETS.split(", "))))
 
 
-def packet_query(sql: str | None, name: str | None = None, source=from_event_frames, views: str = P):
-    """Register a function of the decoded packets; the SQL goes on from ``views``."""
+def packet_query(sql: str | None, name: str | None = None, source=from_event_frames, views: str = P, fields: list[str] | None = None):
+    """Register a function of the decoded packets (``fields`` of them, if not all); the SQL goes on from ``views``."""
 
     def wrap(f):
         known = name or f.__name__
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(decode(source(spark, sf_dir)))
+            return f(decode(source(spark, sf_dir), fields))
 
         QUERIES[known] = run
         if sql is not None:
@@ -266,8 +266,12 @@ def packet_flow_report(p):
 # -- trackers ---------------------------------------------------------------
 
 
+#: What trackers read of a packet.
+TRACKING = ["ip_proto", "src_ip", "dst_ip", "sport", "dport", "tcp_flags", "l4_payload"]
+
+
 def _tracker(name: str, sql: str) -> None:
-    packet_query(sql, f"track_{name}")(lambda p: trackers.track(p, f"TRACK_{name.upper()}").select("pkt_no"))
+    packet_query(sql, f"track_{name}", fields=TRACKING)(lambda p: trackers.track(p, f"TRACK_{name.upper()}").select("pkt_no"))
 
 
 for _name, _users in TRACKED.items():
@@ -283,7 +287,7 @@ _tracker("grid_ftp", PAIRS.format(port=2811, ports=" AND dport BETWEEN 20000 AND
 n AS (SELECT host, since, sport, count(*) AS n FROM p JOIN c ON src_ip = host WHERE ip_proto = 17 AND us BETWEEN since AND since + 10000000 GROUP BY ALL),
 b AS (SELECT host, since + 10000000 AS since, sport AS port FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY n DESC, sport) AS k FROM n) WHERE k = 1),
 f AS (SELECT p.*, host, us - lag(us) OVER (PARTITION BY host ORDER BY us) > 600000000 AS late FROM p JOIN b ON src_ip = host AND sport = port WHERE ip_proto = 17 AND us > since)
-SELECT pkt_no FROM (SELECT pkt_no, bool_or(late) OVER (PARTITION BY host ORDER BY us) AS gone FROM f) WHERE gone IS NOT TRUE""")
+SELECT pkt_no FROM (SELECT pkt_no, bool_or(late) OVER (PARTITION BY host ORDER BY us) AS gone FROM f) WHERE gone IS NOT TRUE""", fields=TRACKING)
 def track_skype(p):
     return trackers.skype(p, ["192.168.1.1"]).select("pkt_no")
 
@@ -313,8 +317,8 @@ def _round_trip(kind: str):
 
 
 # The times of ERF are 32.32 fixed point; read again they are rounded to whole microseconds.
-packet_query(" SELECT us, 0 AS ifindex, wlen, wlen AS caplen, md5(unhex(l2 || l3 || l4)) AS digest FROM p", "pcap_round_trip")(_round_trip("pcap"))
-packet_query(" SELECT us, ifindex, wlen, wlen AS caplen, md5(unhex(l2 || l3 || l4)) AS digest FROM p", "erf_round_trip")(_round_trip("erf"))
+packet_query(" SELECT us, 0 AS ifindex, wlen, wlen AS caplen, md5(unhex(l2 || l3 || l4)) AS digest FROM p", "pcap_round_trip", fields=[])(_round_trip("pcap"))
+packet_query(" SELECT us, ifindex, wlen, wlen AS caplen, md5(unhex(l2 || l3 || l4)) AS digest FROM p", "erf_round_trip", fields=[])(_round_trip("erf"))
 
 
 @packet_query(" SELECT us, wlen FROM p WHERE ip_proto = 17 ORDER BY pkt_no LIMIT 50")
@@ -622,7 +626,7 @@ SIGNED_SQL = {
 
 
 @packet_query(""" , w AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY u, k ORDER BY us) > 60000000 THEN 1 ELSE 0 END AS new FROM p), s AS (SELECT *, sum(new) OVER (PARTITION BY u, k ORDER BY us) AS session FROM w) """
-              + " UNION ALL ".join(f"SELECT '{name}' AS protocol, pkt_no FROM (SELECT pkt_no, bool_or({test}) OVER (PARTITION BY u, k, session ORDER BY us) AS c FROM s) WHERE c" for name, test in SIGNED_SQL.items()), source=from_signed_frames, views=_views_of(SIGNED, "g"))
+              + " UNION ALL ".join(f"SELECT '{name}' AS protocol, pkt_no FROM (SELECT pkt_no, bool_or({test}) OVER (PARTITION BY u, k, session ORDER BY us) AS c FROM s) WHERE c" for name, test in SIGNED_SQL.items()), source=from_signed_frames, views=_views_of(SIGNED, "g"), fields=TRACKING)
 def track_all_signatures(p):
     """Every signature of every session tracker; what is too far into the payload doesn't count. One scan for all protocols."""
     rows = trackers.with_session_key(p.where("octet_length(l4_payload) > 0"))

@@ -116,3 +116,25 @@ def test_trackers(spark):
     calls = flow("1.1.1.1", "99.9.9.9", 700, 80, [b"hi"], 0) + flow("1.1.1.1", "50.1.1.1", 5555, 7, [b"a"] * 9, 1_000_000, 17) + flow("1.1.1.1", "50.1.1.2", 5555, 8, [b"b", b"c"], 20_000_000, 17) + flow("1.1.1.1", "50.1.1.3", 6666, 8, [b"d"], 20_000_000, 17)
     found = trackers.skype(decode(stream(spark, calls)), ["99.9.9.9"]).collect()
     assert {bytes(r.l4_payload) for r in found} == {b"b", b"c"}
+
+
+def test_only_wanted_fields_are_made(spark, packets):
+    raw = packets.select("pkt_no", "us", "link_type", "pkt")
+    some = decode(raw, ["src_ip", "l4_payload", "dport"])
+    assert some.columns == ["pkt_no", "us", "link_type", "pkt", "src_ip", "dport", "l4_payload"]
+    pick = lambda d: sorted((r.pkt_no, r.src_ip, r.dport, r.l4_payload) for r in d.where("src_ip is not null and dport is not null").collect())
+    assert pick(some) == pick(packets) and len(pick(some)) > 5
+    assert decode(raw, []).columns == raw.columns
+    with pytest.raises(ValueError, match="nothing"):
+        decode(raw, ["nothing"])
+
+
+def test_large_and_null_packets(spark):
+    """Payloads beyond a block of places, with packets that are null or cut between them."""
+    rows = [(k, None if k % 7 == 3 else bytearray(ethernet(ipv4("10.0.0.1", f"10.0.{k % 9}.2", 17, udp(k, 53, bytes([k % 256]) * (k * 13 % 1400))))[: 20 if k % 11 == 5 else None])) for k in range(700)]
+    got = {r.pkt_no: r for r in decode(spark.createDataFrame(rows, "pkt_no long, pkt binary").withColumn("link_type", F.lit(1)).coalesce(1)).collect()}
+    for k, pkt in rows:
+        if pkt is None or k % 11 == 5:
+            assert got[k].src_ip is None and got[k].l4_payload is None
+        else:
+            assert (got[k].dst_ip, got[k].sport, bytes(got[k].l4_payload)) == (f"10.0.{k % 9}.2", k, bytes([k % 256]) * (k * 13 % 1400))
