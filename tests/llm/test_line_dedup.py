@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 
 import __spark_entry__ as entry
@@ -43,3 +44,14 @@ def test_edge_cases_and_rounds(spark, monkeypatch):
         got = drop_common_lines(df, least_docs=least, shards_a_round=9)
         assert sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got.collect()), key=str) == brute(least)
     assert drop_common_lines(df.limit(0)).count() == 0
+
+
+def test_repeated_ids_are_documents_of_their_own(spark, tmp_path):
+    """Query and SQL agree where ids repeat, with equal texts and others."""
+    rows = [(1, "seen\nonly here"), (1, "seen\nonly here"), (1, "seen"), (2, None), (2, "seen")] + [(k, "seen\nodd") for k in (3, 3, 3, 4, 4)] + [(None, "seen\nx"), (None, "seen\nx")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = entry.queries()["op8_line_dedup"](spark, str(tmp_path))
+    same(got, con, entry.oracle_sql()["op8_line_dedup"])
+    assert got.where("n_dropped = 1").count() == 11 and got.count() == 12
