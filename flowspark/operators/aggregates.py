@@ -21,16 +21,19 @@ def byte_counter(df: DataFrame) -> DataFrame:
     return df.agg(F.coalesce(F.sum("wlen"), F.lit(0)).cast("long").alias("value"))
 
 
-def _stats(value: Column) -> list[Column]:
-    return [F.count(value).alias("count"), F.sum(value).cast("long").alias("sum"), F.sum(value * value).cast("long").alias("sum2"), F.min(value).alias("min"), F.max(value).alias("max")]
+def _stats(value: Column, of_sums: bool = False) -> list[Column]:
+    # Sums of a period grow with the stream, and their squares pass 64 bits first.
+    square = F.sum(value.cast("decimal(19,0)") * value.cast("decimal(19,0)")) if of_sums else F.sum(value * value).cast("long")
+    return [F.count(value).alias("count"), F.sum(value).cast("long").alias("sum"), square.alias("sum2"), F.min(value).alias("min"), F.max(value).alias("max")]
 
 
-def stats(df: DataFrame, value: Column, ticks: str = "0", by: list[str] | None = None) -> DataFrame:
+def stats(df: DataFrame, value: Column, ticks: str = "0", by: list[str] | None = None, of_sums: bool = False) -> DataFrame:
     """count, sum, sum of squares, min and max of a value: of every record ("0"), of all but the first ("1"), or of
-    its sums over each period that has records ("100ms", counted from the first record)."""
+    its sums over each period that has records ("100ms", counted from the first record). Squares of such sums, also
+    where the value is one already (``of_sums``), are added up as decimals of 38 digits, other squares in 64 bits."""
     by = by or []
     if ticks == "0":
-        return df.groupBy(*by).agg(*_stats(value))
+        return df.groupBy(*by).agg(*_stats(value, of_sums))
     if ticks == "1":
         first = df.groupBy(*by).agg(F.min("pkt_no").alias("first_"))
         joined = df.join(first, by) if by else df.crossJoin(F.broadcast(first))  # without keys one row
@@ -41,7 +44,7 @@ def stats(df: DataFrame, value: Column, ticks: str = "0", by: list[str] | None =
     origin = df.groupBy(*by).agg(F.min("us").alias("origin_"))
     joined = df.join(origin, by) if by else df.crossJoin(F.broadcast(origin))  # without keys one row
     sums = joined.groupBy(*by, F.floor((F.col("us") - F.col("origin_")) / period).alias("slot_")).agg(F.sum(value).cast("long").alias("v_"))
-    return sums.groupBy(*by).agg(*_stats(F.col("v_")))
+    return sums.groupBy(*by).agg(*_stats(F.col("v_"), True))
 
 
 def dist(df: DataFrame, value: Column, low: int, high: int, width: int, exact_legacy: bool = False) -> DataFrame:

@@ -37,7 +37,7 @@ def load_statistics(df: DataFrame, widths: list[str]) -> DataFrame:
         if micros(width) % micros(narrow):
             raise ValueError("widths are multiples of the narrowest")
         sums = base.groupBy(F.floor(F.col("slot") / (micros(width) // micros(narrow))).alias("slot")).agg(F.sum("v").cast("long").alias("v"))
-        parts.append(aggregates.stats(sums, F.col("v")).select(F.lit(width).alias("width"), "count", "sum", "sum2", "min", "max"))
+        parts.append(aggregates.stats(sums, F.col("v"), of_sums=True).select(F.lit(width).alias("width"), "count", "sum", "sum2", "min", "max"))
     return reduce(DataFrame.union, parts)
 
 
