@@ -59,15 +59,23 @@ def threshold(df: DataFrame, value: Column, bound: int, limit: int, events: int
 def moving_window(df: DataFrame, value: Column, window: str, by: str) -> DataFrame:
     """``df`` with column value: the sum over the last ``window`` (its start excluded) of the row's ``by``, itself included.
 
-    Time is cut into slices as long as the window. A row's window lies in its slice and the one before, so each row
-    also goes to the slice after its own, and a ``by`` that holds a third of all rows is dealt out by slices.
+    Time is cut into slices as long as the window, and a ``by`` that holds a third of all rows is dealt out by slices. A row
+    adds its value to its own slice; to the next one it adds the value at the begin, and takes it off where the window
+    has passed it. The running sum of these changes is the window's, whatever the number of rows that lie in it.
     """
     width = micros(window)
     slot = F.floor(F.col("us") / width)
-    rows = df.select("*", value.alias("added_"), F.explode(F.array(slot, slot + 1)).alias("slice_"))
-    span = Window.partitionBy(by, "slice_").orderBy("us").rangeBetween(-width + 1, 0)
-    rows = rows.withColumn("value", F.sum("added_").over(span).cast("long"))
-    return rows.where(F.col("slice_") == slot).drop("added_", "slice_")
+    v = value.cast("decimal(38,6)")  # running sums may pass 64 bits where the window's own doesn't
+    nothing = F.lit(None).cast(df.select(F.struct(*df.columns)).schema[0].dataType)
+
+    def change(slice_: Column, at: Column, sign: int, row: Column) -> Column:
+        return F.struct(slice_.alias("slice_"), at.cast("long").alias("at_"), (v * sign).cast("decimal(38,6)").alias("added_"), F.when(v.isNotNull(), sign).alias("many_"), row.alias("row_"))
+
+    changes = [change(slot, F.col("us"), 1, F.struct(*df.columns)), change(slot + 1, (slot + 1) * width - 1, 1, nothing), change(slot + 1, F.col("us") + width, -1, nothing)]
+    rows = df.where("us is not null").select(F.col(by).alias("by_"), F.explode(F.array(*changes)).alias("e_")).select("by_", "e_.*")
+    upto = Window.partitionBy("by_", "slice_").orderBy("at_").rangeBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("sum_", F.when(F.sum("many_").over(upto) > 0, F.sum("added_").over(upto)).cast("long")).where("row_ is not null")
+    return rows.select("row_.*", "sum_").withColumn("value", F.col("sum_")).drop("sum_")
 
 
 COUNT, SECONDS, STATS = 1, 2, 3

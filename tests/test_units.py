@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,3 +84,13 @@ def test_anonymisers(spark):
     assert same[0] == same[1] != same[2]
     with pytest.raises(FlowError):
         anon.hashed(F.col("v"), "ROT13")
+
+
+def test_moving_window_is_no_square_of_its_rows(spark):
+    """One window holds all rows: a frame that is summed anew at each of them takes minutes."""
+    n = 200_000
+    df = spark.range(n).selectExpr("id AS pkt_no", "id * 10 AS us", "0 AS sensor", "IF(id % 4 = 3, NULL, 1) AS wlen")
+    started = time.monotonic()
+    got = windows.moving_window(df, F.col("wlen"), "1m", "sensor").agg(F.max("value"), F.sum("value")).first()
+    assert tuple(got) == (n * 3 // 4, sum(k - k // 4 for k in range(1, n + 1))) and time.monotonic() - started < 60
+    assert windows.moving_window(df.where("wlen is null"), F.col("wlen"), "1m", "sensor").where("value is not null").count() == 0
