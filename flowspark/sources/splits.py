@@ -4,12 +4,14 @@ A capture has no marks between records: a record's place follows from the length
 measured in parallel. Each looks for the first place from which a chain of plausible record headers leads on, walks the
 headers to the range's end and tells where it began, where it stopped and how many records lie between. A payload
 may look like headers, so a beginning is only a guess: range after range, it must be where the range before stopped, from the
-file's first record on. A range whose guess was wrong is walked again from where it really begins. The result
-is therefore exact for every file; guesses only decide how much of it was found in parallel.
+file's first record on. A range whose guess was wrong is walked again from where it really begins, up to the first record that
+the guess has also led to; from there on both walks are the same. The result is therefore exact for every file; guesses only
+decide how much of it was found in parallel.
 """
 
 from __future__ import annotations
 
+import itertools
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowspark.session import durable
@@ -26,9 +28,9 @@ from flowspark.sources.formats import ERF_HEAD, MAGIC, MAGIC_NANO, PCAP_HEAD, SN
 
 #: Headers in a row that make a guess, and seconds that may lie between two of them.
 LINKS, MOST_SECONDS_BETWEEN = 8, 86_400
-SCAN_BYTES, BUFFER_BYTES, ROWS_A_BATCH, BYTES_A_BATCH = 1 << 18, 1 << 22, 4096, 1 << 24
+SCAN_BYTES, BUFFER_BYTES, MEETING_BYTES, ROWS_A_BATCH, BYTES_A_BATCH = 1 << 18, 1 << 22, 1 << 13, 4096, 1 << 24
 SPLIT_BYTES = 128 << 20
-PLAN = "path string, place int, number int, start bigint, stop bigint, first bigint, records bigint"
+PLAN = "path string, place int, number int, start bigint, stop bigint, first bigint, records bigint, task int"
 
 
 class PcapLayout:
@@ -110,11 +112,12 @@ def layout_of(kind: str, file) -> PcapLayout | ErfLayout | None:
 
 
 class Walk:
-    """Whole records of an open file from ``at`` on, through one buffer."""
+    """Whole records of an open file from ``at`` on, through one buffer; beyond ``stop`` only what a record needs is read."""
 
-    def __init__(self, file, layout, at: int) -> None:
-        self.file, self.layout, self.at = file, layout, at
+    def __init__(self, file, layout, at: int, stop: int | None = None, buffer_bytes: int = BUFFER_BYTES) -> None:
+        self.file, self.layout, self.at, self.most = file, layout, at, buffer_bytes
         self.size = file.size()
+        self.stop = self.size if stop is None else stop
         self.buffer, self.base = b"", at
 
     def _hold(self, n: int) -> bool:
@@ -123,7 +126,7 @@ class Walk:
             return False
         if not (self.base <= self.at and self.at + n <= self.base + len(self.buffer)):
             self.base = self.at
-            self.buffer = self.file.read_at(max(n, BUFFER_BYTES), self.at)
+            self.buffer = self.file.read_at(max(n, min(self.most, self.stop - self.at)), self.at)
         return self.at + n <= self.base + len(self.buffer)
 
     def __iter__(self) -> Iterator[tuple[int, int]]:
@@ -170,7 +173,7 @@ def _leads_on(file, layout, at: int, size: int, here: bytes, base: int) -> bool:
 
 def measure(file, layout, start: int, stop: int) -> tuple[int, int]:
     """Where a walk from ``start`` is at or beyond ``stop``, and the packets it has passed. A cut last record ends the file."""
-    walk, records = Walk(file, layout, start), 0
+    walk, records = Walk(file, layout, start, stop), 0
     if start < stop:
         for place, _ in walk:
             records += layout.is_packet(walk.buffer, place)
@@ -180,6 +183,21 @@ def measure(file, layout, start: int, stop: int) -> tuple[int, int]:
     return start, 0
 
 
+def measure_again(file, layout, start: int, stop: int, begun: int, stopped: int, records: int) -> tuple[int, int]:
+    """``measure`` from ``start``, where a walk from ``begun`` is known to end at ``stopped`` after ``records`` packets: the two
+    go on by turns until they meet, after a few records as a rule."""
+    walks = [Walk(file, layout, at, stop, MEETING_BYTES) for at in (start, begun)]
+    steps, passed = [iter(w) for w in walks], [0, 0]
+    while walks[0].at != walks[1].at:
+        behind = int(walks[1].at < walks[0].at)
+        step = next(steps[behind], None)
+        if step is not None:
+            passed[behind] += layout.is_packet(walks[behind].buffer, step[0])
+        if step is None or walks[behind].at >= stop:  # they don't meet
+            return measure(file, layout, start, stop)
+    return stopped, passed[0] + records - passed[1]
+
+
 @dataclass(frozen=True)
 class CaptureFile:
     path: str
@@ -197,10 +215,14 @@ def files_of(path: str) -> list[CaptureFile]:
 
 
 def plan_ranges(spark: SparkSession, path: str, kind: str, files: list[CaptureFile], split_bytes: int) -> DataFrame:
-    """One row a range with packets (``PLAN``): the bytes it holds, the number in its file of its first packet, its packets."""
-    ranges = [(f.path, place, number, number * split_bytes, min(f.size, (number + 1) * split_bytes)) for place, f in enumerate(files) for number in range(-(-f.size // split_bytes))]
-    table = spark.createDataFrame(ranges, "path string, place int, number int, start bigint, stop bigint")
-    table = table.withColumn("at", _row_of())
+    """One row a range with packets (``PLAN``): the bytes it holds, the number in its file of its first packet, its packets, and
+    the task that reads it. Neighbouring ranges share a task, so that small ranges don't make as many tasks."""
+    tasks = tasks_of(spark, files, split_bytes)
+    counts = [-(-f.size // split_bytes) for f in files]
+    table = spark.createDataFrame([(f.path, place, f.size, n, before) for place, (f, n, before) in enumerate(zip(files, counts, itertools.accumulate(counts, initial=0))) if n], "path string, place int, size bigint, n bigint, before bigint")
+    table = table.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
+    task = ((F.col("before") + F.col("k")) * tasks).cast("decimal(38,0)") / max(1, sum(counts))
+    table = table.select("path", "place", F.col("k").cast("int").alias("number"), (F.col("k") * split_bytes).alias("start"), F.least("size", (F.col("k") + 1) * split_bytes).alias("stop"), F.floor(task).cast("int").alias("task"))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,7 +232,7 @@ def plan_ranges(spark: SparkSession, path: str, kind: str, files: list[CaptureFi
                     layout = layout_of(kind, file)
                     begun = None if layout is None else layout.start if r["number"] == 0 else guess(file, layout, max(r["start"], layout.start), r["stop"])
                     stopped, records = (None, 0) if begun is None else measure(file, layout, begun, r["stop"])
-                rows.append({**{k: r[k] for k in ("path", "place", "number", "start", "stop")}, "begun": begun, "stopped": stopped, "records": records})
+                rows.append({**r, "begun": begun, "stopped": stopped, "records": records})
             yield pa.RecordBatch.from_pylist(rows, _MEASURED)
 
     def stitched(rows: pd.DataFrame) -> pd.DataFrame:
@@ -222,27 +244,33 @@ def plan_ranges(spark: SparkSession, path: str, kind: str, files: list[CaptureFi
                 at = (layout.start if layout else r.stop) if at is None else at
                 if at >= r.stop:
                     continue
-                stopped, records = (int(r.stopped), int(r.records)) if r.begun == at else measure(file, layout, at, int(r.stop))
+                if r.begun == at:
+                    stopped, records = int(r.stopped), int(r.records)
+                elif pd.isna(r.begun):
+                    stopped, records = measure(file, layout, at, int(r.stop))
+                else:
+                    stopped, records = measure_again(file, layout, at, int(r.stop), int(r.begun), int(r.stopped), int(r.records))
                 if records:
-                    out.append((r.path, r.place, r.number, at, stopped, first, records))
+                    out.append((r.path, r.place, r.number, at, stopped, first, records, r.task))
                 at, first = stopped, first + records
         return pd.DataFrame(out, columns=[c.split()[0] for c in PLAN.split(", ")])
 
-    found = table.repartitionById(max(1, len(ranges)), "at").drop("at").mapInArrow(measured, "path string, place int, number int, start bigint, stop bigint, begun bigint, stopped bigint, records bigint")
+    found = table.repartitionById(tasks, "task").mapInArrow(measured, "path string, place int, number int, start bigint, stop bigint, task int, begun bigint, stopped bigint, records bigint")
     return durable(found.groupBy("path").applyInPandas(stitched, PLAN))
 
 
-_MEASURED = pa.schema([("path", pa.string()), ("place", pa.int32()), ("number", pa.int32()), *((n, pa.int64()) for n in ("start", "stop", "begun", "stopped", "records"))])
+_MEASURED = pa.schema([("path", pa.string()), ("place", pa.int32()), ("number", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("task", pa.int32()), *((n, pa.int64()) for n in ("begun", "stopped", "records"))])
 
 
-def _row_of() -> Column:
-    """A number from 0 for each range, one task each; there is a range for each ``split_bytes`` of input."""
-    return (F.row_number().over(Window.orderBy("place", "number")) - 1).cast("int")
+def tasks_of(spark: SparkSession, files: list[CaptureFile], split_bytes: int) -> int:
+    """Tasks for the ranges of ``files``: one for each, but not more than four a core or one for each SPLIT_BYTES of input."""
+    ranges = sum(-(-f.size // split_bytes) for f in files)
+    return max(1, min(ranges, max(4 * spark.sparkContext.defaultParallelism, -(-sum(f.size for f in files) // SPLIT_BYTES))))
 
 
 def rows_between(file, layout, start: int, stop: int, number: int) -> Iterator[pa.RecordBatch]:
     """The packets of [start, stop) as batches; ``number`` is the first one's pkt_no."""
-    walk, rows, held = Walk(file, layout, start), [], 0
+    walk, rows, held = Walk(file, layout, start, stop), [], 0
     if start >= stop:
         return
     for place, end in walk:
@@ -260,9 +288,8 @@ def rows_between(file, layout, start: int, stop: int, number: int) -> Iterator[p
 
 
 def read_ranges(spark: SparkSession, path: str, kind: str, schema: str, files: list[CaptureFile], split_bytes: int) -> DataFrame:
-    """Packets of ``files``, one task a range."""
+    """Packets of ``files``; neighbouring ranges share a task."""
     plan = plan_ranges(spark, path, kind, files, split_bytes)
-    plan = plan.withColumn("at", _row_of())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,4 +297,4 @@ def read_ranges(spark: SparkSession, path: str, kind: str, schema: str, files: l
                 with opened(path)[0].open_input_file(r["path"]) as file:
                     yield from rows_between(file, layout_of(kind, file), r["start"], r["stop"], (r["place"] << 40) + r["first"])
 
-    return plan.repartitionById(max(1, plan.count()), "at").drop("at").mapInArrow(read, schema)
+    return plan.repartitionById(tasks_of(spark, files, split_bytes), "task").mapInArrow(read, schema)

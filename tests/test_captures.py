@@ -122,3 +122,47 @@ def test_offsets_of_a_stream(tmp_path):
     assert numbers + more == [*range(50), *range(1 << 40, (1 << 40) + 50)]
     again = [n for p in capture_stream.CaptureStreamReader(str(tmp_path), "pcap").partitions(end, later) for b in reader.read(p) for n in b.column(0).to_pylist()]
     assert again == more and later["place"] == 1 and reader.partitions(later, later) == []
+
+
+class Counted:
+    """An open file that tells how many bytes were read."""
+
+    def __init__(self, file):
+        self.file, self.read = file, 0
+
+    def size(self):
+        return self.file.size()
+
+    def read_at(self, n, at):
+        out = self.file.read_at(n, at)
+        self.read += len(out)
+        return out
+
+
+def test_small_ranges_read_no_more_than_they_hold(spark, tmp_path):
+    """Ranges of 4 KiB: each reads what it holds and a record's end, and they share some tasks."""
+    data = pcap(frames(3000))
+    (tmp_path / "a.pcap").write_bytes(data)
+    files = splits.files_of(str(tmp_path))
+    file = Counted(splits.opened(str(tmp_path))[0].open_input_file(files[0].path))
+    layout = splits.layout_of("pcap", file)
+    plan = sorted(splits.plan_ranges(spark, str(tmp_path), "pcap", files, 4096).collect())
+    assert len(plan) > 100 and sum(r.records for r in plan) == 3000
+    n = sum(b.num_rows for r in plan for b in splits.rows_between(file, layout, r.start, r.stop, r.first))
+    assert n == 3000 and file.read < 2 * len(data)
+    assert read_packets(spark, str(tmp_path), split_bytes=4096).rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_a_wrong_guess_is_walked_only_until_it_meets(tmp_path):
+    """From every guess in a range's first records, true or not, the measure is that of a walk from the true one."""
+    (tmp_path / "a.pcap").write_bytes(pcap(frames(2000)))
+    file = Counted(splits.opened(str(tmp_path))[0].open_input_file(str(tmp_path / "a.pcap")))
+    layout, stop = splits.layout_of("pcap", file), file.size() - 10
+    places = sorted({splits.guess(file, layout, at, stop) for at in range(24, 8000, 40)})
+    want, met = splits.measure(file, layout, 24, stop), 0
+    for begun in places:
+        known = splits.measure(file, layout, begun, stop)
+        file.read = 0
+        assert splits.measure_again(file, layout, 24, stop, begun, *known) == want
+        met += file.read < file.size() / 4
+    assert len(places) > 20 and met > len(places) / 2
