@@ -216,26 +216,29 @@ FTP_COMMANDS = {n: n for n in "USER PASS ACCT STRU MODE CWD PWD CDUP PASV RETR R
 
 #: Where a line begins, and first lines of requests and responses: a body before them need not end with a line.
 LINE, METHODS = r"(?<=^|\r\n)", "GET|HEAD|POST|PUT|DELETE|CONNECT|OPTIONS|TRACE|PATCH"
+#: Values in a text stand between two of these: texts are bytes, so no character beyond 255 is theirs.
+MARK = "\ue000"
 REQUEST_LINE, STATUS_LINE = rf"(?:{METHODS}) [^ \r\n]+ HTTP/[0-9.]+\r\n", r"HTTP/[0-9.]+ [0-9]{3}[ \r]"
 
 
 def text_field(proto: str, name: str) -> str | None:
-    """A pattern of the field's values, at every place where the field stands: also in the second request of a payload."""
+    """A pattern of the field's values, at every place where the field stands: also in the second request of a payload. A look
+    at the character before comes first, so that the long ones are not tried at each place."""
     if proto == "HTTP":
         if name in HTTP_NAMES:
-            return rf"(?i)(?<=\r\n{HTTP_NAMES[name]}:[ \t]{{0,64}})[^\r\n \t][^\r\n]*"
+            return rf"(?i)(?<=[: \t])(?<=\r\n{HTTP_NAMES[name]}:[ \t]{{0,64}})[^\r\n \t][^\r\n]*"
         return {
             "METHOD": rf"(?:{LINE}[A-Z]+|{METHODS})(?= [^ \r\n]+ HTTP/)",
-            "URI": r"(?<=[A-Z]{1,32} )[^ \r\n]+(?= HTTP/)",
+            "URI": r"(?<=[A-Z] )[^ \r\n]+(?= HTTP/)",
             "HTTP_VERSION": r"HTTP/[0-9.]+(?= [0-9]{3}[ \r]|\r\n)",
-            "RESPONSE_CODE": r"(?<=HTTP/[0-9.]{1,16} )[0-9]{3}",
-            "RESP_CODE_DESCR": r"(?<=HTTP/[0-9.]{1,16} [0-9]{3} )[^\r\n]+",
+            "RESPONSE_CODE": r"(?<= )(?<=HTTP/[0-9.]{1,16} )[0-9]{3}",
+            "RESP_CODE_DESCR": r"(?<= )(?<=HTTP/[0-9.]{1,16} [0-9]{3} )[^\r\n]+",
             # From a blank line to the next first line of a request or response, or the end.
             "HTTP_PAYLOAD": rf"(?s)(?<=\r\n\r\n)(?!{REQUEST_LINE}|{STATUS_LINE}).+?(?={REQUEST_LINE}|{STATUS_LINE}|\z)",
         }.get(name)
     if proto == "FTP":
         if name in FTP_COMMANDS:
-            return rf"(?i)(?<=(?:^|\r\n){FTP_COMMANDS[name]}[ \t]{{1,64}})[^\r\n \t][^\r\n]*"
+            return rf"(?i)(?<=[ \t])(?<=(?:^|\r\n){FTP_COMMANDS[name]}[ \t]{{1,64}})[^\r\n \t][^\r\n]*"
         return {"FTP_RESPONSE_CODE": rf"{LINE}[0-9]{{3}}(?=[ -])", "FTP_RESPONSE_ARG": r"(?<=(?:^|\r\n)[0-9]{3}[ -])[^\r\n]+"}.get(name)
     return None
 
@@ -243,13 +246,13 @@ def text_field(proto: str, name: str) -> str | None:
 def in_text_field(payload: Column, proto: str, name: str, change) -> Column:
     """The payload (bytes) with ``change`` applied to each of a field's values; as it is where the field is not there.
 
-    The payload is cut at all of the values at once, and put together again from what lies between them and what they
-    have become: values may change their length. ``change`` is part of a lambda, so it must be deterministic.
+    All of the values are marked in one pass; the payload is cut at the marks, and put together again from what lies between
+    and what the values have become: they may change their length. ``change`` is part of a lambda, so it must be deterministic.
     """
     pattern = text_field(proto, name)
     if pattern is None:
         raise FlowError(Err.INVALID_ARGUMENT, f"{proto} has no {name}")
     text = F.decode(payload, "ISO-8859-1")
-    values = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), change)
-    edits = F.zip_with(F.split(text, pattern, -1), values, lambda between, value: F.concat(between, F.coalesce(value, F.lit(""))))
-    return F.when(F.coalesce(text.rlike(pattern), F.lit(False)), F.encode(F.array_join(edits, ""), "ISO-8859-1")).otherwise(payload)
+    parts = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{MARK}$0{MARK}")), MARK, -1)  # every second one is a value
+    edits = F.transform(parts, lambda part, k: F.when(k % 2 == 1, F.coalesce(change(part), F.lit(""))).otherwise(part))
+    return F.encode(F.array_join(edits, ""), "ISO-8859-1")

@@ -59,3 +59,20 @@ def test_nothing_of_the_values_is_left(spark, how):
     assert out.columns == packets.columns
     payload = bytes(out.first().pkt)[54:]
     assert b"one\r" not in payload and b"three" not in payload and payload.count(b"ookie: ") == 2 and b"GET /first" in payload and b"COOKIE:   " in payload
+
+
+def test_fields_are_found_in_one_pass(spark):
+    """The text is searched once for each field, not once to test, once to extract and once to split."""
+    df = spark.createDataFrame([(ONE,)], "data binary").select(in_text_field(F.col("data"), "HTTP", "COOKIE", lambda c: F.lit("#")).alias("x"))
+    plan = df._jdf.queryExecution().analyzed().toString().lower()
+    assert plan.count("cookie:") == 1
+
+
+def test_values_are_found_from_a_near_look_back(spark):
+    """Long payloads without the field; blanks up to 64 before a value count, and no more."""
+    rows = [(b"x" * 20_000,), (b"\r\nCookie:" + b" " * 64 + b"a",), (b"\r\nCookie:" + b" " * 65 + b"a",), (b"\r\nCookie:a b",), (b"a /x HTTP/1.1, GET /y HTTP/1.1",)]
+    df = spark.createDataFrame(rows, "data binary").coalesce(1)
+    cookies = [bytes(r.x) for r in df.select(in_text_field(F.col("data"), "HTTP", "COOKIE", lambda c: F.lit("#")).alias("x")).collect()]
+    assert cookies == [rows[0][0], rows[1][0][:-1] + b"#", rows[2][0], b"\r\nCookie:#", rows[4][0]]
+    uris = [bytes(r.x) for r in df.select(in_text_field(F.col("data"), "HTTP", "URI", lambda c: F.lit("#")).alias("x")).collect()]
+    assert uris == [*(r[0] for r in rows[:4]), b"a /x HTTP/1.1, GET # HTTP/1.1"]
