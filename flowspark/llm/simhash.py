@@ -3,7 +3,7 @@
 A fingerprint has one or more lanes of 64 bits (one hash seed each). Fingerprints are
 laid out in tiles, pairs of tiles that cannot hold a link are skipped, and numpy takes
 exclusive-or and bit counts of every fingerprint against every other in the remaining
-pairs, so the result is exact. Two layouts:
+pairs, so the result is exact. Three layouts:
 
 * For a small radius, the bits are cut into ``blocks`` parts and fingerprints with the
   same population counts in all parts form a tile. Counts of two fingerprints at most
@@ -12,7 +12,11 @@ pairs, so the result is exact. Two layouts:
   each, and meets some 1e-4 of the corpus; more parts make smaller tiles.
 * For a wide radius, population counts exclude little. Tiles are then bands of the number
   of distinct shingles, whose pairs are skipped when the numbers alone rule the similarity
-  of the sets out.
+  of the sets out. Work grows with the square of the corpus.
+* With an index, tiles are the rows that share a key made of two minima of the hashes of
+  their sets (min-wise hashing). Sets of similarity s share one of k keys in all but
+  (1 - s * s) ** k of cases, 5e-6 for 0.8 and twelve keys; sets with little in common never
+  meet, so work grows with the corpus.
 
 A tile that is counted to be large is cut into blocks that meet each other in tasks of
 their own. A task emits a spanning forest of the links it finds, at most one edge for each
@@ -42,6 +46,10 @@ from flowspark.session import durable
 WORDS_AT_ONCE = 1 << 16
 #: Rows of a tile beyond which it is cut into blocks, and blocks at most.
 TILE_ROWS, MOST_CUTS = 1 << 17, 1 << 12
+#: Odd factors that reorder the hashes of a lane, so that each lane has as many minima, and rows beyond which a tile of the index is cut.
+REORDERED, INDEX_ROWS = (1, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7), 1 << 13
+#: Rows of a tile that is compared together with others.
+FEW_ROWS = 32
 #: Shingle hashes that a block of a component of candidates holds.
 HASHES_A_BLOCK = 1 << 18
 #: Rows of a table of keys that may be broadcast (some 30 bytes each).
@@ -67,23 +75,41 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(text, width)]))
 
 
-def fingerprint(text: str | None, width: int, seeds: tuple[int, ...] = (42,), distinct: bool = False) -> tuple[int, ...]:
+def index_keys(lanes: int) -> int:
+    """The number of keys of the index that ``fingerprint`` makes with so many lanes."""
+    return len(REORDERED) * lanes // 2
+
+
+def fingerprint(text: str | None, width: int, seeds: tuple[int, ...] = (42,), distinct: bool = False, index: bool = False) -> tuple[int, ...]:
     """The number of word shingles, then a signed 64-bit SimHash of them for each seed; no words: zeros. With
-    ``distinct`` each different shingle counts once, else every occurrence."""
+    ``distinct`` each different shingle counts once, else every occurrence. With ``index`` keys of 38 bits follow, each
+    made of two minima of different lanes."""
     if distinct:
         whole = shingle_set(text, width)
         parts = (whole[k : k + WORDS_AT_ONCE] for k in range(0, len(whole), WORDS_AT_ONCE))
     else:
         parts = shingle_hashes(text, width, seeds[0])
-    ones, number = np.zeros((len(seeds), 64), np.int64), 0
+    ones, number = np.zeros(64 * len(seeds), np.int64), 0
+    least = np.full((len(REORDERED), len(seeds)), 2**64 - 1, np.uint64)
     for hashes in parts:
         number += len(hashes)
-        for lane, seed in enumerate(seeds):
-            # Further lanes mix the first hash with their seed; they need no other pass over the text.
-            mixed = hashes if lane == 0 else _mixed(hashes, seed)
-            ones[lane] += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * ones > number, axis=1, bitorder="little")
-    return (number, *bits.view(np.int64)[:, 0].tolist())
+        # Further lanes mix the first hash with their seed; they need no other pass over the text.
+        mixed = np.stack([hashes, *(_mixed(hashes, seed) for seed in seeds[1:])])
+        if index and len(hashes):
+            least = np.minimum(least, [(mixed * np.uint64(factor)).min(axis=1) for factor in REORDERED])
+        rows = np.ascontiguousarray(mixed.T).view(np.uint8)
+        for at in range(0, len(rows), 255):  # as many ones as a byte can count
+            ones += np.unpackbits(rows[at : at + 255], axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    bits = np.packbits((2 * ones > number).reshape(len(seeds), 64), axis=1, bitorder="little")
+    out = (number, *bits.view(np.int64)[:, 0].tolist())
+    return (*out, *_paired(least.ravel()).tolist()) if index else out
+
+
+def _paired(least: np.ndarray) -> np.ndarray:
+    """Keys of 38 bits from the first half of the minima, each with its fellow of the second half and its number."""
+    half = len(least) // 2
+    first, second = least[:half], least[half : 2 * half]
+    return (_mixed(_mixed(first, 1) + second * np.uint64(REORDERED[1]) + np.arange(half, dtype=np.uint64), 2) >> np.uint64(26)).astype(np.int64)
 
 
 def _mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
@@ -94,15 +120,15 @@ def _mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(df: DataFrame, text_col: str, width: int, seeds: tuple[int, ...] = (42,), distinct: bool = False) -> DataFrame:
-    """``df`` with its text replaced by the columns shingles (their number; with ``distinct``: of different ones) and f0,
-    f1, ... (a lane for each seed)."""
-    names = ["shingles", *(f"f{k}" for k in range(len(seeds)))]
+def fingerprints(df: DataFrame, text_col: str, width: int, seeds: tuple[int, ...] = (42,), distinct: bool = False, index: bool = False) -> DataFrame:
+    """``df`` with its text replaced by the columns shingles (their number; with ``distinct``: of different ones), f0,
+    f1, ... (a lane for each seed) and with ``index`` k0, k1, ... (its keys)."""
+    names = ["shingles", *(f"f{k}" for k in range(len(seeds))), *(f"k{k}" for k in range(index_keys(len(seeds)) if index else 0))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            values = [fingerprint(t.as_py(), width, seeds, distinct) for t in batch.column(at)]
+            values = [fingerprint(t.as_py(), width, seeds, distinct, index) for t in batch.column(at)]
             made = np.array(values, np.int64).reshape(-1, len(names))
             rest = [k for k in range(batch.num_columns) if k != at]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in rest), *(pa.array(made[:, k]) for k in range(len(names)))], [*(batch.schema.names[k] for k in rest), *names])
@@ -206,9 +232,26 @@ def _meet(own: np.ndarray, others: np.ndarray, radius: int, forest: _Forest, ste
             forest.link(a, b)
 
 
-def links(nodes: DataFrame, radius: int, lanes: int, blocks: int = 8, ratio: float | None = None, least_cuts: int = 8, tile_rows: int = TILE_ROWS) -> DataFrame:
+def _few(key: np.ndarray, rows: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, rows left): links in all tiles of FEW_ROWS rows at most that surely begin and end in this batch, and which rows
+    are of other tiles or of blocks that meet others. ``key`` is in order."""
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    n = np.diff(np.append(starts, len(key)))
+    few = (n <= FEW_ROWS) & (key[starts] & ((1 << 25) - 1) == 0)
+    few[[0, -1]] = False
+    is_few, n = np.repeat(few, n), np.repeat(n, n)
+    edges = [np.empty((0, 2), np.int64)]
+    for far in range(1, int(n[is_few].max(initial=1))):
+        at = np.flatnonzero(is_few[:-far] & (key[far:] == key[:-far]))
+        near = np.bitwise_count((rows[at, 1:] ^ rows[at + far, 1:]).view(np.uint64)).sum(axis=1, dtype=np.int64) <= radius
+        edges.append(np.stack([rows[at, 0], rows[at + far, 0]], axis=1)[near])
+    return np.concatenate(edges), ~is_few
+
+
+def links(nodes: DataFrame, radius: int, lanes: int, blocks: int = 8, ratio: float | None = None, least_cuts: int = 8, tile_rows: int = TILE_ROWS, keys: int = 0) -> DataFrame:
     """Edges (a, b) between node ids that connect the nodes within ``radius`` bits, by way of others: exactly those
-    without ``ratio``; with it, all whose numbers are within the ratio, and none beyond the radius.
+    without ``ratio``; with it, all whose numbers are within the ratio, and none beyond the radius; with ``keys`` (the
+    columns k0, k1, ... of an index, so many) all that share a key, and none beyond the radius.
 
     ``nodes`` has columns node, shingles, f0, f1, ... (shingles: a number that bounds the
     similarity, such as that of distinct shingles). Without ``ratio`` tiles are by
@@ -220,7 +263,10 @@ def links(nodes: DataFrame, radius: int, lanes: int, blocks: int = 8, ratio: flo
     names = ["node", *(f"f{k}" for k in range(lanes))]
     # Bands of numbers within the ratio; texts within it are in one band or in two that follow each other.
     band = F.lit(0) if ratio is None else F.floor(F.log(F.greatest("shingles", F.lit(1))) / F.lit(-float(np.log(ratio))))
-    nodes = nodes.select(band.cast("long").alias("band"), *names)
+    if keys:
+        nodes, counted = _sharing(nodes, names, keys)
+    else:
+        nodes = nodes.select(band.cast("long").alias("band"), *names)
 
     def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
         return [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(1 + len(names))]
@@ -232,24 +278,37 @@ def links(nodes: DataFrame, radius: int, lanes: int, blocks: int = 8, ratio: flo
             cell, n = np.unique(cell, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n.astype(np.int64))], ["cell", "n"])
 
-    counted = map_batches(nodes, sizes, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    if keys:
+        most = tile_rows = min(tile_rows, INDEX_ROWS)
+    else:
+        counted = map_batches(nodes, sizes, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+        most = tile_rows if ratio is None else min(tile_rows, 1024)
     # Some 100 bands at most, or one row for each tile_rows rows.
-    large = counted.where(F.col("n") > (tile_rows if ratio is None else min(tile_rows, 1024))).orderBy("cell").collect()
+    large = counted.where(F.col("n") > most).orderBy("cell").collect()
     cut = np.array([r.cell for r in large], np.int64)
     cuts = np.array([min(MOST_CUTS, max(1 if ratio is None else least_cuts, -(-r.n // tile_rows))) for r in large], np.int64)
 
+    def cells(at_band: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if keys:
+            return at_band, np.arange(len(at_band)), np.zeros(len(at_band), np.int64)
+        return _by_counts(fps, blocks, radius) if ratio is None else _by_band(at_band)
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 at_band, *values = columns(batch.slice(at, 4096))
-                key, row = _dealt(*(_by_counts(values[1], blocks, radius) if ratio is None else _by_band(at_band)), values[1], cut, cuts)
+                key, row = _dealt(*cells(at_band, values[1]), values[1], cut, cuts)
                 yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(v[row]) for v in values)], ["key", *names])
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, np.ndarray]]:
-        """(tile, whether they are probes, rows), in parts."""
+    def runs(batches: Iterator[pa.RecordBatch], edges: list[tuple[int, int]]) -> Iterator[tuple[int, bool, np.ndarray]]:
+        """(tile, whether they are probes, rows), in parts. With an index, links of small tiles go to ``edges`` at once."""
         for batch in batches:
             key, *values = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns))
             rows = np.stack(values, axis=1)
+            if keys and len(key):
+                found, left = _few(key, rows, radius)
+                edges += map(tuple, found.tolist())
+                key, rows = key[left], rows[left]
             ends = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
             for a, b in itertools.pairwise(ends):
                 if a < b:
@@ -258,10 +317,11 @@ def links(nodes: DataFrame, radius: int, lanes: int, blocks: int = 8, ratio: flo
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing = np.empty((0, len(names)), np.int64)
-        tile, own, forest, found = None, nothing, _Forest(), []
-        for at, is_probe, rows in itertools.chain(runs(batches), [(None, False, nothing)]):
+        tile, own, forest, found, at_once = None, nothing, _Forest(), [], []
+        for at, is_probe, rows in itertools.chain(runs(batches, at_once), [(None, False, nothing)]):
             if at != tile:
-                found += forest.edges
+                found += forest.edges + at_once
+                at_once.clear()
                 if len(found) > 50_000 or (at is None and found):
                     a, b = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -281,6 +341,15 @@ def links(nodes: DataFrame, radius: int, lanes: int, blocks: int = 8, ratio: flo
     return map_batches(spread_out, compare, "a bigint, b bigint").where("a <> b").distinct()
 
 
+def _sharing(nodes: DataFrame, names: list[str], keys: int) -> tuple[DataFrame, DataFrame]:
+    """(band, node, lanes) for each key that a node shares with another, the band being the key; and (cell, n), the shared
+    keys. Keys alone are counted and matched, lanes meet those of them that are shared."""
+    held = nodes.select("node", F.explode(F.array(*(f"k{k}" for k in range(keys)))).alias("cell"))
+    counted = durable(held.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    shared = held.join(counted.select("cell"), "cell").join(nodes.select(*names), "node")
+    return shared.select(F.col("cell").alias("band"), *names), counted
+
+
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """Rows (node, root) for every node with an edge; root is the smallest node of its component."""
     stars = durable(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
@@ -335,12 +404,13 @@ def simhash_components(
     )
 
 
-def _nodes(source: DataFrame, order: Column, width: int, seeds: tuple[int, ...], distinct: bool) -> tuple[DataFrame, DataFrame]:
+def _nodes(source: DataFrame, order: Column, width: int, seeds: tuple[int, ...], distinct: bool, index: bool = False) -> tuple[DataFrame, DataFrame]:
     """``source`` with fingerprints and node in place of its text, and a row for each node with its least ``order``."""
     lanes = [f"f{k}" for k in range(len(seeds))]
+    keys = [f"k{k}" for k in range(index_keys(len(seeds)) if index else 0)]
     node = F.xxhash64("shingles", *lanes) if distinct else F.col("f0") if len(seeds) == 1 else F.xxhash64(*lanes)
-    marked = durable(fingerprints(source, "text", width, seeds, distinct).withColumn("node", node))
-    return marked, durable(marked.groupBy("node").agg(F.min(order).alias("least"), F.min("shingles").alias("shingles"), *(F.first(f).alias(f) for f in lanes)))
+    marked = durable(fingerprints(source, "text", width, seeds, distinct, index).withColumn("node", node))
+    return marked, durable(marked.groupBy("node").agg(F.min(order).alias("least"), F.min("shingles").alias("shingles"), *(F.first(f).alias(f) for f in lanes + keys)))
 
 
 def _rooted(nodes: DataFrame, found: DataFrame) -> DataFrame:
@@ -437,9 +507,9 @@ def keep_one_of_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str
 
     Near copies are linked by a similarity (common elements over all) of their sets of
     ``width``-word shingles of ``similarity`` or more; a text of fewer words is one
-    shingle, texts without words are copies of each other. Candidates are pairs of 512-bit
-    SimHashes of the sets within the radius expected at that similarity, widened by
-    ``slack`` standard deviations of it; each component of candidates is then compared
+    shingle, texts without words are copies of each other. Candidates are pairs that share a
+    key of the index and whose 512-bit SimHashes of the sets are within the radius expected
+    at that similarity, widened by ``slack`` standard deviations of it; each component of candidates is then compared
     exactly, so no row goes without a chain of real links. The row with the smallest id
     stays, null ids last; of rows with that id, the one with the smallest hash of its text;
     of rows that repeat id and text, one. A row stays or goes by its own text: others with
@@ -450,7 +520,7 @@ def keep_one_of_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str
     radius = int(64 * len(lanes) * share + slack * np.sqrt(64 * len(lanes) * share * (1 - share)))
     hashes = lambda: (F.xxhash64(text_col), F.hash(text_col))
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(h.alias(n) for h, n in zip(hashes(), "hg", strict=True)))
-    marked, nodes = _nodes(source, F.struct(F.isnull("id").alias("none"), "id", "h", "g"), width, lanes, True)
+    marked, nodes = _nodes(source, F.struct(F.isnull("id").alias("none"), "id", "h", "g"), width, lanes, True, index=True)
     same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["h"] == b["h"]) & (a["g"] == b["g"])
     h, g = hashes()
 
@@ -460,7 +530,7 @@ def keep_one_of_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str
         joined = df.join(few, df[id_col].eqNullSafe(rows["id"]) & (h == rows["h"]) & (g == rows["g"]), how)
         return joined.select(*columns) if columns else joined
 
-    candidates = components(links(nodes, radius, len(lanes), ratio=similarity * 0.9)).join(nodes.select("node", "least.id", "least.h", "least.g", "shingles"), "node")
+    candidates = components(links(nodes, radius, len(lanes), keys=index_keys(len(lanes)))).join(nodes.select("node", "least.id", "least.h", "least.g", "shingles"), "node")
     candidates = durable(candidates)
     parts = durable(candidates.groupBy("root").agg(F.ceil(F.sum("shingles") / HASHES_A_BLOCK).cast("int").alias("parts")))
     candidates = durable(candidates.join(parts, "root").select("id", "h", "g", "root", F.greatest("parts", F.lit(1)).alias("parts"), "node"))

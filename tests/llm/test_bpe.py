@@ -2,10 +2,11 @@ import hashlib
 import random
 
 import public_tokenizers
+import regex
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
-from flowspark.llm.bpe import Decoder, Encoder, Merges, Transducer, bpe_decode, bpe_encode
+from flowspark.llm.bpe import PATTERN, Decoder, Encoder, Merges, Transducer, bpe_decode, bpe_encode
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -85,3 +86,34 @@ def test_query_matches_library(spark, sf_dir):
         ids = expected(r.text or "")
         text = LIBRARY.decode(ids, skip_special_tokens=False)
         assert got[r.doc_id] == (len(ids), hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_merging_many_is_merging_each():
+    rng = random.Random(11)
+    words = [b"", b"a", b"aaaa", b"the" * 21, bytes(range(64)), bytes(range(192, 256))]
+    for letters in (b"ab", b"etaoinshr ", bytes(range(256)), "éèàüß日本".encode()):
+        words += [bytes(rng.choices(letters, k=rng.randint(1, 64))) for _ in range(400)]
+    assert [ids_of(p) for p in MERGES.merge_many(words)] == [MERGES.merge(w) for w in words]
+
+
+def test_ascii_texts_are_split_alike():
+    rng, encoder = random.Random(12), Encoder(MERGES)
+    alphabet = [*map(chr, range(128)), " ", " ", "'s", "'ll", "'t", "\r\n", "word", "12"]
+    for _ in range(3000):
+        text = "".join(rng.choices(alphabet, k=rng.randint(0, 30)))
+        assert encoder.split(text) == regex.findall(PATTERN, text)
+
+
+def test_new_words_are_merged_together(monkeypatch):
+    """Also with more of them than the table keeps, and beside special tokens and long texts."""
+    rng = random.Random(13)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyzé", k=rng.randint(1, 9))) for _ in range(800)) for _ in range(150)]
+    merged = []
+    plain = Merges.merge
+    monkeypatch.setattr("flowspark.llm.bpe.CACHE", 1000)
+    monkeypatch.setattr("flowspark.llm.bpe.AT_ONCE", 50_000)
+    monkeypatch.setattr(Merges, "merge", lambda self, data: merged.append(data) or plain(self, data))
+    got = list(Encoder(MERGES).encode_many(texts))
+    assert not merged and [ids_of(p) for p in got] == [expected(t) for t in texts]
+    texts += ["", "a <|endoftext|> b", "x" * 70_000, " ".join(texts[:30])]
+    assert [ids_of(p) for p in Encoder(MERGES).encode_many(texts)] == [expected(t) for t in texts]

@@ -5,9 +5,10 @@ import xxhash
 from fractions import Fraction
 
 import numpy as np
+from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from flowspark.llm import simhash
-from flowspark.llm.simhash import components, fingerprint, keep_one_of_near_copies, links, similar, simhash_components, single_linkage
+from flowspark.llm.simhash import _nodes, _sharing, components, fingerprint, index_keys, keep_one_of_near_copies, links, similar, simhash_components, single_linkage
 
 
 def slow_fingerprint(text, width):
@@ -216,3 +217,37 @@ def test_query_matches_brute_force(spark, sf_dir):
     want = roots(sorted(docs), lambda a, b: (docs[a] ^ docs[b]).bit_count() <= 2)
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in entry.queries()["op2_simhash"](spark, sf_dir).collect()}
     assert got == {d: (f"{docs[d]:016x}", want[d]) for d in docs}
+
+
+LANES = tuple(range(42, 50))
+
+
+def test_index_finds_similar_sets_and_no_others(spark):
+    """Work grows with what is similar: unrelated texts of one length share no key, nearly all similar ones do."""
+    rng = random.Random(8)
+    alone = [" ".join(rng.choices([f"w{k}" for k in range(5000)], k=60)) for _ in range(300)]
+    keys = [set(fingerprint(t, 5, LANES, True, index=True)[9:]) for t in alone]
+    assert all(len(k) == index_keys(8) == 12 and all(0 <= x < 1 << 38 for x in k) for k in keys)
+    assert sum(map(len, keys)) == len(set.union(*keys))
+    missed = 0
+    for t in alone:
+        words = t.split()
+        words[rng.choice([0, 1, 58, 59])] = "other"  # two shingles of 56 change at the ends at most
+        missed += not set(fingerprint(" ".join(words), 5, LANES, True, index=True)[9:]) & set(fingerprint(t, 5, LANES, True, index=True)[9:])
+    assert missed == 0
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([*alone, alone[0] + " x"])], "id long, text string")
+    nodes = _nodes(df, F.col("id"), 5, LANES, True, index=True)[1]
+    shared, counted = _sharing(nodes, ["node", *(f"f{k}" for k in range(8))], 12)
+    assert {r.node for r in shared.select("node").collect()} == {r.node for r in nodes.where("least in (0, 300)").collect()}
+    assert 0 < counted.count() <= 12
+
+
+def test_index_in_tiles_of_all_sizes_matches_brute_force(spark):
+    rng = random.Random(9)
+    fps = nearby(rng, 150, 2)
+    rows = [(k, f[0], f[1], rng.randrange(3), 10 + rng.randrange(60)) for k, f in enumerate(fps)]
+    nodes = spark.createDataFrame(rows, "node long, f0 long, f1 long, k0 long, k1 long")
+    want = roots(list(range(len(rows))), lambda a, b: bits(fps[a], fps[b]) <= 3 and (rows[a][3] == rows[b][3] or rows[a][4] == rows[b][4]))
+    for tile_rows in (1 << 17, 7):
+        got = {r.node: r.root for r in components(links(nodes, 3, 2, tile_rows=tile_rows, keys=2)).collect()}
+        assert {n: got.get(n, n) for n in want} == want
